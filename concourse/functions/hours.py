@@ -1,4 +1,4 @@
-"""Opening-hours grammar as Catalyst expressions (no UDF).
+"""Opening-hours grammar as staged Catalyst expressions (no UDF).
 
 A schedule string becomes ``array<struct<o:int, c:int>>`` of open intervals in
 minutes of the week (Monday 00:00 = 0). Accepted shapes:
@@ -12,107 +12,109 @@ minutes of the week (Monday 00:00 = 0). Accepted shapes:
 * a JSON object ``{"Mon": "06:00-20:00", ...}``
 
 A close time at or before the open time ends on the next day. Anything else,
-including a single unreadable range inside an otherwise valid string, makes the
-whole schedule unknown (null) — unknown hours are never guessed.
+including one unreadable range inside an otherwise valid string, makes the whole
+schedule unknown (null) — unknown hours are never guessed.
 
-These expressions run once per *distinct* schedule string (a small dimension),
-never per candidate pair.
+``parse_schedules`` runs on the *distinct* schedule strings (a small dimension):
+one row per range segment, each regex group extracted once into a column, then
+the segments are folded back per string.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_MINUTES = 1440
 WEEK_MINUTES = 7 * DAY_MINUTES
 
-_DAY = r"(mon|tue|wed|thu|fri|sat|sun)[a-z]*\\.?"
-_SEP = r"\\s*(?:-|–|—|to|until)\\s*"
-_TIME = r"(\\d{1,2})(?:[:.](\\d{2}))?(?:\\s*([ap])\\.?m?\\.?)?"
-_PREFIX = rf"(?:{_DAY}(?:{_SEP}{_DAY})?\\s*:?\\s*)?"
-RANGE_RE = rf"(?i)^\\s*{_PREFIX}{_TIME}{_SEP}{_TIME}\\s*$"
-ALLDAY_RE = rf"(?i)^\\s*{_PREFIX}(?:open\\s+)?(?:24\\s*(?:hours|hrs|h)|24\\s*/\\s*7)\\s*$"
-
-_STRUCT = "struct<o:int,c:int>"
-
-
-def _group(x: str, pattern: str, idx: int) -> str:
-    return f"regexp_extract({x}, '{pattern}', {idx})"
-
-
-def _day_index(name_sql: str) -> str:
-    return (f"(CASE lower(substr({name_sql}, 1, 3)) WHEN 'mon' THEN 0 WHEN 'tue' THEN 1 "
-            f"WHEN 'wed' THEN 2 WHEN 'thu' THEN 3 WHEN 'fri' THEN 4 WHEN 'sat' THEN 5 "
-            f"WHEN 'sun' THEN 6 END)")
-
-
-def _days(d1: str, d2: str) -> str:
-    a, b = _day_index(d1), _day_index(d2)
-    return (f"(CASE WHEN {d1} = '' THEN sequence(0, 6) "
-            f"WHEN {d2} = '' THEN array({a}) "
-            f"WHEN {b} >= {a} THEN sequence({a}, {b}) "
-            f"ELSE transform(sequence({a}, {b} + 7), q -> q % 7) END)")
-
-
-def _minute(h: str, m: str, ap: str) -> str:
-    hh = f"try_cast({h} AS INT)"
-    mm = f"coalesce(try_cast(nullif({m}, '') AS INT), 0)"
-    ap_l = f"lower({ap})"
-    hour24 = (f"(CASE WHEN {ap_l} = 'p' AND {hh} < 12 THEN {hh} + 12 "
-              f"WHEN {ap_l} = 'a' AND {hh} = 12 THEN 0 ELSE {hh} END)")
-    valid = (f"({hh} BETWEEN 0 AND 24 AND {mm} BETWEEN 0 AND 59 AND NOT ({hh} = 24 AND {mm} > 0) "
-             f"AND ({ap} = '' OR {hh} BETWEEN 1 AND 12))")
-    return f"(CASE WHEN {valid} THEN {hour24} * 60 + {mm} END)"
-
-
-def _segment_intervals(x: str) -> str:
-    """SQL for one range segment -> array of weekly intervals, or null if unreadable."""
-    g = lambda i: _group(x, RANGE_RE, i)
-    ga = lambda i: _group(x, ALLDAY_RE, i)
-    o = _minute(g(3), g(4), g(5))
-    c = _minute(g(6), g(7), g(8))
-    close = f"(CASE WHEN {c} <= {o} THEN {c} + {DAY_MINUTES} ELSE {c} END)"
-    ranged = (f"transform({_days(g(1), g(2))}, d -> named_struct("
-              f"'o', d * {DAY_MINUTES} + {o}, 'c', d * {DAY_MINUTES} + {close}))")
-    allday = (f"transform({_days(ga(1), ga(2))}, d -> named_struct("
-              f"'o', d * {DAY_MINUTES}, 'c', (d + 1) * {DAY_MINUTES}))")
-    return (f"(CASE WHEN {x} RLIKE '{ALLDAY_RE}' THEN {allday} "
-            f"WHEN {x} RLIKE '{RANGE_RE}' AND {o} IS NOT NULL AND {c} IS NOT NULL THEN {ranged} END)")
-
-
-def _segments(s: str) -> str:
-    json_segs = (f"flatten(transform(map_entries(from_json({s}, 'map<string,string>')), "
-                 f"e -> transform(split(e.value, '[,;]'), v -> concat(e.key, ' ', trim(v)))))")
-    text_segs = f"filter(split({s}, '[,;]'), v -> trim(v) <> '')"
-    return f"(CASE WHEN ltrim({s}) LIKE '{{%' THEN {json_segs} ELSE {text_segs} END)"
-
-
-def weekly_intervals_sql(s: str) -> str:
-    segs = _segments(s)
-    parsed = f"transform({segs}, x -> {_segment_intervals('x')})"
-    return (f"(CASE WHEN {s} IS NULL OR {segs} IS NULL OR size({segs}) = 0 "
-            f"OR exists({parsed}, p -> p IS NULL) THEN CAST(NULL AS array<{_STRUCT}>) "
-            f"ELSE CAST(flatten({parsed}) AS array<{_STRUCT}>) END)")
-
-
-def weekly_intervals(col: str) -> Column:
-    """``opening_hours`` column name -> raw weekly intervals (null = unknown)."""
-    return F.expr(weekly_intervals_sql(f"`{col}`"))
+_DAY = r"(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?"
+_SEP = r"\s*(?:-|–|—|to|until)\s*"
+_TIME = r"(\d{1,2})(?:[:.](\d{2}))?(?:\s*([ap])\.?m?\.?)?"
+_PREFIX = rf"(?:{_DAY}(?:{_SEP}{_DAY})?\s*:?\s*)?"
+RANGE_RE = rf"(?i)^\s*{_PREFIX}{_TIME}{_SEP}{_TIME}\s*$"
+ALLDAY_RE = rf"(?i)^\s*{_PREFIX}(?:open\s+)?(?:24\s*(?:hours|hrs|h)|24\s*/\s*7)\s*$"
+
+INTERVALS_TYPE = "array<struct<o:int,c:int>>"
+
+
+def _day_index(name: Column) -> Column:
+    key = F.lower(F.substring(name, 1, 3))
+    out = None
+    for i, d in enumerate(["mon", "tue", "wed", "thu", "fri", "sat", "sun"]):
+        out = F.when(key == d, F.lit(i)) if out is None else out.when(key == d, F.lit(i))
+    return out
+
+
+def _minute(h: Column, m: Column, ap: Column) -> Column:
+    """Minute of day of one printed time, or null when out of range."""
+    hh = h.try_cast("int")
+    mm = F.coalesce(F.nullif(m, F.lit("")).try_cast("int"), F.lit(0))
+    apl = F.lower(ap)
+    hour24 = F.when((apl == "p") & (hh < 12), hh + 12).when((apl == "a") & (hh == 12), F.lit(0)).otherwise(hh)
+    valid = (hh.between(0, 24) & mm.between(0, 59) & ~((hh == 24) & (mm > 0))
+             & ((ap == "") | hh.between(1, 12)))
+    return F.when(valid, hour24 * 60 + mm)
+
+
+def _segments(s: Column) -> Column:
+    entries = F.map_entries(F.from_json(s, "map<string,string>"))
+    json_segs = F.flatten(F.transform(entries, lambda e: F.transform(
+        F.split(e["value"], "[,;]"), lambda v: F.concat(e["key"], F.lit(" "), F.trim(v)))))
+    text_segs = F.filter(F.split(s, "[,;]"), lambda v: F.trim(v) != "")
+    return F.when(F.ltrim(s).startswith("{"), json_segs).otherwise(text_segs)
+
+
+def parse_schedules(df: DataFrame, col: str = "opening_hours") -> DataFrame:
+    """Distinct ``col`` values -> (``col``, ``raw_intervals``) with null = unknown."""
+    strings = df.select(col).distinct()
+    segs = (strings.select(col, F.posexplode_outer(_segments(F.col(col))).alias("seg_pos", "seg"))
+            .withColumn("is_allday", F.col("seg").rlike(ALLDAY_RE))
+            .withColumn("is_range", F.col("seg").rlike(RANGE_RE)))
+    for i, name in enumerate(["d1", "d2", "oh", "om", "oap", "ch", "cm", "cap"], start=1):
+        segs = segs.withColumn(name, F.regexp_extract("seg", RANGE_RE, i))
+    segs = (segs.withColumn("ad1", F.regexp_extract("seg", ALLDAY_RE, 1))
+            .withColumn("ad2", F.regexp_extract("seg", ALLDAY_RE, 2))
+            .withColumn("first_day", F.when(F.col("is_allday"), F.col("ad1")).otherwise(F.col("d1")))
+            .withColumn("last_day", F.when(F.col("is_allday"), F.col("ad2")).otherwise(F.col("d2")))
+            .withColumn("o", F.when(F.col("is_allday"), F.lit(0))
+                        .otherwise(_minute(F.col("oh"), F.col("om"), F.col("oap"))))
+            .withColumn("c0", F.when(F.col("is_allday"), F.lit(DAY_MINUTES))
+                        .otherwise(_minute(F.col("ch"), F.col("cm"), F.col("cap")))))
+    segs = (segs.withColumn("c", F.when(F.col("c0") <= F.col("o"), F.col("c0") + DAY_MINUTES)
+                            .otherwise(F.col("c0")))
+            .withColumn("a", _day_index(F.col("first_day")))
+            .withColumn("b", _day_index(F.col("last_day"))))
+    days = (F.when(F.col("first_day") == "", F.sequence(F.lit(0), F.lit(6)))
+            .when(F.col("last_day") == "", F.array(F.col("a")))
+            .when(F.col("b") >= F.col("a"), F.sequence(F.col("a"), F.col("b")))
+            .otherwise(F.transform(F.sequence(F.col("a"), F.col("b") + 7), lambda q: q % 7)))
+    ok = (F.col("is_allday") | F.col("is_range")) & F.col("o").isNotNull() & F.col("c0").isNotNull()
+    segs = segs.withColumn("ivs", F.when(ok, F.transform(days, lambda d: F.struct(
+        (d * DAY_MINUTES + F.col("o")).alias("o"), (d * DAY_MINUTES + F.col("c")).alias("c")))))
+    folded = segs.groupBy(col).agg(
+        F.count("seg").alias("n_segs"),
+        F.count_if(F.col("seg").isNotNull() & F.col("ivs").isNull()).alias("n_bad"),
+        F.array_sort(F.collect_list(F.when(F.col("ivs").isNotNull(),
+                                           F.struct("seg_pos", "ivs")))).alias("parts"))
+    raw = F.when((F.col("n_segs") > 0) & (F.col("n_bad") == 0),
+                 F.flatten(F.transform("parts", lambda p: p["ivs"])))
+    return folded.select(col, raw.cast(INTERVALS_TYPE).alias("raw_intervals"))
 
 
 def replicate_weeks(col: str) -> Column:
     """Copy intervals one week before and after, so a stay that wraps Sunday->Monday
     or starts inside an interval opened the previous week can be tested directly."""
-    return F.expr(
-        f"flatten(transform(array(-{WEEK_MINUTES}, 0, {WEEK_MINUTES}), "
-        f"k -> transform(`{col}`, iv -> named_struct('o', iv.o + k, 'c', iv.c + k))))")
+    return F.flatten(F.transform(
+        F.array(F.lit(-WEEK_MINUTES), F.lit(0), F.lit(WEEK_MINUTES)),
+        lambda k: F.transform(F.col(col), lambda iv: F.struct(
+            (iv["o"] + k).alias("o"), (iv["c"] + k).alias("c")))))
 
 
 def merge_intervals_expr(col: str) -> Column:
     """Touching or overlapping intervals become one (sorted fold over the array)."""
     return F.expr(
-        f"aggregate(array_sort(`{col}`), CAST(array() AS array<{_STRUCT}>), "
+        f"aggregate(array_sort(`{col}`), CAST(array() AS {INTERVALS_TYPE}), "
         f"(acc, iv) -> CASE WHEN size(acc) > 0 AND iv.o <= element_at(acc, -1).c "
         f"THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('o', element_at(acc, -1).o, "
         f"'c', greatest(element_at(acc, -1).c, iv.c)))) ELSE concat(acc, array(iv)) END)")
@@ -121,4 +123,4 @@ def merge_intervals_expr(col: str) -> Column:
 def always_open_expr(col: str) -> Column:
     """A merged interval longer than two weeks: a weekly schedule with any closed
     minute merges into runs shorter than that, so this means open at every minute."""
-    return F.expr(f"exists(`{col}`, iv -> iv.c - iv.o >= {2 * WEEK_MINUTES})")
+    return F.exists(F.col(col), lambda iv: iv["c"] - iv["o"] >= 2 * WEEK_MINUTES)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concourse.functions.hours import (
-    WEEK_MINUTES, always_open_expr, merge_intervals_expr, replicate_weeks, weekly_intervals)
+    WEEK_MINUTES, always_open_expr, merge_intervals_expr, parse_schedules, replicate_weeks)
 
 HHMM_RE = r"^\s*(\d{1,2}):(\d{2})\s*$"
 
@@ -64,14 +64,19 @@ def stay_window(passes: DataFrame, now: str = "now_ts", boarding: str = "boardin
     start_day = F.datediff(F.to_date(now_c), F.lit("1970-01-01").cast("date"))
     start_mod = F.hour(now_c) * 60 + F.minute(now_c)
     b, d = _blank_to_null(F.col(boarding)), _blank_to_null(F.col(departure))
-    end_b = _end_minute(b, start_day, start_mod)
-    end_d = _end_minute(d, start_day, start_mod)
     out = (passes
            .withColumn("_start_day", start_day)
-           .withColumn("_start_abs", start_day.cast("long") * 1440 + start_mod)
-           .withColumn("_end_abs", F.coalesce(end_b, end_d))
-           .withColumn("_end_from", F.when(end_b.isNotNull(), "boarding").when(end_d.isNotNull(), "departure"))
+           .withColumn("_start_mod", start_mod))
+    sd, sm = F.col("_start_day"), F.col("_start_mod")
+    out = (out
+           .withColumn("_end_b", _end_minute(b, sd, sm))
+           .withColumn("_end_d", _end_minute(d, sd, sm))
            .withColumn("_any_raw", b.isNotNull() | d.isNotNull()))
+    end_b, end_d = F.col("_end_b"), F.col("_end_d")
+    out = (out
+           .withColumn("_start_abs", sd.cast("long") * 1440 + sm)
+           .withColumn("_end_abs", F.coalesce(end_b, end_d))
+           .withColumn("_end_from", F.when(end_b.isNotNull(), "boarding").when(end_d.isNotNull(), "departure")))
     end_abs, start_abs = F.col("_end_abs"), F.col("_start_abs")
     status = (F.when(end_abs.isNull() & F.col("_any_raw"), "unreadable")
               .when(end_abs.isNull(), "none")
@@ -89,8 +94,8 @@ def stay_window(passes: DataFrame, now: str = "now_ts", boarding: str = "boardin
                "%02d:%02d", F.floor(end_mod / 60).cast("int"), (end_mod % 60).cast("int"))))
            .withColumn("overnight", overnight)
            .withColumn("duration_min", duration)
-           .withColumn("start_mow", (dow * 1440 + start_mod).cast("long"))
-           .withColumn("end_mow", (dow * 1440 + start_mod).cast("long") + duration))
+           .withColumn("start_mow", (dow * 1440 + sm).cast("long"))
+           .withColumn("end_mow", (dow * 1440 + sm).cast("long") + duration))
     assumptions = F.filter(F.array(
         F.when(F.col("window_status") == "none", F.lit(A_NO_TIMES)),
         F.when(F.col("window_status") == "unreadable", F.lit(A_UNREADABLE)),
@@ -99,15 +104,15 @@ def stay_window(passes: DataFrame, now: str = "now_ts", boarding: str = "boardin
         F.when(F.col("window_status") == "expired", F.lit(A_EXPIRED)),
     ), lambda x: x.isNotNull())
     return (out.withColumn("window_assumptions", assumptions)
-            .drop("_start_day", "_start_abs", "_end_abs", "_end_from", "_any_raw"))
+            .drop("_start_day", "_start_mod", "_end_b", "_end_d", "_start_abs", "_end_abs",
+                  "_end_from", "_any_raw"))
 
 
 # --------------------------------------------------------------------- hours
 def hours_dimension(lounges: DataFrame, hours: str = "opening_hours") -> DataFrame:
     """One row per distinct schedule string: raw weekly intervals, merged intervals
     (replicated one week either side) and the always-open flag."""
-    d = lounges.select(hours).distinct().withColumn("raw_intervals", weekly_intervals(hours))
-    d = d.withColumn("_rep", replicate_weeks("raw_intervals"))
+    d = parse_schedules(lounges, hours).withColumn("_rep", replicate_weeks("raw_intervals"))
     d = d.withColumn("intervals", F.when(F.col("raw_intervals").isNotNull(), merge_intervals_expr("_rep")))
     return d.withColumn("always_open", F.coalesce(always_open_expr("intervals"), F.lit(False))).drop("_rep")
 
@@ -144,24 +149,30 @@ def terminal_match(passes: DataFrame, terminal: str = "terminal", gate: str = "g
     4 none: recommendations are spread across terminals.
     A pass terminal ``N/A`` counts as missing."""
     avail = F.coalesce(F.col(available), F.array().cast("array<string>"))
-    t = F.trim(F.col(terminal))
-    t = F.when((t != "") & (F.upper(t) != "N/A"), t)
-    mapped = F.nullif(F.regexp_extract(t, r"^(\d+)", 1), F.lit(""))
-    letters = F.nullif(F.regexp_extract(F.upper(gate_core(F.col(gate))), r"^([A-Z]+)", 1), F.lit(""))
+    t0 = F.trim(F.col(terminal))
+    passes = (passes.withColumn("_t", F.when((t0 != "") & (F.upper(t0) != "N/A"), t0))
+              .withColumn("_gate", gate_core(F.col(gate))))
+    t = F.col("_t")
+    passes = (passes.withColumn("_mapped", F.nullif(F.regexp_extract(t, r"^(\d+)", 1), F.lit("")))
+              .withColumn("_letters", F.nullif(F.regexp_extract(F.upper(F.col("_gate")), r"^([A-Z]+)", 1),
+                                               F.lit(""))))
+    mapped, letters = F.col("_mapped"), F.col("_letters")
     tier = (F.when(t.isNotNull() & F.array_contains(avail, t), 1)
             .when(t.isNotNull() & mapped.isNotNull() & F.array_contains(avail, mapped), 2)
             .when(t.isNull() & letters.isNotNull() & F.array_contains(avail, letters), 3)
             .otherwise(4))
+    passes = passes.withColumn("terminal_tier", tier)
+    tier = F.col("terminal_tier")
     eff = F.when(tier == 1, t).when(tier == 2, mapped).when(tier == 3, letters)
     assumption = (F.when(tier == 2, F.concat(F.lit("Terminal "), t, F.lit(" mapped to terminal "), mapped, F.lit(".")))
                   .when(tier == 3, F.concat(F.lit("Terminal inferred as "), letters, F.lit(" from gate "),
-                                            gate_core(F.col(gate)), F.lit(".")))
+                                            F.col("_gate"), F.lit(".")))
                   .when(t.isNotNull(), F.concat(F.lit("Terminal "), t,
                                                 F.lit(" matches no lounge terminal; recommendations spread across terminals.")))
                   .otherwise(F.lit("Terminal unknown; recommendations spread across terminals.")))
-    return (passes.withColumn("terminal_tier", tier)
-            .withColumn("effective_terminal", eff)
-            .withColumn("terminal_assumption", assumption))
+    return (passes.withColumn("effective_terminal", eff)
+            .withColumn("terminal_assumption", assumption)
+            .drop("_t", "_gate", "_mapped", "_letters"))
 
 
 # ------------------------------------------------------------ ranking rules
@@ -173,8 +184,12 @@ def spread_and_rank(pairs: DataFrame, top: int = 5) -> DataFrame:
     they reuse the pairs' partitioning; the rank filter becomes a WindowGroupLimit."""
     w_spread = Window.partitionBy("pass_id", "terminal").orderBy("lounge_id")
     w_rank = Window.partitionBy("pass_id").orderBy(F.col("matched").desc(), "spread", "lounge_id")
+    # A lounge with spread > top has `top` lounges of its own terminal ahead of it
+    # (matched lounges share one terminal), so it can never reach the top: cut
+    # early, which also turns the spread window into a WindowGroupLimit.
     return (pairs
             .withColumn("spread", F.row_number().over(w_spread))
+            .filter(F.col("spread") <= top)
             .withColumn("rank", F.row_number().over(w_rank))
             .filter(F.col("rank") <= top))
 

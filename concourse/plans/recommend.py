@@ -1,14 +1,21 @@
 """The flagship plan: passes + catalog -> ranked lounge recommendations.
 
-    lounges --contract--> cap 50/airport --+--> hours per distinct string --+
-                                           +--> terminals per airport      |
-    passes --airport check--> repartition(pass_id) --BHJ terminals--> window, tier
-                                           --BHJ lounge dimension--> pairs --covered-->
-                                           spread/rank windows (no exchange) --> top 5
-
-Only two exchanges touch data that grows with the passes: the one-time
-``repartition(pass_id)`` of pass rows. The catalog side is bounded by
-``cap x airports`` rows and is broadcast only after ``sized_broadcast`` proves it.
+    lounges -> contract -> cap 50/airport -> hours per distinct string -> lounge dim
+            -> (airport, day bucket, merged interval) rows      [bounded, broadcast]
+            -> per-airport stats: terminals, #lounges, #unknown hours [bounded, broadcast]
+    passes  -> airport check -> repartition(n, pass_id) -> BHJ stats -> window, tier
+            -> BHJ lounge buckets ON airport, bucket AND o <= start AND c >= end
+            -> spread / rank windows (reuse the pass_id partitioning) -> top 5
+
+Range join as an equi-join: a stay can only be inside an interval that overlaps
+the stay's start day, so each merged interval is listed once per weekday bucket
+it overlaps and the pass probes the bucket of its start minute; the containment
+test is the join condition. Passes without a window probe bucket -1, which lists
+every lounge. The join emits covered pairs only; no uncovered pair is materialised.
+
+Only the one-time ``repartition(n, pass_id)`` of pass rows is an exchange on
+data that grows with the passes; the catalog side is bounded by ``cap x airports``
+and is broadcast only after ``sized_broadcast`` proves its size.
 """
 
 from __future__ import annotations
@@ -16,66 +23,136 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concourse.functions.hours import DAY_MINUTES
 from concourse.operators import catalog as cat
 from concourse.operators import recommend as rec
 from concourse.plans.joins import sized_broadcast
+from concourse.session import materialize
 
-PASS_RENAMES = {"terminal": "pass_terminal"}
+NO_WINDOW_BUCKET = -1
+EXPIRED_BUCKET = -2  # matches no lounge row; keeps the probe key non-null
 
+# Pass-level columns carried through the ranking (the rest stay in the context).
+PAIR_PASS_COLS = ["pass_id", "terminal_tier", "effective_terminal", "window_status",
+                  "start_hhmm", "end_hhmm"]
+LOUNGE_DETAIL_COLS = ["lounge_id", "name", "opening_hours", "amenities", "access_notes", "detail_url"]
 
-def catalog_side(lounges: DataFrame, cap: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(lounge dimension with parsed hours, available terminals per airport)."""
+
+def lounge_dimension(lounges: DataFrame, cap: int = 50) -> DataFrame:
+    """Served, capped lounges with parsed and merged opening intervals."""
     served, _rejected = cat.catalog_contract(lounges)
     capped = cat.cap_per_airport(served, cap)
     hours = rec.hours_dimension(capped)
-    dim = capped.join(sized_broadcast(hours), "opening_hours", "left")
-    terms = cat.available_terminals(capped)
-    return dim, terms
-
-
-def pass_context(passes: DataFrame, terms: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Pass-level facts: stay window, available terminals, effective terminal and tier.
-
-    The one shuffle of the pass rows happens here (hash on ``pass_id``); every later
-    per-pass window and aggregation reuses it."""
+    # Bounded by cap x airports. Checkpointed to the shared folder: the grammar runs
+    # once, the size checks below read a small materialised table, and the lineage
+    # back to the raw catalog is cut.
+    # No hint on this join: AQE plans it from the measured size of the hours side.
+    return materialize(capped.join(hours, "opening_hours", "left"))
+
+
+def airport_stats(dim: DataFrame) -> DataFrame:
+    """Per airport: sorted terminals, number of (capped) lounges, lounges with unknown hours."""
+    term = F.when(F.col("terminal") != "", F.col("terminal"))
+    return dim.groupBy("airport_code").agg(
+        F.array_sort(F.collect_set(term)).alias("available_terminals"),
+        F.count(F.lit(1)).alias("n_lounges"),
+        F.count_if(F.col("intervals").isNull()).alias("n_unknown_hours"))
+
+
+def lounge_buckets(dim: DataFrame) -> DataFrame:
+    """Lounge rows keyed for the binned range join (see module doc)."""
+    per_iv = (dim.filter(F.col("intervals").isNotNull())
+              .select("*", F.explode("intervals").alias("iv"))
+              .withColumn("o", F.col("iv.o")).withColumn("c", F.col("iv.c"))
+              # only intervals that overlap the base week can contain a start minute
+              .filter((F.col("c") >= 0) & (F.col("o") < 7 * DAY_MINUTES))
+              .withColumn("bucket", F.explode(F.sequence(
+                  F.greatest(F.lit(0), F.floor(F.col("o") / DAY_MINUTES).cast("int")),
+                  F.least(F.lit(6), F.floor(F.col("c") / DAY_MINUTES).cast("int")))))
+              .filter(F.col("c") >= F.col("bucket") * DAY_MINUTES)
+              .drop("iv"))
+    no_window = (dim.withColumn("o", F.lit(None).cast("int")).withColumn("c", F.lit(None).cast("int"))
+                 .withColumn("bucket", F.lit(NO_WINDOW_BUCKET)))
+    keep = ["airport_code", "bucket", "lounge_id", "terminal", "always_open", "o", "c"]
+    return per_iv.select(*keep).unionByName(no_window.select(*keep))
+
+
+def pass_context(passes: DataFrame, stats: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Pass-level facts: stay window, airport stats, effective terminal and tier, and
+    the probe ``bucket``. The one shuffle of pass rows happens here (hash on
+    ``pass_id``); every later per-pass window and aggregation reuses it."""
     accepted, _rejected = cat.require_airport(passes)
-    for old, new in PASS_RENAMES.items():
-        accepted = accepted.withColumnRenamed(old, new)
-    parted = (accepted.repartition(partitions, "pass_id") if partitions
-              else accepted.repartition("pass_id"))
-    ctx = parted.join(sized_broadcast(terms), "airport_code", "left")
-    ctx = ctx.withColumn("available_terminals",
-                         F.coalesce("available_terminals", F.array().cast("array<string>")))
-    ctx = rec.stay_window(ctx)
-    return rec.terminal_match(ctx, terminal="pass_terminal")
+    accepted = accepted.withColumnRenamed("terminal", "pass_terminal")
+    # An explicit count: AQE would coalesce a by-column repartition to the size of
+    # the pass rows, but each pass fans out to up to ``cap`` pairs downstream.
+    n = partitions or int(passes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ctx = accepted.repartition(n, "pass_id").join(sized_broadcast(stats), "airport_code", "left")
+    ctx = (ctx.withColumn("available_terminals",
+                          F.coalesce("available_terminals", F.array().cast("array<string>")))
+           .withColumn("n_lounges", F.coalesce("n_lounges", F.lit(0)))
+           .withColumn("n_unknown_hours", F.coalesce("n_unknown_hours", F.lit(0))))
+    ctx = rec.terminal_match(rec.stay_window(ctx), terminal="pass_terminal")
+    status = F.col("window_status")
+    # Never null: a nullable join key would make Catalyst infer an IS NOT NULL
+    # filter and push the whole window expression down into the scan.
+    bucket = (F.when(status == "open", F.floor(F.col("start_mow") / DAY_MINUTES).cast("int"))
+              .when(status.isin("none", "unreadable"), F.lit(NO_WINDOW_BUCKET))
+              .otherwise(F.lit(EXPIRED_BUCKET)))
+    return ctx.withColumn("bucket", bucket)
+
+
+def covered_pairs(ctx: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(pass, lounge) pairs whose opening hours contain the whole stay."""
+    b = sized_broadcast(buckets).alias("b")
+    p = ctx.alias("p")
+    cond = ((F.col("p.airport_code") == F.col("b.airport_code")) & (F.col("p.bucket") == F.col("b.bucket"))
+            & ((F.col("b.bucket") == NO_WINDOW_BUCKET)
+               | F.col("b.always_open")
+               | ((F.col("b.o") <= F.col("p.start_mow")) & (F.col("b.c") >= F.col("p.end_mow"))
+                  & (F.col("p.duration_min") <= 7 * DAY_MINUTES))))
+    pairs = p.join(b, cond, "inner").select(*[F.col(f"p.{c}") for c in PAIR_PASS_COLS],
+                                            F.col("b.lounge_id"), F.col("b.terminal"))
+    matched = (F.col("terminal_tier") < 4) & (F.col("terminal") == F.col("effective_terminal"))
+    return pairs.withColumn("matched", F.coalesce(matched, F.lit(False)))
 
 
 def candidate_pairs(ctx: DataFrame, dim: DataFrame) -> DataFrame:
-    """Every pass with every capped lounge of its departure airport, plus ``covered``
-    (hours contain the stay) and ``matched`` (lounge in the effective terminal)."""
-    pairs = ctx.join(sized_broadcast(dim), "airport_code", "inner")
-    covered = rec.covers(F.col("window_status"), F.col("intervals"), F.col("always_open"),
-                         F.col("start_mow"), F.col("end_mow"), F.col("duration_min"))
-    matched = (F.col("terminal_tier") < 4) & (F.col("terminal") == F.col("effective_terminal"))
-    return (pairs.withColumn("covered", covered)
-            .withColumn("matched", F.coalesce(matched, F.lit(False))))
+    """Every pass with every capped lounge of its departure airport (no time rule)."""
+    return ctx.join(sized_broadcast(dim.drop("raw_intervals")), "airport_code", "inner")
+
+
+def plan_parts(passes: DataFrame, lounges: DataFrame, cap: int = 50,
+               partitions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pass context, lounge dimension, covered pairs) for composing the 2.6 keys."""
+    dim = lounge_dimension(lounges, cap)
+    ctx = pass_context(passes, airport_stats(dim), partitions)
+    return ctx, dim, covered_pairs(ctx, lounge_buckets(dim))
 
 
 def ranked(passes: DataFrame, lounges: DataFrame, cap: int = 50, top: int = 5,
            partitions: int | None = None) -> DataFrame:
-    dim, terms = catalog_side(lounges, cap)
-    pairs = candidate_pairs(pass_context(passes, terms, partitions), dim)
-    return rec.spread_and_rank(pairs.filter("covered"), top)
+    """Top ``top`` lounges per pass with their details. Ranking runs on narrow rows."""
+    _ctx, dim, pairs = plan_parts(passes, lounges, cap, partitions)
+    return with_lounge_details(rec.spread_and_rank(pairs, top), dim)
 
 
-def recommend_batch(passes: DataFrame, lounges: DataFrame, cap: int = 50, top: int = 5,
-                    partitions: int | None = None) -> DataFrame:
-    """Flat recommendation rows: one per (pass, recommended lounge)."""
-    r = ranked(passes, lounges, cap, top, partitions)
-    return r.select(
+def with_lounge_details(ranked_pairs: DataFrame, dim: DataFrame) -> DataFrame:
+    """Attach the copied lounge fields to the (at most ``top`` per pass) ranked rows."""
+    return ranked_pairs.join(sized_broadcast(dim.select(*LOUNGE_DETAIL_COLS)), "lounge_id", "inner")
+
+
+def recommendation_rows(ranked_pairs: DataFrame) -> DataFrame:
+    """The seven copied lounge fields (``detail_url`` as ``source_url``) + ``why_recommended``."""
+    return ranked_pairs.select(
         "pass_id", "rank", "lounge_id", "name", "terminal", "opening_hours",
         "amenities", "access_notes", F.col("detail_url").alias("source_url"),
         "terminal_tier", "matched",
         rec.why_recommended(F.col("terminal_tier"), F.col("matched"), F.col("terminal"),
                             F.col("window_status"), F.col("start_hhmm"), F.col("end_hhmm"))
         .alias("why_recommended"))
+
+
+def recommend_batch(passes: DataFrame, lounges: DataFrame, cap: int = 50, top: int = 5,
+                    partitions: int | None = None) -> DataFrame:
+    """Flat recommendation rows: one per (pass, recommended lounge)."""
+    return recommendation_rows(ranked(passes, lounges, cap, top, partitions))

@@ -59,3 +59,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one driver table; callers select columns so the scan is pruned."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder: cuts lineage and survives the loss
+    of the executors that computed it. Use for small derived dimensions."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
