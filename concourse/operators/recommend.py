@@ -167,9 +167,9 @@ def terminal_match(passes: DataFrame, terminal: str = "terminal", gate: str = "g
     assumption = (F.when(tier == 2, F.concat(F.lit("Terminal "), t, F.lit(" mapped to terminal "), mapped, F.lit(".")))
                   .when(tier == 3, F.concat(F.lit("Terminal inferred as "), letters, F.lit(" from gate "),
                                             F.col("_gate"), F.lit(".")))
-                  .when(t.isNotNull(), F.concat(F.lit("Terminal "), t,
+                  .when((tier == 4) & t.isNotNull(), F.concat(F.lit("Terminal "), t,
                                                 F.lit(" matches no lounge terminal; recommendations spread across terminals.")))
-                  .otherwise(F.lit("Terminal unknown; recommendations spread across terminals.")))
+                  .when(tier == 4, F.lit("Terminal unknown; recommendations spread across terminals.")))
     return (passes.withColumn("effective_terminal", eff)
             .withColumn("terminal_assumption", assumption)
             .drop("_t", "_gate", "_mapped", "_letters"))
