@@ -110,6 +110,7 @@ def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     terminal = F.when(t5 == 0, "1").when(t5 == 1, "2C").when(t5 == 4, "2")
     return e.select(
         eid.alias("pass_id"),
+        uid.alias("user_id"),
         F.col("ts").alias("now_ts"),
         _code(uid % 25).alias("airport_code"),
         F.when(~F.col("event_type").isin("error", "view"), hhmm(30 + 3 * k)).alias("boarding"),
@@ -121,3 +122,118 @@ def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("XY"), eid.cast("string")).alias("flight_number"),
         F.when(eid % 11 != 0, _code((uid + 7) % 25)).alias("dest_iata"),
     )
+
+
+# --------------------------------------------------------------------------
+# Text fixtures. Each is a single SQL expression over fixture columns that both
+# Spark and the DuckDB oracle evaluate, so the two engines see identical inputs.
+
+SEP_SQL = ("CASE pass_id % 4 WHEN 0 THEN ' → ' WHEN 1 THEN ' - ' WHEN 2 THEN ' -> ' ELSE ' ' END")
+
+PASS_TEXT_SQL = f"""concat_ws(' ',
+  'FLIGHT XY' || CAST(pass_id % 10000 AS STRING),
+  city_a || {SEP_SQL} || city_b,
+  CASE WHEN pass_id % 2 = 0 THEN 'DEP (' || chr(65 + CAST(user_id % 25 AS INT))
+       || chr(65 + CAST((user_id + 7) % 25 AS INT)) || 'X)' END,
+  CASE WHEN terminal IS NOT NULL THEN 'TERMINAL ' || terminal END,
+  CASE WHEN pass_id % 5 = 2 THEN 'GATE B12' WHEN pass_id % 5 = 3 THEN 'Gate G7' END,
+  CASE WHEN boarding IS NOT NULL THEN 'BOARDING TIME ' || boarding END,
+  CASE WHEN departure IS NOT NULL THEN 'TIME ' || departure END,
+  CASE WHEN pass_id % 3 = 0 THEN 'RETURN ' || city_b || {SEP_SQL} || city_a END)"""
+
+JSON_TEXT_SQL = """CASE WHEN pass_id % 7 = 5 THEN 'FLIGHT XY' || CAST(pass_id % 10000 AS STRING) || ' has no JSON'
+ELSE '{"airport": {"iata": "' || airport_code || '", "city": null}, '
+  || '"destination": {"iata": ' || CASE WHEN dest_iata IS NULL THEN 'null' ELSE '"' || dest_iata || '"' END
+  || ', "city": null, "confidence": ' || CASE WHEN pass_id % 7 = 4 THEN '"0.5"' ELSE '0.75' END || '}, '
+  || '"terminal": {"value": ' || CASE WHEN terminal IS NULL THEN 'null' ELSE '"' || terminal || '"' END
+  || ', "source": ' || CASE WHEN terminal IS NULL THEN 'null' ELSE '"printed"' END
+  || ', "confidence": ' || CASE WHEN terminal IS NULL THEN '0.0' ELSE '1.0' END || '}, '
+  || CASE WHEN pass_id % 7 = 1 THEN ''
+          ELSE '"gate": ' || CASE WHEN gate IS NULL OR pass_id % 7 = 2 THEN 'null' ELSE '"' || gate || '"' END || ', ' END
+  || '"flight_number": ' || CASE WHEN pass_id % 7 = 3 THEN '5' ELSE '"XY' || CAST(pass_id % 10000 AS STRING) || '"' END
+  || ', "departure_time_local": ' || CASE WHEN departure IS NULL THEN 'null' ELSE '"' || departure || '"' END
+  || ', "boarding_time_local": ' || CASE WHEN boarding IS NULL THEN 'null' ELSE '"' || boarding || '"' END
+  || ', "raw_text": "FLIGHT XY' || CAST(pass_id % 10000 AS STRING) || '", "assumptions": []}'
+  || CASE WHEN pass_id % 7 = 6 THEN ' trailing text' ELSE '' END
+END"""
+
+MODEL_TEXT_SQL = """CASE pass_id % 4
+  WHEN 0 THEN '```json' || chr(10) || '{"pass_id": ' || CAST(pass_id AS STRING) || ', "airport": "' || airport_code || '"}' || chr(10) || '```'
+  WHEN 1 THEN '```' || chr(10) || '{"pass_id": ' || CAST(pass_id AS STRING) || ', "airport": "' || airport_code || '"}' || chr(10) || '```'
+  WHEN 2 THEN 'Here is the result:' || chr(10) || '```json' || chr(10) || '{"pass_id": ' || CAST(pass_id AS STRING)
+              || ', "airport": "' || airport_code || '"}' || chr(10) || '```' || chr(10) || 'Done.'
+  ELSE '  {"pass_id": ' || CAST(pass_id AS STRING) || ', "airport": "' || airport_code || '"}  '
+END"""
+
+BARCODE_SQL = """'M1' || rpad('PAX/' || CAST(o_custkey AS STRING), 20, ' ') || 'E'
+  || lpad(CAST(o_orderkey AS STRING), 7, '0')
+  || 'A' || lpad(CAST(o_custkey % 25 AS STRING), 2, '0')
+  || 'A' || lpad(CAST((o_custkey + 7) % 25 AS STRING), 2, '0')
+  || 'XY ' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0') || ' '
+  || CASE WHEN o_orderkey % 50 = 0 THEN 'ABC' ELSE lpad(CAST(dayofyear(o_orderdate) AS STRING), 3, '0') END
+  || CASE WHEN o_orderkey % 40 = 1 THEN '' ELSE 'Y012A0001 100' END"""
+
+EDITS_SQL = {
+    "airport_iata": "airport_code",
+    "dest_iata": "CASE WHEN pass_id % 4 = 0 THEN '' ELSE coalesce(dest_iata, '') END",
+    "terminal": "CASE WHEN pass_id % 5 = 0 THEN '' ELSE coalesce(terminal, '') END",
+    "gate": "'C' || CAST(pass_id % 30 AS STRING)",
+    "flight": "'XY' || CAST(pass_id % 10000 AS STRING)",
+    "departure": "coalesce(departure, '')",
+    "boarding": "CASE WHEN pass_id % 4 = 2 THEN '' ELSE coalesce(boarding, '') END",
+}
+
+
+def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City names (the nation table): ``city_key``, ``city``."""
+    return read_table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("city_key"), F.col("n_name").alias("city"))
+
+
+def pass_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """printed boarding-pass text per F2 pass (cities from ``nation``)."""
+    from concourse.plans.joins import sized_broadcast
+    p = passes(spark, sf_dir)
+    c = sized_broadcast(cities(spark, sf_dir))
+    a = c.select(F.col("city_key").alias("ka"), F.col("city").alias("city_a"))
+    b = c.select(F.col("city_key").alias("kb"), F.col("city").alias("city_b"))
+    j = (p.join(a, (p.user_id % 25) == a.ka, "left").join(b, ((p.user_id + 7) % 25) == b.kb, "left"))
+    return j.select("pass_id", F.expr(PASS_TEXT_SQL).alias("text"))
+
+
+def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-style pass JSON with missing keys, nulls, wrong types, numeric strings,
+    non-JSON and trailing text (by ``pass_id % 7``)."""
+    return passes(spark, sf_dir).select("pass_id", F.expr(JSON_TEXT_SQL).alias("json_text"))
+
+
+def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model answers wrapped in a json fence, a bare fence, prose around a fence, or nothing."""
+    return passes(spark, sf_dir).select("pass_id", F.expr(MODEL_TEXT_SQL).alias("text"))
+
+
+def barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fixed-width barcode strings from ``orders`` (60 chars, or 47 when truncated)."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return o.select(F.col("o_orderkey").alias("order_key"), F.expr(BARCODE_SQL).alias("raw"))
+
+
+def ocr_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a document-text annotation per ``documents`` row: page = line, one block and
+    one paragraph per page, word = space-separated token, confidence =
+    ``(length(word) % 17) / 16`` (dyadic, so sums are exact)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pages = F.transform(F.split(F.col("text"), "\n"), lambda line: F.struct(
+        F.array(F.col("lang")).alias("langs"),
+        F.array(F.struct(F.array(F.struct(
+            F.transform(F.split(line, " "), lambda w: F.struct(
+                ((F.length(w) % 17) / 16.0).alias("confidence"))).alias("words")
+        )).alias("paragraphs"))).alias("blocks")))
+    return d.select("doc_id", F.col("text").alias("full_text"), pages.alias("pages"),
+                    F.split(F.col("text"), "\n").alias("entities"))
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """manual form edits for every sixth pass, some fields blank."""
+    p = passes(spark, sf_dir).filter(F.col("pass_id") % 6 == 0)
+    return p.select("pass_id", *[F.expr(v).alias(k) for k, v in EDITS_SQL.items()])
