@@ -237,3 +237,73 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """manual form edits for every sixth pass, some fields blank."""
     p = passes(spark, sf_dir).filter(F.col("pass_id") % 6 == 0)
     return p.select("pass_id", *[F.expr(v).alias(k) for k, v in EDITS_SQL.items()])
+
+
+# --------------------------------------------------------------- page fixtures
+_SLUG_SQL = ("CASE event_id % 5 WHEN 0 THEN 'united-kingdom' WHEN 1 THEN 'united-states-of-america' "
+             "WHEN 2 THEN 'cote-d' || chr(39) || 'ivoire' WHEN 3 THEN '3rd-land' ELSE 'some-land' END")
+_PATH_SQL = (f"CASE WHEN event_id % 9 = 0 THEN '/e' || CAST(event_id AS STRING) "
+             f"ELSE '/lounges/' || {_SLUG_SQL} || '/e' || CAST(event_id AS STRING) END")
+_OBJ_SQL = (f"'{{' || chr(34) || 'R0' || chr(34) || ':{{' || chr(34) || 'items' || chr(34) || ':[{{' || chr(34) "
+            f"|| 'url' || chr(34) || ':' || chr(34) || {_PATH_SQL} || chr(34) || ',' || chr(34) || 'name' || chr(34) "
+            f"|| ':' || chr(34) || 'n }} ' || CAST(event_id AS STRING) || chr(34) || '}},],}},' || chr(34) || 'R1' "
+            f"|| chr(34) || ':5}}'")
+EMBEDDED_HTML_SQL = (
+    "'<html><head><script>var a = 0;</script><script>var s=1; x[' "
+    "|| CASE WHEN event_id % 13 = 0 THEN 'other' ELSE 'regionData' END || '] : ' "
+    f"|| CASE WHEN event_id % 2 = 1 THEN replace({_OBJ_SQL}, chr(34), chr(92) || chr(34)) ELSE {_OBJ_SQL} END "
+    "|| '; done();</script></head><body></body></html>'")
+
+CARD_SQL = """CASE WHEN k % 29 = 0 THEN '<li><a>' ELSE '<li><a href="' || detail_url || '">' END
+  || CASE WHEN k % 23 = 0 THEN '' ELSE '<h4> ' || name || ' </h4>' END
+  || CASE WHEN terminal IS NOT NULL THEN '<p data-testid="outlet-card-terminal">' || terminal || '</p>' ELSE '' END
+  || CASE WHEN opening_hours <> 'N/A' THEN '<p>Hours: ' || opening_hours || '</p>' ELSE '' END
+  || CASE WHEN image_url <> '' THEN '<img src="' || image_url || '"/>' ELSE '' END
+  || '</a></li>'"""
+
+_AMENITY_SQL = """CASE k % 5
+  WHEN 0 THEN ''
+  WHEN 1 THEN '<p class="am"><span>Wi-Fi</span></p>'
+  WHEN 2 THEN '<p class="am"><span>Showers</span><i>Free</i><i>24h</i></p><p class="am"><span>Bar</span></p>'
+  WHEN 3 THEN '<p class="am"><i>Orphan</i></p><p class="am"><span> Quiet room </span><i>Adults</i></p>'
+  ELSE '<p class="am"><span>Spa</span><i>Paid</i></p><p class="am"><span>Food</span><i>Hot</i><i>Cold</i></p><p class="am"><span>News</span></p>'
+END"""
+_LOC_ITEMS_SQL = """CASE k % 4
+  WHEN 0 THEN ''
+  WHEN 1 THEN '<li> Gate area A </li>'
+  WHEN 2 THEN '<li> Gate area A </li><li>' || CASE WHEN k % 9 = 0 THEN '  ' ELSE ' Level 2 ' END || '</li>'
+  ELSE '<li> Gate area A </li><li>' || CASE WHEN k % 9 = 0 THEN '  ' ELSE ' Level 2 ' END || '</li><li> Near security </li>'
+END"""
+_COND_ITEMS_SQL = """CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN '<li>Max 3 hours</li>'
+  ELSE '<li>Max 3 hours</li><li> </li><li>No children</li>' END"""
+DETAIL_HTML_SQL = f"""'<html><body><div class="facilities">' || {_AMENITY_SQL} || '</div>'
+  || CASE WHEN k % 2 = 0
+          THEN '<button aria-expanded="false"><h2>Location</h2></button><div><ul>' || {_LOC_ITEMS_SQL} || '</ul></div>'
+          ELSE '<h2>Location</h2><div><ul>' || {_LOC_ITEMS_SQL} || '</ul></div>' END
+  || '<button aria-expanded="true"><h2>Conditions</h2></button><div><ul>' || {_COND_ITEMS_SQL} || '</ul></div>'
+  || '</body></html>'"""
+
+
+def embedded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one page per event whose second script embeds the region map after
+    ``regionData`` (brace inside a string, trailing commas, a scalar region,
+    trailing code; backslash-escaped quotes for odd ids; key absent when id % 13 = 0)."""
+    e = read_table(spark, sf_dir, "events").select("event_id")
+    return e.select(F.col("event_id").alias("page_id"), F.expr(EMBEDDED_HTML_SQL).alias("html"))
+
+
+def _lounges_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lo = lounges(spark, sf_dir)
+    return lo.withColumn("k", F.substring("lounge_id", 2, 9).cast("long"))
+
+
+def lounge_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7c: one card snippet per F1 lounge (some without href or heading)."""
+    lo = _lounges_k(spark, sf_dir)
+    return lo.select("airport_code", "k", F.expr(CARD_SQL).alias("card"))
+
+
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7b: a detail page per F1 lounge, keyed by its detail URL; none when k % 10 = 0."""
+    lo = _lounges_k(spark, sf_dir).filter(F.col("k") % 10 != 0)
+    return lo.select(F.col("detail_url").alias("url"), F.expr(DETAIL_HTML_SQL).alias("html"))
