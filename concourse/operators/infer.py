@@ -1,0 +1,79 @@
+"""Pluggable model step: rows of text in, model text out.
+
+``batch_inference`` runs a user-supplied client over Arrow batches with
+``mapInPandas``; the client is built once per partition (never per row) and its
+answers go through ``strip_code_fence`` and ``json_contract`` like the
+reference's model output. A failing call becomes a reject row, not a failed job.
+The default client is a deterministic stub (no network): it answers with a
+fenced JSON object built from the printed fields of the text.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from concourse.operators import passes as pt
+
+PROMPT_TEMPLATE = "Extract the boarding pass as JSON.\nUSER_INPUT:\n{raw_text}\n"
+
+Client = Callable[[str], str]
+
+
+def stub_client_factory() -> Client:
+    """A deterministic stand-in for the external model: printed fields only."""
+    flight = re.compile(r"(?i)\bflight\s+(\S+)")
+    gate = re.compile(r"(?i)\bgate\s+(\S+)")
+    term = re.compile(r"(?i)\bterminal\s+(\S+)")
+
+    def field(rx: re.Pattern, text: str):
+        m = rx.search(text)
+        return m.group(1) if m else None
+
+    def call(prompt: str) -> str:
+        text = prompt.split("USER_INPUT:\n", 1)[-1].rstrip("\n")
+        t = field(term, text)
+        obj = {
+            "airport": {"iata": None, "city": None},
+            "destination": {"iata": None, "city": None, "confidence": 0.0},
+            "terminal": {"value": t, "source": "printed" if t else None, "confidence": 1.0 if t else 0.0},
+            "gate": field(gate, text), "flight_number": field(flight, text),
+            "departure_time_local": None, "boarding_time_local": None,
+            "raw_text": text, "assumptions": [],
+        }
+        return "```json\n" + json.dumps(obj, ensure_ascii=False) + "\n```"
+
+    return call
+
+
+def batch_inference(df: DataFrame, text: str = "text", key: str = "pass_id",
+                    client_factory: Callable[[], Client] = stub_client_factory,
+                    template: str = PROMPT_TEMPLATE) -> DataFrame:
+    """(key, text) -> (key, model_text, model_error) via ``mapInPandas``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = client_factory()  # once per partition
+        for b in batches:
+            outs, errs = [], []
+            for t in b[text].tolist():
+                try:
+                    outs.append(client(template.format(raw_text=t)))
+                    errs.append(None)
+                except Exception as e:  # noqa: BLE001 - a failed call is a reject row
+                    outs.append(None)
+                    errs.append(str(e)[:500])
+            yield pd.DataFrame({key: b[key], "model_text": outs, "model_error": errs})
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, model_text string, model_error string"
+    return df.select(key, text).mapInPandas(run, schema)
+
+
+def parse_model_output(answers: DataFrame) -> DataFrame:
+    """Model text -> fence stripped -> JSON contract (valid flag + reject reason)."""
+    s = pt.strip_code_fence(answers, "model_text").withColumn("json_text", F.col("anchored"))
+    c = pt.json_contract(s, "json_text")
+    return c.withColumn("reject_reason", F.coalesce(F.col("model_error"), F.col("reject_reason")))
