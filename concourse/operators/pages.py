@@ -38,29 +38,32 @@ def filter_detail_links(pages: DataFrame, needle: str = "/lounges/") -> DataFram
     return links.filter(F.col("href").contains(needle))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body`` (a one-element
+    ``transform``): stops the optimizer from inlining an expensive expression into
+    every consumer when projections are collapsed."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def embedded_object_text(pages: DataFrame, key: str = "regionData") -> DataFrame:
     """First script containing ``key``; quoted key before bare key; first ``:`` after
     it, then the first ``{``; the text from there to the end of the script.
     Pages where any step fails yield no row."""
     scripts = F.regexp_extract_all("html", F.lit(SCRIPT_RE), 1)
     target = F.get(F.filter(scripts, lambda s: s.contains(key)), 0)
-    d = pages.select("page_id", target.alias("_s"))
-    quoted = F.locate(f'"{key}"', F.col("_s"))
-    bare = F.locate(key, F.col("_s"))
-    key_end = F.when(quoted > 0, quoted + len(key) + 2).otherwise(bare + len(key))
-    d = d.withColumn("_key_end", F.when(bare > 0, key_end))
-    d = d.withColumn("_colon", F.expr("locate(':', _s, _key_end)"))
-    d = d.withColumn("_brace", F.expr("CASE WHEN _colon > 0 THEN locate('{', _s, _colon) ELSE 0 END"))
-    return (d.filter(F.col("_brace") > 0)
-            .select("page_id", F.expr("substring(_s, _brace)").alias("object_text")))
+    quoted_re = rf'(?s)"{key}"[^:]*:[^{{]*(\{{.*)$'
+    bare_re = rf"(?s){key}[^:]*:[^{{]*(\{{.*)$"
+    obj = let(target, lambda s: F.nullif(
+        F.when(s.contains(f'"{key}"'), F.regexp_extract(s, quoted_re, 1))
+         .otherwise(F.regexp_extract(s, bare_re, 1)), F.lit("")))
+    return (pages.select("page_id", obj.alias("object_text"))
+            .filter(F.col("object_text").isNotNull()))
 
 
 def embedded_json_repair(df: DataFrame, col: str = "object_text") -> DataFrame:
     """Undo backslash-escaped quotes (only when the text starts with an escaped key)
     and drop commas before ``}`` or ``]``. Also inside strings, as the reference does."""
-    s = F.col(col)
-    unescaped = F.when(s.startswith('{\\"'), F.replace(s, F.lit('\\"'), F.lit('"'))).otherwise(s)
-    return df.withColumn("repaired", F.regexp_replace(unescaped, TRAILING_COMMA_RE, "$1"))
+    return df.withColumn("repaired", repaired_text(F.col(col)))
 
 
 def parse_region_map(df: DataFrame, col: str = "repaired") -> DataFrame:
@@ -75,6 +78,13 @@ def embedded_json_extract(pages: DataFrame, key: str = "regionData") -> DataFram
     return m.select("page_id", F.explode("regions").alias("region", "value"))
 
 
+def repaired_text(object_text: Column) -> Column:
+    """``embedded_json_repair`` as a single expression (value bound once)."""
+    return let(object_text, lambda s: F.regexp_replace(
+        F.when(s.startswith('{\\"'), F.replace(s, F.lit('\\"'), F.lit('"'))).otherwise(s),
+        TRAILING_COMMA_RE, "$1"))
+
+
 def region_airports_flatten(regions: DataFrame) -> DataFrame:
     """One row per item of each region object; scalar regions and items lacking
     ``url`` or ``name`` are skipped."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concourse.session import read_table
+from concourse.session import read_table, spread
 
 
 def _pad(c: Column, n: int) -> Column:
@@ -99,12 +99,18 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one boarding pass per event (times as printed ``HH:mm`` strings)."""
-    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    k = F.expr("try_cast(get_json_object(props, '$.k') AS INT)")
+    e = (read_table(spark, sf_dir, "events")
+         .select("event_id", "ts", "user_id", "event_type",
+                 F.expr("try_cast(get_json_object(props, '$.k') AS INT)").alias("k"),
+                 (F.hour("ts") * 60 + F.minute("ts")).alias("mod")))
+    k = F.col("k")
     eid, uid = F.col("event_id"), F.col("user_id")
 
     def hhmm(offset: Column) -> Column:
-        return F.date_format(F.col("ts") + F.make_dt_interval(mins=offset), "HH:mm")
+        # HH:mm of ts + offset minutes (whole minutes never carry the seconds)
+        m = F.pmod(F.col("mod") + offset, F.lit(1440))
+        return F.concat(F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lit(":"),
+                        F.lpad((m % 60).cast("string"), 2, "0"))
 
     t5 = eid % 5
     terminal = F.when(t5 == 0, "1").when(t5 == 1, "2C").when(t5 == 4, "2")
@@ -193,7 +199,7 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pass_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """printed boarding-pass text per F2 pass (cities from ``nation``)."""
     from concourse.plans.joins import sized_broadcast
-    p = passes(spark, sf_dir)
+    p = spread(passes(spark, sf_dir))
     c = sized_broadcast(cities(spark, sf_dir))
     a = c.select(F.col("city_key").alias("ka"), F.col("city").alias("city_a"))
     b = c.select(F.col("city_key").alias("kb"), F.col("city").alias("city_b"))
@@ -204,17 +210,17 @@ def pass_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model-style pass JSON with missing keys, nulls, wrong types, numeric strings,
     non-JSON and trailing text (by ``pass_id % 7``)."""
-    return passes(spark, sf_dir).select("pass_id", F.expr(JSON_TEXT_SQL).alias("json_text"))
+    return spread(passes(spark, sf_dir)).select("pass_id", F.expr(JSON_TEXT_SQL).alias("json_text"))
 
 
 def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model answers wrapped in a json fence, a bare fence, prose around a fence, or nothing."""
-    return passes(spark, sf_dir).select("pass_id", F.expr(MODEL_TEXT_SQL).alias("text"))
+    return spread(passes(spark, sf_dir)).select("pass_id", F.expr(MODEL_TEXT_SQL).alias("text"))
 
 
 def barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fixed-width barcode strings from ``orders`` (60 chars, or 47 when truncated)."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     return o.select(F.col("o_orderkey").alias("order_key"), F.expr(BARCODE_SQL).alias("raw"))
 
 
@@ -222,7 +228,7 @@ def ocr_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a document-text annotation per ``documents`` row: page = line, one block and
     one paragraph per page, word = space-separated token, confidence =
     ``(length(word) % 17) / 16`` (dyadic, so sums are exact)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     pages = F.transform(F.split(F.col("text"), "\n"), lambda line: F.struct(
         F.array(F.col("lang")).alias("langs"),
         F.array(F.struct(F.array(F.struct(
@@ -288,12 +294,12 @@ def embedded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one page per event whose second script embeds the region map after
     ``regionData`` (brace inside a string, trailing commas, a scalar region,
     trailing code; backslash-escaped quotes for odd ids; key absent when id % 13 = 0)."""
-    e = read_table(spark, sf_dir, "events").select("event_id")
+    e = spread(read_table(spark, sf_dir, "events").select("event_id"))
     return e.select(F.col("event_id").alias("page_id"), F.expr(EMBEDDED_HTML_SQL).alias("html"))
 
 
 def _lounges_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lo = lounges(spark, sf_dir)
+    lo = spread(lounges(spark, sf_dir))
     return lo.withColumn("k", F.substring("lounge_id", 2, 9).cast("long"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from concourse.functions.hours import DAY_MINUTES
 from concourse.operators import catalog as cat
 from concourse.operators import recommend as rec
-from concourse.plans.joins import sized_broadcast
+from concourse.plans.joins import DEFAULT_BROADCAST_ROWS, sized_broadcast
 from concourse.session import materialize
 
 NO_WINDOW_BUCKET = -1
@@ -77,7 +77,8 @@ def lounge_buckets(dim: DataFrame) -> DataFrame:
     return per_iv.select(*keep).unionByName(no_window.select(*keep))
 
 
-def pass_context(passes: DataFrame, stats: DataFrame, partitions: int | None = None) -> DataFrame:
+def pass_context(passes: DataFrame, stats: DataFrame, partitions: int | None = None,
+                 checked: bool = False) -> DataFrame:
     """Pass-level facts: stay window, airport stats, effective terminal and tier, and
     the probe ``bucket``. The one shuffle of pass rows happens here (hash on
     ``pass_id``); every later per-pass window and aggregation reuses it."""
@@ -86,7 +87,8 @@ def pass_context(passes: DataFrame, stats: DataFrame, partitions: int | None = N
     # An explicit count: AQE would coalesce a by-column repartition to the size of
     # the pass rows, but each pass fans out to up to ``cap`` pairs downstream.
     n = partitions or int(passes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ctx = accepted.repartition(n, "pass_id").join(sized_broadcast(stats), "airport_code", "left")
+    stats = stats if checked else sized_broadcast(stats)
+    ctx = accepted.repartition(n, "pass_id").join(stats, "airport_code", "left")
     ctx = (ctx.withColumn("available_terminals",
                           F.coalesce("available_terminals", F.array().cast("array<string>")))
            .withColumn("n_lounges", F.coalesce("n_lounges", F.lit(0)))
@@ -101,9 +103,9 @@ def pass_context(passes: DataFrame, stats: DataFrame, partitions: int | None = N
     return ctx.withColumn("bucket", bucket)
 
 
-def covered_pairs(ctx: DataFrame, buckets: DataFrame) -> DataFrame:
+def covered_pairs(ctx: DataFrame, buckets: DataFrame, checked: bool = False) -> DataFrame:
     """(pass, lounge) pairs whose opening hours contain the whole stay."""
-    b = sized_broadcast(buckets).alias("b")
+    b = (buckets if checked else sized_broadcast(buckets)).alias("b")
     p = ctx.alias("p")
     cond = ((F.col("p.airport_code") == F.col("b.airport_code")) & (F.col("p.bucket") == F.col("b.bucket"))
             & ((F.col("b.bucket") == NO_WINDOW_BUCKET)
@@ -123,10 +125,21 @@ def candidate_pairs(ctx: DataFrame, dim: DataFrame) -> DataFrame:
 
 def plan_parts(passes: DataFrame, lounges: DataFrame, cap: int = 50,
                partitions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pass context, lounge dimension, covered pairs) for composing the 2.6 keys."""
+    """(pass context, lounge dimension, covered pairs) for composing the 2.6 keys.
+
+    One count of the checkpointed dimension bounds every side derived from it:
+    stats <= dim rows, buckets <= 8 x dim rows (7 weekday buckets + the no-window
+    row per merged interval overlap), details <= dim rows. Within the bound the
+    sides are broadcast; beyond it they are left to sort-merge joins (with AQE
+    skew handling), so no extra size job runs per side."""
     dim = lounge_dimension(lounges, cap)
-    ctx = pass_context(passes, airport_stats(dim), partitions)
-    return ctx, dim, covered_pairs(ctx, lounge_buckets(dim))
+    bound = dim.count() * 8
+    small = bound <= DEFAULT_BROADCAST_ROWS
+    stats, buckets = airport_stats(dim), lounge_buckets(dim)
+    if small:
+        stats, buckets = F.broadcast(stats), F.broadcast(buckets)
+    ctx = pass_context(passes, stats, partitions, checked=True)
+    return ctx, dim, covered_pairs(ctx, buckets, checked=True)
 
 
 def ranked(passes: DataFrame, lounges: DataFrame, cap: int = 50, top: int = 5,
@@ -137,7 +150,8 @@ def ranked(passes: DataFrame, lounges: DataFrame, cap: int = 50, top: int = 5,
 
 
 def with_lounge_details(ranked_pairs: DataFrame, dim: DataFrame) -> DataFrame:
-    """Attach the copied lounge fields to the (at most ``top`` per pass) ranked rows."""
+    """Attach the copied lounge fields to the (at most ``top`` per pass) ranked rows.
+    ``dim`` is checkpointed, so its size check reads a small materialised table."""
     return ranked_pairs.join(sized_broadcast(dim.select(*LOUNGE_DETAIL_COLS)), "lounge_id", "inner")
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from concourse.operators import pages as pg
 from concourse.operators.nesting import nest_by_airport
 from concourse.plans import fixtures as fx
-from concourse.session import read_table
+from concourse.session import read_table, spread
 
 
 def _pages(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def q_filter_detail_links(spark, sf_dir):
