@@ -8,7 +8,6 @@ output instead of duplicating it.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,8 +71,11 @@ def load_catalog_overwrite(spark: SparkSession, df: DataFrame, table: str = "lou
                            database: str = "concourse") -> int:
     """Create the database if absent, truncate-and-load the table, return its row count.
     The database lives in the shared folder. Never call with ``df`` reading ``table``."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_dir(spark)}/{database}.db'")
-    df.write.mode("overwrite").saveAsTable(f"{database}.{table}")
+    root = f"{shared_dir(spark)}/{database}.db"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
+    # Explicit table path: overwrite replaces whatever a previous load left there,
+    # even when this session's catalog does not know the table yet.
+    df.write.mode("overwrite").option("path", f"{root}/{table}").saveAsTable(f"{database}.{table}")
     return spark.table(f"{database}.{table}").count()
 
 
@@ -83,8 +85,3 @@ def sink_advisory_json(records: DataFrame, path: str, key: str = "pass_id") -> N
             "destination_context"]
     doc = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
     records.select(doc.alias("value")).write.mode("overwrite").text(path)
-
-
-def dumps_compact(obj) -> str:
-    """Small helper for tests: the compact JSON the sinks emit."""
-    return json.dumps(obj, separators=(",", ":"), ensure_ascii=False)
