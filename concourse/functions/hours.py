@@ -68,23 +68,22 @@ def _segments(s: Column) -> Column:
 def parse_schedules(df: DataFrame, col: str = "opening_hours") -> DataFrame:
     """Distinct ``col`` values -> (``col``, ``raw_intervals``) with null = unknown."""
     strings = df.select(col).distinct()
-    segs = (strings.select(col, F.posexplode_outer(_segments(F.col(col))).alias("seg_pos", "seg"))
-            .withColumn("is_allday", F.col("seg").rlike(ALLDAY_RE))
-            .withColumn("is_range", F.col("seg").rlike(RANGE_RE)))
-    for i, name in enumerate(["d1", "d2", "oh", "om", "oap", "ch", "cm", "cap"], start=1):
-        segs = segs.withColumn(name, F.regexp_extract("seg", RANGE_RE, i))
-    segs = (segs.withColumn("ad1", F.regexp_extract("seg", ALLDAY_RE, 1))
-            .withColumn("ad2", F.regexp_extract("seg", ALLDAY_RE, 2))
-            .withColumn("first_day", F.when(F.col("is_allday"), F.col("ad1")).otherwise(F.col("d1")))
-            .withColumn("last_day", F.when(F.col("is_allday"), F.col("ad2")).otherwise(F.col("d2")))
-            .withColumn("o", F.when(F.col("is_allday"), F.lit(0))
-                        .otherwise(_minute(F.col("oh"), F.col("om"), F.col("oap"))))
-            .withColumn("c0", F.when(F.col("is_allday"), F.lit(DAY_MINUTES))
-                        .otherwise(_minute(F.col("ch"), F.col("cm"), F.col("cap")))))
-    segs = (segs.withColumn("c", F.when(F.col("c0") <= F.col("o"), F.col("c0") + DAY_MINUTES)
-                            .otherwise(F.col("c0")))
-            .withColumn("a", _day_index(F.col("first_day")))
-            .withColumn("b", _day_index(F.col("last_day"))))
+    segs = strings.select(col, F.posexplode_outer(_segments(F.col(col))).alias("seg_pos", "seg"))
+    groups = {name: F.regexp_extract("seg", RANGE_RE, i)
+              for i, name in enumerate(["d1", "d2", "oh", "om", "oap", "ch", "cm", "cap"], start=1)}
+    segs = segs.withColumns({"is_allday": F.col("seg").rlike(ALLDAY_RE), "is_range": F.col("seg").rlike(RANGE_RE),
+                             "ad1": F.regexp_extract("seg", ALLDAY_RE, 1),
+                             "ad2": F.regexp_extract("seg", ALLDAY_RE, 2), **groups})
+    allday = F.col("is_allday")
+    segs = segs.withColumns({
+        "first_day": F.when(allday, F.col("ad1")).otherwise(F.col("d1")),
+        "last_day": F.when(allday, F.col("ad2")).otherwise(F.col("d2")),
+        "o": F.when(allday, F.lit(0)).otherwise(_minute(F.col("oh"), F.col("om"), F.col("oap"))),
+        "c0": F.when(allday, F.lit(DAY_MINUTES)).otherwise(_minute(F.col("ch"), F.col("cm"), F.col("cap")))})
+    segs = segs.withColumns({
+        "c": F.when(F.col("c0") <= F.col("o"), F.col("c0") + DAY_MINUTES).otherwise(F.col("c0")),
+        "a": _day_index(F.col("first_day")),
+        "b": _day_index(F.col("last_day"))})
     days = (F.when(F.col("first_day") == "", F.sequence(F.lit(0), F.lit(6)))
             .when(F.col("last_day") == "", F.array(F.col("a")))
             .when(F.col("b") >= F.col("a"), F.sequence(F.col("a"), F.col("b")))

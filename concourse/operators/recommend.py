@@ -64,19 +64,15 @@ def stay_window(passes: DataFrame, now: str = "now_ts", boarding: str = "boardin
     start_day = F.datediff(F.to_date(now_c), F.lit("1970-01-01").cast("date"))
     start_mod = F.hour(now_c) * 60 + F.minute(now_c)
     b, d = _blank_to_null(F.col(boarding)), _blank_to_null(F.col(departure))
-    out = (passes
-           .withColumn("_start_day", start_day)
-           .withColumn("_start_mod", start_mod))
+    out = passes.withColumns({"_start_day": start_day, "_start_mod": start_mod})
     sd, sm = F.col("_start_day"), F.col("_start_mod")
-    out = (out
-           .withColumn("_end_b", _end_minute(b, sd, sm))
-           .withColumn("_end_d", _end_minute(d, sd, sm))
-           .withColumn("_any_raw", b.isNotNull() | d.isNotNull()))
+    out = out.withColumns({"_end_b": _end_minute(b, sd, sm), "_end_d": _end_minute(d, sd, sm),
+                           "_any_raw": b.isNotNull() | d.isNotNull()})
     end_b, end_d = F.col("_end_b"), F.col("_end_d")
-    out = (out
-           .withColumn("_start_abs", sd.cast("long") * 1440 + sm)
-           .withColumn("_end_abs", F.coalesce(end_b, end_d))
-           .withColumn("_end_from", F.when(end_b.isNotNull(), "boarding").when(end_d.isNotNull(), "departure")))
+    out = out.withColumns({
+        "_start_abs": sd.cast("long") * 1440 + sm,
+        "_end_abs": F.coalesce(end_b, end_d),
+        "_end_from": F.when(end_b.isNotNull(), "boarding").when(end_d.isNotNull(), "departure")})
     end_abs, start_abs = F.col("_end_abs"), F.col("_start_abs")
     status = (F.when(end_abs.isNull() & F.col("_any_raw"), "unreadable")
               .when(end_abs.isNull(), "none")
@@ -84,18 +80,17 @@ def stay_window(passes: DataFrame, now: str = "now_ts", boarding: str = "boardin
               .otherwise("open"))
     has_end = end_abs.isNotNull()
     end_mod = F.pmod(end_abs, F.lit(1440))
-    overnight = F.when(has_end, F.floor(end_abs / 1440) > F.col("_start_day"))
     dow = F.pmod(F.dayofweek(now_c) + 5, F.lit(7))
     duration = end_abs - start_abs
-    out = (out
-           .withColumn("window_status", status)
-           .withColumn("start_hhmm", F.format_string("%02d:%02d", F.hour(now_c), F.minute(now_c)))
-           .withColumn("end_hhmm", F.when(has_end, F.format_string(
-               "%02d:%02d", F.floor(end_mod / 60).cast("int"), (end_mod % 60).cast("int"))))
-           .withColumn("overnight", overnight)
-           .withColumn("duration_min", duration)
-           .withColumn("start_mow", (dow * 1440 + sm).cast("long"))
-           .withColumn("end_mow", (dow * 1440 + sm).cast("long") + duration))
+    out = out.withColumns({
+        "window_status": status,
+        "start_hhmm": F.format_string("%02d:%02d", F.hour(now_c), F.minute(now_c)),
+        "end_hhmm": F.when(has_end, F.format_string(
+            "%02d:%02d", F.floor(end_mod / 60).cast("int"), (end_mod % 60).cast("int"))),
+        "overnight": F.when(has_end, F.floor(end_abs / 1440) > sd),
+        "duration_min": duration,
+        "start_mow": (dow * 1440 + sm).cast("long"),
+        "end_mow": (dow * 1440 + sm).cast("long") + duration})
     assumptions = F.filter(F.array(
         F.when(F.col("window_status") == "none", F.lit(A_NO_TIMES)),
         F.when(F.col("window_status") == "unreadable", F.lit(A_UNREADABLE)),
@@ -150,12 +145,12 @@ def terminal_match(passes: DataFrame, terminal: str = "terminal", gate: str = "g
     A pass terminal ``N/A`` counts as missing."""
     avail = F.coalesce(F.col(available), F.array().cast("array<string>"))
     t0 = F.trim(F.col(terminal))
-    passes = (passes.withColumn("_t", F.when((t0 != "") & (F.upper(t0) != "N/A"), t0))
-              .withColumn("_gate", gate_core(F.col(gate))))
+    passes = passes.withColumns({"_t": F.when((t0 != "") & (F.upper(t0) != "N/A"), t0),
+                                 "_gate": gate_core(F.col(gate))})
     t = F.col("_t")
-    passes = (passes.withColumn("_mapped", F.nullif(F.regexp_extract(t, r"^(\d+)", 1), F.lit("")))
-              .withColumn("_letters", F.nullif(F.regexp_extract(F.upper(F.col("_gate")), r"^([A-Z]+)", 1),
-                                               F.lit(""))))
+    passes = passes.withColumns({
+        "_mapped": F.nullif(F.regexp_extract(t, r"^(\d+)", 1), F.lit("")),
+        "_letters": F.nullif(F.regexp_extract(F.upper(F.col("_gate")), r"^([A-Z]+)", 1), F.lit(""))})
     mapped, letters = F.col("_mapped"), F.col("_letters")
     tier = (F.when(t.isNotNull() & F.array_contains(avail, t), 1)
             .when(t.isNotNull() & mapped.isNotNull() & F.array_contains(avail, mapped), 2)
@@ -170,8 +165,7 @@ def terminal_match(passes: DataFrame, terminal: str = "terminal", gate: str = "g
                   .when((tier == 4) & t.isNotNull(), F.concat(F.lit("Terminal "), t,
                                                 F.lit(" matches no lounge terminal; recommendations spread across terminals.")))
                   .when(tier == 4, F.lit("Terminal unknown; recommendations spread across terminals.")))
-    return (passes.withColumn("effective_terminal", eff)
-            .withColumn("terminal_assumption", assumption)
+    return (passes.withColumns({"effective_terminal": eff, "terminal_assumption": assumption})
             .drop("_t", "_gate", "_mapped", "_letters"))
 
 

@@ -89,10 +89,10 @@ def pass_context(passes: DataFrame, stats: DataFrame, partitions: int | None = N
     n = partitions or int(passes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stats = stats if checked else sized_broadcast(stats)
     ctx = accepted.repartition(n, "pass_id").join(stats, "airport_code", "left")
-    ctx = (ctx.withColumn("available_terminals",
-                          F.coalesce("available_terminals", F.array().cast("array<string>")))
-           .withColumn("n_lounges", F.coalesce("n_lounges", F.lit(0)))
-           .withColumn("n_unknown_hours", F.coalesce("n_unknown_hours", F.lit(0))))
+    ctx = ctx.withColumns({
+        "available_terminals": F.coalesce("available_terminals", F.array().cast("array<string>")),
+        "n_lounges": F.coalesce("n_lounges", F.lit(0)),
+        "n_unknown_hours": F.coalesce("n_unknown_hours", F.lit(0))})
     ctx = rec.terminal_match(rec.stay_window(ctx), terminal="pass_terminal")
     status = F.col("window_status")
     # Never null: a nullable join key would make Catalyst infer an IS NOT NULL
