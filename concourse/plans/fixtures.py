@@ -99,7 +99,7 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one boarding pass per event (times as printed ``HH:mm`` strings)."""
-    e = (read_table(spark, sf_dir, "events")
+    e = (spread(read_table(spark, sf_dir, "events"))
          .select("event_id", "ts", "user_id", "event_type",
                  F.expr("try_cast(get_json_object(props, '$.k') AS INT)").alias("k"),
                  (F.hour("ts") * 60 + F.minute("ts")).alias("mod")))
