@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concourse.functions.hours import (
-    WEEK_MINUTES, always_open_expr, merge_intervals_expr, parse_schedules, replicate_weeks)
+    always_open_expr, merge_intervals_expr, parse_schedules, replicate_weeks)
 
 HHMM_RE = r"^\s*(\d{1,2}):(\d{2})\s*$"
 
@@ -112,20 +112,6 @@ def hours_dimension(lounges: DataFrame, hours: str = "opening_hours") -> DataFra
     return d.withColumn("always_open", F.coalesce(always_open_expr("intervals"), F.lit(False))).drop("_rep")
 
 
-def covers(status: Column, intervals: Column, always: Column, s: Column, e: Column,
-           duration: Column) -> Column:
-    """Lounge open at the start and continuously until at least the end.
-
-    No window -> every lounge is kept; unknown hours with a window -> excluded."""
-    inside = F.exists(intervals, lambda iv: (iv["o"] <= s) & (iv["c"] >= e))
-    return (F.when(status.isin("none", "unreadable"), F.lit(True))
-            .when(status == "expired", F.lit(False))
-            .when(intervals.isNull(), F.lit(False))
-            .when(always, F.lit(True))
-            .when(duration > WEEK_MINUTES, F.lit(False))
-            .otherwise(inside))
-
-
 # ------------------------------------------------------------ terminal rules
 def gate_core(gate: Column) -> Column:
     """``Gate B12``/``GATE B12`` -> ``B12``; ``G12`` -> ``12``; ``B2`` stays ``B2``."""

@@ -52,7 +52,7 @@ PASSES_SQL = """
       CASE WHEN event_type <> 'error'
            THEN strftime(ts + to_minutes(60 + 3 * CAST(json_extract_string(props, '$.k') AS INTEGER)), '%H:%M') END AS departure,
       CASE event_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '2C' WHEN 4 THEN '2' END AS terminal,
-      CASE WHEN event_id % 5 IN (0, 1, 4) THEN 1.0 ELSE 0.0 END AS terminal_confidence,
+      CAST(CASE WHEN event_id % 5 IN (0, 1, 4) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS terminal_confidence,
       CASE WHEN event_id % 5 = 2 THEN 'B12' END AS gate,
       CASE WHEN event_id % 11 <> 0 THEN 'A' || lpad(CAST((user_id + 7) % 25 AS VARCHAR), 2, '0') END AS dest_iata
     FROM events"""

@@ -36,7 +36,7 @@ term AS (
 term2 AS (
   SELECT pass_id, coalesce(tp, tl) AS terminal_value,
     CASE WHEN tp IS NOT NULL THEN 'printed' WHEN tl IS NOT NULL THEN 'inferred' END AS terminal_source,
-    CASE WHEN tp IS NOT NULL THEN 1.0 WHEN tl IS NOT NULL THEN 0.5 ELSE 0.0 END AS terminal_confidence,
+    CAST(CASE WHEN tp IS NOT NULL THEN 1.0 WHEN tl IS NOT NULL THEN 0.5 ELSE 0.0 END AS DOUBLE) AS terminal_confidence,
     CASE WHEN tp IS NULL AND tl IS NOT NULL THEN 'Terminal inferred as ' || tl || ' from gate ' || gate || '.' END AS t_note
   FROM term),
 marked AS (
@@ -60,8 +60,8 @@ route AS (
     CASE WHEN m_dep IS NOT NULL THEN m_dest WHEN i_dep IS NOT NULL AND i_dest IS NOT NULL THEN i_dest END AS dest_city,
     CASE WHEN m_dep IS NOT NULL THEN 'marked' WHEN i_dep IS NOT NULL AND i_dest IS NOT NULL THEN 'inferred' END
       AS route_source,
-    CASE WHEN m_dep IS NOT NULL THEN 1.0 WHEN i_dep IS NOT NULL AND i_dest IS NOT NULL THEN 0.5 ELSE 0.0 END
-      AS route_confidence,
+    CAST(CASE WHEN m_dep IS NOT NULL THEN 1.0 WHEN i_dep IS NOT NULL AND i_dest IS NOT NULL THEN 0.5 ELSE 0.0 END
+      AS DOUBLE) AS route_confidence,
     CASE WHEN m_dep IS NULL AND i_dep IS NOT NULL AND i_dest IS NOT NULL THEN 'inferred' END AS r_note
   FROM marked m LEFT JOIN inferred i ON i.pass_id = m.pass_id)
 """
@@ -167,12 +167,14 @@ ORACLE = {
         SELECT p.pass_id, e.pass_id IS NOT NULL AS edited,
           CASE WHEN e.pass_id IS NOT NULL THEN nullif(trim(e.e_airport_iata), '') ELSE p.airport_code END AS airport_iata,
           CASE WHEN e.pass_id IS NOT NULL THEN nullif(trim(e.e_dest_iata), '') ELSE p.dest_iata END AS dest_iata,
-          CASE WHEN e.pass_id IS NOT NULL THEN 0.99 WHEN p.dest_iata IS NOT NULL THEN 1.0 ELSE 0.0 END AS dest_confidence,
+          CAST(CASE WHEN e.pass_id IS NOT NULL THEN 0.99 WHEN p.dest_iata IS NOT NULL THEN 1.0 ELSE 0.0 END AS DOUBLE)
+            AS dest_confidence,
           CASE WHEN e.pass_id IS NOT NULL THEN nullif(trim(e.e_terminal), '') ELSE p.terminal END AS terminal_value,
           CASE WHEN e.pass_id IS NOT NULL THEN (CASE WHEN nullif(trim(e.e_terminal), '') IS NOT NULL THEN 'printed' END)
                ELSE p.terminal_source END AS terminal_source,
-          CASE WHEN e.pass_id IS NOT NULL THEN (CASE WHEN nullif(trim(e.e_terminal), '') IS NOT NULL THEN 0.99 ELSE 0.0 END)
-               ELSE p.terminal_confidence END AS terminal_confidence,
+          CAST(CASE WHEN e.pass_id IS NOT NULL
+                    THEN (CASE WHEN nullif(trim(e.e_terminal), '') IS NOT NULL THEN 0.99 ELSE 0.0 END)
+               ELSE p.terminal_confidence END AS DOUBLE) AS terminal_confidence,
           CASE WHEN e.pass_id IS NOT NULL THEN nullif(trim(e.e_gate), '') ELSE p.gate END AS gate,
           CASE WHEN e.pass_id IS NOT NULL THEN nullif(trim(e.e_flight), '') ELSE p.flight_number END AS flight_number,
           CASE WHEN e.pass_id IS NOT NULL THEN nullif(trim(e.e_departure), '') ELSE p.departure END AS departure,

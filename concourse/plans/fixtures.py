@@ -69,10 +69,6 @@ def lounges(spark: SparkSession, sf_dir: str, source: str = "customer") -> DataF
     )
 
 
-LOUNGE_STRUCT_FIELDS = ["lounge_id", "name", "terminal", "opening_hours", "image_url",
-                        "detail_url", "amenities", "access_notes", "conditions"]
-
-
 def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Airport header rows: one per nation (``A<nn>``) plus one per region (``R<nn>``)
     that has no lounges (even regions: empty array, odd regions: null array)."""

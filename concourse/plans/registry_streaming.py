@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from concourse.operators import infer
 from concourse.plans import fixtures as fx
 from concourse.session import scratch_path
