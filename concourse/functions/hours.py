@@ -15,9 +15,9 @@ A close time at or before the open time ends on the next day. Anything else,
 including one unreadable range inside an otherwise valid string, makes the whole
 schedule unknown (null) — unknown hours are never guessed.
 
-``parse_schedules`` runs on the *distinct* schedule strings (a small dimension):
-one row per range segment, each regex group extracted once into a column, then
-the segments are folded back per string.
+``parse_schedules`` runs on the *distinct* schedule strings (a small dimension),
+row by row: the segments of a string are parsed with nested ``transform`` steps,
+so there is no explode and no regroup.
 """
 
 from __future__ import annotations
@@ -65,40 +65,53 @@ def _segments(s: Column) -> Column:
     return F.when(F.ltrim(s).startswith("{"), json_segs).otherwise(text_segs)
 
 
+def _let(value: Column, body) -> Column:
+    # evaluate ``value`` once and use it several times in ``body``
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def weekly_intervals(s: Column) -> Column:
+    """Schedule string -> raw weekly intervals, or null when unknown.
+
+    Nested ``transform`` steps bind each segment's regex groups once (a lambda
+    variable is evaluated once), so no regex runs more than once per segment."""
+    names = ["d1", "d2", "oh", "om", "oap", "ch", "cm", "cap"]
+
+    def groups(seg):
+        return F.struct(seg.rlike(ALLDAY_RE).alias("is_allday"), seg.rlike(RANGE_RE).alias("is_range"),
+                        F.regexp_extract(seg, ALLDAY_RE, 1).alias("ad1"),
+                        F.regexp_extract(seg, ALLDAY_RE, 2).alias("ad2"),
+                        *[F.regexp_extract(seg, RANGE_RE, i).alias(n) for i, n in enumerate(names, start=1)])
+
+    def minutes(g):
+        allday = g["is_allday"]
+        return F.struct(
+            F.when(allday, g["ad1"]).otherwise(g["d1"]).alias("first_day"),
+            F.when(allday, g["ad2"]).otherwise(g["d2"]).alias("last_day"),
+            F.when(allday, F.lit(0)).otherwise(_minute(g["oh"], g["om"], g["oap"])).alias("o"),
+            F.when(allday, F.lit(DAY_MINUTES)).otherwise(_minute(g["ch"], g["cm"], g["cap"])).alias("c0"),
+            (allday | g["is_range"]).alias("ok"))
+
+    def intervals(m):
+        c = F.when(m["c0"] <= m["o"], m["c0"] + DAY_MINUTES).otherwise(m["c0"])
+        a, b = _day_index(m["first_day"]), _day_index(m["last_day"])
+        days = (F.when(m["first_day"] == "", F.sequence(F.lit(0), F.lit(6)))
+                .when(m["last_day"] == "", F.array(a))
+                .when(b >= a, F.sequence(a, b))
+                .otherwise(F.transform(F.sequence(a, b + 7), lambda q: q % 7)))
+        ok = m["ok"] & m["o"].isNotNull() & m["c0"].isNotNull()
+        return F.when(ok, F.transform(days, lambda d: F.struct(
+            (d * DAY_MINUTES + m["o"]).alias("o"), (d * DAY_MINUTES + c).alias("c"))))
+
+    per_seg = F.transform(F.transform(F.transform(_segments(s), groups), minutes), intervals)
+    raw = _let(per_seg, lambda x: F.when((F.size(x) == 0) | F.exists(x, lambda y: y.isNull()), F.lit(None))
+               .otherwise(F.flatten(x)))
+    return raw.cast(INTERVALS_TYPE)
+
+
 def parse_schedules(df: DataFrame, col: str = "opening_hours") -> DataFrame:
     """Distinct ``col`` values -> (``col``, ``raw_intervals``) with null = unknown."""
-    strings = df.select(col).distinct()
-    segs = strings.select(col, F.posexplode_outer(_segments(F.col(col))).alias("seg_pos", "seg"))
-    groups = {name: F.regexp_extract("seg", RANGE_RE, i)
-              for i, name in enumerate(["d1", "d2", "oh", "om", "oap", "ch", "cm", "cap"], start=1)}
-    segs = segs.withColumns({"is_allday": F.col("seg").rlike(ALLDAY_RE), "is_range": F.col("seg").rlike(RANGE_RE),
-                             "ad1": F.regexp_extract("seg", ALLDAY_RE, 1),
-                             "ad2": F.regexp_extract("seg", ALLDAY_RE, 2), **groups})
-    allday = F.col("is_allday")
-    segs = segs.withColumns({
-        "first_day": F.when(allday, F.col("ad1")).otherwise(F.col("d1")),
-        "last_day": F.when(allday, F.col("ad2")).otherwise(F.col("d2")),
-        "o": F.when(allday, F.lit(0)).otherwise(_minute(F.col("oh"), F.col("om"), F.col("oap"))),
-        "c0": F.when(allday, F.lit(DAY_MINUTES)).otherwise(_minute(F.col("ch"), F.col("cm"), F.col("cap")))})
-    segs = segs.withColumns({
-        "c": F.when(F.col("c0") <= F.col("o"), F.col("c0") + DAY_MINUTES).otherwise(F.col("c0")),
-        "a": _day_index(F.col("first_day")),
-        "b": _day_index(F.col("last_day"))})
-    days = (F.when(F.col("first_day") == "", F.sequence(F.lit(0), F.lit(6)))
-            .when(F.col("last_day") == "", F.array(F.col("a")))
-            .when(F.col("b") >= F.col("a"), F.sequence(F.col("a"), F.col("b")))
-            .otherwise(F.transform(F.sequence(F.col("a"), F.col("b") + 7), lambda q: q % 7)))
-    ok = (F.col("is_allday") | F.col("is_range")) & F.col("o").isNotNull() & F.col("c0").isNotNull()
-    segs = segs.withColumn("ivs", F.when(ok, F.transform(days, lambda d: F.struct(
-        (d * DAY_MINUTES + F.col("o")).alias("o"), (d * DAY_MINUTES + F.col("c")).alias("c")))))
-    folded = segs.groupBy(col).agg(
-        F.count("seg").alias("n_segs"),
-        F.count_if(F.col("seg").isNotNull() & F.col("ivs").isNull()).alias("n_bad"),
-        F.array_sort(F.collect_list(F.when(F.col("ivs").isNotNull(),
-                                           F.struct("seg_pos", "ivs")))).alias("parts"))
-    raw = F.when((F.col("n_segs") > 0) & (F.col("n_bad") == 0),
-                 F.flatten(F.transform("parts", lambda p: p["ivs"])))
-    return folded.select(col, raw.cast(INTERVALS_TYPE).alias("raw_intervals"))
+    return df.select(col).distinct().select(col, weekly_intervals(F.col(col)).alias("raw_intervals"))
 
 
 def replicate_weeks(col: str) -> Column:
