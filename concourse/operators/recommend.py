@@ -156,14 +156,17 @@ def terminal_match(passes: DataFrame, terminal: str = "terminal", gate: str = "g
 
 
 # ------------------------------------------------------------ ranking rules
-def spread_and_rank(pairs: DataFrame, top: int = 5) -> DataFrame:
+def spread_and_rank(pairs: DataFrame, top: int = 5, terminal: str = "terminal",
+                    order: str = "lounge_id") -> DataFrame:
     """``spread`` = round-robin position inside the lounge's terminal; ``rank`` orders
     matched-terminal lounges first, then by spread, then by id; keeps ``rank <= top``.
 
     Both windows partition by ``pass_id`` (the spread window by a superset of it), so
-    they reuse the pairs' partitioning; the rank filter becomes a WindowGroupLimit."""
-    w_spread = Window.partitionBy("pass_id", "terminal").orderBy("lounge_id")
-    w_rank = Window.partitionBy("pass_id").orderBy(F.col("matched").desc(), "spread", "lounge_id")
+    they reuse the pairs' partitioning; the rank filter becomes a WindowGroupLimit.
+    ``terminal``/``order`` may be integer surrogates that group and sort the same way
+    (per-airport terminal rank, catalog position): cheaper sort keys, same result."""
+    w_spread = Window.partitionBy("pass_id", terminal).orderBy(order)
+    w_rank = Window.partitionBy("pass_id").orderBy(F.col("matched").desc(), "spread", order)
     # A lounge with spread > top has `top` lounges of its own terminal ahead of it
     # (matched lounges share one terminal), so it can never reach the top: cut
     # early, which also turns the spread window into a WindowGroupLimit.

@@ -20,7 +20,7 @@ and is broadcast only after ``sized_broadcast`` proves its size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concourse.functions.hours import DAY_MINUTES
@@ -47,7 +47,10 @@ def lounge_dimension(lounges: DataFrame, cap: int = 50) -> DataFrame:
     # once, the size checks below read a small materialised table, and the lineage
     # back to the raw catalog is cut.
     # No hint on this join: AQE plans it from the measured size of the hours side.
-    return materialize(capped.join(hours, "opening_hours", "left"))
+    # term_key: per-airport rank of the terminal (null is its own group) -- an
+    # integer that groups like the terminal string, for cheap ranking sort keys.
+    term_key = F.dense_rank().over(Window.partitionBy("airport_code").orderBy("terminal"))
+    return materialize(capped.join(hours, "opening_hours", "left").withColumn("term_key", term_key))
 
 
 def airport_stats(dim: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def lounge_buckets(dim: DataFrame) -> DataFrame:
               .drop("iv"))
     no_window = (dim.withColumn("o", F.lit(None).cast("int")).withColumn("c", F.lit(None).cast("int"))
                  .withColumn("bucket", F.lit(NO_WINDOW_BUCKET)))
-    keep = ["airport_code", "bucket", "lounge_id", "terminal", "always_open", "o", "c"]
+    keep = ["airport_code", "bucket", "lounge_id", "terminal", "term_key", "catalog_pos", "always_open", "o", "c"]
     return per_iv.select(*keep).unionByName(no_window.select(*keep))
 
 
@@ -113,7 +116,8 @@ def covered_pairs(ctx: DataFrame, buckets: DataFrame, checked: bool = False) ->
                | ((F.col("b.o") <= F.col("p.start_mow")) & (F.col("b.c") >= F.col("p.end_mow"))
                   & (F.col("p.duration_min") <= 7 * DAY_MINUTES))))
     pairs = p.join(b, cond, "inner").select(*[F.col(f"p.{c}") for c in PAIR_PASS_COLS],
-                                            F.col("b.lounge_id"), F.col("b.terminal"))
+                                            F.col("b.lounge_id"), F.col("b.terminal"),
+                                            F.col("b.term_key"), F.col("b.catalog_pos"))
     matched = (F.col("terminal_tier") < 4) & (F.col("terminal") == F.col("effective_terminal"))
     return pairs.withColumn("matched", F.coalesce(matched, F.lit(False)))
 
@@ -146,7 +150,14 @@ def ranked(passes: DataFrame, lounges: DataFrame, cap: int = 50, top: int = 5,
            partitions: int | None = None) -> DataFrame:
     """Top ``top`` lounges per pass with their details. Ranking runs on narrow rows."""
     _ctx, dim, pairs = plan_parts(passes, lounges, cap, partitions)
-    return with_lounge_details(rec.spread_and_rank(pairs, top), dim)
+    return with_lounge_details(rank_pairs(pairs, top), dim)
+
+
+def rank_pairs(pairs: DataFrame, top: int = 5) -> DataFrame:
+    """Spread/rank on integer surrogate keys: within one pass every lounge is at the
+    same airport, so ``catalog_pos`` orders like ``lounge_id`` and ``term_key``
+    groups like ``terminal``."""
+    return rec.spread_and_rank(pairs, top, terminal="term_key", order="catalog_pos")
 
 
 def with_lounge_details(ranked_pairs: DataFrame, dim: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def q_terminal_spread(spark, sf_dir):
 
 def q_top_lounges(spark, sf_dir):
     _ctx, _dim, pairs = _parts(spark, sf_dir)
-    return rec.spread_and_rank(pairs, 5).select("pass_id", "lounge_id", "rank")
+    return plan.rank_pairs(pairs, 5).select("pass_id", "lounge_id", "rank")
 
 
 def q_recommendation_rows(spark, sf_dir):
@@ -171,7 +171,7 @@ def q_advisory_text(spark, sf_dir):
 
 def advisory_records(spark, sf_dir, source="supplier"):
     passes, ctx, dim, pairs, dest, excl = _advisory_parts(spark, sf_dir, source)
-    rows = plan.recommendation_rows(plan.with_lounge_details(rec.spread_and_rank(pairs, 5), dim))
+    rows = plan.recommendation_rows(plan.with_lounge_details(plan.rank_pairs(pairs, 5), dim))
     text = adv.advisory_text(ctx, excl, dest)
     roll = adv.assumptions_rollup(ctx, dest)
     return passes, adv.advisory_record(ctx, rows, text, roll, dest)
