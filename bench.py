@@ -40,7 +40,8 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app_name="concourse-bench")
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * cpus)))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=partitions, app_name="concourse-bench")
     qs = all_queries()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in qs]
     for n in names:

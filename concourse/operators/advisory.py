@@ -15,19 +15,26 @@ from concourse.operators.recommend import A_NO_DESTINATION, ALTERNATIVES
 from concourse.plans.joins import sized_broadcast
 
 
-def exclusion_summary(ctx: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per pass: candidates, kept, excluded for time, excluded for unknown hours."""
+def with_exclusions(ctx: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds candidates, kept, excluded for time / unknown hours and ``none_cover``.
+    ``pairs`` and ``ctx`` share the ``pass_id`` partitioning: no extra exchange."""
     kept = pairs.groupBy("pass_id").agg(F.count(F.lit(1)).alias("kept"))
-    s = ctx.select("pass_id", "window_status", "n_lounges", "n_unknown_hours").join(kept, "pass_id", "left")
+    s = ctx.join(kept, "pass_id", "left")
     unknown = F.when(F.col("window_status").isin("open", "expired"), F.col("n_unknown_hours")).otherwise(F.lit(0))
-    s = (s.withColumn("kept", F.coalesce("kept", F.lit(0)).cast("long"))
-         .withColumn("candidates", F.col("n_lounges").cast("long"))
-         .withColumn("excluded_unknown", unknown.cast("long")))
-    return s.select(
-        "pass_id", "candidates", "kept",
-        (F.col("candidates") - F.col("kept") - F.col("excluded_unknown")).alias("excluded_time"),
-        "excluded_unknown",
-        ((F.col("candidates") > 0) & (F.col("kept") == 0)).alias("none_cover"))
+    s = s.withColumns({"kept": F.coalesce("kept", F.lit(0)).cast("long"),
+                       "candidates": F.col("n_lounges").cast("long"),
+                       "excluded_unknown": unknown.cast("long")})
+    return s.withColumns({
+        "excluded_time": F.col("candidates") - F.col("kept") - F.col("excluded_unknown"),
+        "none_cover": (F.col("candidates") > 0) & (F.col("kept") == 0)})
+
+
+EXCLUSION_COLS = ["pass_id", "candidates", "kept", "excluded_time", "excluded_unknown", "none_cover"]
+
+
+def exclusion_summary(ctx: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per pass: candidates, kept, excluded for time, excluded for unknown hours."""
+    return with_exclusions(ctx, pairs).select(*EXCLUSION_COLS)
 
 
 def routes_from_orders(orders: DataFrame) -> DataFrame:
@@ -40,8 +47,8 @@ def routes_from_orders(orders: DataFrame) -> DataFrame:
                         (30 + 17 * F.abs(F.col("i") - F.col("j"))).cast("int").alias("minutes"))
 
 
-def destination_context(ctx: DataFrame, routes: DataFrame, dest_iata: str = "dest_iata",
-                        dest_city: str = "dest_city") -> DataFrame:
+def with_destination(ctx: DataFrame, routes: DataFrame, dest_iata: str = "dest_iata",
+                     dest_city: str = "dest_city") -> DataFrame:
     """Per pass: destination struct fields, null when the destination is missing.
 
     Duration and arrival come only from the optional ``routes`` table (left join);
@@ -65,32 +72,37 @@ def destination_context(ctx: DataFrame, routes: DataFrame, dest_iata: str = "des
         F.when(arr >= 1440, F.lit(" (next day)")).otherwise(F.lit("")), F.lit(".")))
     uncertainty = (F.when(mins.isNull(), F.lit("No route data; flight duration and arrival not estimated."))
                    .otherwise(F.lit("Duration from the route table; time zones unknown.")))
-    return j.select(
-        "pass_id", has.alias("has_destination"),
-        F.when(has, F.col(dest_iata)).alias("dest_iata"),
-        F.when(has, F.col(dest_city)).alias("dest_city"),
-        F.when(has, duration).alias("flight_duration_estimate"),
-        F.when(has, arrival).alias("arrival_insight"),
-        F.when(has, uncertainty).alias("uncertainty"))
-
-
-def assumptions_rollup(ctx: DataFrame, dest: DataFrame, own: str = "assumptions") -> DataFrame:
-    """Ordered assumptions: the pass's own, terminal, stay window, destination."""
-    base = ctx if own in ctx.columns else ctx.withColumn(own, F.array().cast("array<string>"))
-    j = base.select("pass_id", own, "terminal_assumption", "window_assumptions").join(
-        dest.select("pass_id", "has_destination", "uncertainty"), "pass_id", "left")
+    j = j.withColumn("has_destination", has)
+    has = F.col("has_destination")
+    return j.withColumns({
+        dest_iata: F.when(has, F.col(dest_iata)),
+        dest_city: F.when(has, F.col(dest_city)),
+        "flight_duration_estimate": F.when(has, duration),
+        "arrival_insight": F.when(has, arrival),
+        "uncertainty": F.when(has, uncertainty)}).drop("minutes")
+
+
+DESTINATION_COLS = ["pass_id", "has_destination", "dest_iata", "dest_city", "flight_duration_estimate",
+                    "arrival_insight", "uncertainty"]
+
+
+def destination_context(ctx: DataFrame, routes: DataFrame, dest_iata: str = "dest_iata",
+                        dest_city: str = "dest_city") -> DataFrame:
+    return with_destination(ctx, routes, dest_iata, dest_city).select(*DESTINATION_COLS)
+
+
+def assumptions_col(own: str = "assumptions") -> Column:
+    """Ordered assumptions: the pass's own, terminal, stay window, destination
+    (over a frame with the context, destination and exclusion columns)."""
     dest_note = F.when(F.col("has_destination"), F.col("uncertainty")).otherwise(F.lit(A_NO_DESTINATION))
-    allv = F.concat(F.coalesce(F.col(own), F.array().cast("array<string>")),
+    return F.concat(F.coalesce(F.col(own), F.array().cast("array<string>")),
                     F.filter(F.array(F.col("terminal_assumption")), lambda x: x.isNotNull()),
                     F.col("window_assumptions"),
                     F.filter(F.array(dest_note), lambda x: x.isNotNull()))
-    return j.select("pass_id", allv.alias("all_assumptions"))
 
 
-def advisory_text(ctx: DataFrame, excl: DataFrame, dest: DataFrame) -> DataFrame:
-    """One paragraph per pass: window, terminals, exclusions, destination."""
-    j = (ctx.select("pass_id", "window_status", "start_hhmm", "end_hhmm", "overnight", "available_terminals")
-         .join(excl, "pass_id", "left").join(dest, "pass_id", "left"))
+def advisory_col() -> Column:
+    """One paragraph: window, terminals, exclusions, destination."""
     st = F.col("window_status")
     window = (F.when(st == "open", F.concat(F.lit("Your stay runs from "), F.col("start_hhmm"), F.lit(" to "),
                                             F.col("end_hhmm"),
@@ -115,25 +127,30 @@ def advisory_text(ctx: DataFrame, excl: DataFrame, dest: DataFrame) -> DataFrame
         F.when(F.col("flight_duration_estimate").isNotNull(),
                F.concat(F.lit(", "), F.col("flight_duration_estimate"))).otherwise(F.lit("")),
         F.lit(".")))
-    text = F.concat(window, F.coalesce(terms, F.lit("")), F.coalesce(counts, F.lit("")),
+    return F.concat(window, F.coalesce(terms, F.lit("")), F.coalesce(counts, F.lit("")),
                     F.coalesce(none, F.lit("")), F.coalesce(destination, F.lit("")))
-    return j.select("pass_id", text.alias("advisory"))
+
+
+def pass_summary(ctx: DataFrame, pairs: DataFrame, routes: DataFrame) -> DataFrame:
+    """One wide row per pass: context + destination (broadcast routes) + exclusions
+    (co-partitioned left join) + the advisory text and assumption list."""
+    wide = with_exclusions(with_destination(ctx, routes), pairs)
+    if "assumptions" not in wide.columns:
+        wide = wide.withColumn("assumptions", F.array().cast("array<string>"))
+    return wide.withColumns({"all_assumptions": assumptions_col(), "advisory": advisory_col()})
 
 
 REC_FIELDS = ["lounge_id", "name", "terminal", "opening_hours", "amenities", "access_notes",
               "source_url", "why_recommended"]
 
 
-def advisory_record(ctx: DataFrame, rec_rows: DataFrame, text: DataFrame, rollup: DataFrame,
-                    dest: DataFrame) -> DataFrame:
+def advisory_record(summary: DataFrame, rec_rows: DataFrame) -> DataFrame:
     """One nested row per pass; passes without recommendations get ``[]`` (left join),
     ``time_window`` is null when there is no window, ``destination_context`` null
     when the destination is missing."""
     recs = rec_rows.groupBy("pass_id").agg(F.array_sort(F.collect_list(
         F.struct("rank", *REC_FIELDS))).alias("_recs"))
-    j = (ctx.select("pass_id", "window_status", "start_hhmm", "end_hhmm", "overnight", "available_terminals")
-         .join(recs, "pass_id", "left").join(text, "pass_id", "left")
-         .join(rollup, "pass_id", "left").join(dest, "pass_id", "left"))
+    j = summary.join(recs, "pass_id", "left")
     time_window = F.when(F.col("window_status").isin("open", "expired"), F.struct(
         F.col("start_hhmm").alias("start"), F.col("end_hhmm").alias("end"), F.col("overnight")))
     recs_out = F.transform(F.coalesce(F.col("_recs"), F.array()),

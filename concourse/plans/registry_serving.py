@@ -149,32 +149,27 @@ def q_destination_context(spark, sf_dir):
     return adv.destination_context(p, _routes(spark, sf_dir))
 
 
-def _advisory_parts(spark, sf_dir, source="supplier"):
+def _summary(spark, sf_dir, source="supplier"):
     passes = fx.passes(spark, sf_dir)
     ctx, dim, pairs = plan.plan_parts(passes, fx.lounges(spark, sf_dir, source))
-    dest = adv.destination_context(ctx, _routes(spark, sf_dir))
-    excl = adv.exclusion_summary(ctx, pairs)
-    return passes, ctx, dim, pairs, dest, excl
+    return passes, dim, pairs, adv.pass_summary(ctx, pairs, _routes(spark, sf_dir))
 
 
 def q_assumptions_rollup(spark, sf_dir):
-    _p, ctx, _d, _pairs, dest, _e = _advisory_parts(spark, sf_dir)
-    r = adv.assumptions_rollup(ctx, dest)
-    return r.select("pass_id", F.size("all_assumptions").alias("n_assumptions"),
-                    F.array_join("all_assumptions", " | ").alias("assumptions"))
+    _p, _d, _pairs, summary = _summary(spark, sf_dir)
+    return summary.select("pass_id", F.size("all_assumptions").alias("n_assumptions"),
+                          F.array_join("all_assumptions", " | ").alias("assumptions"))
 
 
 def q_advisory_text(spark, sf_dir):
-    _p, ctx, _d, _pairs, dest, excl = _advisory_parts(spark, sf_dir)
-    return adv.advisory_text(ctx, excl, dest)
+    _p, _d, _pairs, summary = _summary(spark, sf_dir)
+    return summary.select("pass_id", "advisory")
 
 
 def advisory_records(spark, sf_dir, source="supplier"):
-    passes, ctx, dim, pairs, dest, excl = _advisory_parts(spark, sf_dir, source)
+    passes, dim, pairs, summary = _summary(spark, sf_dir, source)
     rows = plan.recommendation_rows(plan.with_lounge_details(plan.rank_pairs(pairs, 5), dim))
-    text = adv.advisory_text(ctx, excl, dest)
-    roll = adv.assumptions_rollup(ctx, dest)
-    return passes, adv.advisory_record(ctx, rows, text, roll, dest)
+    return passes, adv.advisory_record(summary, rows)
 
 
 def q_advisory_record(spark, sf_dir):
