@@ -33,9 +33,12 @@ NO_WINDOW_BUCKET = -1
 EXPIRED_BUCKET = -2  # matches no lounge row; keeps the probe key non-null
 
 # Pass-level columns carried through the ranking (the rest stay in the context).
-PAIR_PASS_COLS = ["pass_id", "terminal_tier", "effective_terminal", "window_status",
-                  "start_hhmm", "end_hhmm"]
-LOUNGE_DETAIL_COLS = ["lounge_id", "name", "opening_hours", "amenities", "access_notes", "detail_url"]
+# ``effective_terminal`` is only needed for ``matched``, which the join computes, and
+# the lounge ``terminal`` string comes back with the details of the ranked rows: the
+# fan-out rows (up to ``cap`` per pass) carry integer keys instead of those strings.
+PAIR_PASS_COLS = ["pass_id", "terminal_tier", "window_status", "start_hhmm", "end_hhmm"]
+LOUNGE_DETAIL_COLS = ["lounge_id", "name", "terminal", "opening_hours", "amenities", "access_notes",
+                      "detail_url"]
 
 
 def lounge_dimension(lounges: DataFrame, cap: int = 50) -> DataFrame:
@@ -115,11 +118,10 @@ def covered_pairs(ctx: DataFrame, buckets: DataFrame, checked: bool = False) ->
                | F.col("b.always_open")
                | ((F.col("b.o") <= F.col("p.start_mow")) & (F.col("b.c") >= F.col("p.end_mow"))
                   & (F.col("p.duration_min") <= 7 * DAY_MINUTES))))
-    pairs = p.join(b, cond, "inner").select(*[F.col(f"p.{c}") for c in PAIR_PASS_COLS],
-                                            F.col("b.lounge_id"), F.col("b.terminal"),
-                                            F.col("b.term_key"), F.col("b.catalog_pos"))
-    matched = (F.col("terminal_tier") < 4) & (F.col("terminal") == F.col("effective_terminal"))
-    return pairs.withColumn("matched", F.coalesce(matched, F.lit(False)))
+    matched = (F.col("p.terminal_tier") < 4) & (F.col("b.terminal") == F.col("p.effective_terminal"))
+    return p.join(b, cond, "inner").select(*[F.col(f"p.{c}") for c in PAIR_PASS_COLS],
+                                           F.col("b.lounge_id"), F.col("b.term_key"), F.col("b.catalog_pos"),
+                                           F.coalesce(matched, F.lit(False)).alias("matched"))
 
 
 def candidate_pairs(ctx: DataFrame, dim: DataFrame) -> DataFrame:

@@ -125,7 +125,8 @@ def q_terminal_match(spark, sf_dir):
 
 def q_terminal_spread(spark, sf_dir):
     _ctx, _dim, pairs = _parts(spark, sf_dir, "supplier")
-    w = Window.partitionBy("pass_id", "terminal").orderBy("lounge_id")
+    # term_key groups like the terminal string within a pass (one airport per pass)
+    w = Window.partitionBy("pass_id", "term_key").orderBy("lounge_id")
     return pairs.select("pass_id", "lounge_id", F.row_number().over(w).alias("spread"))
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -86,6 +87,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder: cuts lineage and survives the loss
-    of the executors that computed it. Use for small derived dimensions."""
+    of the executors that computed it. Use for small derived dimensions.
+
+    The plan is persisted for the duration of the checkpoint: an eager reliable
+    checkpoint runs one job to count and one to write, and without the cache the
+    second job recomputes the whole plan. A lost cached block is just recomputed;
+    once written, the result reads only from the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
