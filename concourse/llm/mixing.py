@@ -146,8 +146,8 @@ def rounded(units: DataFrame, most: int) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size, source_size, target, copies) of every document. ``row`` is
-    the position in the scan of ``docs``, a table or other stable input."""
+    """(mark, doc_id, source, size, source_size, target, copies) of every document; ``mark``
+    is the hash of its id and text."""
     sized = staged(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), word_count().alias("size"),
@@ -164,16 +164,22 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     extra = rounded(open_, most).filter("p = 1").select(F.col("row").alias("_row"))
     whole = F.when(F.col("size") > 0, F.floor("rate")).otherwise(0)
     return due.join(extra, F.col("row") == F.col("_row"), "left").select(
-        "row", "doc_id", "source", "size", "source_size", "target",
+        "mark", "doc_id", "source", "size", "source_size", "target",
         (whole + F.when(F.col("_row").isNotNull(), 1).otherwise(0)).cast("int").alias("copies"))
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
     """The mix itself: every document of ``docs`` as many times as it is taken, with all its
     columns. Documents without words are not part of a mix by words and stay once."""
-    row, times = fresh(docs, "row"), fresh(docs, "copies")
+    mark, nth, times = fresh(docs, "mark"), fresh(docs, "nth"), fresh(docs, "copies")
     plan = mix_plan(docs).select(
-        F.col("row").alias("_mix_row"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("_mix_n"))
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
-    taken = rows.join(plan.filter("_mix_n > 0"), rows[row] == F.col("_mix_row"))
+        F.col("mark").alias("_mix_mark"), F.col("source").alias("_mix_source"),
+        F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("_mix_n"))
+    by = Window.partitionBy("_mix_mark", "_mix_source")
+    plan = plan.withColumn("_mix_nth", F.row_number().over(by.orderBy("_mix_n"))).filter("_mix_n > 0")
+    # rows of one id, text and source are alike: each takes one of their places
+    own = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    own = own.withColumn(nth, F.row_number().over(Window.partitionBy(mark, "source").orderBy(F.xxhash64(*docs.columns))))
+    taken = own.join(plan, (own[mark] == plan["_mix_mark"]) & own["source"].eqNullSafe(plan["_mix_source"])
+                     & (own[nth] == plan["_mix_nth"]))
     return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
