@@ -18,8 +18,8 @@ them in that order by ranges, so a conversation of any length is never in one ro
 Defined results: null and empty bodies have an empty own text and link nothing. Messages
 without a found quote start a thread. Passages of fewer than ``LEAST_CHARS`` letters and digits
 count only as a whole own text. Quotes of unknown origin, or of later messages, are dropped
-from the text and link nothing. Rows that repeat a msg_id share its links; null ids get
-links but are no origin. An empty table gives an empty result.
+from the text and link nothing. Rows that repeat a msg_id share its links. A message
+without an id gets links but is no origin; if it starts a thread, the thread has no id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ LEAST_CHARS = 12
 QUOTED = re.compile(r"^\s*((?:>\s?)+)(.*)$")
 SAID = re.compile(r"^\s*(On\b.*\bwrote:|-+\s*Original Message\s*-+)\s*$", re.IGNORECASE)
 OTHER = re.compile(r"[\W_]+")
-PARSED = ("msg_id string, conv_id long, sent long, own string, said array<struct<hash:string,chars:int>>, "
+PARSED = ("key string, msg_id string, conv_id long, sent long, own string, said array<struct<hash:string,chars:int>>, "
           "quoted array<struct<level:int,hash:string,chars:int>>")
 
 
@@ -80,54 +80,56 @@ def parse(body: str) -> tuple[str, list, list]:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """(msg_id, conv_id, sent, own, said, quoted) of ``messages`` (msg_id, conv_id, sent, body)."""
+    """(key, msg_id, conv_id, sent, own, said, quoted) of ``messages`` (msg_id, conv_id, sent,
+    body). ``key`` is the msg_id; a message without one has a key of its content."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [parse(t) for t in b["body"]]
-            yield b[["msg_id", "conv_id", "sent"]].assign(
+            yield b[["key", "msg_id", "conv_id", "sent"]].assign(
                 own=[f[0] for f in found], said=[[dict(zip(("hash", "chars"), x)) for x in f[1]] for f in found],
                 quoted=[[dict(zip(("level", "hash", "chars"), x)) for x in f[2]] for f in found])
 
     own = messages.select(F.col("msg_id").cast("string").alias("msg_id"), F.col("conv_id").cast("long").alias("conv_id"),
                           F.col("sent").cast("long").alias("sent"), F.coalesce("body", F.lit("")).alias("body"))
-    return own.mapInPandas(rows, PARSED)
+    content = F.concat(F.lit("\0"), F.md5(F.to_json(F.struct("conv_id", "sent", "body"))))
+    return own.select(F.coalesce("msg_id", content).alias("key"), "*").mapInPandas(rows, PARSED)
 
 
 def quote_links(rows: DataFrame) -> DataFrame:
-    """(msg_id, level, origin, origin_sent, chars) of each quote level of parsed messages:
-    the message that most of its letters come from."""
+    """(key, conv_id, sent, level, origin, origin_sent, chars) of each quote level of parsed
+    messages: the message that most of its letters come from."""
     said = rows.filter("msg_id IS NOT NULL").select("msg_id", "conv_id", "sent", F.explode("said").alias("p"))
     first = F.min(F.struct("sent", "msg_id")).alias("first")
     near = said.groupBy("conv_id", F.col("p.hash").alias("hash")).agg(first)
     far = near.groupBy("hash").agg(F.min("first").alias("any"))
-    quoted = rows.select("msg_id", "conv_id", "sent", F.explode("quoted").alias("q")).select(
-        "msg_id", "conv_id", "sent", "q.level", "q.hash", "q.chars").distinct()
+    quoted = rows.select("key", "conv_id", "sent", F.explode("quoted").alias("q")).select(
+        "key", "conv_id", "sent", "q.level", "q.hash", "q.chars").distinct()
     own = near.select(F.col("conv_id").alias("_conv"), F.col("hash").alias("_hash"), "first")
     both = (quoted.join(own, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("hash") == F.col("_hash")), "left")
             .join(far, "hash", "left"))
-    me = F.struct("sent", "msg_id")
+    me = F.struct("sent", F.col("key").alias("msg_id"))
     origin = F.when(F.col("first") < me, F.col("first")).when(F.col("any") < me, F.col("any"))
     return (
         both.withColumn("origin", origin).filter(F.col("origin").isNotNull())
-        .groupBy("msg_id", "conv_id", "sent", "level", "origin").agg(F.sum("chars").alias("chars"))
-        .groupBy("msg_id", "conv_id", "sent", "level")
+        .groupBy("key", "conv_id", "sent", "level", "origin").agg(F.sum("chars").alias("chars"))
+        .groupBy("key", "conv_id", "sent", "level")
         .agg(F.max(F.struct("chars", F.col("origin.sent").alias("s"), F.col("origin.msg_id").alias("o"))).alias("best"))
-        .select("msg_id", "conv_id", "sent", "level", F.col("best.o").alias("origin"), F.col("best.s").alias("origin_sent"),
+        .select("key", "conv_id", "sent", "level", F.col("best.o").alias("origin"), F.col("best.s").alias("origin_sent"),
                 F.col("best.chars").alias("chars"))
     )
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """(msg_id, thread_id, depth) of every message that replies, from (msg_id, reply_to):
+    """(key, thread_id, depth) of every message that replies, from (key, reply_to):
     each step doubles the way up."""
-    way = staged(replies.select("msg_id", F.col("reply_to").alias("up"), F.lit(1).alias("hops")), "ways")
+    way = staged(replies.select("key", F.col("reply_to").alias("up"), F.lit(1).alias("hops")), "ways")
     while True:
-        above = way.select(F.col("msg_id").alias("_id"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
-        way = staged(way.select("msg_id", "up", "hops").join(above, F.col("up") == F.col("_id"), "left").select(
-            "msg_id", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+        above = way.select(F.col("key").alias("_id"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
+        way = staged(way.select("key", "up", "hops").join(above, F.col("up") == F.col("_id"), "left").select(
+            "key", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
             F.col("_up").isNotNull().alias("moved")), "ways")
         if way.filter("moved").isEmpty():
-            return way.select("msg_id", F.col("up").alias("thread_id"), F.col("hops").alias("depth"))
+            return way.select("key", F.col("up").alias("thread_id"), F.col("hops").alias("depth"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -136,15 +138,13 @@ def conversations(messages: DataFrame) -> DataFrame:
     whose origin was found."""
     rows = staged(parsed(messages), "parsed")
     links = staged(quote_links(rows), "links")
-    best = links.groupBy("msg_id").agg(
+    best = links.groupBy("key").agg(
         F.min(F.struct("level", "conv_id", "sent", "origin")).alias("b"), F.countDistinct("level").alias("linked"))
-    replies = best.select("msg_id", F.col("b.origin").alias("reply_to"), "linked")
-    above = threads(replies.filter("msg_id IS NOT NULL").select("msg_id", "reply_to"))
-    all_ = (rows.join(replies.withColumnRenamed("msg_id", "_r"), F.col("msg_id").eqNullSafe(F.col("_r")), "left")
-            .join(above.withColumnRenamed("msg_id", "_a"), F.col("msg_id") == F.col("_a"), "left"))
-    return all_.select(
-        "msg_id", "conv_id", "sent", "reply_to", F.coalesce("thread_id", "reply_to", "msg_id").alias("thread_id"),
-        F.coalesce("depth", F.when(F.col("reply_to").isNotNull(), 1), F.lit(0)).alias("depth"),
+    replies = best.select("key", F.col("b.origin").alias("reply_to"), "linked")
+    above = threads(replies.select("key", "reply_to"))
+    return rows.join(replies, "key", "left").join(above, "key", "left").select(
+        "msg_id", "conv_id", "sent", "reply_to", F.coalesce("thread_id", "msg_id").alias("thread_id"),
+        F.coalesce("depth", F.lit(0)).alias("depth"),
         F.size(F.array_distinct(F.transform("quoted", lambda q: q["level"]))).alias("quotes"),
         F.coalesce("linked", F.lit(0)).cast("int").alias("linked"), F.col("own").alias("text"))
 

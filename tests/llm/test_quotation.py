@@ -67,7 +67,7 @@ def test_repeats_null_ids_and_empty(spark):
     rows = [ROWS[0], ROWS[1], ROWS[1], (None, 1, 7, "> I agree!\nx"), (None, None, None, None)]
     out = q.conversations(frame(spark, rows)).collect()
     assert len(out) == 5 and [r.reply_to for r in out if r.msg_id == "b"] == ["a", "a"]
-    assert sorted(str(r.reply_to) for r in out if r.msg_id is None) == ["None", "b"]
+    assert sorted((str(r.conv_id), r.text, r.reply_to) for r in out if r.msg_id is None) == [("1", "x", "b"), ("None", "", None)]
     assert q.conversations(frame(spark, [])).count() == 0
 
 
@@ -80,7 +80,7 @@ def test_derived_mail_and_written_order(spark, tmp_path):
     text = {f"{r.conv_id}/{r.turn}": r.text for r in turns.collect()}
     assert all(got[m][3] == t.strip() for m, t in text.items())
     linked = [m for m, g in got.items() if g[0]]
-    assert len(linked) > 50
+    assert len(linked) > 40
     q.write_conversations(mail, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     for part in back.selectExpr("*", "input_file_name() AS f").toPandas().groupby("f"):
