@@ -1,9 +1,8 @@
 """Advisory assembly: exclusions, destination context, assumptions,
 advisory text, the nested per-pass record, integrity check and display strings.
 
-All per-pass aggregations group by ``pass_id``; the pass context and the covered
-pairs are both hash-partitioned on it, so they aggregate and join without another
-exchange. The nested record collects at most ``top`` recommendations per pass.
+Everything here is an expression on the pass row, which already carries its counts and
+its ranked lounges (``concourse.plans.recommend``): no join back, no exchange.
 """
 
 from __future__ import annotations
@@ -11,19 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concourse.operators.recommend import A_NO_DESTINATION, ALTERNATIVES
+from concourse.operators.recommend import A_NO_DESTINATION, ALTERNATIVES, why_recommended
 from concourse.plans.joins import sized_broadcast
 
 
-def with_exclusions(ctx: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds candidates, kept, excluded for time / unknown hours and ``none_cover``.
-    ``pairs`` and ``ctx`` share the ``pass_id`` partitioning: no extra exchange."""
-    kept = pairs.groupBy("pass_id").agg(F.count(F.lit(1)).alias("kept"))
-    s = ctx.join(kept, "pass_id", "left")
+def with_exclusions(ctx: DataFrame) -> DataFrame:
+    """Adds candidates, excluded for time / unknown hours and ``none_cover`` to passes that
+    carry ``kept``, ``n_lounges`` and ``n_unknown_hours``."""
     unknown = F.when(F.col("window_status").isin("open", "expired"), F.col("n_unknown_hours")).otherwise(F.lit(0))
-    s = s.withColumns({"kept": F.coalesce("kept", F.lit(0)).cast("long"),
-                       "candidates": F.col("n_lounges").cast("long"),
-                       "excluded_unknown": unknown.cast("long")})
+    s = ctx.withColumns({"candidates": F.col("n_lounges").cast("long"), "excluded_unknown": unknown.cast("long")})
     return s.withColumns({
         "excluded_time": F.col("candidates") - F.col("kept") - F.col("excluded_unknown"),
         "none_cover": (F.col("candidates") > 0) & (F.col("kept") == 0)})
@@ -32,9 +27,9 @@ def with_exclusions(ctx: DataFrame, pairs: DataFrame) -> DataFrame:
 EXCLUSION_COLS = ["pass_id", "candidates", "kept", "excluded_time", "excluded_unknown", "none_cover"]
 
 
-def exclusion_summary(ctx: DataFrame, pairs: DataFrame) -> DataFrame:
+def exclusion_summary(ctx: DataFrame) -> DataFrame:
     """Per pass: candidates, kept, excluded for time, excluded for unknown hours."""
-    return with_exclusions(ctx, pairs).select(*EXCLUSION_COLS)
+    return with_exclusions(ctx).select(*EXCLUSION_COLS)
 
 
 def routes_from_orders(orders: DataFrame) -> DataFrame:
@@ -131,49 +126,51 @@ def advisory_col() -> Column:
                     F.coalesce(none, F.lit("")), F.coalesce(destination, F.lit("")))
 
 
-def pass_summary(ctx: DataFrame, pairs: DataFrame, routes: DataFrame) -> DataFrame:
-    """One wide row per pass: context + destination (broadcast routes) + exclusions
-    (co-partitioned left join) + the advisory text and assumption list."""
-    wide = with_exclusions(with_destination(ctx, routes), pairs)
+def pass_summary(ctx: DataFrame, routes: DataFrame) -> DataFrame:
+    """One wide row per pass: context + destination (routes by size) + exclusions + the advisory
+    text and assumption list, the pass's own assumptions first."""
+    wide = with_exclusions(with_destination(ctx, routes))
     if "assumptions" not in wide.columns:
         wide = wide.withColumn("assumptions", F.array().cast("array<string>"))
     return wide.withColumns({"all_assumptions": assumptions_col(), "advisory": advisory_col()})
 
 
-REC_FIELDS = ["lounge_id", "name", "terminal", "opening_hours", "amenities", "access_notes",
-              "source_url", "why_recommended"]
+REC_FIELDS = ["lounge_id", "name", "terminal", "opening_hours", "amenities", "access_notes"]
 
 
-def advisory_record(summary: DataFrame, rec_rows: DataFrame) -> DataFrame:
-    """One nested row per pass; passes without recommendations get ``[]`` (left join),
-    ``time_window`` is null when there is no window, ``destination_context`` null
+def advisory_record(summary: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One nested row per pass of a summary with ``top``, with the pass columns ``keep``;
+    ``recommendations`` is ``[]`` when
+    there are none, ``time_window`` null without a window, ``destination_context`` null
     when the destination is missing."""
-    recs = rec_rows.groupBy("pass_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", *REC_FIELDS))).alias("_recs"))
-    j = summary.join(recs, "pass_id", "left")
     time_window = F.when(F.col("window_status").isin("open", "expired"), F.struct(
         F.col("start_hhmm").alias("start"), F.col("end_hhmm").alias("end"), F.col("overnight")))
-    recs_out = F.transform(F.coalesce(F.col("_recs"), F.array()),
-                           lambda r: F.struct(*[r[f].alias(f) for f in REC_FIELDS]))
+
+    def one(t: Column) -> Column:
+        lounge = t["lounge"]
+        why = why_recommended(F.col("terminal_tier"), t["other"] == 0, lounge["terminal"], F.col("window_status"),
+                              F.col("start_hhmm"), F.col("end_hhmm"))
+        return F.struct(*[lounge[f].alias(f) for f in REC_FIELDS], lounge["detail_url"].alias("source_url"),
+                        why.alias("why_recommended"))
+
     dest_ctx = F.when(F.col("has_destination"), F.struct(
         F.col("dest_iata").alias("iata"), F.col("dest_city").alias("city"),
         "flight_duration_estimate", "arrival_insight", "uncertainty"))
-    return j.select(
-        "pass_id",
+    return summary.select(
+        "pass_id", *keep,
         time_window.alias("time_window"),
         "available_terminals",
         "advisory",
-        recs_out.alias("recommendations"),
+        F.transform("top", one).alias("recommendations"),
         F.col("all_assumptions").alias("assumptions"),
         dest_ctx.alias("destination_context"))
 
 
-def integrity_violations(model_recs: DataFrame, passes: DataFrame, capped: DataFrame) -> DataFrame:
-    """Recommended (pass_id, lounge_id) rows whose lounge is not a candidate of that
-    pass's airport: ``left_anti`` against the capped catalog (broadcast, bounded)."""
-    with_airport = model_recs.join(passes.select("pass_id", "airport_code"), "pass_id", "left")
-    valid = sized_broadcast(capped.select("airport_code", "lounge_id"))
-    return with_airport.join(valid, ["airport_code", "lounge_id"], "left_anti").select("pass_id", "lounge_id")
+def integrity_violations(model_recs: DataFrame, lounges: DataFrame) -> DataFrame:
+    """(pass_id, lounge_id) of the recommendations (pass_id, airport_code, lounge_id) whose
+    lounge is no candidate of that airport: ``left_anti`` against the whole catalog."""
+    valid = lounges.select("airport_code", "lounge_id")
+    return model_recs.join(valid, ["airport_code", "lounge_id"], "left_anti").select("pass_id", "lounge_id")
 
 
 def assert_integrity(violations: DataFrame) -> None:
@@ -187,23 +184,22 @@ def _pct(c: Column) -> Column:
     return F.concat(F.format_string("%.0f", c * 100), F.lit("%"))
 
 
-def report_view(record: DataFrame, passes: DataFrame) -> DataFrame:
-    """Display strings: ``start to end`` (+ `` (overnight)``), terminals joined ``, ``,
-    confidences as whole percents; absent fields shown as ``N/A``."""
-    p = passes.select("pass_id", "airport_code", "dest_iata", "terminal", "terminal_confidence", "gate")
-    j = record.join(p, "pass_id", "left")
+SHOWN = {"airport_text": "airport_code", "airport_city_text": "airport_city", "destination_text": "dest_iata",
+         "destination_city_text": "dest_city", "terminal_text": "pass_terminal", "gate_text": "gate",
+         "flight_text": "flight_number", "departure_text": "departure", "boarding_text": "boarding"}
+SHOWN_PERCENT = {"terminal_confidence_text": "terminal_confidence", "destination_confidence_text": "dest_confidence"}
+
+
+def report_view(records: DataFrame) -> DataFrame:
+    """Display strings of advisory records that kept their pass columns. A field that the pass
+    does not have at all is ``N/A``; one that is there and null stays null. Times read ``start
+    to end`` (+ `` (overnight)``), terminals are joined by ``, ``, confidences are whole percents."""
     tw = F.col("time_window")
     time_text = F.when(tw.isNotNull() & tw["start"].isNotNull(), F.concat(
         tw["start"], F.lit(" to "), tw["end"], F.when(tw["overnight"], F.lit(" (overnight)")).otherwise(F.lit(""))))
-    dest_conf = F.when(F.col("dest_iata").isNotNull(), F.lit(0.99)).otherwise(F.lit(0.0))
-    return j.select(
-        "pass_id",
-        F.concat(F.coalesce(F.col("airport_code"), F.lit("N/A")), F.lit(" - N/A")).alias("airport_text"),
-        F.concat(F.coalesce(F.col("dest_iata"), F.lit("N/A")), F.lit(" - N/A")).alias("destination_text"),
-        F.coalesce(F.col("terminal"), F.lit("N/A")).alias("terminal_text"),
-        F.coalesce(F.col("gate"), F.lit("N/A")).alias("gate_text"),
-        time_text.alias("time_text"),
-        F.when(F.size("available_terminals") > 0, F.array_join("available_terminals", ", ")).alias("terminals_text"),
-        _pct(F.col("terminal_confidence")).alias("terminal_confidence_text"),
-        _pct(dest_conf).alias("destination_confidence_text"),
+    terminals = F.when(F.size("available_terminals") > 0, F.array_join("available_terminals", ", "))
+    return records.select(
+        "pass_id", *[(F.col(c) if c in records.columns else F.lit("N/A")).alias(n) for n, c in SHOWN.items()],
+        *[_pct(F.col(c)).alias(n) for n, c in SHOWN_PERCENT.items() if c in records.columns],
+        time_text.alias("time_text"), terminals.alias("terminals_text"),
         F.size("recommendations").alias("n_recommendations"))

@@ -94,7 +94,7 @@ terms AS (
          list_sort(list_distinct(list(terminal) FILTER (WHERE terminal <> ''))) AS avail,
          count(*) AS n_lounges,
          count(*) FILTER (WHERE opening_hours = 'N/A') AS n_unknown
-  FROM capped GROUP BY airport_code),
+  FROM lounges GROUP BY airport_code),
 win AS (
   SELECT p.*, hour(now_ts) * 60 + minute(now_ts) AS s, strftime(now_ts, '%H:%M') AS start_hhmm,
          coalesce(boarding, departure) AS end_hhmm,
@@ -127,9 +127,9 @@ ctx2 AS (
          WHEN tier = 4 THEN 'Terminal unknown; recommendations spread across terminals.' END AS t_assumption
   FROM ctx),
 cand AS (
-  SELECT c.pass_id, c.window_status, c.s, c.e, c.tier, c.eff, c.start_hhmm, c.end_hhmm,
+  SELECT c.pass_id, c.airport_code, c.window_status, c.s, c.e, c.tier, c.eff, c.start_hhmm, c.end_hhmm,
          l.lounge_id, l.terminal AS l_terminal, l.opening_hours, l.name, l.amenities, l.access_notes, l.detail_url
-  FROM ctx2 c JOIN capped l ON l.airport_code = c.airport_code),
+  FROM ctx2 c JOIN lounges l ON l.airport_code = c.airport_code),
 covered AS (
   SELECT * FROM cand WHERE window_status = 'none' OR opening_hours = 'Open 24 hours'
   UNION ALL
@@ -196,6 +196,31 @@ def _q(select: str, source: str = "customer") -> str:
 FLAT = ("airport_code, lounge_id, name, terminal, opening_hours, amenities, access_notes, "
         "array_to_string(conditions, '|') AS conditions_text, image_url, detail_url")
 
+ROLL_CTE = f"""
+        , roll AS (
+          SELECT c.pass_id,
+            list_concat(list_concat([x FOR x IN [c.t_assumption] IF x IS NOT NULL], a.wa),
+                        [CASE WHEN d.has_destination THEN d.uncertainty ELSE '{A_NO_DESTINATION}' END]) AS al
+          FROM ctx2 c JOIN wassume a ON a.pass_id = c.pass_id JOIN dest d ON d.pass_id = c.pass_id)"""
+
+ADVISORY_SELECT = f"""
+        SELECT c.pass_id,
+          CASE WHEN c.window_status = 'open'
+               THEN 'Your stay runs from ' || c.start_hhmm || ' to ' || c.end_hhmm
+                    || CASE WHEN c.e >= 1440 THEN ' (overnight)' ELSE '' END || '.'
+               ELSE 'No boarding or departure time is known, so every lounge is considered.' END
+          || CASE WHEN len(c.avail) > 0 THEN ' Lounges are available in terminals ' || array_to_string(c.avail, ', ') || '.' ELSE '' END
+          || CASE WHEN x.candidates > 0 THEN ' ' || CAST(x.kept AS VARCHAR) || ' of ' || CAST(x.candidates AS VARCHAR)
+                  || ' lounges cover your whole stay; ' || CAST(x.candidates - x.kept - x.excluded_unknown AS VARCHAR)
+                  || ' excluded due to opening hours, ' || CAST(x.excluded_unknown AS VARCHAR) || ' with unknown hours.'
+                  ELSE '' END
+          || CASE WHEN x.candidates = 0 THEN ' No lounges are listed at this airport. {ALTERNATIVES}'
+                  WHEN x.kept = 0 THEN ' No lounge is open for your whole stay. {ALTERNATIVES}' ELSE '' END
+          || CASE WHEN d.has_destination THEN ' Destination: ' || d.dest_iata
+                  || CASE WHEN d.flight_duration_estimate IS NOT NULL THEN ', ' || d.flight_duration_estimate ELSE '' END
+                  || '.' ELSE '' END AS advisory
+        FROM ctx2 c JOIN excl x ON x.pass_id = c.pass_id JOIN dest d ON d.pass_id = c.pass_id"""
+
 ORACLE = {
     "unnest_lounges": _q(f"SELECT {FLAT} FROM lounges"),
     "lounges_for_airport": _q(f"SELECT {FLAT} FROM lounges WHERE airport_code = 'A07'"),
@@ -214,7 +239,9 @@ ORACLE = {
         SELECT airport_code, array_to_string(avail, ',') AS terminals, CAST(len(avail) AS INTEGER) AS n_terminals
         FROM terms"""),
     "pass_lounge_join": _q("""
-        SELECT c.pass_id, c.airport_code, l.lounge_id FROM ctx2 c JOIN capped l ON l.airport_code = c.airport_code"""),
+        , per AS (SELECT airport_code, terminal, count(*) AS n_lounges FROM lounges GROUP BY airport_code, terminal)
+        SELECT c.pass_id, c.airport_code, l.terminal, l.n_lounges
+        FROM ctx2 c JOIN per l ON l.airport_code = c.airport_code"""),
     "stay_window": _q("""
         SELECT w.pass_id, w.window_status, w.start_hhmm, w.end_hhmm,
                CASE WHEN w.end_hhmm IS NOT NULL THEN w.e >= 1440 END AS overnight,
@@ -240,7 +267,9 @@ ORACLE = {
                           OVER (PARTITION BY opening_hours ORDER BY o, c ROWS UNBOUNDED PRECEDING) AS grp FROM ord)
         SELECT opening_hours, CAST(min(o) AS INTEGER) AS o, CAST(max(c) AS INTEGER) AS c
         FROM isl GROUP BY opening_hours, grp""",
-    "hours_cover_window": _q("SELECT pass_id, lounge_id FROM covered"),
+    "hours_cover_window": _q("""
+        SELECT pass_id, airport_code, l_terminal AS terminal, count(*) AS n_lounges
+        FROM covered GROUP BY pass_id, airport_code, l_terminal"""),
     "exclusion_summary": _q("""
         SELECT pass_id, candidates, kept, candidates - kept - excluded_unknown AS excluded_time,
                excluded_unknown, candidates > 0 AND kept = 0 AS none_cover
@@ -249,65 +278,51 @@ ORACLE = {
         SELECT pass_id, eff AS effective_terminal, CAST(tier AS INTEGER) AS terminal_tier,
                coalesce(t_assumption, '') AS terminal_assumption FROM ctx2"""),
     "terminal_spread": _q("""
-        SELECT pass_id, lounge_id, CAST(spread AS INTEGER) AS spread FROM sp""", "supplier"),
+        SELECT pass_id, lounge_id, CAST(spread AS INTEGER) AS spread FROM sp WHERE spread <= 5""", "supplier"),
     "top_lounges": _q("SELECT pass_id, lounge_id, rank FROM top5"),
     "recommendation_rows": _q("""
         SELECT pass_id, rank, lounge_id, name, l_terminal AS terminal, opening_hours,
                coalesce(amenities, '') AS amenities, access_notes, detail_url AS source_url, why_recommended
         FROM top5""", "supplier"),
     "destination_context": _q("SELECT * FROM dest"),
-    "assumptions_rollup": _q(f"""
-        , roll AS (
-          SELECT c.pass_id,
-            list_concat(list_concat([x FOR x IN [c.t_assumption] IF x IS NOT NULL], a.wa),
-                        [CASE WHEN d.has_destination THEN d.uncertainty ELSE '{A_NO_DESTINATION}' END]) AS al
-          FROM ctx2 c JOIN wassume a ON a.pass_id = c.pass_id JOIN dest d ON d.pass_id = c.pass_id)
+    "assumptions_rollup": _q(ROLL_CTE + """
         SELECT pass_id, CAST(len(al) AS INTEGER) AS n_assumptions, array_to_string(al, ' | ') AS assumptions
         FROM roll""", "supplier"),
-    "advisory_text": _q(f"""
-        SELECT c.pass_id,
-          CASE WHEN c.window_status = 'open'
-               THEN 'Your stay runs from ' || c.start_hhmm || ' to ' || c.end_hhmm
-                    || CASE WHEN c.e >= 1440 THEN ' (overnight)' ELSE '' END || '.'
-               ELSE 'No boarding or departure time is known, so every lounge is considered.' END
-          || CASE WHEN len(c.avail) > 0 THEN ' Lounges are available in terminals ' || array_to_string(c.avail, ', ') || '.' ELSE '' END
-          || CASE WHEN x.candidates > 0 THEN ' ' || CAST(x.kept AS VARCHAR) || ' of ' || CAST(x.candidates AS VARCHAR)
-                  || ' lounges cover your whole stay; ' || CAST(x.candidates - x.kept - x.excluded_unknown AS VARCHAR)
-                  || ' excluded due to opening hours, ' || CAST(x.excluded_unknown AS VARCHAR) || ' with unknown hours.'
-                  ELSE '' END
-          || CASE WHEN x.candidates = 0 THEN ' No lounges are listed at this airport. {ALTERNATIVES}'
-                  WHEN x.kept = 0 THEN ' No lounge is open for your whole stay. {ALTERNATIVES}' ELSE '' END
-          || CASE WHEN d.has_destination THEN ' Destination: ' || d.dest_iata
-                  || CASE WHEN d.flight_duration_estimate IS NOT NULL THEN ', ' || d.flight_duration_estimate ELSE '' END
-                  || '.' ELSE '' END AS advisory
-        FROM ctx2 c JOIN excl x ON x.pass_id = c.pass_id JOIN dest d ON d.pass_id = c.pass_id""", "supplier"),
-    "advisory_record": _q(f"""
-        , nrec AS (SELECT pass_id, CAST(count(*) AS INTEGER) AS n, arg_min(lounge_id, rank) AS first_id FROM top5 GROUP BY pass_id)
-        SELECT c.pass_id, coalesce(n.n, 0) AS n_recommendations, c.window_status = 'open' AS has_window,
-               d.has_destination, n.first_id AS first_lounge_id,
-               CAST(CASE WHEN c.t_assumption IS NULL THEN 0 ELSE 1 END + len(a.wa) + 1 AS INTEGER) AS n_assumptions
-        FROM ctx2 c LEFT JOIN nrec n ON n.pass_id = c.pass_id JOIN dest d ON d.pass_id = c.pass_id
-             JOIN wassume a ON a.pass_id = c.pass_id""", "supplier"),
+    "advisory_text": _q(ADVISORY_SELECT, "supplier"),
+    "advisory_record": _q(ROLL_CTE + f""",
+        adv AS ({ADVISORY_SELECT}),
+        recs AS (
+          SELECT pass_id, string_agg(concat_ws('|', lounge_id, name, coalesce(l_terminal, '-'), opening_hours,
+                   coalesce(amenities, ''), coalesce(access_notes, '-'), detail_url, why_recommended),
+                   ' & ' ORDER BY rank) AS recommendations
+          FROM top5 GROUP BY pass_id)
+        SELECT c.pass_id, CASE WHEN c.window_status = 'open' THEN c.start_hhmm END AS window_start,
+               CASE WHEN c.window_status = 'open' THEN c.end_hhmm END AS window_end,
+               CASE WHEN c.window_status = 'open' THEN c.e >= 1440 END AS overnight,
+               array_to_string(c.avail, ',') AS terminals, a.advisory, coalesce(r.recommendations, '') AS recommendations,
+               array_to_string(o.al, ' | ') AS assumptions, d.dest_iata, d.flight_duration_estimate AS duration,
+               d.arrival_insight AS arrival, d.uncertainty
+        FROM ctx2 c JOIN adv a ON a.pass_id = c.pass_id JOIN roll o ON o.pass_id = c.pass_id
+             JOIN dest d ON d.pass_id = c.pass_id LEFT JOIN recs r ON r.pass_id = c.pass_id""", "supplier"),
     "recommendation_integrity": _q("""
         , model AS (
           SELECT pass_id, 'S9' || lpad(CAST(pass_id AS VARCHAR), 8, '0') AS lounge_id FROM passes WHERE pass_id % 17 = 0
           UNION ALL
           SELECT pass_id, 'S000000000' FROM passes WHERE pass_id % 17 = 1)
         SELECT m.pass_id, m.lounge_id FROM model m JOIN passes p ON p.pass_id = m.pass_id
-        WHERE NOT EXISTS (SELECT 1 FROM capped c WHERE c.airport_code = p.airport_code AND c.lounge_id = m.lounge_id)""",
+        WHERE NOT EXISTS (SELECT 1 FROM lounges c WHERE c.airport_code = p.airport_code AND c.lounge_id = m.lounge_id)""",
                                    "supplier"),
     "report_view": _q("""
         , nrec AS (SELECT pass_id, CAST(count(*) AS INTEGER) AS n FROM top5 GROUP BY pass_id)
-        SELECT c.pass_id, c.airport_code || ' - N/A' AS airport_text,
-               coalesce(c.dest_iata, 'N/A') || ' - N/A' AS destination_text,
-               coalesce(c.terminal, 'N/A') AS terminal_text, coalesce(c.gate, 'N/A') AS gate_text,
+        SELECT c.pass_id, c.airport_code AS airport_text, 'N/A' AS airport_city_text, c.dest_iata AS destination_text,
+               'N/A' AS destination_city_text, c.terminal AS terminal_text, c.gate AS gate_text,
+               'XY' || CAST(c.pass_id AS VARCHAR) AS flight_text, c.departure AS departure_text,
+               c.boarding AS boarding_text,
                CASE WHEN c.window_status = 'open'
                     THEN c.start_hhmm || ' to ' || c.end_hhmm || CASE WHEN c.e >= 1440 THEN ' (overnight)' ELSE '' END
                END AS time_text,
                CASE WHEN len(c.avail) > 0 THEN array_to_string(c.avail, ', ') END AS terminals_text,
                printf('%.0f', c.terminal_confidence * 100) || '%' AS terminal_confidence_text,
-               printf('%.0f', CASE WHEN c.dest_iata IS NOT NULL THEN 0.99 ELSE 0.0 END * 100) || '%'
-                 AS destination_confidence_text,
                coalesce(n.n, 0) AS n_recommendations
         FROM ctx2 c LEFT JOIN nrec n ON n.pass_id = c.pass_id""", "supplier"),
     "recommend_batch": _q("""

@@ -1,185 +1,167 @@
 """The flagship plan: passes + catalog -> ranked lounge recommendations.
 
-    lounges -> contract -> cap 50/airport -> hours per distinct string -> lounge dim
-            -> (airport, day bucket, merged interval) rows      [bounded, broadcast]
-            -> per-airport stats: terminals, #lounges, #unknown hours [bounded, broadcast]
-    passes  -> airport check -> repartition(n, pass_id) -> BHJ stats -> window, tier
-            -> BHJ lounge buckets ON airport, bucket AND o <= start AND c >= end
-            -> spread / rank windows (reuse the pass_id partitioning) -> top 5
-
-Range join as an equi-join: a stay can only be inside an interval that overlaps
-the stay's start day, so each merged interval is listed once per weekday bucket
-it overlaps and the pass probes the bucket of its start minute; the containment
-test is the join condition. Passes without a window probe bucket -1, which lists
-every lounge. The join emits covered pairs only; no uncovered pair is materialised.
-
-Only the one-time ``repartition(n, pass_id)`` of pass rows is an exchange on
-data that grows with the passes; the catalog side is bounded by ``cap x airports``
-and is broadcast only after ``sized_broadcast`` proves its size.
+    lounges -> contract -> hours per distinct string
+            -> (airport, terminal, merged hours) groups: count, first 5 lounges by id
+            -> one row per airport: its groups, terminals and counts   [byte-checked broadcast]
+    passes  -> airport check -> join on airport -> stay window, tier
+            -> in the row: groups that cover the stay -> spread per terminal -> top 5
+
+The group prune is exact. Ranking orders by (matched, spread, id), where spread is the
+position among the covered lounges of one terminal; a lounge behind 5 others of its own
+terminal and hours is covered only when they are, so its spread exceeds 5 and 5 lounges
+rank before it. Counts of candidates and of covered lounges are sums of group counts, so
+every lounge of the catalog takes part in them. Groups are told apart by merged intervals, not
+by the printed string, so other spellings of one schedule make no new group.
+
+Pass rows are never shuffled and no (pass, lounge) pair becomes a row: the join adds one
+array per pass and the ranking is an expression on it. Beyond the byte check of the
+catalog side the join is left to Spark: a shuffle join on the airport, whose hot keys AQE
+splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concourse.functions.hours import DAY_MINUTES
+from concourse.functions.hours import DAY_MINUTES, WEEK_MINUTES
 from concourse.operators import catalog as cat
 from concourse.operators import recommend as rec
-from concourse.plans.joins import DEFAULT_BROADCAST_ROWS, sized_broadcast
+from concourse.plans.joins import sized_broadcast
 from concourse.session import materialize
 
-NO_WINDOW_BUCKET = -1
-EXPIRED_BUCKET = -2  # matches no lounge row; keeps the probe key non-null
-
-# Pass-level columns carried through the ranking (the rest stay in the context).
-# ``effective_terminal`` is only needed for ``matched``, which the join computes, and
-# the lounge ``terminal`` string comes back with the details of the ranked rows: the
-# fan-out rows (up to ``cap`` per pass) carry integer keys instead of those strings.
-PAIR_PASS_COLS = ["pass_id", "terminal_tier", "window_status", "start_hhmm", "end_hhmm"]
+TOP = 5
 LOUNGE_DETAIL_COLS = ["lounge_id", "name", "terminal", "opening_hours", "amenities", "access_notes",
                       "detail_url"]
 
 
-def lounge_dimension(lounges: DataFrame, cap: int = 50) -> DataFrame:
-    """Served, capped lounges with parsed and merged opening intervals."""
+def lounge_groups(lounges: DataFrame, top: int = TOP, cap: int | None = None) -> DataFrame:
+    """(airport_code, terminal, intervals, always_open, n, first) of the served lounges:
+    ``intervals`` merged, null when unknown; ``first`` the ``top`` lounges of smallest id.
+    Only ``first`` lounges leave their map task; counts are partial sums."""
     served, _rejected = cat.catalog_contract(lounges)
-    capped = cat.cap_per_airport(served, cap)
-    hours = rec.hours_dimension(capped)
-    # Bounded by cap x airports. Checkpointed to the shared folder: the grammar runs
-    # once, the size checks below read a small materialised table, and the lineage
-    # back to the raw catalog is cut.
-    # No hint on this join: AQE plans it from the measured size of the hours side.
-    # term_key: per-airport rank of the terminal (null is its own group) -- an
-    # integer that groups like the terminal string, for cheap ranking sort keys.
-    term_key = F.dense_rank().over(Window.partitionBy("airport_code").orderBy("terminal"))
-    return materialize(capped.join(hours, "opening_hours", "left").withColumn("term_key", term_key))
-
-
-def airport_stats(dim: DataFrame) -> DataFrame:
-    """Per airport: sorted terminals, number of (capped) lounges, lounges with unknown hours."""
+    if cap is not None:
+        served = cat.cap_per_airport(served, cap)
+    hours = rec.hours_dimension(served).select("opening_hours", "intervals", "always_open")
+    rows = served.select("airport_code", *LOUNGE_DETAIL_COLS).join(hours, "opening_hours", "left")
+    rows = rows.withColumn("gid", F.xxhash64("airport_code", "terminal", "intervals"))
+    key = ["airport_code", "terminal", "gid"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("lounge_id"))
+    first = (rows.withColumn("pos", rank).filter(F.col("pos") <= top)
+             .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*LOUNGE_DETAIL_COLS))).alias("first"),
+                                F.first("intervals").alias("intervals"), F.first("always_open").alias("always_open")))
+    count = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    same = (F.col("f.gid") == F.col("c.gid")) & (F.col("f.airport_code") == F.col("c.airport_code"))
+    return first.alias("f").join(count.alias("c"), same).select(
+        "f.airport_code", "f.terminal", "f.intervals", "f.always_open", "c.n", "f.first")
+
+
+def airport_catalog(lounges: DataFrame, top: int = TOP, cap: int | None = None) -> DataFrame:
+    """One row per airport: ``groups``, ``available_terminals``, ``n_lounges``,
+    ``n_unknown_hours``. Its size follows the variety of terminals and schedules, not the
+    number of lounges. Checkpointed to the shared folder, so the grammar runs once."""
+    groups = lounge_groups(lounges, top, cap)
+    # a stay starts in the base week, so only intervals that reach into it can hold it
+    near = F.filter("intervals", lambda iv: (iv["c"] >= 0) & (iv["o"] < WEEK_MINUTES))
     term = F.when(F.col("terminal") != "", F.col("terminal"))
-    return dim.groupBy("airport_code").agg(
+    group = F.struct("terminal", near.alias("intervals"), F.coalesce("always_open", F.lit(False)).alias("always_open"),
+                     "n", "first")
+    return materialize(groups.groupBy("airport_code").agg(
+        F.collect_list(group).alias("groups"),
         F.array_sort(F.collect_set(term)).alias("available_terminals"),
-        F.count(F.lit(1)).alias("n_lounges"),
-        F.count_if(F.col("intervals").isNull()).alias("n_unknown_hours"))
-
-
-def lounge_buckets(dim: DataFrame) -> DataFrame:
-    """Lounge rows keyed for the binned range join (see module doc)."""
-    per_iv = (dim.filter(F.col("intervals").isNotNull())
-              .select("*", F.explode("intervals").alias("iv"))
-              .withColumn("o", F.col("iv.o")).withColumn("c", F.col("iv.c"))
-              # only intervals that overlap the base week can contain a start minute
-              .filter((F.col("c") >= 0) & (F.col("o") < 7 * DAY_MINUTES))
-              .withColumn("bucket", F.explode(F.sequence(
-                  F.greatest(F.lit(0), F.floor(F.col("o") / DAY_MINUTES).cast("int")),
-                  F.least(F.lit(6), F.floor(F.col("c") / DAY_MINUTES).cast("int")))))
-              .filter(F.col("c") >= F.col("bucket") * DAY_MINUTES)
-              .drop("iv"))
-    no_window = (dim.withColumn("o", F.lit(None).cast("int")).withColumn("c", F.lit(None).cast("int"))
-                 .withColumn("bucket", F.lit(NO_WINDOW_BUCKET)))
-    keep = ["airport_code", "bucket", "lounge_id", "terminal", "term_key", "catalog_pos", "always_open", "o", "c"]
-    return per_iv.select(*keep).unionByName(no_window.select(*keep))
-
-
-def pass_context(passes: DataFrame, stats: DataFrame, partitions: int | None = None,
-                 checked: bool = False) -> DataFrame:
-    """Pass-level facts: stay window, airport stats, effective terminal and tier, and
-    the probe ``bucket``. The one shuffle of pass rows happens here (hash on
-    ``pass_id``); every later per-pass window and aggregation reuses it."""
+        F.sum("n").alias("n_lounges"),
+        F.sum(F.when(F.col("intervals").isNull(), F.col("n")).otherwise(0)).alias("n_unknown_hours")))
+
+
+def pass_context(passes: DataFrame, airports: DataFrame) -> DataFrame:
+    """Pass-level facts: stay window, airport facts and groups, effective terminal and tier."""
     accepted, _rejected = cat.require_airport(passes)
-    accepted = accepted.withColumnRenamed("terminal", "pass_terminal")
-    # An explicit count: AQE would coalesce a by-column repartition to the size of
-    # the pass rows, but each pass fans out to up to ``cap`` pairs downstream.
-    n = partitions or int(passes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stats = stats if checked else sized_broadcast(stats)
-    ctx = accepted.repartition(n, "pass_id").join(stats, "airport_code", "left")
+    accepted = rec.stay_window(accepted.withColumnRenamed("terminal", "pass_terminal"))
+    ctx = accepted.join(sized_broadcast(airports), "airport_code", "left")
+    none = F.array().cast(airports.schema["groups"].dataType)
     ctx = ctx.withColumns({
+        "groups": F.coalesce("groups", none),
         "available_terminals": F.coalesce("available_terminals", F.array().cast("array<string>")),
         "n_lounges": F.coalesce("n_lounges", F.lit(0)),
         "n_unknown_hours": F.coalesce("n_unknown_hours", F.lit(0))})
-    ctx = rec.terminal_match(rec.stay_window(ctx), terminal="pass_terminal")
-    status = F.col("window_status")
-    # Never null: a nullable join key would make Catalyst infer an IS NOT NULL
-    # filter and push the whole window expression down into the scan.
-    bucket = (F.when(status == "open", F.floor(F.col("start_mow") / DAY_MINUTES).cast("int"))
-              .when(status.isin("none", "unreadable"), F.lit(NO_WINDOW_BUCKET))
-              .otherwise(F.lit(EXPIRED_BUCKET)))
-    return ctx.withColumn("bucket", bucket)
-
-
-def covered_pairs(ctx: DataFrame, buckets: DataFrame, checked: bool = False) -> DataFrame:
-    """(pass, lounge) pairs whose opening hours contain the whole stay."""
-    b = (buckets if checked else sized_broadcast(buckets)).alias("b")
-    p = ctx.alias("p")
-    cond = ((F.col("p.airport_code") == F.col("b.airport_code")) & (F.col("p.bucket") == F.col("b.bucket"))
-            & ((F.col("b.bucket") == NO_WINDOW_BUCKET)
-               | F.col("b.always_open")
-               | ((F.col("b.o") <= F.col("p.start_mow")) & (F.col("b.c") >= F.col("p.end_mow"))
-                  & (F.col("p.duration_min") <= 7 * DAY_MINUTES))))
-    matched = (F.col("p.terminal_tier") < 4) & (F.col("b.terminal") == F.col("p.effective_terminal"))
-    return p.join(b, cond, "inner").select(*[F.col(f"p.{c}") for c in PAIR_PASS_COLS],
-                                           F.col("b.lounge_id"), F.col("b.term_key"), F.col("b.catalog_pos"),
-                                           F.coalesce(matched, F.lit(False)).alias("matched"))
-
-
-def candidate_pairs(ctx: DataFrame, dim: DataFrame) -> DataFrame:
-    """Every pass with every capped lounge of its departure airport (no time rule)."""
-    return ctx.join(sized_broadcast(dim.drop("raw_intervals")), "airport_code", "inner")
-
-
-def plan_parts(passes: DataFrame, lounges: DataFrame, cap: int = 50,
-               partitions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pass context, lounge dimension, covered pairs) for composing the 2.6 keys.
-
-    One count of the checkpointed dimension bounds every side derived from it:
-    stats <= dim rows, buckets <= 8 x dim rows (7 weekday buckets + the no-window
-    row per merged interval overlap), details <= dim rows. Within the bound the
-    sides are broadcast; beyond it they are left to sort-merge joins (with AQE
-    skew handling), so no extra size job runs per side."""
-    dim = lounge_dimension(lounges, cap)
-    bound = dim.count() * 8
-    small = bound <= DEFAULT_BROADCAST_ROWS
-    stats, buckets = airport_stats(dim), lounge_buckets(dim)
-    if small:
-        stats, buckets = F.broadcast(stats), F.broadcast(buckets)
-    ctx = pass_context(passes, stats, partitions, checked=True)
-    return ctx, dim, covered_pairs(ctx, buckets, checked=True)
-
-
-def ranked(passes: DataFrame, lounges: DataFrame, cap: int = 50, top: int = 5,
-           partitions: int | None = None) -> DataFrame:
-    """Top ``top`` lounges per pass with their details. Ranking runs on narrow rows."""
-    _ctx, dim, pairs = plan_parts(passes, lounges, cap, partitions)
-    return with_lounge_details(rank_pairs(pairs, top), dim)
-
-
-def rank_pairs(pairs: DataFrame, top: int = 5) -> DataFrame:
-    """Spread/rank on integer surrogate keys: within one pass every lounge is at the
-    same airport, so ``catalog_pos`` orders like ``lounge_id`` and ``term_key``
-    groups like ``terminal``."""
-    return rec.spread_and_rank(pairs, top, terminal="term_key", order="catalog_pos")
-
-
-def with_lounge_details(ranked_pairs: DataFrame, dim: DataFrame) -> DataFrame:
-    """Attach the copied lounge fields to the (at most ``top`` per pass) ranked rows.
-    ``dim`` is checkpointed, so its size check reads a small materialised table."""
-    return ranked_pairs.join(sized_broadcast(dim.select(*LOUNGE_DETAIL_COLS)), "lounge_id", "inner")
-
-
-def recommendation_rows(ranked_pairs: DataFrame) -> DataFrame:
-    """The seven copied lounge fields (``detail_url`` as ``source_url``) + ``why_recommended``."""
-    return ranked_pairs.select(
-        "pass_id", "rank", "lounge_id", "name", "terminal", "opening_hours",
-        "amenities", "access_notes", F.col("detail_url").alias("source_url"),
-        "terminal_tier", "matched",
-        rec.why_recommended(F.col("terminal_tier"), F.col("matched"), F.col("terminal"),
-                            F.col("window_status"), F.col("start_hhmm"), F.col("end_hhmm"))
-        .alias("why_recommended"))
-
-
-def recommend_batch(passes: DataFrame, lounges: DataFrame, cap: int = 50, top: int = 5,
-                    partitions: int | None = None) -> DataFrame:
+    return rec.terminal_match(ctx, terminal="pass_terminal")
+
+
+def _covers(g: Column) -> Column:
+    """Whether a group is open for the whole stay. Unknown hours pass only without a window."""
+    status, start, end = F.col("window_status"), F.col("start_mow"), F.col("end_mow")
+    inside = F.exists(g["intervals"], lambda iv: (iv["o"] <= start) & (iv["c"] >= end))
+    week = F.col("duration_min") <= 7 * DAY_MINUTES
+    return (F.when(status.isin("none", "unreadable"), F.lit(True))
+            .when(status == "open", g["always_open"] | F.coalesce(week & inside, F.lit(False)))
+            .otherwise(F.lit(False)))
+
+
+def _matched(terminal: Column) -> Column:
+    return F.coalesce((F.col("terminal_tier") < 4) & (terminal == F.col("effective_terminal")), F.lit(False))
+
+
+def _terminals(groups: Column) -> Column:
+    return F.array_distinct(F.transform(groups, lambda g: g["terminal"]))
+
+
+def terminal_counts(groups: Column) -> Column:
+    """array<struct<terminal, n_lounges>> of a pass's groups."""
+    def one(t: Column) -> Column:
+        own = F.filter(groups, lambda g: g["terminal"].eqNullSafe(t))
+        total = F.aggregate(own, F.lit(0).cast("long"), lambda s, g: s + g["n"])
+        return F.struct(t.alias("terminal"), total.alias("n_lounges"))
+
+    return F.transform(_terminals(groups), one)
+
+
+def _spread(groups: Column, top: int) -> Column:
+    """array<struct<other, spread, lounge>>: the first ``top`` covered lounges of each terminal by
+    id; ``other`` is 0 for the matched terminal."""
+    def of(t: Column) -> Column:
+        own = F.filter(groups, lambda g: g["terminal"].eqNullSafe(t))
+        first = F.slice(F.array_sort(F.flatten(F.transform(own, lambda g: g["first"]))), 1, top)
+        other = F.when(_matched(t), F.lit(0)).otherwise(F.lit(1))
+        return F.transform(first, lambda x, i: F.struct(other.alias("other"), (i + 1).alias("spread"), x.alias("lounge")))
+
+    return F.flatten(F.transform(_terminals(groups), of))
+
+
+def with_covered(ctx: DataFrame) -> DataFrame:
+    """``covered``: the groups whose hours contain the stay; ``kept``: their lounges."""
+    out = ctx.withColumn("covered", F.filter("groups", _covers)).drop("groups")
+    return out.withColumn("kept", F.aggregate("covered", F.lit(0).cast("long"), lambda s, g: s + g["n"]))
+
+
+def with_spread(ctx: DataFrame, top: int = TOP) -> DataFrame:
+    return ctx.withColumn("spreads", _spread(F.col("covered"), top)).drop("covered")
+
+
+def with_top(ctx: DataFrame, top: int = TOP) -> DataFrame:
+    """``top``: the ranked lounges, matched terminal first, then by spread, then by id."""
+    return with_spread(ctx, top).withColumn("top", F.slice(F.array_sort("spreads"), 1, top)).drop("spreads")
+
+
+def context(passes: DataFrame, lounges: DataFrame, top: int = TOP, cap: int | None = None) -> DataFrame:
+    """Every accepted pass with its facts, ``groups`` of its airport and no lounge rows."""
+    return pass_context(passes, airport_catalog(lounges, top, cap))
+
+
+def recommendations(ctx_top: DataFrame) -> DataFrame:
+    """One row per (pass, recommended lounge): the seven copied lounge fields
+    (``detail_url`` as ``source_url``) + ``why_recommended``."""
+    rows = ctx_top.select("pass_id", "terminal_tier", "window_status", "start_hhmm", "end_hhmm",
+                          F.posexplode("top").alias("pos", "t"))
+    lounge = F.col("t.lounge")
+    return rows.select(
+        "pass_id", (F.col("pos") + 1).alias("rank"), lounge["lounge_id"].alias("lounge_id"), lounge["name"].alias("name"),
+        lounge["terminal"].alias("terminal"), lounge["opening_hours"].alias("opening_hours"),
+        lounge["amenities"].alias("amenities"), lounge["access_notes"].alias("access_notes"),
+        lounge["detail_url"].alias("source_url"), "terminal_tier", (F.col("t.other") == 0).alias("matched"),
+        rec.why_recommended(F.col("terminal_tier"), F.col("t.other") == 0, lounge["terminal"],
+                            F.col("window_status"), F.col("start_hhmm"), F.col("end_hhmm")).alias("why_recommended"))
+
+
+def recommend_batch(passes: DataFrame, lounges: DataFrame, top: int = TOP, cap: int | None = None) -> DataFrame:
     """Flat recommendation rows: one per (pass, recommended lounge)."""
-    return recommendation_rows(ranked(passes, lounges, cap, top, partitions))
+    return recommendations(with_top(with_covered(context(passes, lounges, top, cap)), top))

@@ -6,7 +6,7 @@ fixtures and returns flat columns matching the DuckDB oracle of the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concourse.operators import advisory as adv
@@ -68,19 +68,23 @@ def q_cap_per_airport(spark, sf_dir):
 
 
 def q_available_terminals(spark, sf_dir):
-    t = cat.available_terminals(cat.cap_per_airport(fx.lounges(spark, sf_dir), 50))
+    t = cat.available_terminals(fx.lounges(spark, sf_dir))
     return t.select("airport_code", F.array_join("available_terminals", ",").alias("terminals"),
                     F.size("available_terminals").alias("n_terminals"))
 
 
 # ---------------------------------------------------------------------- 2.6
-def _parts(spark, sf_dir, source="customer"):
-    return plan.plan_parts(fx.passes(spark, sf_dir), fx.lounges(spark, sf_dir, source))
+def _ctx(spark, sf_dir, source="customer"):
+    return plan.context(fx.passes(spark, sf_dir), fx.lounges(spark, sf_dir, source))
+
+
+def _terminal_counts(ctx: DataFrame, groups: str) -> DataFrame:
+    counts = ctx.select("pass_id", "airport_code", F.explode(plan.terminal_counts(F.col(groups))).alias("t"))
+    return counts.select("pass_id", "airport_code", "t.terminal", "t.n_lounges")
 
 
 def q_pass_lounge_join(spark, sf_dir):
-    ctx, dim, _ = _parts(spark, sf_dir)
-    return plan.candidate_pairs(ctx, dim).select("pass_id", "airport_code", "lounge_id")
+    return _terminal_counts(_ctx(spark, sf_dir), "groups")
 
 
 def q_stay_window(spark, sf_dir):
@@ -108,31 +112,31 @@ def q_merge_intervals(spark, sf_dir):
 
 
 def q_hours_cover_window(spark, sf_dir):
-    _ctx, _dim, pairs = _parts(spark, sf_dir)
-    return pairs.select("pass_id", "lounge_id")
+    return _terminal_counts(plan.with_covered(_ctx(spark, sf_dir)), "covered")
 
 
 def q_exclusion_summary(spark, sf_dir):
-    ctx, _dim, pairs = _parts(spark, sf_dir)
-    return adv.exclusion_summary(ctx, pairs)
+    return adv.exclusion_summary(plan.with_covered(_ctx(spark, sf_dir)))
 
 
 def q_terminal_match(spark, sf_dir):
-    ctx, _dim, _pairs = _parts(spark, sf_dir)
-    return ctx.select("pass_id", "effective_terminal", "terminal_tier",
-                      F.coalesce("terminal_assumption", F.lit("")).alias("terminal_assumption"))
+    return _ctx(spark, sf_dir).select("pass_id", "effective_terminal", "terminal_tier",
+                                      F.coalesce("terminal_assumption", F.lit("")).alias("terminal_assumption"))
 
 
 def q_terminal_spread(spark, sf_dir):
-    _ctx, _dim, pairs = _parts(spark, sf_dir, "supplier")
-    # term_key groups like the terminal string within a pass (one airport per pass)
-    w = Window.partitionBy("pass_id", "term_key").orderBy("lounge_id")
-    return pairs.select("pass_id", "lounge_id", F.row_number().over(w).alias("spread"))
+    spread = plan.with_spread(plan.with_covered(_ctx(spark, sf_dir, "supplier")))
+    return spread.select("pass_id", F.explode("spreads").alias("s")).select(
+        "pass_id", F.col("s.lounge.lounge_id").alias("lounge_id"), "s.spread")
+
+
+def _top(spark, sf_dir, source="customer"):
+    return plan.with_top(plan.with_covered(_ctx(spark, sf_dir, source)))
 
 
 def q_top_lounges(spark, sf_dir):
-    _ctx, _dim, pairs = _parts(spark, sf_dir)
-    return plan.rank_pairs(pairs, 5).select("pass_id", "lounge_id", "rank")
+    rows = _top(spark, sf_dir).select("pass_id", F.posexplode("top").alias("pos", "t"))
+    return rows.select("pass_id", F.col("t.lounge.lounge_id").alias("lounge_id"), (F.col("pos") + 1).alias("rank"))
 
 
 def q_recommendation_rows(spark, sf_dir):
@@ -151,59 +155,57 @@ def q_destination_context(spark, sf_dir):
 
 
 def _summary(spark, sf_dir, source="supplier"):
-    passes = fx.passes(spark, sf_dir)
-    ctx, dim, pairs = plan.plan_parts(passes, fx.lounges(spark, sf_dir, source))
-    return passes, dim, pairs, adv.pass_summary(ctx, pairs, _routes(spark, sf_dir))
+    return adv.pass_summary(_top(spark, sf_dir, source), _routes(spark, sf_dir))
 
 
 def q_assumptions_rollup(spark, sf_dir):
-    _p, _d, _pairs, summary = _summary(spark, sf_dir)
-    return summary.select("pass_id", F.size("all_assumptions").alias("n_assumptions"),
-                          F.array_join("all_assumptions", " | ").alias("assumptions"))
+    return _summary(spark, sf_dir).select("pass_id", F.size("all_assumptions").alias("n_assumptions"),
+                                          F.array_join("all_assumptions", " | ").alias("assumptions"))
 
 
 def q_advisory_text(spark, sf_dir):
-    _p, _d, _pairs, summary = _summary(spark, sf_dir)
-    return summary.select("pass_id", "advisory")
+    return _summary(spark, sf_dir).select("pass_id", "advisory")
+
 
+def advisory_records(spark, sf_dir, source="supplier", keep=()):
+    return adv.advisory_record(_summary(spark, sf_dir, source), keep)
 
-def advisory_records(spark, sf_dir, source="supplier"):
-    passes, dim, pairs, summary = _summary(spark, sf_dir, source)
-    rows = plan.recommendation_rows(plan.with_lounge_details(plan.rank_pairs(pairs, 5), dim))
-    return passes, adv.advisory_record(summary, rows)
+
+def recommendations_text() -> Column:
+    """All fields of the recommendations in one string, null shown as ``-``."""
+    fields = [*adv.REC_FIELDS, "source_url", "why_recommended"]
+    return F.array_join(F.transform("recommendations", lambda r: F.concat_ws(
+        "|", *[F.coalesce(r[f], F.lit("-")) for f in fields])), " & ")
 
 
 def q_advisory_record(spark, sf_dir):
-    _p, record = advisory_records(spark, sf_dir)
-    return record.select("pass_id", F.size("recommendations").alias("n_recommendations"),
-                         F.col("time_window").isNotNull().alias("has_window"),
-                         F.col("destination_context").isNotNull().alias("has_destination"),
-                         F.get(F.col("recommendations"), 0)["lounge_id"].alias("first_lounge_id"),
-                         F.size("assumptions").alias("n_assumptions"))
+    tw, dest = F.col("time_window"), F.col("destination_context")
+    return advisory_records(spark, sf_dir).select(
+        "pass_id", tw["start"].alias("window_start"), tw["end"].alias("window_end"), tw["overnight"].alias("overnight"),
+        F.array_join("available_terminals", ",").alias("terminals"), "advisory",
+        recommendations_text().alias("recommendations"), F.array_join("assumptions", " | ").alias("assumptions"),
+        dest["iata"].alias("dest_iata"), dest["flight_duration_estimate"].alias("duration"),
+        dest["arrival_insight"].alias("arrival"), dest["uncertainty"].alias("uncertainty"))
 
 
 def model_recommendations(spark, sf_dir) -> DataFrame:
-    """F10 as rows: the ranked ids per pass, plus a foreign id when pass_id % 17 = 0."""
-    r = plan.recommend_batch(fx.passes(spark, sf_dir), fx.lounges(spark, sf_dir, "supplier"))
-    own = r.select("pass_id", "lounge_id")
-    p = fx.passes(spark, sf_dir)
-    foreign = p.filter(F.col("pass_id") % 17 == 0).select(
-        "pass_id", F.concat(F.lit("S9"), F.lpad(F.col("pass_id").cast("string"), 8, "0")).alias("lounge_id"))
-    # a lounge that exists, but at another airport
-    other = p.filter(F.col("pass_id") % 17 == 1).select(
-        "pass_id", F.lit("S000000000").alias("lounge_id"))
-    return own.unionByName(foreign).unionByName(other)
+    """F10 as rows (pass_id, airport_code, lounge_id): the ranked ids per pass, plus a foreign id
+    when pass_id % 17 = 0 and a lounge of another airport when it is 1."""
+    k, p = F.col("pass_id") % 17, "pass_id"
+    foreign = F.when(k == 0, F.concat(F.lit("S9"), F.lpad(F.col(p).cast("string"), 8, "0"))).when(k == 1, F.lit("S000000000"))
+    own = F.transform("top", lambda t: t["lounge"]["lounge_id"])
+    ids = F.concat(own, F.when(foreign.isNotNull(), F.array(foreign)).otherwise(F.array().cast("array<string>")))
+    return _top(spark, sf_dir, "supplier").select(p, "airport_code", F.explode(ids).alias("lounge_id"))
 
 
 def q_recommendation_integrity(spark, sf_dir):
-    p = fx.passes(spark, sf_dir)
-    capped = cat.cap_per_airport(fx.lounges(spark, sf_dir, "supplier"), 50)
-    return adv.integrity_violations(model_recommendations(spark, sf_dir), p, capped)
+    return adv.integrity_violations(model_recommendations(spark, sf_dir), fx.lounges(spark, sf_dir, "supplier"))
 
 
 def q_report_view(spark, sf_dir):
-    passes, record = advisory_records(spark, sf_dir)
-    return adv.report_view(record, passes)
+    keep = ("airport_code", "dest_iata", "pass_terminal", "gate", "flight_number", "departure", "boarding",
+            "terminal_confidence")
+    return adv.report_view(advisory_records(spark, sf_dir, keep=keep))
 
 
 def q_recommend_batch(spark, sf_dir):

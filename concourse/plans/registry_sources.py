@@ -62,7 +62,7 @@ def q_incremental_publish(spark, sf_dir):
 
 def q_sink_advisory_json(spark, sf_dir):
     path = scratch_path(spark, "advisory-json")
-    _passes, record = advisory_records(spark, sf_dir)
+    record = advisory_records(spark, sf_dir)
     io.sink_advisory_json(record, path)
     docs = spark.read.text(path)
     return docs.select(

@@ -11,9 +11,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "scripts"))
 import __spark_entry__ as entry  # noqa: E402
 from oracle_check import TABLES, rows_of  # noqa: E402
 
+from concourse.registry import all_queries  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 
-KEYS = sorted(entry.queries())
+KEYS = sorted(all_queries())
 
 
 @pytest.fixture(scope="module")

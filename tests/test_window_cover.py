@@ -33,8 +33,8 @@ def test_stay_window_goldens(spark):
 
 
 def covered(spark, prows, lrows):
-    _ctx, _dim, pairs = plan.plan_parts(passes(spark, prows), lounges(spark, lrows))
-    return {(r.pass_id, r.lounge_id) for r in pairs.collect()}
+    ctx = plan.with_covered(plan.context(passes(spark, prows), lounges(spark, lrows), top=len(lrows)))
+    return {(r.pass_id, x.lounge_id) for r in ctx.select("pass_id", "covered").collect() for g in r.covered for x in g.first}
 
 
 def test_cover_edges(spark):
@@ -67,7 +67,7 @@ def test_sunday_monday_wrap(spark):
 
 
 def tiers(spark, prows, lrows):
-    ctx, _dim, _pairs = plan.plan_parts(passes(spark, prows), lounges(spark, lrows))
+    ctx = plan.context(passes(spark, prows), lounges(spark, lrows))
     return {r.pass_id: (r.terminal_tier, r.effective_terminal) for r in ctx.collect()}
 
 
@@ -82,11 +82,11 @@ def test_terminal_tiers(spark):
 
 
 def test_available_terminals_order(spark):
-    from concourse.operators.catalog import available_terminals, cap_per_airport
+    from concourse.operators.catalog import available_terminals
     lo = lounges(spark, [lounge_row("L1", "24/7", "T2"), lounge_row("L2", "24/7", "T10"),
                          lounge_row("L3", "24/7", "N/A"), lounge_row("L4", "24/7", ""),
                          lounge_row("L5", "24/7", None)])
-    r = available_terminals(cap_per_airport(lo, 50)).collect()[0]
+    r = available_terminals(lo).collect()[0]
     assert r.available_terminals == ["N/A", "T10", "T2"]
 
 
@@ -100,3 +100,55 @@ def test_top5_subset_and_permutation(spark):
     assert a == b and len(a) == 30
     cands = covered(spark, prows, lrows)
     assert {(p, lo) for p, lo, _ in a} <= cands
+
+
+def unpruned(spark, prows, lrows, top=5):
+    """Ranking over all covered pairs, in plain Python."""
+    tier = {r.pass_id: (r.terminal_tier, r.effective_terminal)
+            for r in plan.context(passes(spark, prows), lounges(spark, lrows)).collect()}
+    terminal = {r[0]: r[3] for r in lrows}
+    own = {}
+    for p, lo in covered(spark, prows, lrows):
+        own.setdefault(p, []).append(lo)
+    out = set()
+    for p, ids in own.items():
+        seen, rows = {}, []
+        for lo in sorted(ids):
+            t = terminal[lo]
+            seen[t] = seen.get(t, 0) + 1
+            rows.append((not (tier[p][0] < 4 and t == tier[p][1]), seen[t], lo))
+        out |= {(p, lo, i + 1) for i, (_, _, lo) in enumerate(sorted(rows)[:top])}
+    return out
+
+
+def test_group_prune_equals_unpruned_ranking(spark):
+    now = MONDAY.replace(hour=9)
+    hours = ["05:00 - 22:00", "5:00 to 22:00", "09:00 - 17:00", "Open 24 hours", "N/A", "08:00 - 09:30, 10:00 - 12:00, 13:00 - 23:00"]
+    lrows = [lounge_row(f"L{i:03}", hours[i * 7 % 6], ["1", "2", "B", None, "N/A"][i * 3 % 5]) for i in range(160)]
+    prows = [pass_row(i, now, boarding=[None, "09:20", "16:30", "21:00", "23:30", "08:00"][i % 6],
+                      terminal=["1", "2C", None, "N/A"][i % 4], gate="B2" if i % 3 else None) for i in range(48)]
+    got = {(r.pass_id, r.lounge_id, r.rank) for r in plan.recommend_batch(passes(spark, prows), lounges(spark, lrows)).collect()}
+    assert got == unpruned(spark, prows, lrows)
+    kept = {r.pass_id: r.kept for r in plan.with_covered(plan.context(passes(spark, prows), lounges(spark, lrows))).collect()}
+    pairs = covered(spark, prows, lrows)
+    assert kept == {p[0]: sum(x == p[0] for x, _ in pairs) for p in prows}
+
+
+def test_every_lounge_of_a_large_airport_counts(spark):
+    now = MONDAY.replace(hour=9)
+    lrows = [lounge_row(f"L{i:04}", "09:00 - 17:00" if i % 2 else "N/A", "1") for i in range(300)]
+    lrows.append(lounge_row("Z", "Open 24 hours", "9"))
+    ctx = plan.with_top(plan.with_covered(plan.context(passes(spark, [pass_row(1, now, boarding="10:00", terminal="9")]),
+                                                       lounges(spark, lrows))))
+    r = ctx.collect()[0]
+    assert (r.n_lounges, r.n_unknown_hours, r.kept) == (301, 150, 151)
+    assert r.top[0].lounge.lounge_id == "Z" and r.available_terminals == ["1", "9"]
+
+
+def test_broadcast_is_measured(spark):
+    from concourse.plans.joins import fits_broadcast, measured
+    groups = plan.airport_catalog(lounges(spark, [
+        lounge_row(f"L{i}", "00:00 - 05:00, 08:00 - 12:00, 13:00 - 23:00", str(i)) for i in range(40)]))
+    n, size = measured(groups)
+    assert n == 1 and size > 40 * 21 * 10   # 40 groups of three ranges a day
+    assert fits_broadcast(groups) and not fits_broadcast(groups, max_bytes=size - 1) and not fits_broadcast(groups, max_rows=0)
