@@ -1,10 +1,8 @@
-"""Nest flat lounge rows back into airport records without an unbounded group.
+"""Nest flat lounge rows back into the records of their pages.
 
-An airport record holds its lounges as an array. A hot airport (assume a third
-of all rows) must not be collected into one task, so each airport is split into
-``ceil(n / part_size)`` parts by a hash of ``lounge_id``; each part becomes one
-record (``part`` column) with its lounges sorted by position. Unnesting the parts
-gives back exactly the flat rows. Per-airport counts are a partial aggregation.
+A record is one crawled page: its header and the lounges on it, in page order. The key is
+the page's URL, as several pages may lack an airport code. A group holds the cards of one
+HTML document, so its size is bounded by the page, however many pages an airport has.
 """
 
 from __future__ import annotations
@@ -12,27 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concourse.plans.joins import sized_broadcast
 
-DEFAULT_PART_SIZE = 2000
-
-
-def nest_by_airport(items: DataFrame, airports: DataFrame, fields: list[str],
-                    order_col: str = "pos", part_size: int = DEFAULT_PART_SIZE) -> DataFrame:
-    """``items`` (airport_code, order_col, *fields) + ``airports`` (header columns with
-    ``airport_code``) -> one row per (airport, part) with ``lounges`` array.
-
-    Airports without items keep one record with an empty array (left join)."""
-    counts = items.groupBy("airport_code").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(part_size))).cast("long")
-    counts = counts.withColumn("_parts", parts).drop("_n")
-    keyed = (items.join(sized_broadcast(counts), "airport_code")
-             .withColumn("part", F.pmod(F.xxhash64("lounge_id"), F.col("_parts")).cast("int")))
-    grouped = keyed.groupBy("airport_code", "part").agg(F.array_sort(F.collect_list(
+def nest_by_page(items: DataFrame, pages: DataFrame, fields: list[str], url: str = "url",
+                 order_col: str = "pos") -> DataFrame:
+    """``items`` (url, order_col, *fields) + ``pages`` (header columns with ``url``) -> one row per
+    page with a ``lounges`` array in page order and their number, ``total_experiences``. Pages without items keep their record with an
+    empty array (left join); the items are read once."""
+    grouped = items.groupBy(url).agg(F.array_sort(F.collect_list(
         F.struct(F.col(order_col).alias("_pos"), *[F.col(f) for f in fields]))).alias("_arr"))
     grouped = grouped.withColumn("lounges", F.transform(
         "_arr", lambda x: F.struct(*[x[f].alias(f) for f in fields]))).drop("_arr")
-    out = airports.join(grouped, "airport_code", "left")
-    return (out.withColumn("part", F.coalesce("part", F.lit(0)))
-            .withColumn("lounges", F.coalesce("lounges", F.array().cast(
-                grouped.schema["lounges"].dataType))))
+    none = F.array().cast(grouped.schema["lounges"].dataType)
+    out = pages.join(grouped, url, "left").withColumn("lounges", F.coalesce("lounges", none))
+    return out.withColumn("total_experiences", F.size("lounges"))

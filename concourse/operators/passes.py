@@ -7,24 +7,28 @@ back to a documented inference with confidence < 1 and an assumption.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concourse.operators.ocr import ws_trim
 from concourse.operators.recommend import gate_core
-from concourse.plans.joins import sized_broadcast
 
-# Fixed patterns of the printed layouts.
-CITY = r"([A-Z][A-Za-z0-9_]*)"
-ROUTE_RE = CITY + r"\s*(?:→|->|–|-)\s*" + CITY
+# Fixed patterns of the printed layouts. A plain hyphen is a direction marker only between
+# blanks, so that hyphenated words and codes are none.
+MARK_RE = r"\s*(?:→|->)\s*|\s+[–-]\s+"
+CODE_END_RE = r"\s*\([A-Z]{3}\)\s*$"
 IATA_RE = r"\(([A-Z]{3})\)"
-BOARDING_RE = r"(?i)boarding\s*time\D{0,10}(\d{1,2}:\d{2})"
-DEPARTURE_RE = r"(?i)\btime\D{0,10}(\d{1,2}:\d{2})"
-FLIGHT_RE = r"(?i)\bflight\s+([A-Z0-9]{2}\d{1,5})\b"
-GATE_RE = r"(?i)\bgate\s+(\w+)"
-TERMINAL_RE = r"(?i)\bterminal\s+([A-Z0-9]+)\b"
+ARRIVAL_IATA_RE = r"(?i)\b(?:ARR|ARRIVAL|DEST|DESTINATION|TO)\.?\s*:?\s*\(([A-Za-z]{3})\)"
+_CLOCK = r"((?:\d{4}-\d{2}-\d{2}[T ]\s*)?\d{1,2}:\d{2})"
+BOARDING_RE = r"(?i)\bboarding\s*time\s*:?\s*" + _CLOCK
+DEPARTURE_RE = r"(?i)\btime\s*:?\s*" + _CLOCK
+FLIGHT_RE = r"(?i)\bflight\s*:?\s*([A-Z0-9]{2,3}\s?\d{1,5})\b"
+GATE_RE = r"(?i)\bgate\s*:?\s*(\w+)"
+TERMINAL_RE = r"(?i)\bterminal\s*:?\s*(?!gate\b)([A-Z0-9]+)\b"
+FLIGHT_DETAILS = ["FLIGHT", "GATE", "BOARDING TIME", "SEAT"]
 INFERRED_CONFIDENCE = 0.5
-A_ROUTE_INFERRED = "No direction marker; route inferred from the order of city names."
+A_ROUTE_INFERRED = "No direction marker; route inferred from the cities nearest to the flight details."
+MAX_CITIES = 20_000  # known city names, which are one constant of the plan
 
 JSON_FENCE_ANCHORED = [(r"^```json\s*", ""), (r"^```\s*", ""), (r"\s*```$", "")]
 FENCE_BLOCK_RE = r"```(?:json)?\s*([\s\S]*?)```"
@@ -57,8 +61,9 @@ def json_contract(df: DataFrame, text: str = "json_text") -> DataFrame:
     """Text -> typed pass fields, or a ``reject_reason``.
 
     Valid JSON with exactly one top-level object (trailing text rejected); every
-    key present (null allowed); string fields must be strings; confidences may be
-    numbers or numeric strings and default to 0.0; ``assumptions`` defaults to []."""
+    key present (null allowed); string fields must be strings; confidences are numbers or
+    numeric strings and ``assumptions`` an array of strings, each with a default (0.0, [])
+    only when its key is absent: null is no value for them."""
     s = F.col(text)
     v = F.expr(f"try_parse_json(`{text}`)")
     single = F.expr(f"json_array_length(concat('[', `{text}`, ']'))") == 1
@@ -83,9 +88,14 @@ def json_contract(df: DataFrame, text: str = "json_text") -> DataFrame:
         reasons.append(F.when(~typ(f"$.{k}").isin("STRING", "VOID"), F.lit(f"{k} is not a string")))
     for parent in ("destination", "terminal"):
         t = typ(f"$.{parent}.confidence")
-        num = t.isin("BIGINT", "DOUBLE", "VOID") | t.startswith("DECIMAL")
+        num = t.isin("BIGINT", "DOUBLE") | t.startswith("DECIMAL")
         str_num = (t == "STRING") & F.expr(f"try_variant_get(_v, '$.{parent}.confidence', 'double')").isNotNull()
         reasons.append(F.when(t.isNotNull() & ~(num | str_num), F.lit(f"{parent}.confidence is not a number")))
+    t = typ("$.assumptions")
+    texts = F.expr("try_variant_get(_v, '$.assumptions', 'array<variant>')")
+    all_text = F.forall(texts, lambda x: F.call_function("schema_of_variant", x) == "STRING")
+    reasons.append(F.when(t.isNotNull() & ~F.coalesce(t.startswith("ARRAY") & all_text, F.lit(False)),
+                          F.lit("assumptions is not an array of strings")))
     reason = F.coalesce(*reasons)
     out = out.withColumn("reject_reason", reason)
     ok = F.col("reject_reason").isNull()
@@ -112,43 +122,92 @@ def json_contract(df: DataFrame, text: str = "json_text") -> DataFrame:
 
 
 # ----------------------------------------------------------- extraction
+def _city_names(cities: DataFrame) -> tuple[Column, Column]:
+    """The known city names and their upper-case forms as two constant arrays, longest first (a
+    name that holds another is met before it). A table of at most MAX_CITIES names."""
+    names = [r.city for r in cities.select("city").filter(F.trim("city") != "").distinct()
+             .limit(MAX_CITIES + 1).collect()]
+    if len(names) > MAX_CITIES:
+        raise ValueError(f"more than {MAX_CITIES} city names")
+    names.sort(key=lambda c: (-len(c), c))
+
+    def constant(values: list[str]) -> Column:
+        return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
+
+    return constant(names), constant([c.upper() for c in names])
+
+
 def extract_route(df: DataFrame, cities: DataFrame, text: str = "text", key: str = "pass_id") -> DataFrame:
-    """First directional pair ``A -> B``: A departs, B is the destination; later
-    mentions are ignored. Without a marker, the first two distinct known city names
-    (``cities.city``) in reading order, confidence 0.5 and an assumption."""
-    marked = df.select(key, _nz(F.regexp_extract(F.col(text), ROUTE_RE, 1)).alias("m_dep"),
-                       _nz(F.regexp_extract(F.col(text), ROUTE_RE, 2)).alias("m_dest"), text)
-    # Fallback candidates: tokens that are known city names, with their position.
-    toks = (marked.filter(F.col("m_dep").isNull())
-            .select(key, F.posexplode(F.split(F.col(text), r"\s+")).alias("pos", "tok")))
-    known = sized_broadcast(cities.select(F.col("city").alias("tok")).distinct())
-    hits = toks.join(known, "tok", "left_semi")
-    first = hits.groupBy(key, "tok").agg(F.min("pos").alias("pos"))
-    w = Window.partitionBy(key).orderBy("pos")
-    ordered = first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= 2)
-    inferred = ordered.groupBy(key).agg(
-        F.max(F.when(F.col("n") == 1, F.col("tok"))).alias("i_dep"),
-        F.max(F.when(F.col("n") == 2, F.col("tok"))).alias("i_dest"))
-    j = marked.join(inferred, key, "left")
-    is_marked = F.col("m_dep").isNotNull()
-    has_inf = F.col("i_dep").isNotNull() & F.col("i_dest").isNotNull()
-    return j.select(
+    """First directional pair ``A -> B`` of known cities (``cities.city``): A departs, B is the
+    destination; later mentions are ignored. A city may be followed by its printed code.
+    Without such a pair, the two known cities nearest to the flight details, in reading order,
+    with confidence 0.5 and an assumption. Row-local: no shuffle."""
+    names, uppers = _city_names(cities)
+    up = F.upper(F.col(text))
+
+    def named(c: Column) -> Column:
+        return F.get(names, (F.array_position(uppers, c) - 1).cast("int"))
+
+    def ends(s: Column) -> Column:
+        own = F.rtrim(F.regexp_replace(s, CODE_END_RE, ""))
+        return F.get(F.filter(uppers, lambda c: (own == c) | own.endswith(F.concat(F.lit(" "), c))), 0)
+
+    def starts(s: Column) -> Column:
+        own = F.concat(F.regexp_replace(F.ltrim(s), r"\(", " ("), F.lit(" "))
+        return F.get(F.filter(uppers, lambda c: own.startswith(F.concat(c, F.lit(" ")))), 0)
+
+    def pair(i: Column) -> Column:
+        return F.struct(ends(F.get("_segs", i)).alias("a"), starts(F.get("_segs", i + 1)).alias("b"))
+
+    d = df.withColumn("_segs", F.split(up, MARK_RE))
+    both = F.when(F.size("_segs") > 1, F.transform(F.sequence(F.lit(0), F.size("_segs") - 2), pair))
+    d = d.withColumn("_marked", F.get(F.filter(both, lambda p: p["a"].isNotNull() & p["b"].isNotNull()), 0))
+
+    # mentions: each known city's first place, without those inside a longer city's
+    padded = F.concat(F.lit(" "), F.regexp_replace(up, r"[^\p{L}\p{N}'_-]", " "), F.lit(" "))
+    d = d.withColumn("_text", padded)
+    places = F.array(*[F.instr("_text", f" {w} ") for w in FLIGHT_DETAILS])
+
+    def mention(c: Column) -> Column:
+        at = F.call_function("instr", F.col("_text"), F.concat(F.lit(" "), c, F.lit(" ")))
+        return F.struct(at.alias("at"), (at + F.length(c)).alias("end"), c.alias("city"))
+
+    found = F.filter(F.transform(uppers, mention), lambda m: m["at"] > 0)
+    d = d.withColumn("_found", F.when(F.col("_marked").isNull(), found)).withColumn("_places", places)
+    alone = F.filter("_found", lambda m: ~F.exists("_found", lambda o: (o["at"] <= m["at"]) & (o["end"] >= m["end"])
+                                                   & (o["city"] != m["city"])))
+
+    def distance(m: Column) -> Column:
+        near = F.transform(F.filter("_places", lambda p: p > 0), lambda p: F.abs(p - m["at"]))
+        return F.struct(F.coalesce(F.array_min(near), F.lit(0)).alias("far"), m["at"].alias("at"), m["city"].alias("city"))
+
+    near = F.slice(F.array_sort(F.transform(alone, distance)), 1, 2)
+    d = d.withColumn("_near", F.array_sort(F.transform(near, lambda m: F.struct(m["at"].alias("at"), m["city"].alias("city")))))
+    marked, inferred = F.col("_marked").isNotNull(), F.size("_near") == 2
+    return d.select(
         key,
-        F.when(is_marked, F.col("m_dep")).when(has_inf, F.col("i_dep")).alias("dep_city"),
-        F.when(is_marked, F.col("m_dest")).when(has_inf, F.col("i_dest")).alias("dest_city"),
-        F.when(is_marked, F.lit("marked")).when(has_inf, F.lit("inferred")).alias("route_source"),
-        F.when(is_marked, F.lit(1.0)).when(has_inf, F.lit(INFERRED_CONFIDENCE)).otherwise(F.lit(0.0))
+        named(F.when(marked, F.col("_marked.a")).when(inferred, F.get("_near", 0)["city"])).alias("dep_city"),
+        named(F.when(marked, F.col("_marked.b")).when(inferred, F.get("_near", 1)["city"])).alias("dest_city"),
+        F.when(marked, F.lit("marked")).when(inferred, F.lit("inferred")).alias("route_source"),
+        F.when(marked, F.lit(1.0)).when(inferred, F.lit(INFERRED_CONFIDENCE)).otherwise(F.lit(0.0))
         .alias("route_confidence"),
-        F.when(~is_marked & has_inf, F.lit(A_ROUTE_INFERRED)).alias("route_assumption"))
+        F.when(~marked & inferred, F.lit(A_ROUTE_INFERRED)).alias("route_assumption"),
+        *[c for c in df.columns if c != key])
 
 
 def extract_iata(df: DataFrame, text: str = "text") -> DataFrame:
-    """Departure IATA only when printed as ``(XXX)``; never looked up or invented."""
-    return df.withColumn("dep_iata", _nz(F.regexp_extract(F.col(text), IATA_RE, 1)))
+    """Codes printed as ``(XXX)``; never looked up or invented. A code after an arrival label is the
+    destination's; of the others the first departs and the second is the destination."""
+    labelled = _nz(F.regexp_extract(F.col(text), ARRIVAL_IATA_RE, 1))
+    codes = F.regexp_extract_all(F.regexp_replace(F.col(text), ARRIVAL_IATA_RE, " "), F.lit(IATA_RE), F.lit(1))
+    return (df.withColumn("_codes", codes)
+            .withColumn("dep_iata", F.get("_codes", 0))
+            .withColumn("dest_iata", F.coalesce(F.upper(labelled), F.get("_codes", 1))).drop("_codes"))
 
 
 def extract_times(df: DataFrame, text: str = "text") -> DataFrame:
-    """Labelled boarding time -> boarding; a generic ``TIME`` elsewhere -> departure."""
+    """Labelled boarding time -> boarding; a generic ``TIME`` elsewhere -> departure; with the
+    date where one is printed."""
     b = _nz(F.regexp_extract(F.col(text), BOARDING_RE, 1))
     rest = F.regexp_replace(F.col(text), BOARDING_RE, " ")
     d = _nz(F.regexp_extract(rest, DEPARTURE_RE, 1))
@@ -178,54 +237,80 @@ def extract_terminal(df: DataFrame, text: str = "text", gate: str = "gate") -> D
 
 
 def parse_pass_text(df: DataFrame, cities: DataFrame, text: str = "text", key: str = "pass_id") -> DataFrame:
-    """All extraction rules composed: one pass record per text row."""
+    """All extraction rules composed: one pass record per text row, without a shuffle."""
     base = extract_terminal(extract_flight_gate(extract_times(extract_iata(df, text), text), text), text)
-    route = extract_route(df.select(key, text), cities, text, key)
-    rec = base.join(route, key, "left")
+    rec = extract_route(base, cities, text, key)
     assumptions = F.filter(F.array(F.col("terminal_assumption"), F.col("route_assumption")),
                            lambda x: x.isNotNull())
     return rec.withColumn("assumptions", assumptions)
 
 
+def pass_record(parsed: DataFrame, text: str = "text", key: str = "pass_id") -> DataFrame:
+    """Parsed texts as the nested boarding-pass record, with city, code and confidence of both
+    ends."""
+    return parsed.select(
+        key,
+        F.struct(F.col("dep_iata").alias("iata"), F.col("dep_city").alias("city"),
+                 F.col("route_confidence").alias("confidence")).alias("airport"),
+        F.struct(F.col("dest_iata").alias("iata"), F.col("dest_city").alias("city"),
+                 F.col("route_confidence").alias("confidence")).alias("destination"),
+        F.struct(F.col("terminal_value").alias("value"), F.col("terminal_source").alias("source"),
+                 F.col("terminal_confidence").alias("confidence")).alias("terminal"),
+        "gate", "flight_number", F.col("departure_time").alias("departure_time_local"),
+        F.col("boarding_time").alias("boarding_time_local"), F.col(text).alias("raw_text"), "assumptions")
+
+
 def confidence_violations(parsed: DataFrame) -> DataFrame:
     """Invariant: an inferred value has confidence < 1 and an assumption; a missing
     one has confidence 0. Returns counts per (field, source) and the violations."""
-    t = parsed.select(F.lit("terminal").alias("field"), F.col("terminal_source").alias("source"),
-                      F.col("terminal_confidence").alias("conf"), F.col("terminal_assumption").alias("note"))
-    r = parsed.select(F.lit("route").alias("field"), F.col("route_source").alias("source"),
-                      F.col("route_confidence").alias("conf"), F.col("route_assumption").alias("note"))
-    u = t.unionByName(r)
+    def one(field: str) -> Column:
+        return F.struct(F.lit(field).alias("field"), F.col(f"{field}_source").alias("source"),
+                        F.col(f"{field}_confidence").alias("conf"), F.col(f"{field}_assumption").alias("note"))
+
+    u = parsed.select(F.explode(F.array(one("terminal"), one("route"))).alias("u")).select("u.*")
     bad = (((F.col("source") == "inferred") & ((F.col("conf") >= 1.0) | F.col("note").isNull()))
            | (F.col("source").isNull() & (F.col("conf") != 0.0)))
     return u.groupBy("field", F.coalesce("source", F.lit("none")).alias("source")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_violations"))
 
 
+EDIT_FIELDS = ["airport_iata", "airport_city", "dest_iata", "dest_city", "terminal", "gate", "flight", "departure",
+               "boarding"]
+
+
 def apply_manual_edits(parsed: DataFrame, edits: DataFrame, key: str = "pass_id") -> DataFrame:
-    """Form edits overlay the parsed pass (left join): blank -> null, edited
-    destination confidence 0.99, terminal ``printed``/0.99 when given else null/0.0,
-    assumptions reset to []. Passes without an edit row keep their parsed values."""
-    e = edits.select(key, *[F.col(c).alias(f"e_{c}") for c in edits.columns if c != key],
-                     F.lit(True).alias("_edited"))
-    j = parsed.join(e, key, "left")
+    """The nine form fields overlay the parsed pass (left join): blank -> null, an edited
+    destination has confidence 0.99 if it is given and 0.0 if not, a terminal ``printed``/0.99 when
+    given else null/0.0, assumptions are reset to []. Passes without an edit row keep their
+    parsed values. Fields that a side lacks are null."""
+    def of(df: DataFrame, name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+    e = edits.select(key, *[of(edits, c).alias(f"e_{c}") for c in EDIT_FIELDS], F.lit(True).alias("_edited"))
+    names = {"airport_iata": "airport_code", "terminal": "terminal", "flight": "flight_number"}
+    p = parsed.select(
+        key, *[of(parsed, names.get(c, c)).alias(f"p_{c}") for c in EDIT_FIELDS],
+        of(parsed, "terminal_source").alias("p_source"), of(parsed, "terminal_confidence", "double").alias("p_terminal_c"),
+        F.coalesce(of(parsed, "dest_confidence", "double"),
+                   F.when(of(parsed, "dest_iata").isNotNull(), 1.0).otherwise(0.0)).alias("p_dest_c"),
+        F.coalesce(of(parsed, "assumptions", "array<string>"), F.array().cast("array<string>")).alias("p_assumptions"))
+    j = p.join(e, key, "left")
     ed = F.coalesce(F.col("_edited"), F.lit(False))
 
-    def pick(field: str, parsed_col: str) -> Column:
-        return F.when(ed, _nz(F.trim(F.col(f"e_{field}")))).otherwise(F.col(parsed_col))
+    def pick(field: str) -> Column:
+        return F.when(ed, _nz(F.trim(F.col(f"e_{field}")))).otherwise(F.col(f"p_{field}"))
+
+    def given(*fields: str) -> Column:
+        return F.coalesce(*[_nz(F.trim(F.col(f"e_{f}"))) for f in fields]).isNotNull()
 
-    term = _nz(F.trim(F.col("e_terminal")))
     return j.select(
-        key, ed.alias("edited"),
-        pick("airport_iata", "airport_code").alias("airport_iata"),
-        pick("dest_iata", "dest_iata").alias("dest_iata"),
-        F.when(ed, F.lit(0.99)).otherwise(F.when(F.col("dest_iata").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
+        key, ed.alias("edited"), *[pick(c).alias(n) for c, n in (
+            ("airport_iata", "airport_iata"), ("airport_city", "airport_city"), ("dest_iata", "dest_iata"),
+            ("dest_city", "dest_city"), ("terminal", "terminal_value"), ("gate", "gate"), ("flight", "flight_number"),
+            ("departure", "departure"), ("boarding", "boarding"))],
+        F.when(ed, F.when(given("dest_iata", "dest_city"), 0.99).otherwise(0.0)).otherwise(F.col("p_dest_c"))
         .alias("dest_confidence"),
-        pick("terminal", "terminal").alias("terminal_value"),
-        F.when(ed, F.when(term.isNotNull(), F.lit("printed"))).otherwise(F.col("terminal_source"))
-        .alias("terminal_source"),
-        F.when(ed, F.when(term.isNotNull(), F.lit(0.99)).otherwise(F.lit(0.0)))
-        .otherwise(F.col("terminal_confidence")).alias("terminal_confidence"),
-        pick("gate", "gate").alias("gate"),
-        pick("flight", "flight_number").alias("flight_number"),
-        pick("departure", "departure").alias("departure"),
-        pick("boarding", "boarding").alias("boarding"))
+        F.when(ed, F.when(given("terminal"), F.lit("printed"))).otherwise(F.col("p_source")).alias("terminal_source"),
+        F.when(ed, F.when(given("terminal"), 0.99).otherwise(0.0)).otherwise(F.col("p_terminal_c"))
+        .alias("terminal_confidence"),
+        F.when(ed, F.array().cast("array<string>")).otherwise(F.col("p_assumptions")).alias("assumptions"))

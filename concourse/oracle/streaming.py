@@ -1,26 +1,16 @@
 """DuckDB oracle SQL for the streaming keys (§2.7): a stream must publish exactly
-what the batch computes. ``batch_inference`` (§2.8) has no SQL oracle (rows-only)."""
+what the batch computes."""
 
 from __future__ import annotations
 
-from concourse.operators.passes import BOARDING_RE, DEPARTURE_RE, IATA_RE, ROUTE_RE
 from concourse.oracle.serving import ORACLE as SERVING
 from concourse.oracle.text import TEXT_CTES
 
 ORACLE = {
     "recommend_stream": SERVING["recommend_batch"],
-    "parse_stream": TEXT_CTES + f"""
-        , f AS (
-          SELECT g.pass_id,
-            nullif(regexp_extract(g.text, '{ROUTE_RE}', 1), '') AS dep_city,
-            nullif(regexp_extract(g.text, '{ROUTE_RE}', 2), '') AS dest_city,
-            nullif(regexp_extract(g.text, '{IATA_RE}', 1), '') AS dep_iata,
-            nullif(regexp_extract(g.text, '{BOARDING_RE}', 1), '') AS boarding_time,
-            nullif(regexp_extract(regexp_replace(g.text, '{BOARDING_RE}', ' ', 'g'), '{DEPARTURE_RE}', 1), '')
-              AS departure_time,
-            g.flight_number, g.gate, t.terminal_value
-          FROM gates2 g JOIN term2 t ON t.pass_id = g.pass_id)
-        SELECT *, CASE WHEN dep_city IS NULL AND dep_iata IS NULL THEN 'no departure airport' END AS reject_reason,
+    "parse_stream": TEXT_CTES + """
+        SELECT pass_id, dep_city, dest_city, dep_iata, boarding_time, departure_time, flight_number, gate, terminal_value,
+               CASE WHEN dep_city IS NULL AND dep_iata IS NULL THEN 'no departure airport' END AS reject_reason,
                CASE WHEN dep_city IS NULL AND dep_iata IS NULL THEN 'rejected' ELSE 'accepted' END AS status
-        FROM f""",
+        FROM pt""",
 }

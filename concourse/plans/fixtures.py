@@ -74,7 +74,7 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     that has no lounges (even regions: empty array, odd regions: null array)."""
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    nat = (nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey, "left")
+    nat = (nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
            .select(
                F.col("r_name").alias("country"),
                F.concat(F.col("n_name"), F.lit(" International")).alias("airport_name"),
@@ -93,6 +93,27 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nat.unionByName(empty)
 
 
+PAGE_KEYS = 12_500  # lounge keys of one catalog page: about 500 lounges of each airport
+
+
+def page_url(airport_code: Column, page: Column) -> Column:
+    return F.concat(F.lit("https://x.example/airport-lounges/"), airport_code, F.lit("?page="), page.cast("string"))
+
+
+def catalog_pages(airport_rows: DataFrame, last_key: int) -> DataFrame:
+    """Headers of the catalog's pages: an airport's lounges stand on as many pages as the keys
+    up to ``last_key`` fill."""
+    number = F.explode(F.sequence(F.lit(0), F.lit(last_key // PAGE_KEYS)))
+    return airport_rows.withColumn("_page", number).withColumn(
+        "url", page_url(F.col("airport_code"), F.col("_page"))).drop("_page")
+
+
+def on_pages(lounge_rows: DataFrame, key: Column) -> DataFrame:
+    """Lounges with the ``url`` of their page and their ``pos`` on it."""
+    return lounge_rows.withColumn("pos", key.cast("long")).withColumn(
+        "url", page_url(F.col("airport_code"), F.floor(F.col("pos") / PAGE_KEYS).cast("int")))
+
+
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one boarding pass per event (times as printed ``HH:mm`` strings)."""
     e = (spread(read_table(spark, sf_dir, "events"))
@@ -133,15 +154,18 @@ def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEP_SQL = ("CASE pass_id % 4 WHEN 0 THEN ' → ' WHEN 1 THEN ' - ' WHEN 2 THEN ' -> ' ELSE ' ' END")
 
 PASS_TEXT_SQL = f"""concat_ws(' ',
-  'FLIGHT XY' || CAST(pass_id % 10000 AS STRING),
-  city_a || {SEP_SQL} || city_b,
+  CASE WHEN pass_id % 7 = 3 THEN 'E-TICKET' END,
+  CASE WHEN pass_id % 3 = 1 THEN 'FLIGHT BER' ELSE 'FLIGHT XY' END || CAST(pass_id % 10000 AS STRING),
+  CASE WHEN pass_id % 19 <> 7 THEN city_a || {SEP_SQL} || city_b END,
   CASE WHEN pass_id % 2 = 0 THEN 'DEP (' || chr(65 + CAST(user_id % 25 AS INT))
        || chr(65 + CAST((user_id + 7) % 25 AS INT)) || 'X)' END,
-  CASE WHEN terminal IS NOT NULL THEN 'TERMINAL ' || terminal END,
-  CASE WHEN pass_id % 5 = 2 THEN 'GATE B12' WHEN pass_id % 5 = 3 THEN 'Gate G7' END,
-  CASE WHEN boarding IS NOT NULL THEN 'BOARDING TIME ' || boarding END,
+  CASE WHEN pass_id % 6 = 2 THEN 'ARR (QQZ)' END,
+  CASE WHEN terminal IS NOT NULL THEN CASE WHEN pass_id % 2 = 0 THEN 'TERMINAL ' ELSE 'TERMINAL: ' END || terminal END,
+  CASE WHEN pass_id % 5 = 2 THEN 'GATE: B12' WHEN pass_id % 5 = 3 THEN 'Gate G7' END,
+  CASE WHEN boarding IS NOT NULL THEN 'BOARDING TIME '
+       || CASE WHEN pass_id % 8 = 5 THEN CAST(CAST(now_ts AS DATE) AS STRING) || ' ' ELSE '' END || boarding END,
   CASE WHEN departure IS NOT NULL THEN 'TIME ' || departure END,
-  CASE WHEN pass_id % 3 = 0 THEN 'RETURN ' || city_b || {SEP_SQL} || city_a END)"""
+  CASE WHEN pass_id % 3 = 0 AND pass_id % 19 <> 7 THEN 'RETURN ' || city_b || {SEP_SQL} || city_a END)"""
 
 JSON_TEXT_SQL = """CASE WHEN pass_id % 7 = 5 THEN 'FLIGHT XY' || CAST(pass_id % 10000 AS STRING) || ' has no JSON'
 ELSE '{"airport": {"iata": "' || airport_code || '", "city": null}, '
@@ -155,7 +179,8 @@ ELSE '{"airport": {"iata": "' || airport_code || '", "city": null}, '
   || '"flight_number": ' || CASE WHEN pass_id % 7 = 3 THEN '5' ELSE '"XY' || CAST(pass_id % 10000 AS STRING) || '"' END
   || ', "departure_time_local": ' || CASE WHEN departure IS NULL THEN 'null' ELSE '"' || departure || '"' END
   || ', "boarding_time_local": ' || CASE WHEN boarding IS NULL THEN 'null' ELSE '"' || boarding || '"' END
-  || ', "raw_text": "FLIGHT XY' || CAST(pass_id % 10000 AS STRING) || '", "assumptions": []}'
+  || ', "raw_text": "FLIGHT XY' || CAST(pass_id % 10000 AS STRING) || '", "assumptions": '
+  || CASE pass_id % 28 WHEN 0 THEN '["a", "b"]' WHEN 7 THEN 'null' WHEN 14 THEN '[1]' ELSE '[]' END || '}'
   || CASE WHEN pass_id % 7 = 6 THEN ' trailing text' ELSE '' END
 END"""
 
@@ -177,6 +202,8 @@ BARCODE_SQL = """'M1' || rpad('PAX/' || CAST(o_custkey AS STRING), 20, ' ') || '
 
 EDITS_SQL = {
     "airport_iata": "airport_code",
+    "airport_city": "CASE WHEN pass_id % 4 = 2 THEN ' ' ELSE 'City ' || airport_code END",
+    "dest_city": "CASE WHEN pass_id % 3 = 0 THEN '' ELSE 'Town' END",
     "dest_iata": "CASE WHEN pass_id % 4 = 0 THEN '' ELSE coalesce(dest_iata, '') END",
     "terminal": "CASE WHEN pass_id % 5 = 0 THEN '' ELSE coalesce(terminal, '') END",
     "gate": "'C' || CAST(pass_id % 30 AS STRING)",

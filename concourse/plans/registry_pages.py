@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concourse.operators import pages as pg
-from concourse.operators.nesting import nest_by_airport
+from concourse.operators.nesting import nest_by_page
 from concourse.plans import fixtures as fx
 from concourse.session import read_table, spread
 
@@ -101,8 +101,9 @@ def q_detail_join(spark, sf_dir):
 def q_nest_lounges(spark, sf_dir):
     fields = ["lounge_id", "name", "terminal", "opening_hours", "image_url", "detail_url",
               "amenities", "access_notes", "conditions"]
-    nested = nest_by_airport(joined_lounges(spark, sf_dir), fx.airports(spark, sf_dir).drop("_null_array"),
-                             fields, order_col="k")
+    last = fx.read_table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0
+    pages = fx.catalog_pages(fx.airports(spark, sf_dir).drop("_null_array"), last)
+    nested = nest_by_page(fx.on_pages(joined_lounges(spark, sf_dir), F.col("k")), pages, fields)
     flat = nested.select("airport_code", F.explode_outer("lounges").alias("l"))
     return flat.groupBy("airport_code").agg(
         F.count("l.lounge_id").alias("n_lounges"),

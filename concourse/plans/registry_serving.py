@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from concourse.operators import advisory as adv
 from concourse.operators import catalog as cat
 from concourse.operators import recommend as rec
-from concourse.operators.nesting import nest_by_airport
+from concourse.operators.nesting import nest_by_page
 from concourse.plans import fixtures as fx
 from concourse.plans import recommend as plan
 
@@ -21,10 +21,15 @@ LOUNGE_FIELDS = ["lounge_id", "name", "terminal", "opening_hours", "image_url",
 
 
 # ------------------------------------------------------------------ fixtures
-def nested_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1n: F1 nested per airport, plus lounge-less airports (empty / null arrays)."""
-    lounges = fx.lounges(spark, sf_dir).withColumn("pos", F.col("lounge_id"))
-    nested = nest_by_airport(lounges, fx.airports(spark, sf_dir), LOUNGE_FIELDS, order_col="pos")
+def nested_catalog(spark: SparkSession, sf_dir: str, airport: str | None = None) -> DataFrame:
+    """F1n: F1 nested per page, plus lounge-less airports (empty / null arrays); of one
+    airport only, if given: both sides are filtered before anything is nested."""
+    last = fx.read_table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0
+    lounges = fx.on_pages(fx.lounges(spark, sf_dir), F.substring("lounge_id", 2, 9))
+    pages = fx.catalog_pages(fx.airports(spark, sf_dir), last)
+    if airport is not None:
+        lounges, pages = (x.filter(F.col("airport_code") == airport) for x in (lounges, pages))
+    nested = nest_by_page(lounges, pages, LOUNGE_FIELDS)
     return (nested.withColumn("lounges", F.when(F.col("_null_array"), F.lit(None)).otherwise(F.col("lounges")))
             .drop("_null_array"))
 
@@ -42,7 +47,7 @@ def q_unnest_lounges(spark, sf_dir):
 
 def q_lounges_for_airport(spark, sf_dir, airport: str = "A07"):
     view = "concourse_catalog_nested"
-    nested_catalog(spark, sf_dir).createOrReplaceTempView(view)
+    nested_catalog(spark, sf_dir, airport).createOrReplaceTempView(view)
     return _flat_out(cat.lounges_for_airport(spark, view, airport))
 
 

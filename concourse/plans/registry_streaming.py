@@ -1,8 +1,7 @@
-"""Query callables for streaming (§2.7) and the model hook (§2.8)."""
+"""Query callables for streaming (§2.7)."""
 
 from __future__ import annotations
 
-from concourse.operators import infer
 from concourse.plans import fixtures as fx
 from concourse.session import scratch_path
 from concourse.streaming import micro_batch as mb
@@ -10,24 +9,17 @@ from concourse.streaming import micro_batch as mb
 
 def q_recommend_stream(spark, sf_dir):
     base = scratch_path(spark, "recommend-stream")
-    return mb.recommend_stream(spark, fx.passes(spark, sf_dir), fx.lounges(spark, sf_dir),
+    return mb.recommend_stream(spark, fx.passes(spark, sf_dir), lambda: fx.lounges(spark, sf_dir),
                                f"{base}/src", f"{base}/out", f"{base}/checkpoint")
 
 
 def q_parse_stream(spark, sf_dir):
     base = scratch_path(spark, "parse-stream")
-    return mb.parse_stream(spark, fx.pass_text(spark, sf_dir), f"{base}/src", f"{base}/out",
+    return mb.parse_stream(spark, fx.pass_text(spark, sf_dir), fx.cities(spark, sf_dir), f"{base}/src", f"{base}/out",
                            f"{base}/checkpoint")
 
 
-def q_batch_inference(spark, sf_dir):
-    answers = infer.batch_inference(fx.pass_text(spark, sf_dir))
-    parsed = infer.parse_model_output(answers)
-    return parsed.select("pass_id", "valid", "reject_reason", "flight_number", "gate", "terminal_value")
-
-
 QUERIES = {
     "recommend_stream": q_recommend_stream,
     "parse_stream": q_parse_stream,
-    "batch_inference": q_batch_inference,
 }

@@ -52,7 +52,7 @@ def q_extract_route(spark, sf_dir):
 
 
 def q_extract_iata(spark, sf_dir):
-    return pt.extract_iata(fx.pass_text(spark, sf_dir)).select("pass_id", "dep_iata")
+    return pt.extract_iata(fx.pass_text(spark, sf_dir)).select("pass_id", "dep_iata", "dest_iata")
 
 
 def q_extract_times(spark, sf_dir):
@@ -74,7 +74,8 @@ def q_confidence_assumptions(spark, sf_dir):
 
 
 def q_apply_manual_edits(spark, sf_dir):
-    return pt.apply_manual_edits(fx.passes(spark, sf_dir), fx.edits(spark, sf_dir))
+    edited = pt.apply_manual_edits(fx.passes(spark, sf_dir), fx.edits(spark, sf_dir))
+    return edited.withColumn("n_assumptions", F.size("assumptions")).drop("assumptions")
 
 
 QUERIES = {

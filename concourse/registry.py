@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 import importlib
 
-from concourse.session import tune_session
-
 _QUERY_MODULES = [
     "concourse.plans.registry_sources",
     "concourse.plans.registry_pages",
@@ -36,17 +33,9 @@ def _load(names, attr):
     return out
 
 
-def _tuned(fn):
-    @functools.wraps(fn)
-    def run(spark, sf_dir):
-        tune_session(spark)
-        return fn(spark, sf_dir)
-    return run
-
-
 def all_queries():
-    """name -> callable(spark, sf_dir); each applies the planner settings first."""
-    return {k: _tuned(v) for k, v in _load(_QUERY_MODULES, "QUERIES").items()}
+    """name -> callable(spark, sf_dir)."""
+    return _load(_QUERY_MODULES, "QUERIES")
 
 
 def all_oracle_sql():

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,52 +24,70 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Constraint inference through the expression-heavy text and schedule projections
+        # dominates their planning; the plans state their filters themselves.
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .config("spark.driver.memory", os.environ.get("CONCOURSE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    tune_session(spark)
     return spark
 
 
-# Planner settings for these plans. Constraint propagation re-derives IS NOT NULL /
-# equality constraints through every aliased expression; on the expression-heavy
-# text and schedule projections it dominated planning (4 s per optimisation, rerun
-# by AQE after every stage). Our plans state their filters explicitly.
-PLANNER_CONF = {"spark.sql.constraintPropagation.enabled": "false"}
-
-
-def tune_session(spark: SparkSession) -> None:
-    for k, v in PLANNER_CONF.items():
-        if spark.conf.get(k, None) != v:
-            spark.conf.set(k, v)
+# Written folders of this process by application, so that they can be removed.
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
+    """The cluster's shared folder (``spark.checkpoint.dir``), read from the session.
 
-    Read from the session; only when it is unset (tests, local runs) do we create
-    one and register it, so ``checkpoint()`` and written tables land in one place.
-    """
+    Only a local session without one (tests, the bench) gets a folder of its own: there
+    driver and executors are one process. On a cluster a missing setting is an error, as a
+    machine-local folder would not be seen by the other machines."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
-        ckpt = spark.sparkContext.getCheckpointDir()
-        if not ckpt:
-            spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir.rstrip("/")
     ckpt = spark.sparkContext.getCheckpointDir()
     if ckpt:
         # getCheckpointDir returns <dir>/<uuid>; use its parent as the shared root.
         return ckpt.rstrip("/").rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all machines share")
     local = tempfile.mkdtemp(prefix="concourse-shared-")
-    spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
-    return local
+    return shared_dir(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never-reused path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never-reused path under the shared folder; ``release`` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what was written under ``scratch_path`` inside. Results must have been
+    consumed by then."""
+    paths = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    before = len(paths)
+    try:
+        yield
+    finally:
+        _remove(spark, paths[before:])
+        del paths[before:]
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that this application wrote under ``scratch_path``."""
+    _remove(spark, _SCRATCH.pop(spark.sparkContext.applicationId, []))
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,17 +104,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder: cuts lineage and survives the loss
-    of the executors that computed it. Use for small derived dimensions.
-
-    The plan is persisted for the duration of the checkpoint: an eager reliable
-    checkpoint runs one job to count and one to write, and without the cache the
-    second job recomputes the whole plan. A lost cached block is just recomputed;
-    once written, the result reads only from the shared folder."""
-    shared_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back: cuts lineage and
+    survives the loss of the executors that computed it. Use for small derived dimensions."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concourse.session import read_table, shared_dir
+from concourse.session import read_table, scratch_path, shared_dir
 
 LOUNGE_TYPE = T.StructType([
     T.StructField("lounge_id", T.StringType()), T.StructField("name", T.StringType()),
@@ -27,7 +27,7 @@ LOUNGE_TYPE = T.StructType([
 CATALOG_SCHEMA = T.StructType([
     T.StructField("country", T.StringType()), T.StructField("airport_name", T.StringType()),
     T.StructField("url", T.StringType()), T.StructField("airport_code", T.StringType()),
-    T.StructField("airport_location", T.StringType()), T.StructField("part", T.IntegerType()),
+    T.StructField("airport_location", T.StringType()), T.StructField("total_experiences", T.IntegerType()),
     T.StructField("lounges", T.ArrayType(LOUNGE_TYPE)),
 ])
 
@@ -69,14 +69,22 @@ def write_ndjson(df: DataFrame, path: str) -> None:
 
 def load_catalog_overwrite(spark: SparkSession, df: DataFrame, table: str = "lounge_catalog",
                            database: str = "concourse") -> int:
-    """Create the database if absent, truncate-and-load the table, return its row count.
-    The database lives in the shared folder. Never call with ``df`` reading ``table``."""
-    root = f"{shared_dir(spark)}/{database}.db"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
-    # Explicit table path: overwrite replaces whatever a previous load left there,
-    # even when this session's catalog does not know the table yet.
-    df.write.mode("overwrite").option("path", f"{root}/{table}").saveAsTable(f"{database}.{table}")
-    return spark.table(f"{database}.{table}").count()
+    """Create the database if absent, load ``df`` as the table's whole content, return its
+    row count. The data goes to a new folder of the shared storage, and the table is switched to
+    it when it is whole: readers see the old load or the new one, and a load that fails
+    leaves the old one in place."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_dir(spark)}/{database}.db'")
+    path = scratch_path(spark, f"{database}-{table}")
+    df.write.parquet(path)
+    name = f"{database}.{table}"
+    same = spark.catalog.tableExists(name) and spark.table(name).schema == df.schema
+    if same:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.catalog.createTable(name, path=path, source="parquet")
+    return spark.table(name).count()
 
 
 def sink_advisory_json(records: DataFrame, path: str, key: str = "pass_id") -> None:

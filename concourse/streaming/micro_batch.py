@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from concourse.operators import passes as pt
 from concourse.plans import recommend as plan
+from concourse.session import scratch_scope
 
 
 def _run(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -30,64 +31,60 @@ def _run(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: st
 
 def incremental_publish(spark: SparkSession, records: DataFrame, src: str, out: str, checkpoint: str,
                         files_per_trigger: int = 5) -> DataFrame:
-    """Publish airport records as they arrive, ``files_per_trigger`` files (airports)
-    per micro-batch; returns the published state read back."""
-    # One file per airport: hash-partition on the key, one output file per task per key.
-    (records.repartition("airport_code").write.mode("overwrite")
-     .partitionBy("airport_code").json(src))
-    schema = spark.read.json(src).schema  # partition discovery adds airport_code
+    """Publish page records as they arrive, ``files_per_trigger`` files per micro-batch; returns
+    the published state: the latest record of each page."""
+    # Dealt by page, so the pages of a hot airport are written by many tasks.
+    records.repartition("url").write.mode("append").json(src)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(src)
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", files_per_trigger).json(src)
     _run(stream, publish, checkpoint)
-    return spark.read.parquet(out)
+    return published(spark, out)
 
 
-def recommend_stream(spark: SparkSession, passes: DataFrame, lounges: DataFrame, src: str, out: str,
+def published(spark: SparkSession, out: str) -> DataFrame:
+    """The latest record of each page; a page that was crawled again replaces its old record.
+    One narrow aggregation finds the latest batch of each page."""
+    rows = spark.read.parquet(out)
+    latest = rows.groupBy("url").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(latest, ["url", "batch_id"]).drop("batch_id")
+
+
+def recommend_stream(spark: SparkSession, passes: DataFrame, catalog: Callable[[], DataFrame], src: str, out: str,
                      checkpoint: str, files_per_trigger: int = 1, n_files: int = 4) -> DataFrame:
-    """Passes arrive as files; each micro-batch is ranked against a catalog snapshot
-    taken for that batch. Returns all published recommendation rows."""
-    passes.repartition(n_files, "pass_id").write.mode("overwrite").parquet(src)
-    schema = spark.read.parquet(src).schema
+    """Passes arrive as files; ``catalog()`` is read anew for each micro-batch, which is ranked
+    against that snapshot. What a batch writes besides its result is removed with it.
+    Returns all published recommendation rows."""
+    passes.repartition(n_files, "pass_id").write.mode("append").parquet(src)
 
     def rank(batch: DataFrame, batch_id: int) -> None:
-        plan.recommend_batch(batch, lounges).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        with scratch_scope(spark):
+            plan.recommend_batch(batch, catalog()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
+    stream = spark.readStream.schema(passes.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     _run(stream, rank, checkpoint)
     return spark.read.parquet(out).drop("batch_id")
 
 
-def parse_fields(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Narrow (stateless) extraction: marked route, printed IATA, times, flight, gate,
-    terminal, and a reject reason when no departure airport can be read."""
-    d = pt.extract_terminal(pt.extract_flight_gate(pt.extract_times(pt.extract_iata(texts, text), text), text), text)
-    d = (d.withColumn("dep_city", F.nullif(F.regexp_extract(F.col(text), pt.ROUTE_RE, 1), F.lit("")))
-         .withColumn("dest_city", F.nullif(F.regexp_extract(F.col(text), pt.ROUTE_RE, 2), F.lit(""))))
-    return d.withColumn("reject_reason", F.when(F.col("dep_city").isNull() & F.col("dep_iata").isNull(),
-                                                F.lit("no departure airport")))
-
-
-def parse_stream(spark: SparkSession, texts: DataFrame, src: str, out: str, checkpoint: str,
+def parse_stream(spark: SparkSession, texts: DataFrame, cities: DataFrame, src: str, out: str, checkpoint: str,
                  files_per_trigger: int = 1, n_files: int = 4) -> DataFrame:
-    """Raw pass text -> pass records; rejects go to a side output. Returns both, read back."""
-    texts.repartition(n_files, "pass_id").write.mode("overwrite").parquet(src)
-    schema = spark.read.parquet(src).schema
+    """Raw pass text -> pass records by the batch parser; a pass without a departure city or
+    code is rejected to a side output. Returns both, read back."""
+    texts.repartition(n_files, "pass_id").write.mode("append").parquet(src)
     cols = ["pass_id", "dep_city", "dest_city", "dep_iata", "boarding_time", "departure_time",
             "flight_number", "gate", "terminal_value", "reject_reason"]
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_fields(batch).select(*cols)
-        parsed.filter(F.col("reject_reason").isNull()).write.mode("overwrite").parquet(
-            f"{out}/accepted/batch_id={batch_id}")
-        parsed.filter(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(
-            f"{out}/rejected/batch_id={batch_id}")
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
+        parsed = pt.parse_pass_text(batch, cities)
+        reason = F.when(F.col("dep_city").isNull() & F.col("dep_iata").isNull(), F.lit("no departure airport"))
+        rows = parsed.withColumn("reject_reason", reason).select(*cols).persist()
+        rows.filter(F.col("reject_reason").isNull()).write.mode("overwrite").parquet(f"{out}/accepted/batch_id={batch_id}")
+        rows.filter(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(f"{out}/rejected/batch_id={batch_id}")
+        rows.unpersist()
+
+    stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     _run(stream, split, checkpoint)
-    acc = spark.read.schema(spark.read.parquet(f"{out}/accepted").schema).parquet(f"{out}/accepted")
-    rej = spark.read.parquet(f"{out}/rejected")
-    return (acc.select(*cols).withColumn("status", F.lit("accepted"))
-            .unionByName(rej.select(*cols).withColumn("status", F.lit("rejected"))))
+    both = [spark.read.parquet(f"{out}/{s}").select(*cols).withColumn("status", F.lit(s)) for s in ("accepted", "rejected")]
+    return both[0].unionByName(both[1])

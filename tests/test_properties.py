@@ -32,7 +32,7 @@ def test_stream_equals_batch(spark):
     from concourse.streaming.micro_batch import recommend_stream
     d = "/root/testdata/sf0.001"
     base = scratch_path(spark, "test-stream")
-    s = recommend_stream(spark, fx.passes(spark, d), fx.lounges(spark, d), f"{base}/src", f"{base}/out",
+    s = recommend_stream(spark, fx.passes(spark, d), lambda: fx.lounges(spark, d), f"{base}/src", f"{base}/out",
                          f"{base}/ckpt")
     b = plan.recommend_batch(fx.passes(spark, d), fx.lounges(spark, d))
     cols = ["pass_id", "lounge_id", "rank"]

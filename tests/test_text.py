@@ -96,3 +96,71 @@ def test_pass_text_rules(spark):
     assert r[2].boarding_time is None and r[2].departure_time == "11:00"
     assert (r[2].terminal_value, r[2].terminal_source, r[2].terminal_confidence) == ("B", "inferred", 0.5)
     assert (r[3].terminal_value, r[3].terminal_source) == ("2C", "printed")
+
+
+def parsed(spark, texts):
+    cities = spark.createDataFrame([(i, c) for i, c in enumerate(["PARIS", "OSLO", "NEW YORK", "YORK", "LOS ANGELES", "Saint-Denis"])],
+                                   "city_key long, city string")
+    df = spark.createDataFrame(list(enumerate(texts)), "pass_id long, text string")
+    return [r for r in pt.parse_pass_text(df, cities).orderBy("pass_id").collect()]
+
+
+def test_route_rules(spark):
+    r = parsed(spark, [
+        "FLIGHT BER167 NEW YORK → LOS ANGELES",
+        "E-TICKET PARIS → OSLO",
+        "PARIS (CDG) → OSLO (OSL) GATE: B2 TERMINAL: 2",
+        "E-TICKET SAINT-DENIS - YORK",
+        "ROME → OSLO",                                        # not a known city: no confident guess
+        "OSLO NOTE ABOUT SOMETHING PARIS NEW YORK GATE B1",   # the two nearest to the details
+        "PARIS -> OSLO THEN OSLO -> PARIS",
+        "NOTHING HERE", "",
+    ])
+    assert [(x.dep_city, x.dest_city, x.route_source, x.route_confidence) for x in r] == [
+        ("NEW YORK", "LOS ANGELES", "marked", 1.0), ("PARIS", "OSLO", "marked", 1.0), ("PARIS", "OSLO", "marked", 1.0),
+        ("Saint-Denis", "YORK", "marked", 1.0), (None, None, None, 0.0), ("PARIS", "NEW YORK", "inferred", 0.5),
+        ("PARIS", "OSLO", "marked", 1.0), (None, None, None, 0.0), (None, None, None, 0.0)]
+    assert r[0].flight_number == "BER167"
+    assert (r[2].dep_iata, r[2].dest_iata, r[2].gate, r[2].terminal_value) == ("CDG", "OSL", "B2", "2")
+    assert r[5].assumptions and not r[6].assumptions
+
+
+def test_times_with_dates_and_labels(spark):
+    r = parsed(spark, ["BOARDING TIME 2024-05-01 09:40 TIME 10:10", "Boarding time: 9:05", "TIME: 2024-05-01T23:00",
+                       "DEP (CDG) ARR (OSL)", "ARR (OSL)", "TERMINAL GATE: C4"])
+    assert (r[0].boarding_time, r[0].departure_time) == ("2024-05-01 09:40", "10:10")
+    assert (r[1].boarding_time, r[1].departure_time) == ("9:05", None)
+    assert r[2].departure_time == "2024-05-01T23:00"
+    assert [(x.dep_iata, x.dest_iata) for x in r[3:5]] == [("CDG", "OSL"), (None, "OSL")]
+    assert (r[5].gate, r[5].terminal_value, r[5].terminal_source) == ("C4", "C", "inferred")
+
+
+def test_contract_types_are_strict(spark):
+    r = contract(spark, [FULL % ("null", '"B2"', '"BA1"', ""), FULL % ("1", '"B2"', '"BA1"', ', "assumptions": null'),
+                         FULL % ("1", '"B2"', '"BA1"', ', "assumptions": "oops"'), FULL % ("1", '"B2"', '"BA1"', ', "assumptions": [1, 2]'),
+                         FULL % ("1", '"B2"', '"BA1"', ', "assumptions": []'), (FULL % ("1", '"B2"', '"BA1"', "")).replace(', "confidence": 1}', "}")])
+    assert r[0].reject_reason == "destination.confidence is not a number"
+    assert {r[i].reject_reason for i in (1, 2, 3)} == {"assumptions is not an array of strings"}
+    assert r[4].valid and r[4].assumptions == [] and r[5].valid
+
+
+def test_edits_overlay_nine_fields(spark):
+    p = spark.createDataFrame([(1, "LHR", "JFK", "5", "printed", 1.0, "A1", "BA1", "10:00", "09:00", ["note"]),
+                               (2, "LHR", None, None, None, 0.0, None, None, None, None, ["note"])],
+                              "pass_id long, airport_code string, dest_iata string, terminal string, terminal_source string, "
+                              "terminal_confidence double, gate string, flight_number string, departure string, boarding string, "
+                              "assumptions array<string>")
+    e = spark.createDataFrame([(2, "CDG", "Paris", " ", "", "", "B2", "AF1", "11:00", "")],
+                              "pass_id long, airport_iata string, airport_city string, dest_iata string, dest_city string, "
+                              "terminal string, gate string, flight string, departure string, boarding string")
+    r = {x.pass_id: x for x in pt.apply_manual_edits(p, e).collect()}
+    assert (r[1].edited, r[1].dest_confidence, r[1].assumptions, r[1].airport_city) == (False, 1.0, ["note"], None)
+    assert (r[2].airport_iata, r[2].airport_city, r[2].dest_iata, r[2].dest_confidence) == ("CDG", "Paris", None, 0.0)
+    assert (r[2].terminal_source, r[2].terminal_confidence, r[2].assumptions, r[2].boarding) == (None, 0.0, [], None)
+
+
+def test_oracles_do_not_import_the_rules():
+    from pathlib import Path
+    import concourse.oracle.text as text
+    for name in ("text.py", "streaming.py", "serving.py"):
+        assert "concourse.operators" not in (Path(text.__file__).parent / name).read_text()
