@@ -16,7 +16,10 @@ from concourse.plans.joins import sized_broadcast
 # Fixed patterns and values.
 HREF_RE = r'href="([^"]*)"'
 SCRIPT_RE = r"(?s)<script[^>]*>(.*?)</script>"
-CARD_RE = r'<li><a href="([^"]*)">([^<]*)</a></li>'
+CARD_RE = r'(?s)<li[^>]*>\s*<a\b([^>]*)>(.*?)</a>'
+TAG_RE = r"<[^>]+>"
+HEADING_RE = r"(?s)<h4[^>]*>(.*?)</h4>"
+LIST_ITEM_RE = r"(?s)<li[^>]*>(.*?)</li>"
 TITLE_RE = r"(?s)<title[^>]*>(.*?)</title>"
 H1_RE = r"(?s)<h1[^>]*>(.*?)</h1>"
 LANG_RE = r'<html[^>]*\blang="([^"]*)"'
@@ -120,26 +123,49 @@ def filter_countries(airports: DataFrame, countries: list[str] | DataFrame = DEF
     return airports.filter(F.lower("country").isin([c.lower() for c in countries]))
 
 
-def page_header_fields(pages: DataFrame, link_name: str = "url") -> DataFrame:
-    """First text of each marked element, all whitespace trimmed. Missing code,
-    location or count -> ``N/A``; a missing name keeps the link's name."""
+HEADER_RES = {"airport_name": H1_RE, "airport_code": LANG_RE, "airport_location": TITLE_RE,
+              "total_experiences": COUNT_RE}
+
+
+def marked(test_id: str) -> str:
+    """Pattern of the element with this ``data-testid``."""
+    return rf'(?s)<(?:\w+)[^>]*\bdata-testid=["\']{test_id}["\'][^>]*>(.*?)</'
+
+
+def page_header_fields(pages: DataFrame, link_name: str = "url", patterns: dict[str, str] | None = None) -> DataFrame:
+    """First text of each marked element, all whitespace trimmed; ``patterns`` replaces those of
+    the default page layout, as by ``marked("airport-code")``. Missing code, location or count ->
+    ``N/A``; a missing name keeps the link's name."""
+    res = HEADER_RES | (patterns or {})
+
     def first(pattern: str) -> Column:
         return F.when(F.col("html").rlike(pattern), ws_trim(F.regexp_extract("html", pattern, 1)))
     return pages.select(
         "page_id",
-        F.coalesce(first(H1_RE), F.col(link_name)).alias("airport_name"),
-        F.coalesce(first(LANG_RE), F.lit(NA)).alias("airport_code"),
-        F.coalesce(first(TITLE_RE), F.lit(NA)).alias("airport_location"),
-        F.coalesce(first(COUNT_RE), F.lit(NA)).alias("total_experiences"))
+        F.coalesce(first(res["airport_name"]), F.col(link_name)).alias("airport_name"),
+        F.coalesce(first(res["airport_code"]), F.lit(NA)).alias("airport_code"),
+        F.coalesce(first(res["airport_location"]), F.lit(NA)).alias("airport_location"),
+        F.coalesce(first(res["total_experiences"]), F.lit(NA)).alias("total_experiences"))
 
 
-def card_explode(pages: DataFrame) -> DataFrame:
-    """One row per card in document order; a page without cards keeps one row with
-    null card fields (an airport with zero lounges)."""
-    cards = F.arrays_zip(F.regexp_extract_all("html", F.lit(CARD_RE), 1).alias("href"),
-                         F.regexp_extract_all("html", F.lit(CARD_RE), 2).alias("name"))
-    e = pages.select("page_id", F.posexplode_outer(cards).alias("pos", "card"))
-    return e.select("page_id", "pos", F.col("card.href").alias("href"), F.col("card.name").alias("name"))
+def plain_text(html: Column) -> Column:
+    """Text of a piece of markup: tags dropped, white space at its rim trimmed."""
+    return ws_trim(F.regexp_replace(html, TAG_RE, ""))
+
+
+def card_explode(pages: DataFrame, needle: str = "/lounges/") -> DataFrame:
+    """One row per list anchor whose href contains ``needle``, in document order: its href, its
+    name (the heading's text, else all text) and its markup as ``card``. A page without cards
+    keeps one row with null card fields (an airport with zero lounges)."""
+    anchors = F.arrays_zip(F.regexp_extract_all("html", F.lit(CARD_RE), F.lit(0)).alias("card"),
+                           F.regexp_extract_all("html", F.lit(CARD_RE), F.lit(1)).alias("attrs"),
+                           F.regexp_extract_all("html", F.lit(CARD_RE), F.lit(2)).alias("body"))
+    cards = F.filter(anchors, lambda a: F.regexp_extract(a["attrs"], HREF_RE, 1).contains(needle))
+    e = pages.select("page_id", F.posexplode_outer(cards).alias("pos", "c"))
+    body = F.col("c.body")
+    name = F.when(body.rlike(HEADING_RE), F.regexp_extract(body, HEADING_RE, 1)).otherwise(body)
+    return e.select("page_id", "pos", F.regexp_extract("c.attrs", HREF_RE, 1).alias("href"),
+                    plain_text(name).alias("name"), F.col("c.card").alias("card"))
 
 
 def detail_key(url: Column) -> Column:
@@ -174,30 +200,37 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(ok).drop("reject_reason"), df.filter(~ok)
 
 
-def amenity_format(details: DataFrame, html: str = "html") -> DataFrame:
+BLOCK_RE, NAME_RE, TAGS_RE = r'(?s)<p class="am">(.*?)</p>', r"(?s)<span[^>]*>(.*?)</span>", r"(?s)<i[^>]*>(.*?)</i>"
+
+
+def amenity_format(details: DataFrame, html: str = "html", block_re: str = BLOCK_RE, name_re: str = NAME_RE,
+                   tag_re: str = TAGS_RE) -> DataFrame:
     """Each block ``name`` or ``name (tag, tag)``; blocks without a name element are
     skipped; joined with ``; ``; none -> ``N/A``."""
-    blocks = F.regexp_extract_all(F.col(html), F.lit(r'(?s)<p class="am">(.*?)</p>'), 1)
-    named = F.filter(blocks, lambda b: b.rlike("<span>"))
+    blocks = F.regexp_extract_all(F.col(html), F.lit(block_re), 1)
+    named = F.filter(blocks, lambda b: b.rlike(name_re))
     texts = F.transform(named, lambda b: F.concat(
-        ws_trim(F.regexp_extract(b, r"(?s)<span>(.*?)</span>", 1)),
-        F.when(F.size(F.regexp_extract_all(b, F.lit(r"(?s)<i>(.*?)</i>"), 1)) > 0, F.concat(
-            F.lit(" ("), F.array_join(F.transform(F.regexp_extract_all(b, F.lit(r"(?s)<i>(.*?)</i>"), 1), ws_trim),
+        ws_trim(F.regexp_extract(b, name_re, 1)),
+        F.when(F.size(F.regexp_extract_all(b, F.lit(tag_re), 1)) > 0, F.concat(
+            F.lit(" ("), F.array_join(F.transform(F.regexp_extract_all(b, F.lit(tag_re), 1), ws_trim),
                                       ", "), F.lit(")"))).otherwise(F.lit(""))))
     return details.withColumn("amenities", F.when(F.size(texts) > 0, F.array_join(texts, "; "))
                               .otherwise(F.lit(NA)))
 
 
 def section_items(details: DataFrame, heading: str, out: str, html: str = "html") -> DataFrame:
-    """List items under ``<h2>heading</h2>``. Primary: the list in the block after the
-    heading's button, blanks dropped. If that yields nothing: the first list after
-    the heading, blanks kept. Heading absent -> []."""
-    primary_block = (rf"(?s)<button[^>]*>\s*<h2>{heading}</h2>\s*</button>\s*<div>(.*?)</div>")
-    fallback_list = rf"(?s)<h2>{heading}</h2>.*?<ul>(.*?)</ul>"
-    li = F.lit(r"(?s)<li>(.*?)</li>")
-    prim = F.filter(F.transform(F.regexp_extract_all(F.regexp_extract(F.col(html), primary_block, 1), li, 1),
-                                ws_trim), lambda x: x != "")
-    fb = F.transform(F.regexp_extract_all(F.regexp_extract(F.col(html), fallback_list, 1), li, 1), ws_trim)
+    """Texts of the list items under ``<h2>heading</h2>``. Primary: all items between the heading's
+    button and the next heading, blanks dropped, whatever blocks they are nested in. If that
+    yields nothing: the first list after the heading, blanks kept. Heading absent -> []."""
+    title = rf"<h2[^>]*>\s*{heading}\s*</h2>"
+    primary_block = rf"(?s)<button[^>]*>(?:(?!</button>).)*?{title}(?:(?!</button>).)*?</button>(.*?)(?=<button|<h2|$)"
+    fallback_list = rf"(?s){title}.*?<ul[^>]*>(.*?)</ul>"
+
+    def items(block: Column) -> Column:
+        return F.transform(F.regexp_extract_all(block, F.lit(LIST_ITEM_RE), 1), plain_text)
+
+    prim = F.filter(items(F.regexp_extract(F.col(html), primary_block, 1)), lambda x: x != "")
+    fb = items(F.regexp_extract(F.col(html), fallback_list, 1))
     return details.withColumn(out, F.when(F.size(prim) > 0, prim).otherwise(fb))
 
 

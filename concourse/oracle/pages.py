@@ -7,10 +7,14 @@ fixtures themselves are the shared SQL expressions from ``fixtures``.
 
 from __future__ import annotations
 
-from concourse.operators.pages import CARD_RE, COUNT_RE, H1_RE, HREF_RE, LANG_RE, TITLE_RE
 from concourse.oracle.serving import lounges_sql
 from concourse.plans.fixtures import CARD_SQL, DETAIL_HTML_SQL, EMBEDDED_HTML_SQL
 
+# The markup of the driver's ``pages`` table, as it stands there.
+HREF_RE = 'href="([^"]*)"'
+CARD_RE = '<li><a href="([^"]*)">([^<]*)</a></li>'
+TITLE_RE, H1_RE = "<title>([^<]*)</title>", "<h1>([^<]*)</h1>"
+LANG_RE, COUNT_RE = '<html lang="([^"]*)"', '<span class="count">([^<]*)</span>'
 WS = r"'^\s+|\s+$', '', 'g'"
 TERM_RE = r'(?s)<p data-testid="outlet-card-terminal">(.*?)</p>'
 HOURS_RE = r"<p>([^<]*Hours:[^<]*)</p>"

@@ -23,7 +23,9 @@ ORACLE = {
         FROM lounges""",
     "write_ndjson": _PER_AIRPORT.format(
         extra=", CAST(count(l.lounge_id) FILTER (WHERE l.amenities IS NULL) AS BIGINT) AS n_null_amenities"),
-    "load_catalog_overwrite": _PER_AIRPORT.format(extra=""),
+    # cards without a link or a heading are not stored
+    "load_catalog_overwrite": _PER_AIRPORT.format(extra="").replace(
+        "LEFT JOIN lounges l ON", "LEFT JOIN (SELECT * FROM lounges WHERE k % 29 <> 0 AND k % 23 <> 0) l ON"),
     "incremental_publish": _PER_AIRPORT.format(extra=""),
     "sink_advisory_json": base_ctes("supplier") + """
         , nrec AS (SELECT pass_id, CAST(count(*) AS INTEGER) AS n FROM top5 GROUP BY pass_id)

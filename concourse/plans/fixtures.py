@@ -336,3 +336,20 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7b: a detail page per F1 lounge, keyed by its detail URL; none when k % 10 = 0."""
     lo = _lounges_k(spark, sf_dir).filter(F.col("k") % 10 != 0)
     return lo.select(F.col("detail_url").alias("url"), F.expr(DETAIL_HTML_SQL).alias("html"))
+
+
+def airport_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled airport pages (page_id, url, html): header elements and the page's lounge cards
+    in order, about 500 to a page; one empty page per airport without lounges."""
+    last = read_table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0
+    heads = catalog_pages(airports(spark, sf_dir).select("airport_code", "airport_name", "airport_location"), last)
+    cards = on_pages(lounge_cards(spark, sf_dir), F.col("k")).groupBy("url").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "card"))), lambda x: x["card"]), "").alias("cards"))
+
+    def element(name: str) -> Column:
+        return F.concat(F.lit(f'<p data-testid="{name.replace("_", "-")}"> '), F.col(name), F.lit(" </p>"))
+
+    return heads.join(cards, "url", "left").select(
+        F.xxhash64("url").alias("page_id"), "url",
+        F.concat(F.lit("<html><body>"), element("airport_name"), element("airport_code"), element("airport_location"),
+                 F.lit("<ul>"), F.coalesce("cards", F.lit("")), F.lit("</ul></body></html>")).alias("html"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from concourse.plans import fixtures as fx
+from concourse.plans import flows
 from concourse.plans.registry_serving import advisory_records, nested_catalog
 from concourse.session import scratch_path
 from concourse.sources import catalog_io as io
@@ -49,7 +51,8 @@ def q_write_ndjson(spark, sf_dir):
 
 
 def q_load_catalog_overwrite(spark, sf_dir):
-    io.load_catalog_overwrite(spark, nested_catalog(spark, sf_dir))
+    pages, details = fx.airport_pages(spark, sf_dir), fx.detail_pages(spark, sf_dir)
+    io.load_catalog_overwrite(spark, flows.catalog_from_pages(pages, details))
     return _per_airport(spark.table("concourse.lounge_catalog"))
 
 

@@ -48,3 +48,36 @@ def test_section_items(spark):
     df = spark.createDataFrame([(1, prim), (2, fb), (3, "<p>no heading</p>")], "id int, html string")
     r = {x.id: x.items for x in pg.section_items(df, "Location", "items").collect()}
     assert r == {1: ["a"], 2: ["a", ""], 3: []}
+
+
+def test_section_items_in_nested_markup(spark):
+    html = ('<button class="x"><span>+</span><h2 class="t">Location</h2></button><div><div><ul><li class="i"> a <b>bold</b></li></ul>'
+            '</div><div><ul><li>second</li></ul></div></div><button><h2>Conditions</h2></button><div><ul><li>c</li></ul></div>')
+    df = spark.createDataFrame([(1, html)], "id int, html string")
+    d = pg.section_items(pg.section_items(df, "Location", "loc"), "Conditions", "cond").collect()[0]
+    assert d.loc == ["a bold", "second"] and d.cond == ["c"]
+
+
+def test_cards_are_lounge_links(spark):
+    html = ('<ul><li><a href="/about">About</a></li><li class="c"><a class="k" href="/lounges/a1"><h4> One <i>!</i></h4><p>x</p></a></li>'
+            '<li><a href="https://h/lounges/b2?r=1">Two</a></li></ul>')
+    df = spark.createDataFrame([(1, html), (2, "<li><a href='/x'>no</a></li>")], "page_id long, html string")
+    r = pg.card_explode(df).orderBy("page_id", "pos").collect()
+    assert [(x.page_id, x.pos, x.href, x.name) for x in r] == [
+        (1, 0, "/lounges/a1", "One !"), (1, 1, "https://h/lounges/b2?r=1", "Two"), (2, None, None, None)]
+    good = spark.createDataFrame([(1, r[0].card.replace(' class="k"', ""))], "k long, card string")
+    assert "h4" in r[0].card and pg.parse_cards(good).collect()[0].lounge_id == "a1"
+
+
+def test_header_selectors_are_parameters(spark):
+    html = '<html lang="en"><h1>N</h1><span data-testid="airport-code"> LHR </span><p class="q" data-testid="airport-location">London</p></html>'
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    r = pg.page_header_fields(df, patterns={"airport_code": pg.marked("airport-code"), "airport_location": pg.marked("airport-location")}).collect()[0]
+    assert (r.airport_name, r.airport_code, r.airport_location, r.total_experiences) == ("N", "LHR", "London", "N/A")
+
+
+def test_oracle_does_not_import_the_rules():
+    from pathlib import Path
+    import concourse.oracle as oracle
+    for f in Path(oracle.__path__[0]).glob("*.py"):
+        assert "concourse.operators" not in f.read_text(), f
