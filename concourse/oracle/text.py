@@ -6,7 +6,7 @@ The expected fields of a printed text are the fixture's own columns that the tex
 from __future__ import annotations
 
 from concourse.oracle.serving import PASSES_SQL
-from concourse.plans.fixtures import BARCODE_SQL, EDITS_SQL, JSON_TEXT_SQL, MODEL_TEXT_SQL, PASS_TEXT_SQL
+from concourse.plans.fixtures import BARCODE_SQL, EDITS_SQL, JSON_TEXT_SQL, MODEL_TEXT_SQL
 
 WS = r"'^\s+|\s+$', '', 'g'"
 
