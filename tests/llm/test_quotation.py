@@ -1,5 +1,3 @@
-import hashlib
-
 from concourse.llm import quotation as q
 
 

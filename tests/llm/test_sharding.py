@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pytest
 
 from concourse.llm import sharding as sh
 
