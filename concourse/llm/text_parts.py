@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 8 << 20  # bytes of text that are encoded at once
+#: White space, and nothing: what an empty part, or a lone line end, begins with.
+NO_RIM = pa.array(["", *(c for c in map(chr, range(0x3001)) if c.isspace())])
 
 
 class PartEncoder:
@@ -55,21 +57,22 @@ class PartEncoder:
         start = lists.offsets.to_numpy().astype(np.int64)
         start = start - start[0]
         counts, start = np.diff(start), start[:-1]
-        parts = coded.dictionary.to_pylist()
-        whole = np.array([_simple(p) for p in parts], bool)
-        simple = np.logical_and.reduceat(whole[codes], start)
+        parts = coded.dictionary
+        simple = np.logical_and.reduceat(_simple(parts)[codes], start)
 
         # the first part of a text has no blank before it
-        first = codes[start]
-        firsts, first = np.unique(first, return_inverse=True)
+        firsts, first = np.unique(codes[start], return_inverse=True)
         codes[start] = len(parts) + first
-        forms = [p if p[:1] == "\n" else " " + p for p in parts] + [parts[i] for i in firsts]
+        spaced = pc.if_else(pc.starts_with(parts, "\n"), parts, pc.binary_join_element_wise(" ", parts, ""))
+        forms = spaced.to_pylist() + parts.take(pa.array(firsts)).to_pylist()
         if not simple.all():
             codes, counts, forms = self._cut_by_pattern(texts, simple, codes, counts, start, forms)
-        used, codes = np.unique(codes, return_inverse=True)
+        there = np.bincount(codes, minlength=len(forms)) > 0
+        used = np.flatnonzero(there)
+        codes = (np.cumsum(there) - 1)[codes]
         found = self._ids([forms[i] for i in used])
         own = np.frombuffer(b"".join(found), "<u4")
-        lengths = np.array([len(x) for x in found], np.int64) // 4
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begins = np.cumsum(lengths) - lengths
         each = lengths[codes]
         end = np.cumsum(each)
@@ -91,6 +94,11 @@ class PartEncoder:
         return np.concatenate(rows), np.array([len(r) for r in rows], np.int64), forms
 
 
-def _simple(part: str) -> bool:
-    core = part[1:] if part[:1] == "\n" else part
-    return bool(core) and not core[0].isspace() and not core[-1].isspace()
+def _simple(parts: pa.Array) -> np.ndarray:
+    """Parts that are not empty and have no white space at their rim, but for one line end
+    before them."""
+    first = pc.utf8_slice_codeunits(parts, 0, 1)
+    first = pc.if_else(pc.equal(first, "\n"), pc.utf8_slice_codeunits(parts, 1, 2), first)
+    last = pc.utf8_slice_codeunits(parts, -1)
+    rim = pc.or_(pc.is_in(first, value_set=NO_RIM), pc.is_in(last, value_set=NO_RIM))
+    return ~rim.to_numpy(zero_copy_only=False)
