@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from concourse.llm.common import staged, whole_text
 from concourse.llm.ordering import order_key, range_of, range_starts
 
-LEAST_SHARE = 0.001   # of the documents, that hold a lexicon term
+LEAST_SHARE = 0.01    # of the documents, that hold a lexicon term
 MOST_SHARE = 0.1
 LEVELS = (2, 4, 6, 8)  # a subset of the level holds each term with chance 1 / 2^level
-PER_LEVEL = 8
+PER_LEVEL = 6
 SUBSETS = len(LEVELS) * PER_LEVEL
 LEAST_PARTS = 3
 BROADCAST_TERMS = 500_000
@@ -40,7 +40,7 @@ MOST_RANGES = 100_000
 
 def terms(text: Column) -> Column:
     """Distinct lower-case terms of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
@@ -56,61 +56,93 @@ def lexicon(docs: DataFrame) -> DataFrame:
     return band.select("term", parts.alias("parts"))
 
 
-def _hashes(found: Column, text_md5: Column) -> Column:
-    """Hash per subset of an array of structs (term, parts) in term order."""
+NO_TERMS = "d41d8cd9"  # start of the MD5 of nothing
+
+
+def _bits(levels: range) -> Column:
+    """The subsets of some levels as bits."""
+    return F.lit(sum(1 << s for lv in levels for s in range(lv * PER_LEVEL, (lv + 1) * PER_LEVEL))).cast("long")
+
+
+def with_subset_hashes(df: DataFrame, found: str, text_md5: str, name: str) -> DataFrame:
+    """``df`` with the hash per subset of ``found``, structs (term, parts), in its place. The terms of the sparse levels are picked out first, so that each of their subsets
+    looks through few."""
+    cut = [1, 2]  # levels from which on the terms are picked out again
+    lists = {0: found} | {c: f"_{found}_{c}" for c in cut}
+    for c in cut:
+        below = lists[max(k for k in lists if k < c)]
+        df = df.withColumn(lists[c], _having(below, _bits(range(c, len(LEVELS)))))
+
     def own(s: int) -> Column:
-        part = F.filter(found, lambda x: x["parts"].bitwiseAND(F.lit(1 << s).cast("long")) != 0)
-        return F.when(F.size(part) > 0, F.substring(F.md5(F.concat_ws(" ", F.transform(part, lambda x: x["term"]))), 1, 8)).otherwise("")
+        source = lists[max(k for k in lists if k <= s // PER_LEVEL)]
+        terms_ = F.sort_array(F.transform(_having(source, F.lit(1 << s).cast("long")), lambda x: x["term"]))
+        return F.replace(F.substring(F.md5(F.concat_ws(" ", terms_)), 1, 8), F.lit(NO_TERMS), F.lit(""))
+
+    bare = F.array(*([F.substring(F.col(text_md5), 1, 8)] * SUBSETS))
+    hashes = F.when(F.size(found) > 0, F.array(*map(own, range(SUBSETS)))).otherwise(bare)
+    return df.withColumn(name, hashes).drop(*lists.values(), text_md5)
 
-    return F.when(F.size(found) > 0, F.array(*map(own, range(SUBSETS)))).otherwise(
-        F.array(*([F.substring(text_md5, 1, 8)] * SUBSETS)))
 
+def _having(found: str, bits: Column) -> Column:
+    return F.filter(found, lambda x: x["parts"].bitwiseAND(bits) != 0)
 
-def likeness(a: Column, b: Column) -> Column:
-    """Largest share of equal hashes among the parts of a level that are not empty in both."""
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(((x == y) & (x != "")).cast("int").alias("same"),
-                                                   ((x != "") | (y != "")).cast("int").alias("some")))
+
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``df`` with the largest share of equal hashes among the parts of a level that are not
+    empty in both of ``a`` and ``b``."""
+    # 2: equal hashes, 1: not both empty, 0: both empty
+    both = F.zip_with(a, b, lambda x, y: F.when((x == "") & (y == ""), 0).when(x == y, 2).otherwise(1))
 
     def share(part: Column, least: int) -> Column:
-        sums = F.aggregate(part, F.struct(F.lit(0).alias("same"), F.lit(0).alias("some")),
-                           lambda s, x: F.struct((s["same"] + x["same"]).alias("same"), (s["some"] + x["some"]).alias("some")),
-                           lambda s: F.when(s["some"] >= least, s["same"] / s["some"]))
-        return sums
+        some = F.size(F.filter(part, lambda x: x > 0))
+        return F.when(some >= least, F.size(F.filter(part, lambda x: x == 2)) / some)
 
+    pairs = F.col("_pairs")
     levels = [share(F.slice(pairs, 1 + PER_LEVEL * i, PER_LEVEL), LEAST_PARTS) for i in range(len(LEVELS))]
-    return F.when(a == b, 1.0).otherwise(F.greatest(share(pairs, 1), *levels))
+    near = F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(share(pairs, 1), *levels))
+    return df.withColumn("_pairs", both).withColumn(name, near).drop("_pairs")
 
 
 def with_hashes(rows: DataFrame, lex: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
-    """``rows`` grouped by ``keys`` (that tell the rows apart), with the hashes of each text
-    column of ``texts`` (column: name of its hashes) in place of the text. Rows partitioned
-    by a key of ``keys`` are not shuffled."""
+    """``rows`` with the hashes of each text column of ``texts`` (column: name of its hashes) in
+    place of the text. ``keys`` tell the rows apart; rows partitioned by one of them are
+    not shuffled. The other columns go with a row's first term only."""
     names = list(texts)
-
-    def of(i: int):
-        return lambda t: F.struct(F.lit(i).alias("of"), t.alias("term"))
-
-    lists = F.array(*[F.transform(terms(F.col(c)), of(i)) for i, c in enumerate(names)])
-    own = rows.select(*keys, *[F.md5(c).alias(f"md5_{i}") for i, c in enumerate(names)],
-                      F.posexplode_outer(F.flatten(lists)).alias("at", "x"))
-    own = own.select(*keys, *[f"md5_{i}" for i in range(len(names))], "at", "x.of", "x.term")
-    if lex.count() <= BROADCAST_TERMS:
-        lex = F.broadcast(lex)
-    # a text's first term stays without a match, so that no row is lost
-    hits = own.join(lex, "term", "left").filter(F.col("parts").isNotNull() | (F.coalesce("at", F.lit(0)) == 0))
-    item = F.struct("term", "parts")
-    found = hits.groupBy(*keys, *[f"md5_{i}" for i in range(len(names))]).agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("parts").isNotNull() & (F.col("of") == i), item))).alias(f"found_{i}")
-        for i in range(len(names))])
-    return found.select(*keys, *[_hashes(F.col(f"found_{i}"), F.col(f"md5_{i}")).alias(texts[c])
-                                 for i, c in enumerate(names)])
+    rest = [c for c in rows.columns if c not in keys and c not in names]
+    # whatever needs a text is made before its terms are spread, not again for every term
+    made = rows.withColumns({f"md5_{i}": F.md5(c) for i, c in enumerate(names)}
+                            | {f"terms_{i}": terms(F.col(c)) for i, c in enumerate(names)})
+    once = [*rest, *[f"md5_{i}" for i in range(len(names))]]
+    upto = [F.size(f"terms_{i}") for i in range(len(names))]
+    made = made.select(*keys, *once, *[sum(upto[:i + 1], F.lit(0)).alias(f"upto_{i}") for i in range(len(names))],
+                       F.concat(*[F.col(f"terms_{i}") for i in range(len(names))]).alias("terms"))
+    own = made.select(*keys, *once, *[f"upto_{i}" for i in range(len(names))],
+                      F.posexplode_outer("terms").alias("at", "term"))
+    own = own.withColumn("at", F.coalesce("at", F.lit(0)))
+    first = F.col("at") == 0
+    # joined by a number, which hashes faster than a string; the term itself decides
+    known = lex.select(F.xxhash64("term").alias("_h"), F.col("term").alias("_term"), "parts")
+    if known.count() <= BROADCAST_TERMS:
+        known = F.broadcast(known)
+    own = own.withColumn("h_", F.xxhash64("term"))
+    hits = own.join(known, (F.col("h_") == F.col("_h")) & (F.col("term") == F.col("_term")), "left").filter(
+        F.col("parts").isNotNull() | first)  # no row is lost
+    of = [F.col("parts").isNotNull() & (F.col("at") < F.col(f"upto_{i}"))
+          & ((F.col("at") >= F.col(f"upto_{i - 1}")) if i else F.lit(True)) for i in range(len(names))]
+    found = hits.groupBy(*keys).agg(
+        *[F.max(F.when(first, F.col(c))).alias(c) for c in once],
+        *[F.collect_list(F.when(of[i], F.struct("term", "parts"))).alias(f"found_{i}")
+          for i in range(len(names))])
+    for i, c in enumerate(names):
+        found = with_subset_hashes(found, f"found_{i}", f"md5_{i}", texts[c])
+    return found
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) as doc_id, fingerprint."""
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), whole_text().alias("text"))
     lex = staged(lexicon(docs), "lexicon")
-    return with_hashes(rows, lex, ["row", "doc_id"], {"text": "hashes"}).select(
+    return with_hashes(rows, lex, ["row"], {"text": "hashes"}).select(
         "doc_id", F.concat_ws("-", "hashes").alias("fingerprint"))
 
 
@@ -138,14 +170,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                                        F.expr("left(next, int(floor(length(text) / 4)))")))
         .withColumn("edited_sha256", F.sha2("edited", 256))
     )
-    keys = ["range", "tail", "k", "known", "h", "row", "doc_id", "n_chars", "edited_sha256"]
-    done = with_hashes(rows, lex, keys, {"text": "own", "edited": "new"})
+    rows = rows.select("range", "tail", "k", "known", "h", "row", "doc_id", "n_chars", "edited_sha256", "text", "edited")
+    done = with_hashes(rows, lex, ["range", "tail", "row"], {"text": "own", "edited": "new"})
     done = done.withColumn("after", F.lead("own").over(by)).filter("tail = 0")
-    return done.select(
-        "doc_id", "n_chars", "edited_sha256", F.concat_ws("-", "own").alias("fingerprint"),
-        F.concat_ws("-", "new").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"),
-        likeness(F.col("own"), F.col("after")).alias("near_next"))
+    done = with_likeness(with_likeness(done, "own", "new", "near_edited"), "own", "after", "near_next")
+    return done.select("doc_id", "n_chars", "edited_sha256", F.concat_ws("-", "own").alias("fingerprint"),
+                       F.concat_ws("-", "new").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def edited_sql() -> str:
