@@ -9,12 +9,12 @@ aligned word by word inside a band; they are linked if the alignment keeps at le
 ``SIMILARITY`` of the longer text's words. Linked texts form classes (connected
 components); a class is named by its smallest doc_id.
 
-Hot groups: equal word sequences are collapsed first by a partial aggregation. A bucket
-of up to ``PAIRED`` texts gives all its pairs. A larger one is worked off in rounds: a few
-pivots of different classes are compared with every text outside their class, the classes
-are formed anew, and so on with more pivots, until each pair of the bucket is in one
-class or was compared. Near copies fall together in the first rounds, so rows grow
-linearly with such a group; nothing is capped. Length classes keep texts that cannot be
+Hot groups: equal word sequences are collapsed first by a partial aggregation. Buckets are
+worked off in rounds: first a bucket's smallest node is compared with all others, and
+classes are formed; then more pivots, from the smallest classes, are compared with every
+text outside their class, and so on, until each pair of the bucket is in one class or was
+compared. Near copies fall together in the first round, so rows grow linearly with such a
+group and with the texts beside it; nothing is capped. Length classes keep texts that cannot be
 similar out of one bucket.
 
 Defined results: texts without words (null, empty, punctuation only) are equal to nothing
@@ -33,14 +33,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concourse.llm.common import WORD, fresh, staged, whole_text
+from concourse.llm.common import WORD, fresh, staged
 
 KMER = 5
 SKETCHES = 24
 PICKS = 4
 SIMILARITY = 0.8
-PAIRED = 16    # texts of a bucket that are paired with each other at once
-PIVOTS = 2     # pivots a larger bucket takes in its first round; four times as many in each next
+MORE = 16      # a bucket has one pivot in its first round, and MORE times as many in each next
+
+SLICE = 2_000_000  # letters of text that are sketched at once
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,6 +134,21 @@ def aligned_share(a: list[int], b: list[int]) -> float:
     return share if share >= SIMILARITY - 1e-12 else 0.0
 
 
+def _buckets(lists: list[list[str]], lengths: np.ndarray) -> list:
+    """Sketch keys of each text by length class; none for a text without words."""
+    out: list = [[]] * len(lists)
+    keep = np.flatnonzero(lengths)
+    if len(keep):
+        mers, counts = kmers(word_hashes([w for x in lists for w in x]), lengths)
+        keys = sketch_keys(mers, counts[keep])
+        low = np.floor(np.log2(lengths[keep])).astype(np.uint64)
+        high = np.floor(np.log2(lengths[keep] / SIMILARITY + 1e-9)).astype(np.uint64)
+        near, far = (_mix(keys + c[:, None] * _ODD).view(np.int64) for c in (low, high))
+        for at, i in enumerate(keep):
+            out[i] = near[at] if low[at] == high[at] else np.append(near[at], far[at])
+    return out
+
+
 def document_keys(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, node, words, buckets) of every document with a text, in one pass over
     the texts. ``node`` is the key of the word sequence, ``hash`` that of the text as it is;
@@ -140,23 +156,15 @@ def document_keys(docs: DataFrame) -> DataFrame:
     where it differs, that of the longest text it can be similar to. Classes are powers of
     two, so similar texts meet in one."""
     def rows(batches):
-        for b in batches:
-            lists = [WORD.findall(t.lower()) for t in b["text"]]
-            nodes = [hashlib.md5((" ".join(x) if x else "\n" + t).encode()).digest()
-                     for x, t in zip(lists, b["text"])]
-            lengths = np.array([len(x) for x in lists], np.int64)
-            buckets: list = [[]] * len(lists)
-            keep = np.flatnonzero(lengths)
-            if len(keep):
-                mers, counts = kmers(word_hashes([w for x in lists for w in x]), lengths)
-                keys = sketch_keys(mers, counts[keep])
-                low = np.floor(np.log2(lengths[keep])).astype(np.uint64)
-                high = np.floor(np.log2(lengths[keep] / SIMILARITY + 1e-9)).astype(np.uint64)
-                near, far = (_mix(keys + c[:, None] * _ODD).view(np.int64) for c in (low, high))
-                for at, i in enumerate(keep):
-                    buckets[i] = near[at] if low[at] == high[at] else np.append(near[at], far[at])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "hash": b["hash"], "node": nodes,
-                                "words": lengths.astype(np.int32), "buckets": buckets})
+        for batch in batches:
+            size = batch["text"].str.len().cumsum().to_numpy() // SLICE
+            for _, b in batch.groupby(size):
+                lists = [WORD.findall(t.lower()) for t in b["text"]]
+                nodes = [hashlib.md5((" ".join(x) if x else "\n" + t).encode()).digest()
+                         for x, t in zip(lists, b["text"])]
+                lengths = np.array([len(x) for x in lists], np.int64)
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "hash": b["hash"].to_numpy(), "node": nodes,
+                                    "words": lengths.astype(np.int32), "buckets": _buckets(lists, lengths)})
 
     own = docs.filter(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
@@ -164,23 +172,19 @@ def document_keys(docs: DataFrame) -> DataFrame:
 
 
 def bucket_members(keys: DataFrame) -> DataFrame:
-    """(bucket, node, words, size) of the buckets that hold several nodes."""
+    """(bucket, node, words, least) of the buckets that hold several nodes; ``least`` is the
+    bucket's smallest node, with its words."""
     nodes = keys.groupBy("node").agg(F.first("words").alias("words"), F.first("buckets").alias("buckets"))
     rows = staged(nodes.select(F.explode("buckets").alias("bucket"), "node", "words"), "buckets")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    return rows.join(sizes, "bucket")
+    several = (rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "words")).alias("least"))
+               .filter("size > 1").drop("size"))
+    return rows.join(several, "bucket")
 
 
 def first_pairs(members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of the small buckets."""
-    return (
-        members.filter(F.col("size") <= PAIRED).groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("node", "words"))).alias("n"))  # PAIRED at most
-        .select("n", F.posexplode("n").alias("i", "x"))
-        .select("x", F.explode(F.expr("slice(n, i + 2, size(n))")).alias("y"))
-        .filter(_lengths_fit(F.col("x.words"), F.col("y.words")))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    )
+    """Pairs (a, b) of each bucket's smallest node with its others."""
+    return members.filter((F.col("node") != F.col("least.node")) & _lengths_fit(F.col("words"), F.col("least.words"))) \
+        .select(F.col("least.node").alias("a"), F.col("node").alias("b"))
 
 
 def _lengths_fit(x, y):
@@ -188,13 +192,13 @@ def _lengths_fit(x, y):
 
 
 def pivots(free: DataFrame, n: int) -> DataFrame:
-    """(bucket, pivot, pivot_root, pivot_words): the ``n`` smallest of each bucket's nodes,
-    at most one of a class."""
-    one = free.groupBy("bucket", "root").agg(F.min(F.struct("node", "words")).alias("p"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("p"))
-    return one.withColumn("rank", rank).filter(F.col("rank") <= n).select(
-        "bucket", F.col("p.node").alias("pivot"), F.col("root").alias("pivot_root"),
-        F.col("p.words").alias("pivot_words"))
+    """(bucket, pivot, pivot_root, pivot_words): ``n`` of each bucket's free nodes, those of its
+    smallest classes first: once all classes but one are used up, the bucket is done."""
+    sizes = free.groupBy("bucket", "root").agg(F.count("*").alias("members"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("members", "root", "node"))
+    return free.join(sizes, ["bucket", "root"]).withColumn("rank", rank).filter(F.col("rank") <= n).select(
+        "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"),
+        F.col("words").alias("pivot_words"))
 
 
 def pivot_pairs(free: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -248,48 +252,60 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node: root is the smallest node that links reach. Labels
-    fall to the least of the neighbours' and to their own label's label until none changes;
-    every step is an aggregation with partial sums."""
-    both = staged(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
-    roots = staged(both.groupBy("a").agg(F.min("b").alias("near"))
-                   .select(F.col("a").alias("node"), F.least("a", "near").alias("root")), "roots")
+    """(node, root) of every linked node: root is the smallest node that links reach. In each step
+    a node takes the least root among its neighbours and itself, one aggregation with partial
+    sums; from the third step on also its root's root, so long chains take few steps."""
+    both = staged(links.union(links.select("b", "a")).toDF("a", "b"), "links")
+    roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+                   .select("node", F.least("node", "near").alias("root")), "roots")
+    step = 0
     while True:
-        near = (both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("near")))
-        up = roots.select(F.col("node").alias("_up"), F.col("root").alias("_root"))
-        new = staged(
-            roots.join(near, roots.node == near.a)
-            .select("node", "root", F.least("root", "near").alias("next"))
-            .join(up, F.col("next") == F.col("_up"))
-            .select("node", F.least("next", "_root").alias("root"),
-                    (F.least("next", "_root") != F.col("root")).alias("moved")), "roots")
+        step += 1
+        near = both.join(roots, both["b"] == roots["node"]).select(F.col("a").alias("node"), "root", F.lit(False).alias("own"))
+        new = near.union(roots.withColumn("own", F.lit(True))).groupBy("node").agg(
+            F.min("root").alias("next"), F.min(F.when(F.col("own"), F.col("root"))).alias("old"))
+        if step > 2:
+            up = roots.select(F.col("node").alias("_up"), F.col("root").alias("_root"))
+            new = new.join(up, F.col("next") == F.col("_up")).select(
+                "node", F.least("next", "_root").alias("next"), "old")
+        new = staged(new.select("node", F.col("next").alias("root"), (F.col("next") != F.col("old")).alias("moved")), "roots")
         roots = new.select("node", "root")
         if new.filter("moved").isEmpty():
             return roots
 
 
-def similar_links(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Verified links (a, b) between different texts that share a sketch key. A pair of a
-    large bucket needs no comparing once it is in one class or one of the two was a pivot,
-    so a bucket is done when its free nodes, those that were no pivots, are of one class."""
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after more links: the links between different roots join classes."""
+    def root_of(side: str) -> DataFrame:
+        return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+
+    ends = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct()
+    more = components(ends)
+    up = more.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    old = roots.join(up, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
+    new = more.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return staged(old.union(new), "roots")
+
+
+def similar_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(node, root) of the texts that verified links join. A pair of a bucket needs no comparing once
+    it is in one class or one of the two was a pivot, so a bucket is done when its free nodes,
+    those that were no pivots, are of one class."""
     members = staged(bucket_members(keys), "members")
     texts = staged(candidate_texts(docs, keys, members), "candidates")
-    free = members.filter(F.col("size") > PAIRED).withColumn("root", F.col("node"))
-    pairs, n = first_pairs(members), PIVOTS
-    links = compared = None
+    compared = staged(first_pairs(members).distinct(), "pairs")
+    roots, n = components(staged(verified(compared, texts), "verified")), 1
+    left = members.filter(F.col("node") != F.col("least.node"))
     while True:
+        free, n = open_nodes(left, roots), MORE * n
+        if free.isEmpty():
+            return roots
         chosen = staged(pivots(free, n), "pivots")
-        pairs = pivot_pairs(free, chosen) if links is not None else pairs.union(pivot_pairs(free, chosen))
-        pairs = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        found = staged(verified(pairs, texts), "verified")
-        links, compared = (found, pairs) if links is None else (links.union(found), compared.union(pairs))
+        pairs = staged(pivot_pairs(free, chosen).distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+        roots = joined_roots(roots, staged(verified(pairs, texts), "verified"))
+        compared = compared.union(pairs)
         left = free.join(chosen, (free["bucket"] == chosen["bucket"]) & (free["node"] == chosen["pivot"]), "left_anti")
-        if left.isEmpty():
-            return links
-        free, n = open_nodes(left, components(links)), 4 * n
-        if free.isEmpty():
-            return links
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -297,7 +313,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     of its class, ``kept`` marks one document of each class; ``hash`` is that of the text,
     null for null."""
     keys = staged(document_keys(docs), "keys")
-    roots = components(similar_links(docs, keys))
+    roots = similar_classes(docs, keys)
     ids = keys.groupBy("node").agg(F.min("doc_id").alias("least"))  # copies fall together before the shuffle
     named = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))
@@ -313,8 +329,19 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class; columns unchanged. Of rows that repeat the
     kept document's id and text only one stays; documents without a text all stay."""
     name = fresh(docs, "hash_")
-    gone = (near_duplicate_classes(docs).filter(~F.col("kept") & F.col("hash").isNotNull())
-            .select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct())
+    classes = staged(near_duplicate_classes(docs).filter(F.col("hash").isNotNull()), "classes")
+    keys = [F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")]
     own = docs.withColumn(name, F.xxhash64("text"))
-    rest = own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]) & (own[name] == gone["_hash"]), "left_anti")
-    return rest.select(*docs.columns)
+
+    def same(others: DataFrame):
+        return own["doc_id"].eqNullSafe(others["_id"]) & (own[name] == others["_hash"])
+
+    gone = classes.filter(~F.col("kept")).select(*keys).distinct()
+    repeated = (classes.filter("kept OR doc_id IS NULL").groupBy("doc_id", "hash").count().filter("count > 1")
+                .select(*keys))
+    rest = own.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return rest.select(*docs.columns)
+    once = (own.join(repeated, same(repeated), "left_semi").join(gone, same(gone), "left_anti")
+            .dropDuplicates(["doc_id", name]))
+    return rest.join(repeated, same(repeated), "left_anti").union(once).select(*docs.columns)

@@ -79,8 +79,7 @@ def rows():
 
 
 def test_classes_equal_all_pairs(make_docs, rows, monkeypatch):
-    monkeypatch.setattr(om, "PAIRED", 3)  # most buckets go through the rounds
-    monkeypatch.setattr(om, "PIVOTS", 2)
+    monkeypatch.setattr(om, "MORE", 2)  # more rounds
     got = om.near_duplicate_classes(make_docs(rows))
     assert classes(got) == brute_classes(rows)
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.collect())
