@@ -252,40 +252,41 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node: root is the smallest node that links reach. In each step
-    a node takes the least root among its neighbours and itself, one aggregation with partial
-    sums; from the third step on also its root's root, so long chains take few steps."""
-    both = staged(links.union(links.select("b", "a")).toDF("a", "b"), "links")
-    roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-                   .select("node", F.least("node", "near").alias("root")), "roots")
-    step = 0
-    while True:
-        step += 1
-        near = both.join(roots, both["b"] == roots["node"]).select(F.col("a").alias("node"), "root", F.lit(False).alias("own"))
-        new = near.union(roots.withColumn("own", F.lit(True))).groupBy("node").agg(
-            F.min("root").alias("next"), F.min(F.when(F.col("own"), F.col("root"))).alias("old"))
-        if step > 2:
-            up = roots.select(F.col("node").alias("_up"), F.col("root").alias("_root"))
-            new = new.join(up, F.col("next") == F.col("_up")).select(
-                "node", F.least("next", "_root").alias("next"), "old")
-        new = staged(new.select("node", F.col("next").alias("root"), (F.col("next") != F.col("old")).alias("moved")), "roots")
-        roots = new.select("node", "root")
-        if new.filter("moved").isEmpty():
-            return roots
-
-
-def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """The roots after more links: the links between different roots join classes."""
+    """(node, root) of every linked node: root is the smallest node that links reach. Each node is
+    labelled with the least of its neighbours and itself, the links are drawn between labels, and
+    what links are left is solved the same way. Labels are at most half of the nodes, so the
+    levels are few; every step is an equi-join or an aggregation with partial sums."""
+    both = links.union(links.select("b", "a")).toDF("node", "near")
+    labels = staged(both.groupBy("node").agg(F.min("near").alias("near"))
+                    .select("node", F.least("node", "near").alias("root")), "labels")
+    rest = staged(contracted(links, labels), "links")
+    return labels if rest.isEmpty() else composed(labels, components(rest))
+
+
+def contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links between different roots; a node without a root is its own."""
     def root_of(side: str) -> DataFrame:
         return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
 
-    ends = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+    return links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
         F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct()
+
+
+def composed(roots: DataFrame, up: DataFrame) -> DataFrame:
+    """``roots`` with the roots' own roots in place of them."""
+    above = up.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return staged(roots.join(above, F.col("root") == F.col("_node"), "left")
+                  .select("node", F.coalesce("_root", "root").alias("root")), "roots")
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after more links: the links between different roots join classes."""
+    ends = staged(contracted(links, roots), "links")
+    if ends.isEmpty():
+        return roots
     more = components(ends)
-    up = more.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    old = roots.join(up, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
     new = more.join(roots.select("node"), "node", "left_anti").select("node", "root")
-    return staged(old.union(new), "roots")
+    return composed(roots, more).union(new)
 
 
 def similar_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
