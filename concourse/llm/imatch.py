@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from concourse.llm.common import staged, whole_text
 from concourse.llm.ordering import order_key, range_of, range_starts
 
-LEAST_SHARE = 0.01    # of the documents, that hold a lexicon term
+LEAST_SHARE = 0.001   # of the documents, that hold a lexicon term
 MOST_SHARE = 0.1
 LEVELS = (2, 4, 6, 8)  # a subset of the level holds each term with chance 1 / 2^level
-PER_LEVEL = 6
+PER_LEVEL = 8
 SUBSETS = len(LEVELS) * PER_LEVEL
 LEAST_PARTS = 3
 BROADCAST_TERMS = 500_000

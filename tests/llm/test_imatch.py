@@ -51,6 +51,17 @@ def test_null_ids_and_repeated_rows(make_docs):
     assert im.edited_fingerprints(make_docs([])).count() == 0
 
 
+def test_telling_terms_count(make_docs):
+    """Terms of 0.1 to 1 % of the documents are in the lexicon, so an edited text that has no others keeps parts."""
+    telling = [f"telling{j}" for j in range(40)]
+    rows = [(i, " ".join(["the", *(telling if i % 250 == 0 else []), *[f"only{i}x{j}" for j in range(30)]])) for i in range(1000)]
+    docs = make_docs(rows)
+    assert {r.term for r in im.lexicon(docs).collect()} == set(telling)
+    r = next(r for r in im.edited_fingerprints(docs).collect() if r.doc_id == 500)
+    assert len(r.fingerprint.split("-")) == 32
+    assert r.fingerprint == r.edited_fingerprint and r.near_edited == 1.0
+
+
 def test_no_python_in_the_plan(make_docs, rows):
     plan = im.edited_fingerprints(make_docs(rows))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
