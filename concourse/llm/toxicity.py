@@ -1,19 +1,21 @@
 """Toxicity by nearest labelled examples.
 
-Documents and labelled examples are TF-IDF vectors over the terms whose presence marks
-the label; an example's nearness is the exact cosine. A block-max inverted index over
-the examples finds the nearest: examples stand in blocks, each term keeps the largest
-weight it has in each block, and a block is opened only while its bound reaches the
-k-th score so far, so no nearer example is missed. Distance-weighted votes of the
-nearest give a raw score; a part of the labelled rows that is not in the index turns
-raw scores into rates of label 1.
+Documents and labelled examples are TF-IDF vectors over all terms of the examples; terms
+whose presence marks the label weigh ``MARK`` times as much. An example's nearness is the
+exact cosine. A block-max inverted index over the examples finds the nearest: examples
+stand in blocks, each term keeps the largest weight it has in each block, and a block is
+opened only if its bound reaches the k-th score of the blocks of largest bound, so no
+nearer example is missed. Distance-weighted votes of the nearest give a raw score; a part
+of the labelled rows that is not in the index turns raw scores into rates of label 1.
 
 The labelled sample is bounded by ``MAX_LABELLED`` rows (those of smallest id hash), so
 the fitted model has a fixed size and is broadcast. Document frequencies cover all
-documents. Scoring is row-local: no shuffle of texts.
+documents. A term that no example holds adds to no cosine's product and is left out of the
+text's norm, which leaves the order of the examples as it is. Terms are known by 64-bit
+hashes. Scoring is row-local: no shuffle of texts.
 
-Defined results: null and empty texts, and texts without any marked term, have no
-neighbour and get the rate of label 1 among such labelled texts. Repeated labelled texts
+Defined results: null and empty texts, and texts that share no term with any example, have
+no neighbour and get the rate of label 1 among such labelled texts. Repeated labelled texts
 count once, with their mean label. Labels that are null, or of unknown documents, are
 left out; of several for one document the largest holds. Without labelled rows every
 score is 0. Ties between examples go to the smaller example id.
@@ -21,8 +23,8 @@ score is 0. Ties between examples go to the smaller example id.
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,10 +35,11 @@ from pyspark.sql import types as T
 from concourse.llm.common import WORD, fresh, whole_text
 
 MAX_LABELLED = 20_000   # labelled rows the model is fitted on, at most
-MAX_TERMS = 4_096       # terms the vectors are made of, at most
-MIN_PRECISION = 0.5     # lower confidence bound of P(label 1 | term) for a term to count
+MIN_PRECISION = 0.5     # lower confidence bound of P(label 1 | term) for a term to mark the label
+MARK = 10.0             # how much more such a term weighs
 NEIGHBOURS = 16
 BLOCK = 64
+FIRST_BLOCKS = 8        # blocks of largest bound, opened at once
 REJECT_AT = 0.7
 BINS = 5
 RESULT = T.StructType([
@@ -49,87 +52,129 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1
 
 
-@dataclass
 class BlockMaxIndex:
-    """Inverted index over example vectors: per term its postings, and per term and block
-    of examples the largest weight."""
-
-    ids: np.ndarray
-    labels: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray]]
-    tops: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        for term, (rows, weights) in self.postings.items():
-            blocks, first = np.unique(rows // BLOCK, return_index=True)
-            self.tops[term] = (blocks, np.append(first, len(rows)), np.maximum.reduceat(weights, first))
+    """Inverted index over example vectors: per term its postings in row order, and per term
+    and block of examples the largest weight; all in flat arrays."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, postings: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        terms = sorted(postings)
+        sizes = [len(postings[t][0]) for t in terms]
+        self._fill(ids, labels, np.repeat(np.array(terms, np.int64), sizes),
+                   np.concatenate([postings[t][0] for t in terms] or [np.empty(0, np.int64)]),
+                   np.concatenate([postings[t][1] for t in terms] or [np.empty(0)]))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, labels: np.ndarray, term: np.ndarray, row: np.ndarray, weight: np.ndarray) -> "BlockMaxIndex":
+        """From one entry per (term, row) in any order."""
+        order = np.lexsort((row, term))
+        index = cls.__new__(cls)
+        index._fill(ids, labels, term[order], row[order], weight[order])
+        return index
+
+    def _fill(self, ids, labels, term, row, weight) -> None:
+        self.ids, self.labels = ids, labels
+        self.row, self.weight = row.astype(np.int32), weight
+        block = self.row // np.int32(BLOCK)
+        new = np.ones(len(row), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self.block, self.most = block[first], np.maximum.reduceat(weight, first) if len(first) else weight
+        self.start = np.append(first, len(row)).astype(np.int32)  # of each (term, block) in the postings
+        self.of_term = np.searchsorted(term[first], np.arange(int(term[-1]) + 2 if len(term) else 1, dtype=term.dtype)).astype(np.int32)
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """``search`` for a vector given as term: weight."""
+        return self.search(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query)), k)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact cosines of the k nearest, nearest first, ties to the smaller id."""
-        n_blocks = -(-len(self.ids) // BLOCK)
-        bound = np.zeros(n_blocks)
-        for t, q in query.items():
-            if t in self.tops:
-                blocks, _, most = self.tops[t]
-                bound[blocks] += q * most
-        rows, scores, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for t, q in query.items():
-                if t not in self.tops:
-                    continue
-                blocks, start, _ = self.tops[t]
-                at = np.searchsorted(blocks, b)
-                if at < len(blocks) and blocks[at] == b:
-                    own, w = (x[start[at]:start[at + 1]] for x in self.postings[t])
-                    acc[own - b * BLOCK] += q * w
-            hit = np.flatnonzero(acc)
-            rows, scores = np.append(rows, hit + b * BLOCK), np.append(scores, acc[hit])
-            if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
-                rows, scores = rows[best], scores[best]
-                kth = scores.min()
-        best = np.lexsort((self.ids[rows], -np.round(scores, 12)))
-        return rows[best], scores[best]
+        known = terms < len(self.of_term) - 1
+        terms, weights = terms[known], weights[known]
+        entry, size = _spread(self.of_term[terms], self.of_term[terms + 1])
+        q = np.repeat(weights, size)
+        block = self.block[entry]
+        bound = np.bincount(block, q * self.most[entry], minlength=-(-len(self.ids) // BLOCK))
+
+        def opened(which: np.ndarray) -> np.ndarray:
+            own = which[block]
+            at, n = _spread(self.start[entry[own]], self.start[entry[own] + 1])
+            return np.bincount(self.row[at], np.repeat(q[own], n) * self.weight[at], minlength=len(self.ids))
+
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        scores = opened(first)
+        kth = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        rest = ~first & (bound > 0) & (bound >= kth - 1e-11)
+        if rest.any():
+            scores += opened(rest)
+            kth = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        rows = np.flatnonzero((scores > 0) & (scores >= kth - 1e-11))
+        best = np.lexsort((self.ids[rows], -np.round(scores[rows], 12)))[:k]
+        return rows[best], scores[rows[best]]
+
+
+def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, one range after another, and the size of each."""
+    start, size = start.astype(np.int64), (end - start).astype(np.int64)
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum()), size
 
 
 @dataclass
 class ToxicityModel:
-    terms: dict[str, int]
-    idf: np.ndarray
-    index: BlockMaxIndex
+    terms: np.ndarray  # hashes, sorted
+    idf: np.ndarray  # times MARK for the terms that mark the label
+    ids: np.ndarray  # of the examples, with the terms and counts of each, one example after another
+    labels: np.ndarray
+    sizes: np.ndarray
+    example_terms: np.ndarray
+    example_counts: np.ndarray
     no_neighbour: float
-    steps: np.ndarray  # the rate of label 1 in each bin of raw votes
-
-    def counts(self, text: str) -> tuple[tuple[int, int], ...]:
-        return term_counts(self.terms, text)
-
-    def vector(self, counts) -> dict[int, float]:
-        w = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts}
-        norm = np.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()}
-
-    def vote(self, counts) -> tuple[float, list[int]]:
+    steps: np.ndarray | None = None  # the rate of label 1 in each bin of raw votes
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        """Made where it is searched, so that the driver holds and sends the examples only."""
+        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        weight = (1 + np.log(self.example_counts)) * self.idf[self.example_terms]
+        weight /= np.sqrt(np.bincount(row, weight * weight, minlength=len(self.ids)))[row]
+        by_weight = np.lexsort((weight, row))
+        heaviest = self.example_terms[by_weight[np.cumsum(self.sizes) - 1]]
+        order = np.lexsort((self.ids, heaviest))  # like vectors share a block
+        place = np.empty(len(self.ids), np.int32)
+        place[order] = np.arange(len(self.ids))
+        return BlockMaxIndex.of(self.ids[order], self.labels[order], self.example_terms, place[row], weight)
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         """Distance-weighted share of label 1 among the nearest; their ids."""
-        rows, cosines = self.index.nearest(self.vector(counts), NEIGHBOURS)
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        rows, cosines = self.index.search(terms, weights / np.sqrt(weights @ weights), NEIGHBOURS) if len(terms) else ([], None)
         if not len(rows):
             return -1.0, []
         weight = 1 / (1.05 - np.minimum(cosines, 1))
         return float(weight @ self.index.labels[rows] / weight.sum()), self.index.ids[rows].tolist()
 
-    def score(self, counts) -> tuple[float, list[int]]:
-        raw, evidence = self.vote(counts) if counts else (-1.0, [])
+    def score(self, text: str) -> tuple[float, list[int]]:
+        raw, evidence = self.vote(*term_counts(self.terms, text))
         if raw < 0:
             return self.no_neighbour, evidence
         return float(np.interp(raw * BINS, np.arange(BINS) + 0.5, self.steps)), evidence
 
 
-def term_counts(terms: dict[str, int], text: str) -> tuple[tuple[int, int], ...]:
-    """(term, count) of the known terms in the whole text, in term order."""
-    found = Counter(w for w in WORD.findall(text.lower()) if w in terms)
-    return tuple(sorted((terms[w], n) for w, n in found.items()))
+def hashes(words) -> np.ndarray:
+    words = list(words)
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64) if words else np.empty(0, np.int64)
+
+
+def term_counts(terms: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The known terms in the whole text, by their place in ``terms``, and how often each is there."""
+    found = Counter(WORD.findall(text.lower()))
+    own, n = hashes(found), np.fromiter(found.values(), np.int64, len(found))
+    at = np.searchsorted(terms, own)
+    known = at < len(terms)
+    known[known] = terms[at[known]] == own[known]
+    at, n = at[known], n[known]
+    order = np.argsort(at, kind="stable")
+    return at[order], n[order]
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
@@ -150,99 +195,98 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
     )
 
 
-def marked_terms(examples: DataFrame) -> list[str]:
-    """Terms whose Wilson lower bound of P(label 1 | term), over texts, reaches
-    MIN_PRECISION; the MAX_TERMS surest."""
+def example_terms(examples: DataFrame) -> pd.DataFrame:
+    """(term, marks) of all terms of the examples, as hashes; ``marks``: the Wilson lower bound of
+    P(label 1 | term), over texts, reaches MIN_PRECISION."""
     def pairs(batches):
         for b in batches:
-            found = [sorted(set(WORD.findall(t.lower()))) for t in b["text"]]
-            yield pd.DataFrame({"term": [w for f in found for w in f],
+            found = [hashes(set(WORD.findall(t.lower()))) for t in b["text"]]
+            yield pd.DataFrame({"term": np.concatenate([np.empty(0, np.int64), *found]),
                                 "label": np.repeat(b["label"].to_numpy(), [len(f) for f in found])})
 
     n, p, z2 = F.col("n"), F.col("pos") / F.col("n"), 1.96 ** 2
     low = (p + z2 / (2 * n) - 1.96 * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    rows = (
-        examples.select("text", "label").mapInPandas(pairs, "term string, label double")
+    return (
+        examples.select("text", "label").mapInPandas(pairs, "term long, label double")
         .groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-        .withColumn("low", low).filter(F.col("low") >= MIN_PRECISION)
-        .orderBy(F.desc("low"), "term").limit(MAX_TERMS).select("term").collect()
+        .select("term", (low >= MIN_PRECISION).alias("marks")).toArrow().to_pandas()  # terms of MAX_LABELLED texts at most
+        .sort_values("term", ignore_index=True)
     )
-    return sorted(r.term for r in rows)
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of documents, and of documents with each term; each task sends its sums."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
     def sums(batches):
-        n, df = 0, np.zeros(len(terms), np.int64)
+        known = shared.value
+        n, df = 0, np.zeros(len(known), np.int64)
         for b in batches:
             n += len(b)
             for t in b["_text"]:
-                for term, _ in term_counts(terms, t):
-                    df[term] += 1
+                df[term_counts(known, t)[0]] += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.append(at, -1), "df": np.append(df[at], n)})
 
     rows = (
         docs.select(whole_text().alias("_text")).mapInPandas(sums, "term long, df long")
-        .groupBy("term").agg(F.sum("df").alias("df")).collect()  # MAX_TERMS + 1 rows at most
+        .groupBy("term").agg(F.sum("df").alias("df")).toArrow().to_pandas()  # a row per term and one more at most
     )
-    df, found = np.zeros(len(terms)), {r.term: r.df for r in rows}
-    for t, n in found.items():
-        if t >= 0:
-            df[t] = n
-    return found.get(-1, 0), df
+    shared.unpersist()
+    own = rows[rows["term"] >= 0]
+    df = np.zeros(len(terms))
+    df[own["term"].to_numpy(np.int64)] = own["df"]
+    return int(rows["df"][rows["term"] < 0].sum()), df
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityModel:
     """Fit on the labelled rows of ``docs`` that are not held out."""
+    share = docs.sparkSession.sparkContext.broadcast
     examples = labelled_texts(docs, labels, label).persist()
     try:
-        terms = {w: i for i, w in enumerate(marked_terms(examples.filter("part > 0")))}
+        found = example_terms(examples.filter("part > 0"))
+        terms, marks = found["term"].to_numpy(np.int64), found["marks"].to_numpy(bool)
+        shared = share(terms)
 
         def vectors(batches):
             for b in batches:
-                found = [term_counts(terms, t) for t in b["text"]]
-                yield pd.DataFrame({"id": b["id"], "label": b["label"], "part": b["part"],
-                                    "terms": [[t for t, _ in f] for f in found],
-                                    "counts": [[n for _, n in f] for f in found]})
+                own = [term_counts(shared.value, t) for t in b["text"]]
+                yield pd.DataFrame({"id": b["id"], "label": b["label"], "part": b["part"], "size": [len(t) for t, _ in own],
+                                    "terms": [t.astype(np.int32).tobytes() if p else b"" for (t, _), p in zip(own, b["part"])],
+                                    "counts": [n.astype(np.int32).tobytes() if p else b"" for (_, n), p in zip(own, b["part"])]})
 
         rows = (examples.select("id", "label", "part", "text")  # MAX_LABELLED rows at most
-                .mapInPandas(vectors, "id long, label double, part long, terms array<int>, counts array<int>")
-                .toPandas())
+                .mapInPandas(vectors, "id long, label double, part long, size long, terms binary, counts binary")
+                .toArrow().to_pandas())
+        shared.unpersist()
+        n_docs, df = document_frequencies(docs, terms)
+        idf = (np.log((1 + n_docs) / (1 + df)) + 1) * np.where(marks, MARK, 1.0)
+        bare = rows["size"] == 0
+        own = rows[(rows["part"] > 0) & ~bare]
+        model = ToxicityModel(
+            terms, idf, own["id"].to_numpy(np.int64), own["label"].to_numpy(float), own["size"].to_numpy(np.int64),
+            np.frombuffer(b"".join(own["terms"]), np.int32), np.frombuffer(b"".join(own["counts"]), np.int32),
+            float(rows["label"][bare].mean()) if bare.any() else 0.0)
+        model.steps = _calibrated(examples.filter("part = 0").select("text", "label"), share(model))
     finally:
         examples.unpersist()
-    n_docs, df = document_frequencies(docs, terms)
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    rows["counts"] = [tuple(zip(t, n)) for t, n in zip(rows["terms"], rows["counts"])]
-    bare = rows["counts"].map(len) == 0
-    model = ToxicityModel(terms, idf, None, float(rows["label"][bare].mean()) if bare.any() else 0.0, None)
-    model.index = _index(model, rows[(rows["part"] > 0) & ~bare])
-    model.steps = _calibrated(model, rows[(rows["part"] == 0) & ~bare])
     return model
 
 
-def _index(model: ToxicityModel, rows: pd.DataFrame) -> BlockMaxIndex:
-    rows = rows.sort_values(["counts", "id"])  # like vectors share a block
-    found: dict[int, tuple[list, list]] = {}
-    for i, counts in enumerate(rows["counts"]):
-        for t, w in model.vector(counts).items():
-            at, weights = found.setdefault(t, ([], []))
-            at.append(i)
-            weights.append(w)
-    return BlockMaxIndex(rows["id"].to_numpy(np.int64), rows["label"].to_numpy(float),
-                         {t: (np.array(a, np.int64), np.array(w)) for t, (a, w) in found.items()})
-
-
-def _calibrated(model: ToxicityModel, rows: pd.DataFrame) -> np.ndarray:
+def _calibrated(rows: DataFrame, shared) -> np.ndarray:
     """Rate of label 1 per bin of raw votes, drawn towards the vote where rows are few,
     never falling."""
+    def votes(batches):
+        for b in batches:
+            raw = [shared.value.vote(*term_counts(shared.value.terms, t))[0] for t in b["text"]]
+            yield pd.DataFrame({"raw": raw, "label": b["label"]})
+
+    found = rows.mapInPandas(votes, "raw double, label double").filter("raw >= 0").toArrow().to_pandas()
+    shared.unpersist()
+    at = np.minimum((found["raw"].to_numpy(float) * BINS).astype(int), BINS - 1)
+    n = np.bincount(at, minlength=BINS)
+    pos = np.bincount(at, found["label"].to_numpy(float), minlength=BINS)
     middle = (np.arange(BINS) + 0.5) / BINS
-    n, pos = np.zeros(BINS), np.zeros(BINS)
-    for counts, y in zip(rows["counts"], rows["label"]):
-        raw, _ = model.vote(counts)
-        if raw >= 0:
-            b = min(int(raw * BINS), BINS - 1)
-            n[b], pos[b] = n[b] + 1, pos[b] + y
     return np.maximum.accumulate((pos + 2 * middle) / (n + 2))
 
 
@@ -253,9 +297,9 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "toxicity")
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        known = lru_cache(50_000)(m.score)  # many documents hold the same few terms
+        known = lru_cache(256)(m.score)  # copies
         for texts in batches:
-            found = [known(m.counts(t)) for t in texts]
+            found = [known(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
     return docs.withColumn(name, scored(whole_text()))

@@ -65,6 +65,21 @@ def test_scores(labelled):
     assert all(e % 5 == 0 for r in out if r.predicted for e in r.evidence if e < 400)
 
 
+def test_texts_without_marked_terms_have_neighbours(spark, make_docs):
+    """Vectors hold all terms: a text without any term that marks the label finds the labelled text of the same words."""
+    rng = random.Random(3)
+    words = {i: [f"own{i}x{j}" for j in range(10)] + rng.choices([f"p{j}" for j in range(50)], k=10) for i in range(120)}
+    rows = [(i, " ".join(w)) for i, w in words.items()]
+    rows += [(1000 + i, " ".join(reversed(w))) for i, w in words.items()]  # not labelled
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in words], "doc_id long, toxic int")
+    docs = make_docs(rows)
+    examples = {r.id for r in tox.labelled_texts(docs, labels).filter("part > 0").collect()}
+    assert not tox.example_terms(tox.labelled_texts(docs, labels).filter("part > 0")).marks.any()
+    got = {r.doc_id: r for r in tox.toxicity_scores(docs, labels).collect()}
+    assert len(examples) > 30 and all(got[1000 + i].evidence[0] == i for i in examples)
+    assert all(len(r.evidence) > 0 for r in got.values())
+
+
 def test_rejected_rows_go(labelled):
     docs, labels, rows = labelled
     out = tox.reject_toxic(docs, labels)
