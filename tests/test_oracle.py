@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 from oracle_check import TABLES, rows_of  # noqa: E402
 
 from concourse.registry import all_queries  # noqa: E402
-from conftest import SF_SMALL  # noqa: E402
+from helpers import SF_SMALL  # noqa: E402
 
 KEYS = sorted(all_queries())
 

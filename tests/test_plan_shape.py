@@ -4,7 +4,7 @@ These read the executed (AQE final) plan after a ``noop`` write, the same way th
 README's shuffle inventory was measured.
 """
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 from concourse.plans import fixtures as fx
 from concourse.plans import recommend as plan
