@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concourse.llm import (bpe_merge, hnsw, imatch, licenses, mixing, order_minhash, quotation, records, sharding,
-                           toxicity)
+from concourse.llm import (bpe_merge, compression_quality, hnsw, imatch, licenses, mixing, order_minhash, quotation,
+                           records, reversed_search, sharding, toxicity, whitening)
 from concourse.llm.common import table
 
 SHARDS = 40
@@ -61,7 +61,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_licence_scan, op3_shards, op4_quotation, op5_imatch, op6_records, op7_byte_bpe,
-    op8_order_minhash, op9_hnsw, op10_toxicity)}
-ORACLE_SQL = {"op2_licence_scan": licenses.scan_sql(), "op5_imatch": imatch.edited_sql()}
+    op8_order_minhash, op9_hnsw, op10_toxicity, op11_whitening, op12_compression_quality, op13_reversed_search)}
+ORACLE_SQL = {"op2_licence_scan": licenses.scan_sql(), "op5_imatch": imatch.edited_sql(),
+              "op13_reversed_search": reversed_search.ranked_sql()}

@@ -8,7 +8,8 @@ from concourse.llm import queries
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name_ in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{sf}/{name_}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, sf).toPandas()
     cols = sorted(want.columns)

@@ -43,5 +43,5 @@ def test_stages(spark):
 
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"]
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert 4 <= len(cp.STAGES) <= 5
