@@ -1,29 +1,27 @@
 """Web-page extraction: pages -> airport and lounge columns.
 
-Catalyst string/regex/JSON/array expressions only. Every rule is row-local (one
-page or card per row) except the detail join (equi-join on the detail URL) and
-the nesting back into airport records (bounded parts, see ``nesting``).
+Links, scripts and sections are read with Catalyst string, regex, JSON and array expressions. Where
+nesting matters (headers, cards, amenities) a page's elements are read first (``elements``) and the
+rules are expressions on that array. Every rule is row-local (one page or card per row) except the
+detail join (equi-join on the detail URL) and the nesting back into airport records (bounded parts,
+see ``nesting``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from concourse.operators.elements import Selector, first, inside, matching, with_elements
 from concourse.operators.ocr import ws_trim
 from concourse.plans.joins import sized_broadcast
 
 # Fixed patterns and values.
 HREF_RE = r'href="([^"]*)"'
 SCRIPT_RE = r"(?s)<script[^>]*>(.*?)</script>"
-CARD_RE = r'(?s)<li[^>]*>\s*<a\b([^>]*)>(.*?)</a>'
 TAG_RE = r"<[^>]+>"
-HEADING_RE = r"(?s)<h4[^>]*>(.*?)</h4>"
 LIST_ITEM_RE = r"(?s)<li[^>]*>(.*?)</li>"
-TITLE_RE = r"(?s)<title[^>]*>(.*?)</title>"
-H1_RE = r"(?s)<h1[^>]*>(.*?)</h1>"
-LANG_RE = r'<html[^>]*\blang="([^"]*)"'
-COUNT_RE = r'(?s)<span class="count">(.*?)</span>'
 TRAILING_COMMA_RE = r",\s*([}\]])"
 SITE_ORIGIN = "https://x.example"
 DEFAULT_COUNTRIES = ["United Kingdom", "United States Of America"]
@@ -123,29 +121,32 @@ def filter_countries(airports: DataFrame, countries: list[str] | DataFrame = DEF
     return airports.filter(F.lower("country").isin([c.lower() for c in countries]))
 
 
-HEADER_RES = {"airport_name": H1_RE, "airport_code": LANG_RE, "airport_location": TITLE_RE,
-              "total_experiences": COUNT_RE}
+#: Field of the page header: its element, and the attribute that holds it (None: the element's text).
+HEADER = {"airport_name": (Selector("h1"), None), "airport_code": (Selector("html"), "lang"),
+          "airport_location": (Selector("title"), None), "total_experiences": (Selector("span", classes=("count",)), None)}
 
 
-def marked(test_id: str) -> str:
-    """Pattern of the element with this ``data-testid``."""
-    return rf'(?s)<(?:\w+)[^>]*\bdata-testid=["\']{test_id}["\'][^>]*>(.*?)</'
+def marked(test_id: str) -> tuple[Selector, None]:
+    """The element with this ``data-testid``."""
+    return Selector(attributes={"data-testid": test_id}), None
 
 
-def page_header_fields(pages: DataFrame, link_name: str = "url", patterns: dict[str, str] | None = None) -> DataFrame:
-    """First text of each marked element, all whitespace trimmed; ``patterns`` replaces those of
-    the default page layout, as by ``marked("airport-code")``. Missing code, location or count ->
-    ``N/A``; a missing name keeps the link's name."""
-    res = HEADER_RES | (patterns or {})
+def page_header_fields(pages: DataFrame, link_name: str = "url",
+                       fields: dict[str, tuple[Selector, str | None]] | None = None) -> DataFrame:
+    """First text of each marked element, whatever is nested in it, all whitespace at its rim trimmed;
+    ``fields`` replaces those of the default page layout, as by ``marked("airport-code")``. Missing code,
+    location or count -> ``N/A``; a missing name keeps the link's name."""
+    own = HEADER | (fields or {})
+    e = with_elements(pages, {n: selector for n, (selector, _) in own.items()}, keep=["page_id", link_name])
 
-    def first(pattern: str) -> Column:
-        return F.when(F.col("html").rlike(pattern), ws_trim(F.regexp_extract("html", pattern, 1)))
-    return pages.select(
+    def value(name: str) -> Column:
+        attribute = own[name][1]
+        return let(first(F.col("elements"), name),
+                   lambda x: ws_trim(x["text"] if attribute is None else F.try_element_at(x["attributes"], F.lit(attribute))))
+    return e.select(
         "page_id",
-        F.coalesce(first(res["airport_name"]), F.col(link_name)).alias("airport_name"),
-        F.coalesce(first(res["airport_code"]), F.lit(NA)).alias("airport_code"),
-        F.coalesce(first(res["airport_location"]), F.lit(NA)).alias("airport_location"),
-        F.coalesce(first(res["total_experiences"]), F.lit(NA)).alias("total_experiences"))
+        F.coalesce(value("airport_name"), F.col(link_name)).alias("airport_name"),
+        *[F.coalesce(value(n), F.lit(NA)).alias(n) for n in ("airport_code", "airport_location", "total_experiences")])
 
 
 def plain_text(html: Column) -> Column:
@@ -153,19 +154,38 @@ def plain_text(html: Column) -> Column:
     return ws_trim(F.regexp_replace(html, TAG_RE, ""))
 
 
+def card_selectors(needle: str | None) -> dict[str, Selector]:
+    """A list item's link whose href contains ``needle`` (None: any, with or without href), and what
+    a card shows. The label of the hours stands in the first text of its paragraph."""
+    return {
+        "item": Selector("li", shown=False),
+        "card": Selector("a", contains={} if needle is None else {"href": needle}, within="item"),
+        "name": Selector("h4", within="card"),
+        "terminal": Selector("p", attributes={"data-testid": "outlet-card-terminal"}, within="card"),
+        "hours": Selector("p", own_text="Hours:", within="card"),
+        "image": Selector("img", within="card")}
+
+
+def cards_of(df: DataFrame, needle: str | None, markup: str, keep: list[str]) -> DataFrame:
+    """``keep`` and ``cards``: each card's own element (``self``) and the elements inside it (``inner``), in
+    document order."""
+    e = with_elements(df, card_selectors(needle), markup, keep)
+    found = F.transform(matching(F.col("elements"), "card"), lambda c: F.struct(
+        c.alias("self"), inside(F.col("elements"), c).alias("inner")))
+    return e.select(*keep, found.alias("cards"))
+
+
 def card_explode(pages: DataFrame, needle: str = "/lounges/") -> DataFrame:
-    """One row per list anchor whose href contains ``needle``, in document order: its href, its
-    name (the heading's text, else all text) and its markup as ``card``. A page without cards
+    """One row per link in a list item whose href contains ``needle``, at any depth and in document order: its
+    href, its name (the heading's text, else all text) and ``card``, its elements. A page without cards
     keeps one row with null card fields (an airport with zero lounges)."""
-    anchors = F.arrays_zip(F.regexp_extract_all("html", F.lit(CARD_RE), F.lit(0)).alias("card"),
-                           F.regexp_extract_all("html", F.lit(CARD_RE), F.lit(1)).alias("attrs"),
-                           F.regexp_extract_all("html", F.lit(CARD_RE), F.lit(2)).alias("body"))
-    cards = F.filter(anchors, lambda a: F.regexp_extract(a["attrs"], HREF_RE, 1).contains(needle))
-    e = pages.select("page_id", F.posexplode_outer(cards).alias("pos", "c"))
-    body = F.col("c.body")
-    name = F.when(body.rlike(HEADING_RE), F.regexp_extract(body, HEADING_RE, 1)).otherwise(body)
-    return e.select("page_id", "pos", F.regexp_extract("c.attrs", HREF_RE, 1).alias("href"),
-                    plain_text(name).alias("name"), F.col("c.card").alias("card"))
+    e = cards_of(pages, needle, "html", ["page_id"]).select("page_id", F.posexplode_outer("cards").alias("pos", "card"))
+    name = F.coalesce(first(F.col("card.inner"), "name")["text"], F.col("card.self.text"))
+    return e.select("page_id", "pos", _attribute(F.col("card.self"), "href").alias("href"), ws_trim(name).alias("name"), "card")
+
+
+def _attribute(e: Column, name: str) -> Column:
+    return F.try_element_at(e["attributes"], F.lit(name))
 
 
 def detail_key(url: Column) -> Column:
@@ -174,25 +194,27 @@ def detail_key(url: Column) -> Column:
 
 
 def parse_cards(cards: DataFrame, card: str = "card") -> DataFrame:
-    """Card snippet -> card fields with defaults, plus ``reject_reason`` (missing href
-    or heading) so bad cards are quarantined instead of failing the run."""
-    c = F.col(card)
-    href = _nz(F.regexp_extract(c, r'<a href="([^"]*)"', 1))
-    has_h4 = c.rlike("<h4>")
-    term_re = r'(?s)<p data-testid="outlet-card-terminal">(.*?)</p>'
-    hours_re = r"<p>([^<]*Hours:[^<]*)</p>"
-    out = cards.select(
-        "*",
-        href.alias("detail_url"),
-        detail_key(href).alias("lounge_id"),
-        F.when(has_h4, ws_trim(F.regexp_extract(c, r"(?s)<h4>(.*?)</h4>", 1))).alias("name"),
-        F.when(c.rlike(term_re), ws_trim(F.regexp_extract(c, term_re, 1))).otherwise(F.lit(NA)).alias("terminal"),
-        F.when(c.rlike(hours_re), ws_trim(F.replace(F.regexp_extract(c, hours_re, 1), F.lit("Hours:"), F.lit(""))))
-         .otherwise(F.lit(NA)).alias("opening_hours"),
-        F.when(c.rlike("<img"), F.coalesce(F.regexp_extract(c, r'<img src="([^"]*)"', 1), F.lit("")))
-         .otherwise(F.lit("")).alias("image_url"),
-        F.when(href.isNull(), F.lit("missing href")).when(~has_h4, F.lit("missing name")).alias("reject_reason"))
-    return out
+    """Card -> card fields with defaults, plus ``reject_reason`` (missing href or heading) so bad cards are
+    quarantined instead of failing the run. ``card`` holds a card's elements, as of ``card_explode``, or the
+    markup of one card."""
+    if isinstance(cards.schema[card].dataType, T.StringType):
+        keep = [c for c in cards.columns if c != card]
+        cards = cards_of(cards, None, card, keep).select(*keep, F.get("cards", 0).alias(card))
+    inner = F.col(f"{card}.inner")
+    d = cards.withColumn("_f", F.struct(
+        _nz(_attribute(F.col(f"{card}.self"), "href")).alias("href"),
+        *[ws_trim(first(inner, n)["text"]).alias(n) for n in ("name", "terminal", "hours")],
+        _attribute(first(inner, "image"), "src").alias("image")))
+    f = F.col("_f")
+    return d.select(
+        *cards.columns,
+        f["href"].alias("detail_url"),
+        detail_key(f["href"]).alias("lounge_id"),
+        f["name"].alias("name"),
+        F.coalesce(f["terminal"], F.lit(NA)).alias("terminal"),
+        F.coalesce(ws_trim(F.replace(f["hours"], F.lit("Hours:"), F.lit(""))), F.lit(NA)).alias("opening_hours"),
+        F.coalesce(f["image"], F.lit("")).alias("image_url"),
+        F.when(f["href"].isNull(), F.lit("missing href")).when(f["name"].isNull(), F.lit("missing name")).alias("reject_reason"))
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -200,22 +222,25 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(ok).drop("reject_reason"), df.filter(~ok)
 
 
-BLOCK_RE, NAME_RE, TAGS_RE = r'(?s)<p class="am">(.*?)</p>', r"(?s)<span[^>]*>(.*?)</span>", r"(?s)<i[^>]*>(.*?)</i>"
+AMENITY = {"block": Selector("p", classes=("am",)), "name": Selector("span", within="block"), "tag": Selector("i", within="block")}
+
+
+def amenity_format(details: DataFrame, html: str = "html", selectors: dict[str, Selector] | None = None) -> DataFrame:
+    """Each block ``name`` or ``name (tag, tag)``, whatever its elements are nested in; blocks without a name
+    element are skipped; joined with ``; ``; none -> ``N/A``. ``selectors`` replaces ``block``, ``name`` and
+    ``tag`` of the default layout."""
+    d = with_elements(details, AMENITY | (selectors or {}), html, out="_elements")
 
+    def block(e: Column) -> Column:
+        tags = F.transform(matching(e, "tag"), lambda t: ws_trim(t["text"]))
+        name = ws_trim(first(e, "name")["text"])
+        return F.when(F.size(tags) > 0, F.concat(name, F.lit(" ("), F.array_join(tags, ", "), F.lit(")"))).otherwise(name)
 
-def amenity_format(details: DataFrame, html: str = "html", block_re: str = BLOCK_RE, name_re: str = NAME_RE,
-                   tag_re: str = TAGS_RE) -> DataFrame:
-    """Each block ``name`` or ``name (tag, tag)``; blocks without a name element are
-    skipped; joined with ``; ``; none -> ``N/A``."""
-    blocks = F.regexp_extract_all(F.col(html), F.lit(block_re), 1)
-    named = F.filter(blocks, lambda b: b.rlike(name_re))
-    texts = F.transform(named, lambda b: F.concat(
-        ws_trim(F.regexp_extract(b, name_re, 1)),
-        F.when(F.size(F.regexp_extract_all(b, F.lit(tag_re), 1)) > 0, F.concat(
-            F.lit(" ("), F.array_join(F.transform(F.regexp_extract_all(b, F.lit(tag_re), 1), ws_trim),
-                                      ", "), F.lit(")"))).otherwise(F.lit(""))))
-    return details.withColumn("amenities", F.when(F.size(texts) > 0, F.array_join(texts, "; "))
-                              .otherwise(F.lit(NA)))
+    texts = F.transform(matching(F.col("_elements"), "block"), lambda b: block(inside(F.col("_elements"), b)))
+    named = F.filter(texts, lambda t: t.isNotNull())
+    d = d.withColumn("_named", named)
+    return d.withColumn("amenities", F.when(F.size("_named") > 0, F.array_join("_named", "; ")).otherwise(F.lit(NA))) \
+        .drop("_elements", "_named")
 
 
 def section_items(details: DataFrame, heading: str, out: str, html: str = "html") -> DataFrame:

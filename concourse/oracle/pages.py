@@ -1,14 +1,15 @@
 """DuckDB oracle SQL for web-page extraction (§2.2).
 
 The embedded object is cut by its known end marker instead of a JSON reader,
-titles are cased with list functions, lists use 1-based subscripts; the HTML
-fixtures themselves are the shared SQL expressions from ``fixtures``.
+titles are cased with list functions, lists use 1-based subscripts. The expected
+fields of cards and amenities are the fixture's own columns that the markup was made of,
+not patterns run over it; the other HTML fixtures are the shared SQL expressions.
 """
 
 from __future__ import annotations
 
 from concourse.oracle.serving import lounges_sql
-from concourse.plans.fixtures import CARD_SQL, DETAIL_HTML_SQL, EMBEDDED_HTML_SQL
+from concourse.plans.fixtures import DETAIL_HTML_SQL, EMBEDDED_HTML_SQL
 
 # The markup of the driver's ``pages`` table, as it stands there.
 HREF_RE = 'href="([^"]*)"'
@@ -16,14 +17,19 @@ CARD_RE = '<li><a href="([^"]*)">([^<]*)</a></li>'
 TITLE_RE, H1_RE = "<title>([^<]*)</title>", "<h1>([^<]*)</h1>"
 LANG_RE, COUNT_RE = '<html lang="([^"]*)"', '<span class="count">([^<]*)</span>'
 WS = r"'^\s+|\s+$', '', 'g'"
-TERM_RE = r'(?s)<p data-testid="outlet-card-terminal">(.*?)</p>'
-HOURS_RE = r"<p>([^<]*Hours:[^<]*)</p>"
 
 
 def trimws(x: str) -> str:
     return f"regexp_replace({x}, {WS})"
 
 
+def decoded(x: str) -> str:
+    """The named characters that the driver's pages use, the ampersand last."""
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{c}')"
+    return x
+
+
 EMBEDDED = f"""
 WITH e AS (SELECT event_id AS page_id, {EMBEDDED_HTML_SQL} AS html FROM events),
 s AS (SELECT page_id, regexp_extract(html, '<script>(var s=1;.*)</script>', 1) AS script
@@ -53,26 +59,17 @@ country AS (
 
 CARDS = f"""
 WITH lounges AS ({lounges_sql()}),
-cards AS (SELECT airport_code, k, {CARD_SQL} AS card FROM lounges),
-p0 AS (SELECT *, nullif(regexp_extract(card, '<a href="([^"]*)"', 1), '') AS href FROM cards),
 parsed AS (
-  SELECT airport_code, k, href AS detail_url,
-    string_split(string_split(href, '/')[-1], '?')[1] AS lounge_id,
-    CASE WHEN regexp_matches(card, '<h4>') THEN {trimws("regexp_extract(card, '(?s)<h4>(.*?)</h4>', 1)")} END AS name,
-    CASE WHEN regexp_matches(card, '{TERM_RE}') THEN {trimws(f"regexp_extract(card, '{TERM_RE}', 1)")}
-         ELSE 'N/A' END AS terminal,
-    CASE WHEN regexp_matches(card, '{HOURS_RE}')
-         THEN {trimws(f"replace(regexp_extract(card, '{HOURS_RE}', 1), 'Hours:', '')")} ELSE 'N/A' END AS opening_hours,
-    CASE WHEN regexp_matches(card, '<img') THEN regexp_extract(card, '<img src="([^"]*)"', 1) ELSE '' END AS image_url,
-    CASE WHEN href IS NULL THEN 'missing href' WHEN NOT regexp_matches(card, '<h4>') THEN 'missing name' END
-      AS reject_reason
-  FROM p0),
+  SELECT airport_code, k, CASE WHEN k % 29 <> 0 THEN detail_url END AS detail_url,
+    CASE WHEN k % 29 <> 0 THEN lounge_id END AS lounge_id,
+    CASE WHEN k % 23 <> 0 THEN trim(name) || CASE WHEN k % 4 = 1 THEN ' & Bar' ELSE '' END END AS name,
+    coalesce(terminal, 'N/A') AS terminal, opening_hours, image_url,
+    CASE WHEN k % 29 = 0 THEN 'missing href' WHEN k % 23 = 0 THEN 'missing name' END AS reject_reason
+  FROM lounges),
 good AS (SELECT * FROM parsed WHERE reject_reason IS NULL),
-d AS (SELECT detail_url AS url, {DETAIL_HTML_SQL} AS html FROM lounges WHERE k % 10 <> 0),
+d AS (SELECT k, detail_url AS url, {DETAIL_HTML_SQL} AS html FROM lounges WHERE k % 10 <> 0),
 dp AS (
-  SELECT url, html,
-    list_filter(regexp_extract_all(html, '(?s)<p class="am">(.*?)</p>', 1), lambda b: regexp_matches(b, '<span>'))
-      AS named,
+  SELECT k, url, html,
     list_filter(list_transform(regexp_extract_all(regexp_extract(html,
         '(?s)<button[^>]*>\\s*<h2>Location</h2>\\s*</button>\\s*<div>(.*?)</div>', 1), '(?s)<li>(.*?)</li>', 1),
         lambda x: {trimws("x")}), lambda x: x <> '') AS loc_p,
@@ -85,17 +82,13 @@ dp AS (
         '(?s)<li>(.*?)</li>', 1), lambda x: {trimws("x")}) AS cond_f
   FROM d),
 dp2 AS (
-  SELECT url,
-    list_transform(named, lambda b: {trimws("regexp_extract(b, '(?s)<span>(.*?)</span>', 1)")}
-      || CASE WHEN len(regexp_extract_all(b, '(?s)<i>(.*?)</i>', 1)) > 0
-              THEN ' (' || array_to_string(list_transform(regexp_extract_all(b, '(?s)<i>(.*?)</i>', 1),
-                                                          lambda t: {trimws("t")}), ', ') || ')'
-              ELSE '' END) AS texts,
+  SELECT k, url,
     CASE WHEN len(loc_p) > 0 THEN loc_p ELSE loc_f END AS loc,
     CASE WHEN len(cond_p) > 0 THEN cond_p ELSE cond_f END AS cond
   FROM dp),
 details AS (
-  SELECT url, CASE WHEN len(texts) > 0 THEN array_to_string(texts, '; ') ELSE 'N/A' END AS amenities,
+  SELECT url, CASE k % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN 'Wi-Fi' WHEN 2 THEN 'Showers (Free, 24h); Bar & Grill'
+         WHEN 3 THEN 'Quiet room (Adults)' ELSE 'Spa (Paid); Food (Hot, Cold); News' END AS amenities,
     CASE WHEN len(loc) > 0 THEN 'Location:' || chr(10) || '- ' || array_to_string(loc, chr(10) || '- ')
          ELSE 'N/A' END AS access_notes,
     loc, cond
@@ -121,13 +114,13 @@ ORACLE = {
         SELECT * FROM country WHERE lower(country) IN ('united kingdom', 'united states of america')""",
     "page_header_fields": f"""
         SELECT page_id,
-          coalesce(CASE WHEN regexp_matches(html, '{H1_RE}') THEN {trimws(f"regexp_extract(html, '{H1_RE}', 1)")} END,
+          coalesce(CASE WHEN regexp_matches(html, '{H1_RE}') THEN {trimws(decoded(f"regexp_extract(html, '{H1_RE}', 1)"))} END,
                    url) AS airport_name,
           coalesce(CASE WHEN regexp_matches(html, '{LANG_RE}') THEN {trimws(f"regexp_extract(html, '{LANG_RE}', 1)")} END,
                    'N/A') AS airport_code,
-          coalesce(CASE WHEN regexp_matches(html, '{TITLE_RE}') THEN {trimws(f"regexp_extract(html, '{TITLE_RE}', 1)")} END,
+          coalesce(CASE WHEN regexp_matches(html, '{TITLE_RE}') THEN {trimws(decoded(f"regexp_extract(html, '{TITLE_RE}', 1)"))} END,
                    'N/A') AS airport_location,
-          coalesce(CASE WHEN regexp_matches(html, '{COUNT_RE}') THEN {trimws(f"regexp_extract(html, '{COUNT_RE}', 1)")} END,
+          coalesce(CASE WHEN regexp_matches(html, '{COUNT_RE}') THEN {trimws(decoded(f"regexp_extract(html, '{COUNT_RE}', 1)"))} END,
                    'N/A') AS total_experiences
         FROM pages""",
     "card_explode": f"""

@@ -283,18 +283,35 @@ EMBEDDED_HTML_SQL = (
     f"|| CASE WHEN event_id % 2 = 1 THEN replace({_OBJ_SQL}, chr(34), chr(92) || chr(34)) ELSE {_OBJ_SQL} END "
     "|| '; done();</script></head><body></body></html>'")
 
-CARD_SQL = """CASE WHEN k % 29 = 0 THEN '<li><a>' ELSE '<li><a href="' || detail_url || '">' END
-  || CASE WHEN k % 23 = 0 THEN '' ELSE '<h4> ' || name || ' </h4>' END
-  || CASE WHEN terminal IS NOT NULL THEN '<p data-testid="outlet-card-terminal">' || terminal || '</p>' ELSE '' END
-  || CASE WHEN opening_hours <> 'N/A' THEN '<p>Hours: ' || opening_hours || '</p>' ELSE '' END
-  || CASE WHEN image_url <> '' THEN '<img src="' || image_url || '"/>' ELSE '' END
-  || '</a></li>'"""
+# Cards and amenity blocks in four layouts each: attributes before and after, single quotes, ``>`` in a value,
+# further levels of nesting, entities, end tags left out.
+CARD_SQL = """CASE k % 4
+    WHEN 1 THEN '<li class="c" data-n="1"><div><div>' WHEN 2 THEN '<li><!-- <a href="/no"> --><span class="x">' ELSE '<li>' END
+  || CASE WHEN k % 29 = 0 THEN '<a class="k" data-href="/no">'
+          WHEN k % 4 = 1 THEN '<a class="k" href="' || detail_url || '" rel=next>'
+          WHEN k % 4 = 2 THEN '<a title="a > b" href=' || chr(39) || replace(detail_url, '/', '&#47;') || chr(39) || '>'
+          ELSE '<a href="' || detail_url || '">' END
+  || CASE WHEN k % 23 = 0 THEN ''
+          WHEN k % 4 = 1 THEN '<div><h4 class="t"><span> ' || name || '</span> <b>&amp;</b> Bar </h4></div>'
+          WHEN k % 4 = 2 THEN '<h4>' || name || '&nbsp;</h4>'
+          ELSE '<h4> ' || name || ' </h4>' END
+  || CASE WHEN terminal IS NULL THEN '<p data-testid="other">9</p>'
+          WHEN k % 4 = 1 THEN '<div><p class="x" data-testid="outlet-card-terminal"><i>' || terminal || '</i></p></div>'
+          WHEN k % 4 = 3 THEN '<p data-testid=outlet-card-terminal>' || terminal
+          ELSE '<p data-testid="outlet-card-terminal">' || terminal || '</p>' END
+  || CASE WHEN opening_hours = 'N/A' THEN '<p><b>Hours: none</b></p>'
+          WHEN k % 4 = 1 THEN '<div><p class="h">Hours: <span>' || opening_hours || '</span></p></div>'
+          ELSE '<p>Hours: ' || opening_hours || '</p>' END
+  || CASE WHEN image_url = '' THEN ''
+          WHEN k % 4 = 1 THEN '<img alt="Hours: > 9" src=' || chr(39) || image_url || chr(39) || '>'
+          ELSE '<img src="' || image_url || '"/>' END
+  || CASE k % 4 WHEN 1 THEN '</a></div></div></li>' WHEN 3 THEN '</a>' ELSE '</a></li>' END"""
 
 _AMENITY_SQL = """CASE k % 5
   WHEN 0 THEN ''
   WHEN 1 THEN '<p class="am"><span>Wi-Fi</span></p>'
-  WHEN 2 THEN '<p class="am"><span>Showers</span><i>Free</i><i>24h</i></p><p class="am"><span>Bar</span></p>'
-  WHEN 3 THEN '<p class="am"><i>Orphan</i></p><p class="am"><span> Quiet room </span><i>Adults</i></p>'
+  WHEN 2 THEN '<p data-x="1" class="am big"><span>Showers</span><i>Free</i><i>24h</i></p><p class="am"><span>Bar &amp; Grill</span></p>'
+  WHEN 3 THEN '<p class="am"><i>Orphan</i></p><p class="am"><b><span class="n"> Quiet <em>room</em> </span></b><u><i>Adults</i></u></p><p class="amx"><span>no</span></p>'
   ELSE '<p class="am"><span>Spa</span><i>Paid</i></p><p class="am"><span>Food</span><i>Hot</i><i>Cold</i></p><p class="am"><span>News</span></p>'
 END"""
 _LOC_ITEMS_SQL = """CASE k % 4

@@ -19,8 +19,8 @@ LOUNGE_FIELDS = ["lounge_id", "name", "terminal", "opening_hours", "image_url",
 def catalog_from_pages(pages: DataFrame, details: DataFrame, needle: str = "/lounges/") -> DataFrame:
     """Airport pages (page_id, url, html) and lounge pages (url, html) -> one nested record per
     airport page. Cards without a heading are left out; a page without cards keeps ``[]``."""
-    header = pg.page_header_fields(pages, patterns=MARKED).drop("total_experiences")
-    cards = pg.parse_cards(pg.card_explode(pages, needle).filter(F.col("card").isNotNull()).drop("name"))
+    header = pg.page_header_fields(pages, fields=MARKED).drop("total_experiences")
+    cards = pg.parse_cards(pg.card_explode(pages, needle).filter(F.col("card").isNotNull()).drop("name", "href"))
     good, _bad = pg.quarantine(cards)
     lounges = pg.detail_join(good, pg.parse_details(details))
     on_page = lounges.join(pages.select("page_id", "url"), "page_id")
