@@ -2,7 +2,7 @@
 advisory text, the nested per-pass record, integrity check and display strings.
 
 Everything here is an expression on the pass row, which already carries its counts and
-its ranked lounges (``concourse.plans.recommend``): no join back, no exchange.
+its ranked lounges (``concourse.plans.recommend``).
 """
 
 from __future__ import annotations

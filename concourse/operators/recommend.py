@@ -1,17 +1,11 @@
 """Recommendation rules: passes x catalog -> ranked lounges.
 
-Physical shape of the composed plan (see ``concourse.plans.recommend``):
-
-* the catalog side (capped lounges + parsed hours + terminals per airport) is a
-  dimension bounded by ``cap x airports``; it is broadcast after a row-count check;
-* passes are hash-partitioned by ``pass_id`` once; the broadcast join keeps that
-  partitioning, so the spread/rank windows and the per-pass aggregations that
-  follow need no further exchange — the candidate pairs are never shuffled.
+Row-local rules; the plan that composes them is ``concourse.plans.recommend``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concourse.functions.hours import (
@@ -155,28 +149,6 @@ def terminal_match(passes: DataFrame, terminal: str = "terminal", gate: str = "g
             .drop("_t", "_gate", "_mapped", "_letters"))
 
 
-# ------------------------------------------------------------ ranking rules
-def spread_and_rank(pairs: DataFrame, top: int = 5, terminal: str = "terminal",
-                    order: str = "lounge_id") -> DataFrame:
-    """``spread`` = round-robin position inside the lounge's terminal; ``rank`` orders
-    matched-terminal lounges first, then by spread, then by id; keeps ``rank <= top``.
-
-    Both windows partition by ``pass_id`` (the spread window by a superset of it), so
-    they reuse the pairs' partitioning; the rank filter becomes a WindowGroupLimit.
-    ``terminal``/``order`` may be integer surrogates that group and sort the same way
-    (per-airport terminal rank, catalog position): cheaper sort keys, same result."""
-    w_spread = Window.partitionBy("pass_id", terminal).orderBy(order)
-    w_rank = Window.partitionBy("pass_id").orderBy(F.col("matched").desc(), "spread", order)
-    # A lounge with spread > top has `top` lounges of its own terminal ahead of it
-    # (matched lounges share one terminal), so it can never reach the top: cut
-    # early, which also turns the spread window into a WindowGroupLimit.
-    return (pairs
-            .withColumn("spread", F.row_number().over(w_spread))
-            .filter(F.col("spread") <= top)
-            .withColumn("rank", F.row_number().over(w_rank))
-            .filter(F.col("rank") <= top))
-
-
 def why_recommended(tier: Column, matched: Column, terminal: Column, status: Column,
                     start: Column, end: Column) -> Column:
     where = (F.when(matched & (tier == 1), F.concat(F.lit("Same terminal as your flight ("), terminal, F.lit(").")))

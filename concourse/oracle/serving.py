@@ -1,6 +1,6 @@
 """DuckDB oracle SQL for §2.3 and §2.6, written independently of the Spark plan.
 
-Hours are a literal table of merged *daily* intervals (minutes of day), replicated
+Hours are a literal table of merged intervals (days and minutes from midnight), replicated
 over neighbouring days; the window is computed in minutes of day; ranking uses
 plain window functions. Only the fixture definitions are shared with Spark.
 """
@@ -29,7 +29,10 @@ def lounges_sql(source: str = "customer") -> str:
                    WHEN 4 THEN 'B' WHEN 5 THEN 'N/A' END AS terminal,
       CASE WHEN {nk} % 5 = 1 OR {k} % 6 = 0
              THEN (CASE WHEN {nk} % 3 = 0 THEN 'Open 24 hours' ELSE '09:00 - 17:00' END)
-           WHEN {k} % 6 = 1 THEN '05:00 - 22:00'
+           WHEN {k} % 6 = 1 THEN
+             (CASE {k} // 6 % 6 WHEN 0 THEN '05:00 - 22:00' WHEN 1 THEN '05:00 - 22:00 daily' WHEN 2 THEN '0500 - 2200'
+                   WHEN 3 THEN 'Mon-Fri 06:00-12:00, 13:00-20:00' WHEN 4 THEN '05:00-22:00 (Mon, Wed, Fri)'
+                   ELSE '24 hours daily except Sat' END)
            WHEN {k} % 6 = 2 THEN '18:00 - 02:00'
            WHEN {k} % 6 = 3 THEN '06:00 - 12:00, 12:00 - 23:30'
            WHEN {k} % 6 = 4 THEN 'N/A'
@@ -57,27 +60,44 @@ PASSES_SQL = """
       CASE WHEN event_id % 11 <> 0 THEN 'A' || lpad(CAST((user_id + 7) % 25 AS VARCHAR), 2, '0') END AS dest_iata
     FROM events"""
 
-# Merged daily open intervals of the fixture schedules (minutes of day; close may
-# pass midnight). 'Open 24 hours' is always open, 'N/A' is unknown.
+# Merged open intervals of the fixture schedules: first and last day on which they begin (Monday = 0) and
+# minutes from that day's midnight. 'Open 24 hours' is always open, 'N/A' is unknown.
 HRS_SQL = """
     SELECT * FROM (VALUES
-      ('09:00 - 17:00', 540, 1020),
-      ('05:00 - 22:00', 300, 1320),
-      ('18:00 - 02:00', 1080, 1560),
-      ('06:00 - 12:00, 12:00 - 23:30', 360, 1410),
-      ('00:00 - 11:00, 13:00 - 00:00', 780, 2100)) t(opening_hours, o, c)"""
+      ('09:00 - 17:00', 0, 6, 540, 1020),
+      ('05:00 - 22:00', 0, 6, 300, 1320),
+      ('05:00 - 22:00 daily', 0, 6, 300, 1320),
+      ('0500 - 2200', 0, 6, 300, 1320),
+      ('Mon-Fri 06:00-12:00, 13:00-20:00', 0, 4, 360, 720),
+      ('Mon-Fri 06:00-12:00, 13:00-20:00', 0, 4, 780, 1200),
+      ('05:00-22:00 (Mon, Wed, Fri)', 0, 0, 300, 1320),
+      ('05:00-22:00 (Mon, Wed, Fri)', 2, 2, 300, 1320),
+      ('05:00-22:00 (Mon, Wed, Fri)', 4, 4, 300, 1320),
+      ('24 hours daily except Sat', 6, 6, 0, 8640),
+      ('18:00 - 02:00', 0, 6, 1080, 1560),
+      ('06:00 - 12:00, 12:00 - 23:30', 0, 6, 360, 1410),
+      ('00:00 - 11:00, 13:00 - 00:00', 0, 6, 780, 2100)) t(opening_hours, first_day, last_day, o, c)"""
 
-# Raw (unmerged) daily segments as printed.
+# Raw (unmerged) daily segments as printed, with the days on which they begin.
 RAW_SEG_SQL = """
     SELECT * FROM (VALUES
-      ('Open 24 hours', 0, 1440),
-      ('09:00 - 17:00', 540, 1020),
-      ('05:00 - 22:00', 300, 1320),
-      ('18:00 - 02:00', 1080, 1560),
-      ('06:00 - 12:00, 12:00 - 23:30', 360, 720),
-      ('06:00 - 12:00, 12:00 - 23:30', 720, 1410),
-      ('00:00 - 11:00, 13:00 - 00:00', 0, 660),
-      ('00:00 - 11:00, 13:00 - 00:00', 780, 1440)) t(opening_hours, o, c)"""
+      ('Open 24 hours', 0, 6, 0, 1440),
+      ('09:00 - 17:00', 0, 6, 540, 1020),
+      ('05:00 - 22:00', 0, 6, 300, 1320),
+      ('05:00 - 22:00 daily', 0, 6, 300, 1320),
+      ('0500 - 2200', 0, 6, 300, 1320),
+      ('Mon-Fri 06:00-12:00, 13:00-20:00', 0, 4, 360, 720),
+      ('Mon-Fri 06:00-12:00, 13:00-20:00', 0, 4, 780, 1200),
+      ('05:00-22:00 (Mon, Wed, Fri)', 0, 0, 300, 1320),
+      ('05:00-22:00 (Mon, Wed, Fri)', 2, 2, 300, 1320),
+      ('05:00-22:00 (Mon, Wed, Fri)', 4, 4, 300, 1320),
+      ('24 hours daily except Sat', 0, 4, 0, 1440),
+      ('24 hours daily except Sat', 6, 6, 0, 1440),
+      ('18:00 - 02:00', 0, 6, 1080, 1560),
+      ('06:00 - 12:00, 12:00 - 23:30', 0, 6, 360, 720),
+      ('06:00 - 12:00, 12:00 - 23:30', 0, 6, 720, 1410),
+      ('00:00 - 11:00, 13:00 - 00:00', 0, 6, 0, 660),
+      ('00:00 - 11:00, 13:00 - 00:00', 0, 6, 780, 1440)) t(opening_hours, first_day, last_day, o, c)"""
 
 
 def base_ctes(source: str = "customer") -> str:
@@ -85,7 +105,9 @@ def base_ctes(source: str = "customer") -> str:
 WITH lounges AS ({lounges_sql(source)}),
 passes AS ({PASSES_SQL}),
 hrs AS ({HRS_SQL}),
-rep AS (SELECT opening_hours, o + 1440 * d AS o, c + 1440 * d AS c FROM hrs, range(-1, 3) r(d)),
+rep AS (SELECT opening_hours, dow, o + 1440 * d AS o, c + 1440 * d AS c
+        FROM hrs, range(-7, 3) r(d), range(0, 7) t(dow)
+        WHERE (dow + d + 7) % 7 BETWEEN first_day AND last_day),
 capped AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY airport_code ORDER BY lounge_id) AS INTEGER) AS catalog_pos
   FROM lounges QUALIFY catalog_pos <= 50),
@@ -96,7 +118,7 @@ terms AS (
          count(*) FILTER (WHERE opening_hours = 'N/A') AS n_unknown
   FROM lounges GROUP BY airport_code),
 win AS (
-  SELECT p.*, hour(now_ts) * 60 + minute(now_ts) AS s, strftime(now_ts, '%H:%M') AS start_hhmm,
+  SELECT p.*, isodow(now_ts) - 1 AS dow, hour(now_ts) * 60 + minute(now_ts) AS s, strftime(now_ts, '%H:%M') AS start_hhmm,
          coalesce(boarding, departure) AS end_hhmm,
          CAST(substr(coalesce(boarding, departure), 1, 2) AS INTEGER) * 60
            + CAST(substr(coalesce(boarding, departure), 4, 2) AS INTEGER) AS e_mod
@@ -127,13 +149,13 @@ ctx2 AS (
          WHEN tier = 4 THEN 'Terminal unknown; recommendations spread across terminals.' END AS t_assumption
   FROM ctx),
 cand AS (
-  SELECT c.pass_id, c.airport_code, c.window_status, c.s, c.e, c.tier, c.eff, c.start_hhmm, c.end_hhmm,
+  SELECT c.pass_id, c.airport_code, c.window_status, c.dow, c.s, c.e, c.tier, c.eff, c.start_hhmm, c.end_hhmm,
          l.lounge_id, l.terminal AS l_terminal, l.opening_hours, l.name, l.amenities, l.access_notes, l.detail_url
   FROM ctx2 c JOIN lounges l ON l.airport_code = c.airport_code),
 covered AS (
   SELECT * FROM cand WHERE window_status = 'none' OR opening_hours = 'Open 24 hours'
   UNION ALL
-  SELECT cand.* FROM cand JOIN rep ON rep.opening_hours = cand.opening_hours
+  SELECT cand.* FROM cand JOIN rep ON rep.opening_hours = cand.opening_hours AND rep.dow = cand.dow
      AND rep.o <= cand.s AND rep.c >= cand.e
   WHERE cand.window_status = 'open'),
 sp AS (
@@ -193,6 +215,8 @@ def _q(select: str, source: str = "customer") -> str:
     return base_ctes(source) + select
 
 
+#: Spellings of one schedule.
+SAME_HOURS = "CASE WHEN opening_hours IN ('05:00 - 22:00 daily', '0500 - 2200') THEN '05:00 - 22:00' ELSE opening_hours END"
 FLAT = ("airport_code, lounge_id, name, terminal, opening_hours, amenities, access_notes, "
         "array_to_string(conditions, '|') AS conditions_text, image_url, detail_url")
 
@@ -254,13 +278,15 @@ ORACLE = {
         SELECT p.opening_hours, CAST(d AS INTEGER) AS day, CAST(r.o AS INTEGER) AS open_min,
                CAST(r.c AS INTEGER) AS close_min
         FROM present p JOIN raw r ON r.opening_hours = p.opening_hours, range(0, 7) t(d)
+        WHERE d BETWEEN r.first_day AND r.last_day
         UNION ALL
         SELECT opening_hours, NULL, NULL, NULL FROM present WHERE opening_hours = 'N/A'""",
     "merge_intervals": base_ctes() + f""",
         raw AS ({RAW_SEG_SQL}),
         present AS (SELECT DISTINCT opening_hours FROM lounges),
         reps AS (SELECT r.opening_hours, r.o + 1440 * d AS o, r.c + 1440 * d AS c
-                 FROM raw r JOIN present p ON p.opening_hours = r.opening_hours, range(-7, 14) t(d)),
+                 FROM raw r JOIN present p ON p.opening_hours = r.opening_hours, range(-7, 14) t(d)
+                 WHERE (d + 7) % 7 BETWEEN r.first_day AND r.last_day),
         ord AS (SELECT *, max(c) OVER (PARTITION BY opening_hours ORDER BY o, c
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_c FROM reps),
         isl AS (SELECT *, sum(CASE WHEN prev_c IS NULL OR o > prev_c THEN 1 ELSE 0 END)
@@ -270,6 +296,15 @@ ORACLE = {
     "hours_cover_window": _q("""
         SELECT pass_id, airport_code, l_terminal AS terminal, count(*) AS n_lounges
         FROM covered GROUP BY pass_id, airport_code, l_terminal"""),
+    "covering_groups": _q("""
+        , named AS (
+          SELECT airport_code || '/' || coalesce(terminal, '-') || '/' || min(lounge_id) AS group_id, min(lounge_id) AS least
+          FROM lounges GROUP BY airport_code, terminal, SAME_HOURS)
+        SELECT c.pass_id, n.group_id FROM covered c JOIN named n ON n.least = c.lounge_id""").replace("SAME_HOURS", SAME_HOURS),
+    "group_members": _q("""
+        SELECT airport_code || '/' || coalesce(terminal, '-') || '/'
+               || min(lounge_id) OVER (PARTITION BY airport_code, terminal, SAME_HOURS) AS group_id, lounge_id
+        FROM lounges""").replace("SAME_HOURS", SAME_HOURS),
     "exclusion_summary": _q("""
         SELECT pass_id, candidates, kept, candidates - kept - excluded_unknown AS excluded_time,
                excluded_unknown, candidates > 0 AND kept = 0 AS none_cover

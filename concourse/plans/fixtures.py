@@ -21,6 +21,11 @@ def _code(c: Column) -> Column:
     return F.concat(F.lit("A"), _pad(c, 2))
 
 
+#: Ways in which opening hours are printed.
+HOURS_FORMS = ["05:00 - 22:00", "05:00 - 22:00 daily", "0500 - 2200", "Mon-Fri 06:00-12:00, 13:00-20:00",
+               "05:00-22:00 (Mon, Wed, Fri)", "24 hours daily except Sat"]
+
+
 def lounges(spark: SparkSession, sf_dir: str, source: str = "customer") -> DataFrame:
     """F1 (``customer``) or F1b (``supplier``): the flat served catalog."""
     if source == "customer":
@@ -45,7 +50,7 @@ def lounges(spark: SparkSession, sf_dir: str, source: str = "customer") -> DataF
     h = F.when(nk % 5 == 1, F.lit(0)).otherwise(k % 6)
     hours = (F.when((h == 0) & (nk % 3 == 0), "Open 24 hours")
              .when(h == 0, "09:00 - 17:00")
-             .when(h == 1, "05:00 - 22:00")
+             .when(h == 1, F.get(F.array(*map(F.lit, HOURS_FORMS)), (F.floor(k / 6) % len(HOURS_FORMS)).cast("int")))
              .when(h == 2, "18:00 - 02:00")
              .when(h == 3, "06:00 - 12:00, 12:00 - 23:30")
              .when(h == 4, "N/A")

@@ -54,5 +54,5 @@ def advise_from_text(texts: DataFrame, requests: DataFrame, cities: DataFrame, l
         e = pt.apply_manual_edits(passes, edits).drop("edited")
         e = e.withColumnsRenamed({"airport_iata": "airport_code", "terminal_value": "terminal"})
         passes = e.join(passes.select("pass_id", "now_ts"), "pass_id")
-    ctx = plan.with_top(plan.with_covered(plan.context(passes, lounges)))
-    return adv.advisory_record(adv.pass_summary(ctx, routes))
+    catalog = plan.Catalog(lounges)
+    return adv.advisory_record(adv.pass_summary(plan.with_top(plan.pass_context(passes, catalog), catalog), routes))

@@ -1,167 +1,267 @@
 """The flagship plan: passes + catalog -> ranked lounge recommendations.
 
     lounges -> contract -> hours per distinct string
-            -> (airport, terminal, merged hours) groups: count, first 5 lounges by id
-            -> one row per airport: its groups, terminals and counts   [byte-checked broadcast]
-    passes  -> airport check -> join on airport -> stay window, tier
-            -> in the row: groups that cover the stay -> spread per terminal -> top 5
-
-The group prune is exact. Ranking orders by (matched, spread, id), where spread is the
-position among the covered lounges of one terminal; a lounge behind 5 others of its own
-terminal and hours is covered only when they are, so its spread exceeds 5 and 5 lounges
-rank before it. Counts of candidates and of covered lounges are sums of group counts, so
-every lounge of the catalog takes part in them. Groups are told apart by merged intervals, not
-by the printed string, so other spellings of one schedule make no new group.
-
-Pass rows are never shuffled and no (pass, lounge) pair becomes a row: the join adds one
-array per pass and the ranking is an expression on it. Beyond the byte check of the
-catalog side the join is left to Spark: a shuffle join on the airport, whose hot keys AQE
-splits.
+            -> groups (airport, terminal, merged hours): count, ids of the first 5 lounges
+            -> slots (airport, hour of the week, terminal, open, close): count, first 5 ids
+    passes  -> airport check -> stay window, terminal tier
+            -> equi-join with the slots on (airport, hour in which the stay begins), open <= start, end <= close
+            -> per (pass, terminal): sum of counts, first 5 ids -> per pass: the first 5
+            -> join with the lounges' details
+
+Groups stay rows and carry ids only: a catalog lounge is read once for the groups and once more for
+the at most 5 rows of a pass that show it. A stay meets only hours that are open when it
+begins, and a hot airport is dealt out over the 168 hours of the week; where the slots are too many to
+broadcast, AQE splits what is still hot. Passes without a window meet one row per terminal of their
+airport instead (slot ``ANY``).
+
+The cut to 5 is exact. Ranking orders by (matched, spread, id), where spread is the position among the
+covered lounges of one terminal; a lounge behind 5 others of its own terminal that are open
+whenever it is has a spread beyond 5, and 5 lounges rank before it. Counts are sums of all
+lounges. ``pass_id`` is the key of a pass: rows that repeat one are counted together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concourse.functions.hours import DAY_MINUTES, WEEK_MINUTES
+from concourse.functions.hours import WEEK_MINUTES
 from concourse.operators import catalog as cat
 from concourse.operators import recommend as rec
 from concourse.plans.joins import sized_broadcast
 from concourse.session import materialize
 
 TOP = 5
-LOUNGE_DETAIL_COLS = ["lounge_id", "name", "terminal", "opening_hours", "amenities", "access_notes",
-                      "detail_url"]
-
-
-def lounge_groups(lounges: DataFrame, top: int = TOP, cap: int | None = None) -> DataFrame:
-    """(airport_code, terminal, intervals, always_open, n, first) of the served lounges:
-    ``intervals`` merged, null when unknown; ``first`` the ``top`` lounges of smallest id.
-    Only ``first`` lounges leave their map task; counts are partial sums."""
-    served, _rejected = cat.catalog_contract(lounges)
-    if cap is not None:
-        served = cat.cap_per_airport(served, cap)
-    hours = rec.hours_dimension(served).select("opening_hours", "intervals", "always_open")
-    rows = served.select("airport_code", *LOUNGE_DETAIL_COLS).join(hours, "opening_hours", "left")
-    rows = rows.withColumn("gid", F.xxhash64("airport_code", "terminal", "intervals"))
-    key = ["airport_code", "terminal", "gid"]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("lounge_id"))
-    first = (rows.withColumn("pos", rank).filter(F.col("pos") <= top)
-             .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*LOUNGE_DETAIL_COLS))).alias("first"),
-                                F.first("intervals").alias("intervals"), F.first("always_open").alias("always_open")))
-    count = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    same = (F.col("f.gid") == F.col("c.gid")) & (F.col("f.airport_code") == F.col("c.airport_code"))
-    return first.alias("f").join(count.alias("c"), same).select(
-        "f.airport_code", "f.terminal", "f.intervals", "f.always_open", "c.n", "f.first")
-
-
-def airport_catalog(lounges: DataFrame, top: int = TOP, cap: int | None = None) -> DataFrame:
-    """One row per airport: ``groups``, ``available_terminals``, ``n_lounges``,
-    ``n_unknown_hours``. Its size follows the variety of terminals and schedules, not the
-    number of lounges. Checkpointed to the shared folder, so the grammar runs once."""
-    groups = lounge_groups(lounges, top, cap)
-    # a stay starts in the base week, so only intervals that reach into it can hold it
-    near = F.filter("intervals", lambda iv: (iv["c"] >= 0) & (iv["o"] < WEEK_MINUTES))
-    term = F.when(F.col("terminal") != "", F.col("terminal"))
-    group = F.struct("terminal", near.alias("intervals"), F.coalesce("always_open", F.lit(False)).alias("always_open"),
-                     "n", "first")
-    return materialize(groups.groupBy("airport_code").agg(
-        F.collect_list(group).alias("groups"),
-        F.array_sort(F.collect_set(term)).alias("available_terminals"),
-        F.sum("n").alias("n_lounges"),
-        F.sum(F.when(F.col("intervals").isNull(), F.col("n")).otherwise(0)).alias("n_unknown_hours")))
-
-
-def pass_context(passes: DataFrame, airports: DataFrame) -> DataFrame:
-    """Pass-level facts: stay window, airport facts and groups, effective terminal and tier."""
+SLOT_MINUTES = 60
+ANY, NONE = -1, -2                       # slots of stays without a window, and of stays that nothing covers
+ALWAYS = 1 << 60                         # open and close of what never closes
+DETAILS = ["lounge_id", "name", "terminal", "opening_hours", "amenities", "access_notes", "detail_url"]
+
+
+# ------------------------------------------------------------------ catalog
+class Catalog:
+    """The served lounges as the plan needs them. Each table is written to the shared folder when it is first
+    used, so the hours grammar runs once and a lost executor repeats nothing. ``picks`` are the first ``top``
+    lounges by id, with the key (``lid``) of their details."""
+
+    def __init__(self, lounges: DataFrame, top: int = TOP, cap: int | None = None):
+        served, _rejected = cat.catalog_contract(lounges)
+        if cap is not None:
+            served = cat.cap_per_airport(served, cap)
+        hours = rec.hours_dimension(served).select("opening_hours", "intervals", "always_open")
+        self.top = top
+        self._served = served.select("airport_code", *DETAILS).withColumn("lid", F.xxhash64(*DETAILS))
+        self._rows = self._served.join(hours, "opening_hours", "left") \
+            .withColumn("gid", F.xxhash64("airport_code", "terminal", "intervals"))
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = materialize(make(), name)
+        return self._made[name]
+
+    @property
+    def groups(self) -> DataFrame:
+        """(gid, airport_code, terminal, intervals, always_open, n, picks): the lounges of one terminal and schedule,
+        however it is spelled."""
+        def make() -> DataFrame:
+            count = self._rows.groupBy("gid").agg(
+                *[F.first(c).alias(c) for c in ("airport_code", "terminal", "intervals", "always_open")], F.count(F.lit(1)).alias("n"))
+            ids = first_rows(self._rows.select("gid", "lounge_id", "lid"), ["gid"], self.top)
+            return count.join(ids.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("lounge_id", "lid"))).alias("picks")), "gid")
+        return self._once("groups", make)
+
+    @property
+    def shown(self) -> DataFrame:
+        """(lid, lounge): a row per different lounge that can be shown, with its details."""
+        def make() -> DataFrame:
+            picked = self.groups.select(F.explode("picks.lid").alias("lid")).distinct()
+            return self._served.join(picked, "lid").groupBy("lid").agg(F.first(F.struct(*DETAILS)).alias("lounge"))
+        return self._once("shown", make)
+
+    @property
+    def slots(self) -> DataFrame:
+        """(airport_code, slot, terminal, o, c, n, picks): what is open from ``o`` to ``c`` minutes of the week, at
+        each hour in which a stay inside may begin; and as slot ``ANY`` each terminal, whatever the hours."""
+        def make() -> DataFrame:
+            key = ["airport_code", "terminal", "any", "o", "c"]
+            parts = intervals_of(self.groups)
+            sums = parts.groupBy(*key).agg(F.sum("n").alias("n"))
+            ids = first_rows(parts.select(*key, F.explode("picks").alias("p")).select(*key, "p.*"), key, self.top)
+            picks = ids.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("lounge_id", "lid"))).alias("picks"))
+            same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+            return in_slots(sums.alias("a").join(picks.alias("b"), same).select("a.*", "b.picks"))
+        return self._once("slots", make)
+
+    @property
+    def terminals(self) -> DataFrame:
+        """(airport_code, terminal, n) of all lounges."""
+        return self.groups.groupBy("airport_code", "terminal").agg(F.sum("n").alias("n"))
+
+    @property
+    def airports(self) -> DataFrame:
+        """(airport_code, available_terminals, n_lounges, n_unknown_hours)."""
+        return self._once("airports", lambda: self.groups.groupBy("airport_code").agg(
+            F.sort_array(F.collect_set(F.when(F.col("terminal") != "", F.col("terminal")))).alias("available_terminals"),
+            F.sum("n").alias("n_lounges"),
+            F.sum(F.when(F.col("intervals").isNull(), F.col("n")).otherwise(0)).alias("n_unknown_hours")))
+
+    @property
+    def group_slots(self) -> DataFrame:
+        """(airport_code, slot, o, c, group_id): the slots of each group."""
+        return self._once("group-slots", lambda: in_slots(
+            intervals_of(self.groups).select("airport_code", "any", "o", "c", group_id().alias("group_id"))))
+
+    @property
+    def members(self) -> DataFrame:
+        """(group_id, lounge_id) of every lounge."""
+        return self._rows.select("gid", "lounge_id").join(
+            self.groups.select("gid", group_id().alias("group_id")), "gid").select("group_id", "lounge_id")
+
+
+def group_id() -> Column:
+    """A group's name: its airport, terminal and first lounge."""
+    return F.concat_ws("/", F.col("airport_code"), F.coalesce("terminal", F.lit("-")), F.get("picks", F.lit(0))["lounge_id"])
+
+
+def first_rows(rows: DataFrame, key: list[str], top: int) -> DataFrame:
+    """The ``top`` rows of smallest (lounge_id, lid) of each key. The rank is cut before the shuffle as well, so a hot key
+    ships ``top`` rows of each task."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("lounge_id", "lid"))
+    return rows.withColumn("pos", rank).filter(F.col("pos") <= top).drop("pos")
+
+
+def intervals_of(groups: DataFrame) -> DataFrame:
+    """A row per group and interval (``o``, ``c``) that a stay of the base week can lie in, and one for stays without a
+    window (``any``)."""
+    def iv(o: Column, c: Column, any_: bool = False) -> Column:
+        return F.struct(o.cast("long").alias("o"), c.cast("long").alias("c"), F.lit(any_).alias("any"))
+
+    near = F.filter("intervals", lambda x: (x["c"] >= 0) & (x["o"] < WEEK_MINUTES))
+    open_ = F.when(F.col("always_open"), F.array(iv(F.lit(-ALWAYS), F.lit(ALWAYS)))) \
+        .otherwise(F.coalesce(F.transform(near, lambda x: iv(x["o"], x["c"])), F.array()))
+    all_ = F.concat(open_, F.array(iv(F.lit(-ALWAYS), F.lit(ALWAYS), True)))
+    return groups.withColumn("iv", F.explode(all_)).select("*", "iv.*").drop("iv", "intervals", "always_open")
+
+
+def in_slots(times: DataFrame) -> DataFrame:
+    first = F.floor(F.greatest(F.col("o"), F.lit(0)) / SLOT_MINUTES)
+    last = F.floor(F.least(F.col("c"), F.lit(WEEK_MINUTES - 1)) / SLOT_MINUTES)
+    slots = F.when(F.col("any"), F.array(F.lit(ANY).cast("long"))).otherwise(F.sequence(first, last))
+    return times.withColumn("slot", F.explode(slots)).drop("any")
+
+
+# ------------------------------------------------------------------- passes
+def pass_context(passes: DataFrame, catalog: Catalog) -> DataFrame:
+    """Every accepted pass with its facts: stay window, airport facts, effective terminal and tier; no lounges."""
     accepted, _rejected = cat.require_airport(passes)
     accepted = rec.stay_window(accepted.withColumnRenamed("terminal", "pass_terminal"))
-    ctx = accepted.join(sized_broadcast(airports), "airport_code", "left")
-    none = F.array().cast(airports.schema["groups"].dataType)
+    ctx = accepted.join(sized_broadcast(catalog.airports), "airport_code", "left")
     ctx = ctx.withColumns({
-        "groups": F.coalesce("groups", none),
         "available_terminals": F.coalesce("available_terminals", F.array().cast("array<string>")),
         "n_lounges": F.coalesce("n_lounges", F.lit(0)),
         "n_unknown_hours": F.coalesce("n_unknown_hours", F.lit(0))})
     return rec.terminal_match(ctx, terminal="pass_terminal")
 
 
-def _covers(g: Column) -> Column:
-    """Whether a group is open for the whole stay. Unknown hours pass only without a window."""
-    status, start, end = F.col("window_status"), F.col("start_mow"), F.col("end_mow")
-    inside = F.exists(g["intervals"], lambda iv: (iv["o"] <= start) & (iv["c"] >= end))
-    week = F.col("duration_min") <= 7 * DAY_MINUTES
-    return (F.when(status.isin("none", "unreadable"), F.lit(True))
-            .when(status == "open", g["always_open"] | F.coalesce(week & inside, F.lit(False)))
-            .otherwise(F.lit(False)))
-
-
-def _matched(terminal: Column) -> Column:
-    return F.coalesce((F.col("terminal_tier") < 4) & (terminal == F.col("effective_terminal")), F.lit(False))
-
-
-def _terminals(groups: Column) -> Column:
-    return F.array_distinct(F.transform(groups, lambda g: g["terminal"]))
-
-
-def terminal_counts(groups: Column) -> Column:
-    """array<struct<terminal, n_lounges>> of a pass's groups."""
-    def one(t: Column) -> Column:
-        own = F.filter(groups, lambda g: g["terminal"].eqNullSafe(t))
-        total = F.aggregate(own, F.lit(0).cast("long"), lambda s, g: s + g["n"])
-        return F.struct(t.alias("terminal"), total.alias("n_lounges"))
-
-    return F.transform(_terminals(groups), one)
-
-
-def _spread(groups: Column, top: int) -> Column:
-    """array<struct<other, spread, lounge>>: the first ``top`` covered lounges of each terminal by
-    id; ``other`` is 0 for the matched terminal."""
-    def of(t: Column) -> Column:
-        own = F.filter(groups, lambda g: g["terminal"].eqNullSafe(t))
-        first = F.slice(F.array_sort(F.flatten(F.transform(own, lambda g: g["first"]))), 1, top)
-        other = F.when(_matched(t), F.lit(0)).otherwise(F.lit(1))
-        return F.transform(first, lambda x, i: F.struct(other.alias("other"), (i + 1).alias("spread"), x.alias("lounge")))
-
-    return F.flatten(F.transform(_terminals(groups), of))
-
-
-def with_covered(ctx: DataFrame) -> DataFrame:
-    """``covered``: the groups whose hours contain the stay; ``kept``: their lounges."""
-    out = ctx.withColumn("covered", F.filter("groups", _covers)).drop("groups")
-    return out.withColumn("kept", F.aggregate("covered", F.lit(0).cast("long"), lambda s, g: s + g["n"]))
-
-
-def with_spread(ctx: DataFrame, top: int = TOP) -> DataFrame:
-    return ctx.withColumn("spreads", _spread(F.col("covered"), top)).drop("covered")
-
-
-def with_top(ctx: DataFrame, top: int = TOP) -> DataFrame:
-    """``top``: the ranked lounges, matched terminal first, then by spread, then by id."""
-    return with_spread(ctx, top).withColumn("top", F.slice(F.array_sort("spreads"), 1, top)).drop("spreads")
-
-
-def context(passes: DataFrame, lounges: DataFrame, top: int = TOP, cap: int | None = None) -> DataFrame:
-    """Every accepted pass with its facts, ``groups`` of its airport and no lounge rows."""
-    return pass_context(passes, airport_catalog(lounges, top, cap))
-
-
-def recommendations(ctx_top: DataFrame) -> DataFrame:
+def covering(ctx: DataFrame, index: DataFrame, carry: list[str], how: str = "inner") -> DataFrame:
+    """A row per pass and row of the index (``Catalog.slots``, ``Catalog.group_slots``) that holds its stay, with the pass
+    columns ``carry``; with ``how="left"`` a pass without any keeps one row. Unknown hours hold only a stay without a window."""
+    timed = F.col("window_status") == "open"
+    untimed = F.col("window_status").isin("none", "unreadable")
+    slot = F.when(timed, F.floor(F.col("start_mow") / SLOT_MINUTES)).when(untimed, F.lit(ANY)).otherwise(F.lit(NONE))
+    stays = ctx.select(*carry, F.col("airport_code").alias("_airport"), slot.cast("long").alias("_slot"),
+                       F.when(timed, F.col("start_mow")).otherwise(F.lit(0)).alias("_s"),
+                       F.when(timed, F.col("end_mow")).otherwise(F.lit(0)).alias("_e"))
+    t = sized_broadcast(index).withColumnsRenamed({"airport_code": "_a", "slot": "_t"})
+    holds = ((F.col("_airport") == F.col("_a")) & (F.col("_slot") == F.col("_t"))
+             & (F.col("o") <= F.col("_s")) & (F.col("c") >= F.col("_e")))
+    return stays.join(t, holds, how).drop("_airport", "_slot", "_s", "_e", "_a", "_t", "o", "c")
+
+
+def candidate_counts(ctx: DataFrame, catalog: Catalog) -> DataFrame:
+    """(pass_id, airport_code, terminal, n_lounges) of the lounges of a pass's airport."""
+    own = catalog.terminals.select("airport_code", "terminal", F.col("n").alias("n_lounges"))
+    return ctx.select("pass_id", "airport_code").join(sized_broadcast(own), "airport_code") \
+        .select("pass_id", "airport_code", "terminal", "n_lounges")
+
+
+def covered_counts(ctx: DataFrame, catalog: Catalog) -> DataFrame:
+    """The same of those that cover its stay."""
+    return covering(ctx, catalog.slots.drop("picks"), ["pass_id", "airport_code"]) \
+        .groupBy("pass_id", "airport_code", "terminal").agg(F.sum("n").alias("n_lounges"))
+
+
+def covering_groups(ctx: DataFrame, catalog: Catalog) -> DataFrame:
+    """(pass_id, group_id) of the groups whose hours hold the stay. With ``Catalog.members`` it names every covering
+    lounge without a row per pair of pass and lounge."""
+    return covering(ctx, catalog.group_slots, ["pass_id"])
+
+
+def with_kept(ctx: DataFrame, catalog: Catalog, carry: list[str]) -> DataFrame:
+    """(pass_id, carry, kept): number of covering lounges of every pass."""
+    cols = ["pass_id", *carry]
+    return covering(ctx, catalog.slots.select("airport_code", "slot", "o", "c", "n"), cols, "left") \
+        .groupBy(*cols).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept"))
+
+
+def spreads(ctx: DataFrame, catalog: Catalog, carry: list[str], how: str = "inner") -> DataFrame:
+    """(pass_id, carry, terminal, matched, n, picks): the covering lounges of each terminal, their number and the first of
+    them. Dealt by pass once; the steps after it keep that."""
+    tier, own = F.col("terminal_tier"), F.col("effective_terminal")
+    cols = list(dict.fromkeys(["terminal_tier", "effective_terminal", *carry]))
+    rows = covering(ctx, catalog.slots, ["pass_id", *cols], how).repartition("pass_id")
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("picks"))), 1, catalog.top)
+    return (rows.groupBy("pass_id", "terminal").agg(*[F.first(c).alias(c) for c in cols], F.sum("n").alias("n"), merged.alias("picks"))
+            .withColumn("matched", F.coalesce((tier < 4) & (F.col("terminal") == own), F.lit(False))))
+
+
+def ranked(ctx: DataFrame, catalog: Catalog, carry: list[str], how: str = "inner") -> DataFrame:
+    """(pass_id, carry, kept, top): ``top`` has (other, spread, id, lid) of the best lounges, matched terminal first, then by
+    spread, then by id; ``kept`` is the number of covering ones."""
+    other = F.when(F.col("matched"), F.lit(0)).otherwise(F.lit(1))
+    each = F.transform("picks", lambda x, i: F.struct(other.alias("other"), (i + 1).alias("spread"), x["lounge_id"].alias("id"), x["lid"].alias("lid")))
+    s = spreads(ctx, catalog, carry, how).withColumn("each", each)
+    return s.groupBy("pass_id").agg(
+        *[F.first(c).alias(c) for c in carry], F.coalesce(F.sum("n"), F.lit(0)).alias("kept"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("each"))), 1, catalog.top).alias("top"))
+
+
+def ranked_rows(ctx: DataFrame, catalog: Catalog, carry: list[str]) -> DataFrame:
+    """(pass_id, carry, rank, matched, lounge): one row per recommended lounge; only here its details are looked up."""
+    rows = ranked(ctx, catalog, carry).select("pass_id", *carry, F.posexplode("top").alias("pos", "t"))
+    rows = rows.select("pass_id", *carry, (F.col("pos") + 1).alias("rank"), (F.col("t.other") == 0).alias("matched"), "t.lid")
+    return rows.join(sized_broadcast(catalog.shown), "lid").drop("lid")
+
+
+def with_top(ctx: DataFrame, catalog: Catalog) -> DataFrame:
+    """Every pass with ``kept`` and ``top``: array of (pos, other, lounge). The passes are written once, as they are
+    needed for the ranking and for the wide row."""
+    ctx = materialize(ctx, "passes")
+    rows = ranked(ctx, catalog, [], "left").select("pass_id", "kept", F.posexplode_outer("top").alias("pos", "t"))
+    rows = rows.join(sized_broadcast(catalog.shown), F.col("t.lid") == F.col("lid"), "left")
+    top = F.when(F.col("pos").isNotNull(), F.struct("pos", F.col("t.other").alias("other"), "lounge"))
+    per_pass = rows.groupBy("pass_id").agg(F.first("kept").alias("kept"), F.sort_array(F.collect_list(top)).alias("top"))
+    return ctx.join(per_pass, "pass_id")
+
+
+def recommendations(rows: DataFrame) -> DataFrame:
     """One row per (pass, recommended lounge): the seven copied lounge fields
     (``detail_url`` as ``source_url``) + ``why_recommended``."""
-    rows = ctx_top.select("pass_id", "terminal_tier", "window_status", "start_hhmm", "end_hhmm",
-                          F.posexplode("top").alias("pos", "t"))
-    lounge = F.col("t.lounge")
+    lounge = F.col("lounge")
     return rows.select(
-        "pass_id", (F.col("pos") + 1).alias("rank"), lounge["lounge_id"].alias("lounge_id"), lounge["name"].alias("name"),
+        "pass_id", "rank", lounge["lounge_id"].alias("lounge_id"), lounge["name"].alias("name"),
         lounge["terminal"].alias("terminal"), lounge["opening_hours"].alias("opening_hours"),
         lounge["amenities"].alias("amenities"), lounge["access_notes"].alias("access_notes"),
-        lounge["detail_url"].alias("source_url"), "terminal_tier", (F.col("t.other") == 0).alias("matched"),
-        rec.why_recommended(F.col("terminal_tier"), F.col("t.other") == 0, lounge["terminal"],
+        lounge["detail_url"].alias("source_url"), "terminal_tier", "matched",
+        rec.why_recommended(F.col("terminal_tier"), F.col("matched"), lounge["terminal"],
                             F.col("window_status"), F.col("start_hhmm"), F.col("end_hhmm")).alias("why_recommended"))
 
 
 def recommend_batch(passes: DataFrame, lounges: DataFrame, top: int = TOP, cap: int | None = None) -> DataFrame:
     """Flat recommendation rows: one per (pass, recommended lounge)."""
-    return recommendations(with_top(with_covered(context(passes, lounges, top, cap)), top))
+    catalog = Catalog(lounges, top, cap)
+    carry = ["terminal_tier", "window_status", "start_hhmm", "end_hhmm"]
+    return recommendations(ranked_rows(pass_context(passes, catalog), catalog, carry))

@@ -15,6 +15,7 @@ from concourse.operators import recommend as rec
 from concourse.operators.nesting import nest_by_page
 from concourse.plans import fixtures as fx
 from concourse.plans import recommend as plan
+from concourse.session import materialize
 
 LOUNGE_FIELDS = ["lounge_id", "name", "terminal", "opening_hours", "image_url", "detail_url",
                  "amenities", "access_notes", "conditions"]
@@ -79,17 +80,13 @@ def q_available_terminals(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------- 2.6
-def _ctx(spark, sf_dir, source="customer"):
-    return plan.context(fx.passes(spark, sf_dir), fx.lounges(spark, sf_dir, source))
-
-
-def _terminal_counts(ctx: DataFrame, groups: str) -> DataFrame:
-    counts = ctx.select("pass_id", "airport_code", F.explode(plan.terminal_counts(F.col(groups))).alias("t"))
-    return counts.select("pass_id", "airport_code", "t.terminal", "t.n_lounges")
+def _ctx(spark, sf_dir, source="customer") -> tuple[DataFrame, plan.Catalog]:
+    catalog = plan.Catalog(fx.lounges(spark, sf_dir, source))
+    return plan.pass_context(fx.passes(spark, sf_dir), catalog), catalog
 
 
 def q_pass_lounge_join(spark, sf_dir):
-    return _terminal_counts(_ctx(spark, sf_dir), "groups")
+    return plan.candidate_counts(*_ctx(spark, sf_dir))
 
 
 def q_stay_window(spark, sf_dir):
@@ -117,31 +114,36 @@ def q_merge_intervals(spark, sf_dir):
 
 
 def q_hours_cover_window(spark, sf_dir):
-    return _terminal_counts(plan.with_covered(_ctx(spark, sf_dir)), "covered")
+    return plan.covered_counts(*_ctx(spark, sf_dir))
+
+
+def q_covering_groups(spark, sf_dir):
+    return plan.covering_groups(*_ctx(spark, sf_dir))
+
+
+def q_group_members(spark, sf_dir):
+    return plan.Catalog(fx.lounges(spark, sf_dir)).members
 
 
 def q_exclusion_summary(spark, sf_dir):
-    return adv.exclusion_summary(plan.with_covered(_ctx(spark, sf_dir)))
+    counts = plan.with_kept(*_ctx(spark, sf_dir), ["window_status", "n_lounges", "n_unknown_hours"])
+    return adv.exclusion_summary(counts)
 
 
 def q_terminal_match(spark, sf_dir):
-    return _ctx(spark, sf_dir).select("pass_id", "effective_terminal", "terminal_tier",
-                                      F.coalesce("terminal_assumption", F.lit("")).alias("terminal_assumption"))
+    return _ctx(spark, sf_dir)[0].select("pass_id", "effective_terminal", "terminal_tier",
+                                         F.coalesce("terminal_assumption", F.lit("")).alias("terminal_assumption"))
 
 
 def q_terminal_spread(spark, sf_dir):
-    spread = plan.with_spread(plan.with_covered(_ctx(spark, sf_dir, "supplier")))
-    return spread.select("pass_id", F.explode("spreads").alias("s")).select(
-        "pass_id", F.col("s.lounge.lounge_id").alias("lounge_id"), "s.spread")
-
-
-def _top(spark, sf_dir, source="customer"):
-    return plan.with_top(plan.with_covered(_ctx(spark, sf_dir, source)))
+    ctx, catalog = _ctx(spark, sf_dir, "supplier")
+    rows = plan.spreads(ctx, catalog, []).select("pass_id", F.posexplode("picks").alias("pos", "p"))
+    return rows.select("pass_id", F.col("p.lounge_id").alias("lounge_id"), (F.col("pos") + 1).alias("spread"))
 
 
 def q_top_lounges(spark, sf_dir):
-    rows = _top(spark, sf_dir).select("pass_id", F.posexplode("top").alias("pos", "t"))
-    return rows.select("pass_id", F.col("t.lounge.lounge_id").alias("lounge_id"), (F.col("pos") + 1).alias("rank"))
+    rows = plan.ranked(*_ctx(spark, sf_dir), []).select("pass_id", F.posexplode("top").alias("pos", "t"))
+    return rows.select("pass_id", F.col("t.id").alias("lounge_id"), (F.col("pos") + 1).alias("rank"))
 
 
 def q_recommendation_rows(spark, sf_dir):
@@ -151,7 +153,7 @@ def q_recommendation_rows(spark, sf_dir):
 
 
 def _routes(spark, sf_dir):
-    return adv.routes_from_orders(fx.read_table(spark, sf_dir, "orders").select("o_custkey"))
+    return materialize(adv.routes_from_orders(fx.read_table(spark, sf_dir, "orders").select("o_custkey")), "routes")
 
 
 def q_destination_context(spark, sf_dir):
@@ -160,7 +162,7 @@ def q_destination_context(spark, sf_dir):
 
 
 def _summary(spark, sf_dir, source="supplier"):
-    return adv.pass_summary(_top(spark, sf_dir, source), _routes(spark, sf_dir))
+    return adv.pass_summary(plan.with_top(*_ctx(spark, sf_dir, source)), _routes(spark, sf_dir))
 
 
 def q_assumptions_rollup(spark, sf_dir):
@@ -196,11 +198,11 @@ def q_advisory_record(spark, sf_dir):
 def model_recommendations(spark, sf_dir) -> DataFrame:
     """F10 as rows (pass_id, airport_code, lounge_id): the ranked ids per pass, plus a foreign id
     when pass_id % 17 = 0 and a lounge of another airport when it is 1."""
-    k, p = F.col("pass_id") % 17, "pass_id"
-    foreign = F.when(k == 0, F.concat(F.lit("S9"), F.lpad(F.col(p).cast("string"), 8, "0"))).when(k == 1, F.lit("S000000000"))
-    own = F.transform("top", lambda t: t["lounge"]["lounge_id"])
-    ids = F.concat(own, F.when(foreign.isNotNull(), F.array(foreign)).otherwise(F.array().cast("array<string>")))
-    return _top(spark, sf_dir, "supplier").select(p, "airport_code", F.explode(ids).alias("lounge_id"))
+    ctx, catalog = _ctx(spark, sf_dir, "supplier")
+    own = plan.ranked(ctx, catalog, ["airport_code"]).select("pass_id", "airport_code", F.explode("top.id").alias("lounge_id"))
+    k, p = F.col("pass_id") % 17, F.col("pass_id")
+    foreign = F.when(k == 0, F.concat(F.lit("S9"), F.lpad(p.cast("string"), 8, "0"))).when(k == 1, F.lit("S000000000"))
+    return own.union(ctx.select("pass_id", "airport_code", foreign.alias("lounge_id")).filter(F.col("lounge_id").isNotNull()))
 
 
 def q_recommendation_integrity(spark, sf_dir):
@@ -229,6 +231,8 @@ QUERIES = {
     "hours_to_intervals": q_hours_to_intervals,
     "merge_intervals": q_merge_intervals,
     "hours_cover_window": q_hours_cover_window,
+    "covering_groups": q_covering_groups,
+    "group_members": q_group_members,
     "exclusion_summary": q_exclusion_summary,
     "terminal_match": q_terminal_match,
     "terminal_spread": q_terminal_spread,

@@ -33,8 +33,10 @@ def test_stay_window_goldens(spark):
 
 
 def covered(spark, prows, lrows):
-    ctx = plan.with_covered(plan.context(passes(spark, prows), lounges(spark, lrows), top=len(lrows)))
-    return {(r.pass_id, x.lounge_id) for r in ctx.select("pass_id", "covered").collect() for g in r.covered for x in g.first}
+    """(pass, lounge) of all covering lounges, named by the covering groups and their members."""
+    catalog = plan.Catalog(lounges(spark, lrows))
+    groups = plan.covering_groups(plan.pass_context(passes(spark, prows), catalog), catalog)
+    return {(r.pass_id, r.lounge_id) for r in groups.join(catalog.members, "group_id").collect()}
 
 
 def test_cover_edges(spark):
@@ -67,7 +69,7 @@ def test_sunday_monday_wrap(spark):
 
 
 def tiers(spark, prows, lrows):
-    ctx = plan.context(passes(spark, prows), lounges(spark, lrows))
+    ctx = plan.pass_context(passes(spark, prows), plan.Catalog(lounges(spark, lrows)))
     return {r.pass_id: (r.terminal_tier, r.effective_terminal) for r in ctx.collect()}
 
 
@@ -104,8 +106,7 @@ def test_top5_subset_and_permutation(spark):
 
 def unpruned(spark, prows, lrows, top=5):
     """Ranking over all covered pairs, in plain Python."""
-    tier = {r.pass_id: (r.terminal_tier, r.effective_terminal)
-            for r in plan.context(passes(spark, prows), lounges(spark, lrows)).collect()}
+    tier = tiers(spark, prows, lrows)
     terminal = {r[0]: r[3] for r in lrows}
     own = {}
     for p, lo in covered(spark, prows, lrows):
@@ -129,7 +130,9 @@ def test_group_prune_equals_unpruned_ranking(spark):
                       terminal=["1", "2C", None, "N/A"][i % 4], gate="B2" if i % 3 else None) for i in range(48)]
     got = {(r.pass_id, r.lounge_id, r.rank) for r in plan.recommend_batch(passes(spark, prows), lounges(spark, lrows)).collect()}
     assert got == unpruned(spark, prows, lrows)
-    kept = {r.pass_id: r.kept for r in plan.with_covered(plan.context(passes(spark, prows), lounges(spark, lrows))).collect()}
+    catalog = plan.Catalog(lounges(spark, lrows))
+    ctx = plan.pass_context(passes(spark, prows), catalog)
+    kept = {r.pass_id: r.kept for r in plan.with_kept(ctx, catalog, []).collect()}
     pairs = covered(spark, prows, lrows)
     assert kept == {p[0]: sum(x == p[0] for x, _ in pairs) for p in prows}
 
@@ -138,17 +141,35 @@ def test_every_lounge_of_a_large_airport_counts(spark):
     now = MONDAY.replace(hour=9)
     lrows = [lounge_row(f"L{i:04}", "09:00 - 17:00" if i % 2 else "N/A", "1") for i in range(300)]
     lrows.append(lounge_row("Z", "Open 24 hours", "9"))
-    ctx = plan.with_top(plan.with_covered(plan.context(passes(spark, [pass_row(1, now, boarding="10:00", terminal="9")]),
-                                                       lounges(spark, lrows))))
-    r = ctx.collect()[0]
+    catalog = plan.Catalog(lounges(spark, lrows))
+    r = plan.with_top(plan.pass_context(passes(spark, [pass_row(1, now, boarding="10:00", terminal="9")]), catalog), catalog).collect()[0]
     assert (r.n_lounges, r.n_unknown_hours, r.kept) == (301, 150, 151)
     assert r.top[0].lounge.lounge_id == "Z" and r.available_terminals == ["1", "9"]
 
 
 def test_broadcast_is_measured(spark):
     from concourse.plans.joins import fits_broadcast, measured
-    groups = plan.airport_catalog(lounges(spark, [
-        lounge_row(f"L{i}", "00:00 - 05:00, 08:00 - 12:00, 13:00 - 23:00", str(i)) for i in range(40)]))
-    n, size = measured(groups)
-    assert n == 1 and size > 40 * 21 * 10   # 40 groups of three ranges a day
-    assert fits_broadcast(groups) and not fits_broadcast(groups, max_bytes=size - 1) and not fits_broadcast(groups, max_rows=0)
+    slots = plan.Catalog(lounges(spark, [
+        lounge_row(f"L{i}", "00:00 - 05:00, 08:00 - 12:00, 13:00 - 23:00", str(i)) for i in range(40)])).slots
+    n, size = measured(slots)
+    assert n > 40 * 7 * 18 and size > n * 30   # 40 terminals, each open in 18 hours of a day
+    assert fits_broadcast(slots) and not fits_broadcast(slots, max_bytes=size - 1) and not fits_broadcast(slots, max_rows=0)
+
+
+def test_repeated_and_missing_values(spark):
+    """Lounges that repeat an id or a whole row, null terminals, stays over a week, unreadable times."""
+    now = MONDAY.replace(hour=9)
+    lrows = [lounge_row("L1", "Open 24 hours", "1"), lounge_row("L1", "Open 24 hours", "1"), lounge_row("L1", "09:00 - 17:00", None),
+             lounge_row("L2", "09:00 - 17:00", None), lounge_row("L3", "N/A", "")]
+    prows = [pass_row(1, now, boarding="10:00", terminal="1"), pass_row(2, now, departure="2024-01-20T09:00:00"),
+             pass_row(3, now, boarding="25:99"), pass_row(4, now, departure="2023-01-01T00:00:00"), pass_row(5, now, airport="A99")]
+    catalog = plan.Catalog(lounges(spark, lrows))
+    ctx = plan.pass_context(passes(spark, prows), catalog)
+    top = {r.pass_id: r for r in plan.with_top(ctx, catalog).collect()}
+    assert {i: r.kept for i, r in top.items()} == {1: 4, 2: 2, 3: 5, 4: 0, 5: 0}
+    assert [x.lounge.lounge_id for x in top[1].top] == ["L1", "L1", "L1", "L2"] and top[4].top == [] == top[5].top
+    assert [x.lounge.terminal for x in top[1].top] == ["1", "1", None, None]
+    counts = {(r.pass_id, r.terminal): r.n_lounges for r in plan.covered_counts(ctx, catalog).collect()}
+    assert counts == {(1, "1"): 2, (1, None): 2, (2, "1"): 2, (3, "1"): 2, (3, None): 2, (3, ""): 1}
+    assert plan.recommend_batch(passes(spark, []), lounges(spark, lrows)).count() == 0
+    assert plan.recommend_batch(passes(spark, prows), lounges(spark, [])).count() == 0
