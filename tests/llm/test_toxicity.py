@@ -50,6 +50,82 @@ def test_index_is_exact():
         assert ids[rows].tolist() == ids[want].tolist() and cos == pytest.approx(exact[want])
 
 
+def test_frequent_terms_are_seldom_read():
+    """A term that all examples hold is not read for texts that have nearer ones by rarer terms."""
+    rng = np.random.default_rng(4)
+    post = {0: (np.arange(4000), np.full(4000, 0.02))}
+    for t in range(1, 801):
+        rows = np.sort(rng.choice(4000, 20, replace=False))
+        post[t] = (rows, rng.random(20) * 0.4 + 0.2)
+    index = tox.BlockMaxIndex(np.arange(4000), np.zeros(4000), post)
+    vectors = np.zeros((4000, 801))
+    for t, (rows, w) in post.items():
+        vectors[rows, t] = w
+    for _ in range(50):
+        q = {0: 0.05} | {int(t): 0.2 for t in rng.choice(np.arange(1, 801), 30, replace=False)}
+        rows, cos = index.nearest(q, 16)
+        exact = vectors @ np.array([q.get(t, 0.0) for t in range(801)])
+        want = np.lexsort((np.arange(4000), -np.round(exact, 12)))[:16]
+        assert rows.tolist() == want.tolist() and cos == pytest.approx(exact[want])
+    assert index.read < 0.6 * index.offered
+
+
+def test_scores_equal_brute_force(labelled):
+    """Weights, votes, choice of the mark's weight, calibration and final scores, in plain Python."""
+    import math
+    from collections import Counter
+    docs, labels, rows = labelled
+    got = {(r.doc_id, r.score): list(r.evidence) for r in tox.toxicity_scores(docs, labels).collect()}
+    examples = [r.asDict() for r in tox.labelled_texts(docs, labels).collect()]
+    marks = {t for t, m in zip(*(tox.example_terms(tox.labelled_texts(docs, labels).filter("part > 0"))[c] for c in ("term", "marks"))) if m}
+    bags = lambda t: Counter(tox.WORD.findall((t or "").lower()))
+    hashed = lambda w: int(tox.hashes([w])[0])
+    texts = [t for _, t in rows]
+    df = Counter(w for t in texts for w in bags(t))
+    known = {w for e in examples if e["part"] for w in bags(e["text"])}
+
+    def vector(text, mark):
+        v = {w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) * (mark if hashed(w) in marks else 1)
+             for w, n in bags(text).items() if w in known}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    def vote(v, own):
+        near = [(round(sum(x * o.get(w, 0) for w, x in v.items()), 12), -e["id"], e) for e, o in own]
+        near = sorted([x for x in near if x[0] > 0], key=lambda x: x[:2], reverse=True)[:16]
+        weights = [1 / (1.05 - min(c, 1)) for c, _, _ in near]
+        return (sum(w * e["label"] for w, (_, _, e) in zip(weights, near)) / sum(weights) if near else -1), [e["id"] for _, _, e in near]
+
+    best = None
+    for mark in tox.MARKS:
+        own = [(e, vector(e["text"], mark)) for e in examples if e["part"] and bags(e["text"])]
+        raws = [(vote(vector(e["text"], mark), own)[0], e["label"]) for e in examples if not e["part"]]
+        raws = [r for r in raws if r[0] >= 0]
+        up, down = [r for r, y in raws if y >= 0.5], [r for r, y in raws if y < 0.5]
+        area = sum((a > b) + (a == b) / 2 for a in up for b in down) / (len(up) * len(down))
+        if best is None or area >= best[0] - 1e-9:
+            best = (max(area, best[0] if best else 0), mark, own, raws)
+    _, mark, own, raws = best
+    steps, last = [], 0.0
+    for i in range(tox.BINS):
+        inside = [y for r, y in raws if min(int(r * tox.BINS), tox.BINS - 1) == i]
+        last = max(last, (sum(inside) + 2 * (i + 0.5) / tox.BINS) / (len(inside) + 2))
+        steps.append(last)
+    for i, text in rows[:60] + rows[-6:]:
+        raw, evidence = vote(vector(text, mark), own)
+        score = float(np.interp(raw * tox.BINS, np.arange(tox.BINS) + 0.5, steps)) if raw >= 0 else None
+        found = [s for d, s in got if d == i]
+        assert score is None or any(s == pytest.approx(score, abs=1e-9) for s in found), (i, score, found)
+        assert score is None or any(got[i, s] == evidence for s in found)
+
+
+def test_sample_is_bounded_in_bytes(labelled, monkeypatch):
+    docs, labels, _ = labelled
+    monkeypatch.setattr(tox, "MAX_BYTES", 5_000)
+    got = tox.labelled_texts(docs, labels).collect()
+    assert 3_000 < sum(len(r.text.encode()) for r in got) <= 5_000
+
+
 def test_scores(labelled):
     docs, labels, rows = labelled
     out = tox.toxicity_scores(docs, labels).collect()
