@@ -2,11 +2,12 @@
 
 Documents and labelled examples are TF-IDF vectors over all terms of the examples; terms
 whose presence marks the label weigh more. An example's nearness is the exact cosine. A block-max
-inverted index over the examples finds the nearest: examples stand in blocks, each term keeps the
-largest weight it has in each block. A text's terms are added up from the largest possible
-contribution down, until those left can't lift an example that was not met into the first k. What they
-can add in each block bounds every example; only examples whose bound reaches the k-th score get
-their whole cosine, so frequent terms are seldom read and no nearer example is missed. Distance-weighted
+inverted index over the examples finds the nearest: examples of like length and most frequent word stand
+in one block. Terms that few examples hold are added up from their postings. Terms that many hold are kept
+as rows of numbers over the examples, with their largest weight in each block: a block whose largest score so
+far, with all that the query's frequent terms can add in it, stays under the k-th score is not opened; in the
+others a product of matrices completes the scores of a batch of texts. So no nearer example is missed.
+Distance-weighted
 votes of the nearest give a raw score; a part of the labelled rows that is not in the index turns raw
 scores into rates of label 1, and chooses how much more marking terms weigh (one of ``MARKS``).
 
@@ -43,7 +44,11 @@ MAX_BYTES = 64 << 20    # of their texts, at most
 MARKS = (1.0, 3.0, 10.0, 30.0)  # how much more such a term may weigh
 NEIGHBOURS = 16
 BLOCK = 64
-FIRST_POSTINGS = 4096   # read before the k-th score is looked at; four times as many each time after
+FREQUENT = 1 / 16       # a term of more examples than this share is kept as a row over all of them
+FIRST = 4               # one block in so many is opened before the k-th score is looked at
+BATCH = 64              # texts that are searched at once
+PLACES = 300_000        # words whose place among the terms a task keeps
+SLICE = 1024            # texts whose vectors are held at once
 KNOWN = 20_000          # scores of texts that a task keeps for their copies
 REJECT_AT = 0.7
 BINS = 5
@@ -58,8 +63,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 class BlockMaxIndex:
-    """Inverted index over example vectors: per term its postings in row order, and per term
-    and block of examples the largest weight; all in flat arrays."""
+    """Inverted index over example vectors: per term its postings in row order; for frequent terms their weight in
+    every row and their largest weight in every block of rows; all in flat arrays."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, postings: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
         terms = sorted(postings)
@@ -78,59 +83,76 @@ class BlockMaxIndex:
 
     def _fill(self, ids, labels, term, row, weight) -> None:
         self.ids, self.labels = ids, labels
-        self.row, self.weight = row.astype(np.int32), weight
-        block = self.row // np.int32(BLOCK)
-        new = np.ones(len(row), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        first = np.flatnonzero(new)
-        terms = int(term[-1]) + 1 if len(term) else 0
-        self.block = block[first]
-        self.most = np.maximum.reduceat(weight, first) if len(first) else weight
-        self.of_term = np.searchsorted(term[first], np.arange(terms + 1, dtype=term.dtype)).astype(np.int32)  # (term, block) entries
+        n, terms = len(ids), int(term[-1]) + 1 if len(term) else 0
         self.postings = np.searchsorted(term, np.arange(terms + 1, dtype=term.dtype)).astype(np.int32)
-        self.top = np.zeros(terms)                      # largest weight of each term
-        np.maximum.at(self.top, term[first], self.most)
-        order = np.argsort(self.row, kind="stable")     # the examples' own vectors
-        self.own_term, self.own_weight = term[order].astype(np.int32), weight[order]
-        self.own_start = np.searchsorted(self.row[order], np.arange(len(ids) + 1)).astype(np.int32)
-        self.query = np.zeros(terms)
-        self.read = self.offered = 0                    # postings read, and postings of all query terms
+        self.frequent = np.diff(self.postings) > max(BLOCK, FREQUENT * n)
+        self.place = np.cumsum(self.frequent) - 1       # of a frequent term among them
+        many = self.frequent[term]
+        self.edges = np.arange(0, n, BLOCK)
+        self.dense = np.zeros((len(self.edges), int(self.frequent.sum()), BLOCK))    # of each block, frequent terms x rows
+        self.dense[row[many] // BLOCK, self.place[term[many]], row[many] % BLOCK] = weight[many]
+        self.most = self.dense.max(axis=2).T
+        kept = np.flatnonzero(~many)
+        self.row, self.weight = row[kept].astype(np.int32), weight[kept]
+        self.start = np.append(0, np.cumsum(np.where(self.frequent, 0, np.diff(self.postings)))).astype(np.int32)
+        self.opened = self.blocks = 0                   # blocks opened, and blocks there were, over all queries
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """``search`` for a vector given as term: weight."""
         return self.search(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query)), k)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact cosines of the k nearest, nearest first, ties to the smaller id."""
-        n = len(self.ids)
-        known = terms < len(self.top)
-        terms, weights = terms[known], weights[known]
-        gain = weights * self.top[terms]
-        order = np.argsort(-gain, kind="stable")
-        terms, weights = terms[order], weights[order]
-        rest = np.append(np.cumsum(gain[order][::-1])[::-1], 0.0)   # what the terms from here on can add
-        cost = np.append(0, np.cumsum(self.postings[terms + 1] - self.postings[terms], dtype=np.int64))
-        scores, kth, i, step = np.zeros(n), 0.0, 0, FIRST_POSTINGS
-        while i < len(terms) and rest[i] >= kth:
-            j = min(len(terms), max(i + 1, int(np.searchsorted(cost, cost[i] + step, side="right")) - 1))
-            at, size = _spread(self.postings[terms[i:j]], self.postings[terms[i:j] + 1])
-            scores += np.bincount(self.row[at], np.repeat(weights[i:j], size) * self.weight[at], minlength=n)
-            kth = np.partition(scores, -k)[-k] if n >= k else 0.0
-            i, step = j, 4 * step
-        entry, size = _spread(self.of_term[terms[i:]], self.of_term[terms[i:] + 1])
-        bound = np.bincount(self.block[entry], np.repeat(weights[i:], size) * self.most[entry], minlength=-(-n // BLOCK))
-        bound = scores + np.repeat(bound, BLOCK)[:n]
-        rows = np.flatnonzero((bound > 0) & (bound >= kth - 1e-11))
-        at, size = _spread(self.own_start[rows], self.own_start[rows + 1])
-        self.query[terms] = weights
-        exact = np.bincount(np.repeat(np.arange(len(rows)), size), self.query[self.own_term[at]] * self.own_weight[at], minlength=len(rows))
-        self.query[terms] = 0
-        self.read, self.offered = self.read + int(cost[i]) + len(at), self.offered + int(cost[-1])
-        kth = np.partition(exact, -k)[-k] if len(exact) >= k else 0.0
-        near = (exact > 0) & (exact >= kth - 1e-11)
-        rows, exact = rows[near], exact[near]
-        best = np.lexsort((self.ids[rows], -np.round(exact, 12)))[:k]
-        return rows[best], exact[best]
+        return self.search_all([(terms, weights)], k)[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, rows and exact cosines of the k nearest, nearest first, ties to the smaller id."""
+        n, q = len(self.ids), len(queries)
+        if not n:
+            return [(np.empty(0, np.int64), np.empty(0))] * q
+        own = np.repeat(np.arange(q), [len(t) for t, _ in queries])
+        terms, weights = (np.concatenate(x) for x in zip(*queries))
+        known = terms < len(self.frequent)
+        own, terms, weights = own[known], terms[known], weights[known]
+        many = self.frequent[terms]
+        few = terms[~many]
+        at, size = _spread(self.start[few], self.start[few + 1])
+        scores = np.bincount(np.repeat(own[~many] * n, size) + self.row[at], np.repeat(weights[~many], size) * self.weight[at],
+                             minlength=q * n).reshape(q, n)
+        vectors = np.zeros((q, len(self.most)))
+        vectors[own[many], self.place[terms[many]]] = weights[many]
+        peak = np.maximum.reduceat(scores, self.edges, axis=1)
+        low = np.partition(peak, -k, axis=1)[:, -k] if len(self.edges) >= k else np.zeros(q)  # k rows score that or more
+        bound = peak + vectors @ self.most
+        order = np.argsort(-bound.max(axis=0), kind="stable")       # the most promising blocks give a better k-th score
+        first = np.sort(order[:-(-len(order) // FIRST)])
+        rows, whole = self._opened(first, scores, vectors)
+        if whole.shape[1] >= k:
+            low = np.maximum(low, np.partition(whole, -k, axis=1)[:, -k])
+        open_ = (bound > 0) & (bound >= low[:, None] - 1e-11)
+        open_[:, first] = False
+        blocks = np.flatnonzero(open_.any(axis=0))
+        more, rest = self._opened(blocks, scores, vectors)
+        rows, whole = np.concatenate([rows, more]), np.concatenate([whole, rest], axis=1)
+        self.opened, self.blocks = self.opened + q * (len(first) + len(blocks)), self.blocks + q * len(self.edges)
+        out = []
+        for score, least in zip(whole, low):
+            near = np.flatnonzero((score > 0) & (score >= least - 1e-11))
+            score = score[near]
+            if len(near) > k:
+                cut = score >= np.partition(score, -k)[-k] - 1e-11
+                near, score = near[cut], score[cut]
+            best = np.lexsort((self.ids[rows[near]], -np.round(score, 12)))[:k]
+            out.append((rows[near[best]], score[best]))
+        return out
+
+    def _opened(self, blocks: np.ndarray, scores: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of these blocks and their whole scores."""
+        rows = (self.edges[blocks][:, None] + np.arange(BLOCK)).ravel()
+        whole = np.empty((len(vectors), len(rows)))
+        for i, b in enumerate(blocks):
+            whole[:, i * BLOCK:(i + 1) * BLOCK] = vectors @ self.dense[b]
+        there = rows < len(self.ids)
+        return rows[there], whole[:, there] + scores[:, rows[there]]
 
 
 def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +175,10 @@ class ToxicityModel:
     mark: float = 1.0  # how much more those weigh
     steps: np.ndarray | None = None  # the rate of label 1 in each bin of raw votes
 
+    @cached_property
+    def places(self) -> dict[str, int]:
+        return {}
+
     @cached_property
     def scale(self) -> np.ndarray:
         return self.idf * np.where(self.marks, self.mark, 1.0)
@@ -163,27 +189,37 @@ class ToxicityModel:
         row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         weight = (1 + np.log(self.example_counts)) * self.scale[self.example_terms]
         weight /= np.sqrt(np.bincount(row, weight * weight, minlength=len(self.ids)))[row]
-        by_weight = np.lexsort((weight, row))
-        heaviest = self.example_terms[by_weight[np.cumsum(self.sizes) - 1]]
-        order = np.lexsort((self.ids, heaviest))  # like vectors share a block
+        by_count = np.lexsort((self.example_terms, self.example_counts, row))
+        commonest = self.example_terms[by_count[np.cumsum(self.sizes) - 1]]
+        order = np.lexsort((self.ids, self.sizes, commonest))  # like vectors share a block
         place = np.empty(len(self.ids), np.int32)
         place[order] = np.arange(len(self.ids))
         return BlockMaxIndex.of(self.ids[order], self.labels[order], self.example_terms, place[row], weight)
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        """Distance-weighted share of label 1 among the nearest; their ids."""
-        weights = (1 + np.log(counts)) * self.scale[terms]
-        rows, cosines = self.index.search(terms, weights / np.sqrt(weights @ weights), NEIGHBOURS) if len(terms) else ([], None)
-        if not len(rows):
-            return -1.0, []
-        weight = 1 / (1.05 - np.minimum(cosines, 1))
-        return float(weight @ self.index.labels[rows] / weight.sum()), self.index.ids[rows].tolist()
-
-    def score(self, text: str) -> tuple[float, list[int]]:
-        raw, evidence = self.vote(*term_counts(self.terms, text))
-        if raw < 0:
-            return self.no_neighbour, evidence
-        return float(np.interp(raw * BINS, np.arange(BINS) + 0.5, self.steps)), evidence
+    def votes(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """Distance-weighted share of label 1 among the nearest, and their ids; of texts given by terms and counts. Texts of
+        the same most frequent term are searched together, as they open the same blocks."""
+        out: list[tuple[float, list[int]]] = [(-1.0, [])] * len(found)
+        there = [i for i, (t, _) in enumerate(found) if len(t)]
+        there.sort(key=lambda i: (int(found[i][0][np.argmax(found[i][1])]), len(found[i][0])))
+        for a in range(0, len(there), BATCH):
+            some, queries = there[a:a + BATCH], []
+            for i in some:
+                terms, counts = found[i]
+                weights = (1 + np.log(counts)) * self.scale[terms]
+                queries.append((terms, weights / np.sqrt(weights @ weights)))
+            for i, (rows, cosines) in zip(some, self.index.search_all(queries, NEIGHBOURS)):
+                if len(rows):
+                    weight = 1 / (1.05 - np.minimum(cosines, 1))
+                    out[i] = float(weight @ self.index.labels[rows] / weight.sum()), self.index.ids[rows].tolist()
+        return out
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        """Score and evidence of each text."""
+        def rate(raw: float) -> float:
+            return float(np.interp(raw * BINS, np.arange(BINS) + 0.5, self.steps)) if raw >= 0 else self.no_neighbour
+
+        return [(rate(raw), evidence) for raw, evidence in self.votes([term_counts(self.terms, t, self.places) for t in texts])]
 
 
 def hashes(words) -> np.ndarray:
@@ -191,14 +227,23 @@ def hashes(words) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64) if words else np.empty(0, np.int64)
 
 
-def term_counts(terms: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The known terms in the whole text, by their place in ``terms``, and how often each is there."""
+def term_counts(terms: np.ndarray, text: str, places: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The known terms in the whole text, by their place in ``terms``, and how often each is there. ``places`` keeps the
+    words met so far, up to PLACES of them."""
     found = Counter(WORD.findall(text.lower()))
-    own, n = hashes(found), np.fromiter(found.values(), np.int64, len(found))
-    at = np.searchsorted(terms, own)
-    known = at < len(terms)
-    known[known] = terms[at[known]] == own[known]
-    at, n = at[known], n[known]
+    places = {} if places is None else places
+    if new := [w for w in found if w not in places]:
+        if len(places) > PLACES:
+            places.clear()
+            new = list(found)
+        own = hashes(new)
+        at = np.searchsorted(terms, own)
+        known = at < len(terms)
+        known[known] = terms[at[known]] == own[known]
+        places.update(zip(new, np.where(known, at, -1).tolist()))
+    at = np.fromiter(map(places.__getitem__, found), np.int64, len(found))
+    n = np.fromiter(found.values(), np.int64, len(found))
+    at, n = at[at >= 0], n[at >= 0]
     order = np.argsort(at, kind="stable")
     return at[order], n[order]
 
@@ -247,12 +292,12 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def sums(batches):
-        known = shared.value
+        known, places = shared.value, {}
         n, df = 0, np.zeros(len(known), np.int64)
         for b in batches:
             n += len(b)
             for t in b["_text"]:
-                df[term_counts(known, t)[0]] += 1
+                df[term_counts(known, t, places)[0]] += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.append(at, -1), "df": np.append(df[at], n)})
 
@@ -316,8 +361,8 @@ def _votes(rows: DataFrame, model: ToxicityModel) -> pd.DataFrame:
 
     def votes(batches):
         for b in batches:
-            raw = [shared.value.vote(*term_counts(shared.value.terms, t))[0] for t in b["text"]]
-            yield pd.DataFrame({"raw": raw, "label": b["label"]})
+            found = [term_counts(shared.value.terms, t, shared.value.places) for t in b["text"]]
+            yield pd.DataFrame({"raw": [raw for raw, _ in shared.value.votes(found)], "label": b["label"]})
 
     found = rows.mapInPandas(votes, "raw double, label double").filter("raw >= 0").toArrow().to_pandas()  # MAX_LABELLED rows
     shared.unpersist()
@@ -346,19 +391,16 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "toxicity")
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, known = shared.value, {}
-
-        def score(text: str) -> tuple[float, list[int]]:
-            key = hashlib.blake2b(text.encode(), digest_size=16).digest()
-            if key not in known:
+        known: dict[bytes, tuple[float, list[int]]] = {}     # copies
+        for batch in batches:
+            for a in range(0, len(batch), SLICE):
+                texts = batch.iloc[a:a + SLICE].tolist()
+                keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
                 if len(known) >= KNOWN:
                     known.clear()
-                known[key] = m.score(text)
-            return known[key]
-
-        for texts in batches:
-            found = [score(t) for t in texts]
-            yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
+                new = {k: t for k, t in zip(keys, texts) if k not in known}
+                known.update(zip(new, shared.value.scores(list(new.values()))))
+                yield pd.DataFrame({"score": [known[k][0] for k in keys], "evidence": [known[k][1] for k in keys]})
 
     return docs.withColumn(name, scored(whole_text()))
 

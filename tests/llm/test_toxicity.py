@@ -50,24 +50,34 @@ def test_index_is_exact():
         assert ids[rows].tolist() == ids[want].tolist() and cos == pytest.approx(exact[want])
 
 
-def test_frequent_terms_are_seldom_read():
-    """A term that all examples hold is not read for texts that have nearer ones by rarer terms."""
+def test_blocks_are_skipped_and_search_stays_exact():
+    """Batches of queries, terms that half of the examples hold, examples of two kinds in blocks of their own."""
     rng = np.random.default_rng(4)
-    post = {0: (np.arange(4000), np.full(4000, 0.02))}
-    for t in range(1, 801):
-        rows = np.sort(rng.choice(4000, 20, replace=False))
-        post[t] = (rows, rng.random(20) * 0.4 + 0.2)
-    index = tox.BlockMaxIndex(np.arange(4000), np.zeros(4000), post)
-    vectors = np.zeros((4000, 801))
-    for t, (rows, w) in post.items():
-        vectors[rows, t] = w
-    for _ in range(50):
-        q = {0: 0.05} | {int(t): 0.2 for t in rng.choice(np.arange(1, 801), 30, replace=False)}
-        rows, cos = index.nearest(q, 16)
-        exact = vectors @ np.array([q.get(t, 0.0) for t in range(801)])
-        want = np.lexsort((np.arange(4000), -np.round(exact, 12)))[:16]
-        assert rows.tolist() == want.tolist() and cos == pytest.approx(exact[want])
-    assert index.read < 0.6 * index.offered
+    n, terms = 3000, 900
+    vectors = np.zeros((n, terms))
+    for i in range(n):
+        half = 450 * (i >= n // 2)
+        vectors[i, half + rng.choice(5, 4, replace=False)] = rng.random(4) * 0.1       # frequent ones
+        vectors[i, half + 5 + rng.choice(445, 25, replace=False)] = rng.random(25) + 0.2
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    row, term = np.nonzero(vectors)
+    ids = rng.permutation(n)
+    index = tox.BlockMaxIndex.of(ids, np.zeros(n), term, row, vectors[row, term])
+    assert index.frequent.sum() == 10
+    queries = []
+    for i in range(64):
+        t = rng.choice(450, 30, replace=False)
+        t = np.union1d(t, np.arange(5)) if i % 2 else t
+        w = rng.random(len(t))
+        queries.append((t, w / np.linalg.norm(w)))
+    queries.append((np.array([0, 5000]), np.array([0.5, 0.5])))
+    for (rows, cos), (t, w) in zip(index.search_all(queries, 16), queries):
+        q = np.zeros(6000)
+        q[t] = w
+        exact = vectors @ q[:terms]
+        want = [i for i in np.lexsort((ids, -np.round(exact, 12))) if exact[i] > 0][:16]
+        assert rows.tolist() == want and cos == pytest.approx(exact[want])
+    assert index.opened <= 0.55 * index.blocks
 
 
 def test_scores_equal_brute_force(labelled):
