@@ -4,11 +4,16 @@ A document is its sequence of lower-case words. Its k-mers of five words are lab
 with their occurrence number, so repeats count. For each of ``SKETCHES`` random orders
 the ``PICKS`` smallest labelled k-mers are taken and put back in text order; their hash
 is one key. Two texts share a key only if the same k-mers stand in the same order, which
-edit similarity makes likely and a shuffled text does not. Texts that share a key are
+edit similarity makes likely and a shuffled text does not. Picks are few and sketches many, so that
+texts at the law's own threshold meet: where a fifth of the words is replaced, a fifth of the k-mers is
+shared, and nine pairs in ten have a key in common (``tests/llm`` measure it). Texts that share a key are
 aligned word by word inside a band; they are linked if the alignment keeps at least
 ``SIMILARITY`` of the longer text's words. Linked texts form classes (connected
 components); a class is named by its smallest doc_id.
 
+Pairs that meet by a common passage are dropped before they become rows: every text has counts of its words in
+``BINS`` bins, and the smaller counts of two texts add up to no less than any alignment keeps.
+
 Hot groups: equal word sequences are collapsed first by a partial aggregation. Buckets are
 worked off in rounds: first a bucket's smallest node is compared with all others, and
 classes are formed; then more pivots, from the smallest classes, are compared with every
@@ -30,14 +35,16 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concourse.llm.common import WORD, fresh, staged
+from concourse.plans.joins import sized_broadcast
 
 KMER = 5
-SKETCHES = 24
-PICKS = 4
+SKETCHES = 80
+PICKS = 2
+BINS = 128     # of word hashes, for a bound of what two texts can share
 SIMILARITY = 0.8
 MORE = 16      # a bucket has one pivot in its first round, and MORE times as many in each next
 
@@ -123,8 +130,10 @@ def aligned_share(a: list[int], b: list[int]) -> float:
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | (1 << i)
     full, open_ = (1 << n) - 1, (1 << (2 * band + 1)) - 1
-    row = full
+    row, spare = full, m - (n - band)
     for j, w in enumerate(b):
+        if j % 128 == 127 and j - (n - row.bit_count()) > spare:
+            return 0.0      # too many words of b were left out already
         hit = where.get(w)
         if hit:
             inside = open_ << (j - band) if j >= band else open_ >> (band - j)
@@ -134,12 +143,13 @@ def aligned_share(a: list[int], b: list[int]) -> float:
     return share if share >= SIMILARITY - 1e-12 else 0.0
 
 
-def _buckets(lists: list[list[str]], lengths: np.ndarray) -> list:
-    """Sketch keys of each text by length class; none for a text without words."""
-    out: list = [[]] * len(lists)
+def _buckets(hashes: np.ndarray, lengths: np.ndarray) -> list:
+    """Sketch keys of each text by length class; none for a text without words. The word hashes of the texts stand
+    one text after another."""
+    out: list = [[]] * len(lengths)
     keep = np.flatnonzero(lengths)
     if len(keep):
-        mers, counts = kmers(word_hashes([w for x in lists for w in x]), lengths)
+        mers, counts = kmers(hashes, lengths)
         keys = sketch_keys(mers, counts[keep])
         low = np.floor(np.log2(lengths[keep])).astype(np.uint64)
         high = np.floor(np.log2(lengths[keep] / SIMILARITY + 1e-9)).astype(np.uint64)
@@ -163,28 +173,53 @@ def document_keys(docs: DataFrame) -> DataFrame:
                 nodes = [hashlib.md5((" ".join(x) if x else "\n" + t).encode()).digest()
                          for x, t in zip(lists, b["text"])]
                 lengths = np.array([len(x) for x in lists], np.int64)
+                hashes = word_hashes([w for x in lists for w in x])
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "hash": b["hash"].to_numpy(), "node": nodes,
-                                    "words": lengths.astype(np.int32), "buckets": _buckets(lists, lengths)})
+                                    "words": lengths.astype(np.int32), "buckets": _buckets(hashes, lengths),
+                                    "bins": word_bins(hashes, lengths)})
 
     own = docs.filter(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    return own.mapInPandas(rows, "doc_id long, hash long, node binary, words int, buckets array<long>")
+    return own.mapInPandas(rows, "doc_id long, hash long, node binary, words int, buckets array<long>, bins array<short>")
+
+
+def word_bins(hashes: np.ndarray, lengths: np.ndarray) -> list:
+    """How many words of each text fall into each bin; None where a count does not fit."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    counts = np.bincount(text * BINS + (hashes % np.uint64(BINS)).astype(np.int64), minlength=len(lengths) * BINS).reshape(-1, BINS)
+    return [c.astype(np.int16) if c.max() < 1 << 15 else None for c in counts]
+
+
+def _may_align(x: Column, y: Column, words_x: Column, words_y: Column) -> Column:
+    """False where word counts show that no alignment keeps the share."""
+    shared = F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda s, v: s + v)
+    return F.coalesce(shared >= SIMILARITY * F.greatest(words_x, words_y) - 1e-9, F.lit(True))
 
 
 def bucket_members(keys: DataFrame) -> DataFrame:
     """(bucket, node, words, least) of the buckets that hold several nodes; ``least`` is the
-    bucket's smallest node, with its words."""
-    nodes = keys.groupBy("node").agg(F.first("words").alias("words"), F.first("buckets").alias("buckets"))
-    rows = staged(nodes.select(F.explode("buckets").alias("bucket"), "node", "words"), "buckets")
-    several = (rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "words")).alias("least"))
-               .filter("size > 1").drop("size"))
-    return rows.join(several, "bucket")
+    bucket's smallest node, with its words. Most buckets hold one node: only numbers are counted per bucket, and what is left
+    of the rows is found by joining the buckets that count."""
+    nodes = staged(keys.groupBy("node").agg(F.first("words").alias("words"), F.first("buckets").alias("buckets")), "nodes")
+    several = staged(nodes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().filter("count > 1")
+                     .select("bucket"), "buckets")
+    rows = staged(nodes.select(F.explode("buckets").alias("bucket"), "node", "words").join(sized_broadcast(several), "bucket"), "rows")
+    least = rows.groupBy("bucket").agg(F.min(F.struct("node", "words")).alias("least"))
+    return rows.join(least, "bucket")
+
+
+def facts(keys: DataFrame) -> DataFrame:
+    """(node, n, bins): number of words and their counts by bin."""
+    return keys.groupBy("node").agg(F.first("words").alias("n"), F.first("bins").alias("bins"))
 
 
-def first_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's smallest node with its others."""
-    return members.filter((F.col("node") != F.col("least.node")) & _lengths_fit(F.col("words"), F.col("least.words"))) \
-        .select(F.col("least.node").alias("a"), F.col("node").alias("b"))
+def first_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's smallest node with its others that may align."""
+    pairs = members.filter((F.col("node") != F.col("least.node")) & _lengths_fit(F.col("words"), F.col("least.words"))) \
+        .select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+    x = known.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bins").alias("_bins"))
+    y = known.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bins").alias("_more"))
+    return pairs.join(x, "a").join(y, "b").filter(_may_align(F.col("_bins"), F.col("_more"), F.col("_n"), F.col("_m"))).select("a", "b")
 
 
 def _lengths_fit(x, y):
@@ -198,21 +233,22 @@ def pivots(free: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("members", "root", "node"))
     return free.join(sizes, ["bucket", "root"]).withColumn("rank", rank).filter(F.col("rank") <= n).select(
         "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"),
-        F.col("words").alias("pivot_words"))
+        F.col("words").alias("pivot_words"), F.col("bins").alias("pivot_bins"))
 
 
 def pivot_pairs(free: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the pivots with the nodes of their bucket outside their class."""
+    """Pairs (a, b) of the pivots with the nodes of their bucket outside their class that may align."""
     return (
         free.join(chosen, "bucket")
-        .filter((F.col("root") != F.col("pivot_root")) & _lengths_fit(F.col("words"), F.col("pivot_words")))
+        .filter((F.col("root") != F.col("pivot_root")) & _lengths_fit(F.col("words"), F.col("pivot_words"))
+                & _may_align(F.col("bins"), F.col("pivot_bins"), F.col("words"), F.col("pivot_words")))
         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     )
 
 
 def open_nodes(free: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, words, root) of the buckets whose free nodes are of several classes."""
-    known = (free.select("bucket", "node", "words").join(roots, "node", "left")
+    """(bucket, node, words, bins, root) of the buckets whose free nodes are of several classes."""
+    known = (free.select("bucket", "node", "words", "bins").join(roots, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
     several = (known.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("several"))
                .filter("several").select("bucket"))
@@ -295,9 +331,10 @@ def similar_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
     those that were no pivots, are of one class."""
     members = staged(bucket_members(keys), "members")
     texts = staged(candidate_texts(docs, keys, members), "candidates")
-    compared = staged(first_pairs(members).distinct(), "pairs")
+    known = staged(facts(keys).join(members.select("node").distinct(), "node", "left_semi"), "facts")
+    compared = staged(first_pairs(members, known), "pairs")
     roots, n = components(staged(verified(compared, texts), "verified")), 1
-    left = members.filter(F.col("node") != F.col("least.node"))
+    left = members.filter(F.col("node") != F.col("least.node")).join(known.drop("n"), "node")
     while True:
         free, n = open_nodes(left, roots), MORE * n
         if free.isEmpty():

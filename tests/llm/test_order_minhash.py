@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from concourse.llm import order_minhash as om
 from concourse.llm.common import WORD
@@ -113,6 +114,38 @@ def test_alignment_equals_dynamic_programming():
         assert om.aligned_share(a, b) == pytest.approx(share if share >= 0.8 - 1e-12 else 0.0)
 
 
+@pytest.mark.parametrize("length", [60, 300])
+@pytest.mark.parametrize("share", [0.8, 0.85, 0.9, 0.95])
+def test_recall_at_the_law(length, share):
+    """Of pairs whose alignment keeps just this share, at least nine in ten meet in a bucket, whichever way the words go."""
+    rng, met, n = random.Random(length), 0, 150
+    for i in range(n):
+        a = words(length, rng)
+        gone = set(rng.sample(range(length), round(length * (1 - share))))
+        if i % 3 < 2:
+            b = [f"new{i}x{j}" if j in gone else w for j, w in enumerate(a)]     # replaced
+        else:
+            b = [w for j, w in enumerate(a) if j not in gone]                    # left out
+        assert om.aligned_share(om.word_hashes(a).tolist(), om.word_hashes(b).tolist()) > 0
+        keys = om._buckets(om.word_hashes(a + b), np.array([len(a), len(b)]))
+        met += len(set(keys[0].tolist()) & set(keys[1].tolist())) > 0
+    assert met >= 0.9 * n
+
+
+def test_bins_never_drop_a_link(spark):
+    rng, rows, want = random.Random(6), [], []
+    for i in range(300):
+        a = words(rng.randint(5, 400), rng)
+        b = edited(a, rng.randint(0, len(a) // 3 + 1), rng) if i % 2 else words(len(a), rng)
+        rows.append((i, a, b))
+        want.append(om.aligned_share(om.word_hashes(a).tolist(), om.word_hashes(b).tolist()) > 0)
+    counted = [(i, *(om.word_bins(om.word_hashes(x), np.array([len(x)]))[0].tolist() for x in (a, b)), len(a), len(b)) for i, a, b in rows if b]
+    df = spark.createDataFrame(counted, "i int, x array<short>, y array<short>, n int, m int")
+    kept = {r.i for r in df.filter(om._may_align(F.col("x"), F.col("y"), F.col("n"), F.col("m"))).collect()}
+    assert {i for i, ok in enumerate(want) if ok} <= kept and len(kept) < 0.75 * len(rows)
+    assert om.word_bins(np.zeros(1 << 16, np.uint64), np.array([1 << 16])) == [None]
+
+
 def test_sketches_keep_text_order():
     a = om.word_hashes([f"x{i}" for i in range(300)])
     b = np.concatenate([a[150:], a[:150]])
