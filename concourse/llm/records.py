@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concourse.llm.common import staged, whole_text
@@ -46,6 +46,7 @@ MOST_FILES = 20_000
 END_ID = 0
 MASK_ADD = 0xA282EAD8
 KNOWN = 600_000       # parts of texts a worker keeps the ids of; cleared when it has more
+TOGETHER = 50_000     # parts that are encoded in one text
 HEAD = struct.Struct("<QI")
 FIELDS = struct.Struct("<BBq")
 WORKERS: dict = {}    # a worker's encoders, by vocabulary; workers outlive tasks
@@ -119,9 +120,27 @@ def _worker(shared, mark: str) -> tuple[PartEncoder, int]:
         tok = Tokenizer.from_str(shared.value)
         tok.encode_special_tokens = True                # their strings are ordinary text here
 
-        def encode(parts: list[str]) -> list[bytes]:
+        def one_by_one(parts: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
 
+        line_end = one_by_one(["\n"])[0]
+
+        def encode(parts: list[str]) -> list[bytes]:
+            """Parts that begin with a blank are encoded in one text, a line end behind each, and cut there. If the line
+            ends are not all tokens of their own, each part is encoded by itself."""
+            found: dict[int, bytes] = {}
+            spaced = [i for i, x in enumerate(parts) if x.startswith(" ") and "\n" not in x] if len(line_end) == 4 else []
+            for at in range(0, len(spaced), TOGETHER):
+                some = spaced[at:at + TOGETHER]
+                ids = np.array(tok.encode_batch_fast(["".join(parts[i] + "\n" for i in some)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(ids == np.frombuffer(line_end, "<u4")[0])
+                if len(cuts) == len(some):
+                    data, ends = ids.tobytes(), (4 * cuts).tolist()
+                    found.update((i, data[a:b]) for i, a, b in zip(some, [0, *(e + 4 for e in ends)], ends))
+            rest = [i for i in range(len(parts)) if i not in found]
+            found.update(zip(rest, one_by_one([parts[i] for i in rest])))
+            return [found[i] for i in range(len(parts))]
+
         WORKERS[mark] = (PartEncoder(lambda text: [text], encode, KNOWN),
                          2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4)
     return WORKERS[mark]
@@ -191,9 +210,14 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
     return placed.repartition(4 * n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def shared_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI of the file system that Spark takes it for, so that executors write where Spark would."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def record_round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write ``docs`` into a new shared folder and read the files back."""
-    folder = scratch_path(docs.sparkSession, "records")
-    if "://" not in folder:
-        folder = "file://" + os.path.abspath(folder.removeprefix("file:"))
+    folder = shared_uri(docs.sparkSession, scratch_path(docs.sparkSession, "records"))
     return read_records(write_records(docs, tokenizer_path, folder), folder)

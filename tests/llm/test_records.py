@@ -27,6 +27,24 @@ def test_round_trip(make_docs, monkeypatch):
         start += n
 
 
+def test_whole_table_equals_the_library(spark):
+    import zlib
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    tok = Tokenizer.from_file(PATH)
+    tok.encode_special_tokens = True
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rec.record_round_trip(docs, PATH).collect()}
+    start, want = 0, {}
+    for r in docs.orderBy("doc_id").collect():
+        ids = np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
+        want[r.doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert got == want
+
+
+def test_folder_is_where_spark_writes(spark, tmp_path):
+    assert rec.shared_uri(spark, str(tmp_path)) == rec.shared_uri(spark, f"file:{tmp_path}") == f"file://{tmp_path}"
+
+
 def test_files_and_random_reads(make_docs, tmp_path):
     folder = f"file://{tmp_path}/rec"
     files = rec.write_records(make_docs(ROWS), PATH, folder).collect()
