@@ -9,7 +9,8 @@ middle of its bytes falls when all bytes are laid out in key order: sizes of sha
 no more than a document at each cut.
 
 The driver sees splitters only: about ``SAMPLES`` per range, ranges of about ``RANGE_ROWS``
-rows, so a billion rows give some thousand ranges. Windows run in one range.
+rows while these are no more than ``MOST_RANGES``; beyond, ranges hold more rows, whose windows Spark sorts with
+spilling. So what the driver holds has a bound. Windows run in one range.
 
 Law ``bytes``: sizes near equal. Defined results: a null text has 16 bytes of size, like an empty one, and
 checksum 0; null texts lie together. Repeated rows are rows of their own, side by side. Null ids are
@@ -26,11 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concourse.llm.common import staged
+from concourse.llm.common import fresh, staged
 
 OVERHEAD = 16          # bytes of a record besides its text
 RANGE_ROWS = 100_000   # rows of a range, about
 LEAST_RANGES = 16
+MOST_RANGES = 10_000
 SAMPLES = 32           # keys drawn per range, about
 OVERFULL = 2.0
 
@@ -82,7 +84,7 @@ def quantile_cuts(keys: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 def splitters(keys: DataFrame, rows: int, size: int) -> tuple[Splitters, DataFrame]:
     """Splitters of ranges of like size, and the sums per range."""
-    n = max(LEAST_RANGES, rows // RANGE_ROWS)
+    n = min(MOST_RANGES, max(LEAST_RANGES, rows // RANGE_ROWS))
     sample = [tuple(r) for r in _draw(keys, n * SAMPLES / size).collect()]
     cut, due = Splitters(quantile_cuts(sample, n)), size / n
     while True:
@@ -137,14 +139,17 @@ def assign_shards(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, shards: int, path: str) -> None:
-    """Write ``docs`` as Parquet partitioned by shard, rows in slot order within a file."""
+    """Write ``docs`` as Parquet partitioned by shard, rows in slot order within a file; the added columns are ``shard`` and
+    ``slot``, with underscores before them where ``docs`` has such columns."""
+    a, b, n, i = (fresh(docs, x) for x in ("_a", "_b", "_n", "_i"))
+    shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
     placed = assign_shards(docs, shards).select(
-        F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("shard"), F.col("slot"))
+        F.col("a").alias(a), F.col("b").alias(b), F.col("shard").alias(shard), F.col("slot").alias(slot))
     # rows that repeat id and text are alike: any of them may take any of their slots
-    by = Window.partitionBy("_a", "_b").orderBy("_n")
-    left = docs.withColumn("_a", F.xxhash64("text")).withColumn("_b", F.xxhash64("doc_id", F.lit(1)))
-    left = left.withColumn("_n", F.monotonically_increasing_id()).withColumn("_i", F.row_number().over(by))
-    right = placed.withColumn("_n", F.col("slot")).withColumn("_i", F.row_number().over(by)).drop("_n")
-    rows = left.drop("_n").join(right, ["_a", "_b", "_i"]).drop("_a", "_b", "_i")
-    rows.repartition("shard", F.floor(F.col("slot") / RANGE_ROWS)).sortWithinPartitions("shard", "slot") \
-        .write.partitionBy("shard").parquet(path)
+    by = Window.partitionBy(a, b).orderBy(n)
+    left = docs.withColumn(a, F.xxhash64("text")).withColumn(b, F.xxhash64("doc_id", F.lit(1)))
+    left = left.withColumn(n, F.monotonically_increasing_id()).withColumn(i, F.row_number().over(by))
+    right = placed.withColumn(n, F.col(slot)).withColumn(i, F.row_number().over(by)).drop(n)
+    rows = left.drop(n).join(right, [a, b, i]).drop(a, b, i)
+    rows.repartition(shard, F.floor(F.col(slot) / RANGE_ROWS)).sortWithinPartitions(shard, slot) \
+        .write.partitionBy(shard).parquet(path)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from concourse.llm import sharding as sh
 
@@ -60,3 +61,17 @@ def test_few_rows_and_written_shards(make_docs, spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted(rows)
     assert back.select("shard", "slot").distinct().count() == 51
+
+
+def test_clashing_columns_and_bounded_ranges(make_docs, spark, tmp_path, monkeypatch):
+    rows = [(i, f"t{i}" * (i % 9)) for i in range(60)]
+    docs = make_docs(rows).withColumn("_a", F.lit("own")).withColumn("slot", F.lit("own"))
+    sh.write_shards(docs, 4, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted(rows)
+    assert {(r["shard"], r["slot"], r["_a"]) for r in back.select("shard", "slot", "_a").collect()} == {("x", "own", "own")}
+    assert back.select("_shard", "_slot").distinct().count() == 60
+    monkeypatch.setattr(sh, "RANGE_ROWS", 5)
+    monkeypatch.setattr(sh, "MOST_RANGES", 3)
+    monkeypatch.setattr(sh, "LEAST_RANGES", 2)
+    checked(rows, make_docs(rows), 7)
