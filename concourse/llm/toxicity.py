@@ -46,8 +46,7 @@ NEIGHBOURS = 16
 BLOCK = 64
 FREQUENT = 1 / 16       # a term of more examples than this share is kept as a row over all of them
 FIRST = 4               # one block in so many is opened before the k-th score is looked at
-BATCH = 64              # texts that are searched at once
-PLACES = 300_000        # words whose place among the terms a task keeps
+BATCH = 16              # texts that are searched at once
 SLICE = 1024            # texts whose vectors are held at once
 KNOWN = 20_000          # scores of texts that a task keeps for their copies
 REJECT_AT = 0.7
@@ -109,17 +108,15 @@ class BlockMaxIndex:
         n, q = len(self.ids), len(queries)
         if not n:
             return [(np.empty(0, np.int64), np.empty(0))] * q
-        own = np.repeat(np.arange(q), [len(t) for t, _ in queries])
-        terms, weights = (np.concatenate(x) for x in zip(*queries))
-        known = terms < len(self.frequent)
-        own, terms, weights = own[known], terms[known], weights[known]
-        many = self.frequent[terms]
-        few = terms[~many]
-        at, size = _spread(self.start[few], self.start[few + 1])
-        scores = np.bincount(np.repeat(own[~many] * n, size) + self.row[at], np.repeat(weights[~many], size) * self.weight[at],
-                             minlength=q * n).reshape(q, n)
-        vectors = np.zeros((q, len(self.most)))
-        vectors[own[many], self.place[terms[many]]] = weights[many]
+        scores, vectors = np.empty((q, n)), np.zeros((q, len(self.most)))
+        for i, (terms, weights) in enumerate(queries):
+            known = terms < len(self.frequent)
+            terms, weights = terms[known], weights[known]
+            many = self.frequent[terms]
+            vectors[i, self.place[terms[many]]] = weights[many]
+            few = terms[~many]
+            at, size = _spread(self.start[few], self.start[few + 1])
+            scores[i] = np.bincount(self.row[at], np.repeat(weights[~many], size) * self.weight[at], minlength=n)
         peak = np.maximum.reduceat(scores, self.edges, axis=1)
         low = np.partition(peak, -k, axis=1)[:, -k] if len(self.edges) >= k else np.zeros(q)  # k rows score that or more
         bound = peak + vectors @ self.most
@@ -175,10 +172,6 @@ class ToxicityModel:
     mark: float = 1.0  # how much more those weigh
     steps: np.ndarray | None = None  # the rate of label 1 in each bin of raw votes
 
-    @cached_property
-    def places(self) -> dict[str, int]:
-        return {}
-
     @cached_property
     def scale(self) -> np.ndarray:
         return self.idf * np.where(self.marks, self.mark, 1.0)
@@ -219,7 +212,7 @@ class ToxicityModel:
         def rate(raw: float) -> float:
             return float(np.interp(raw * BINS, np.arange(BINS) + 0.5, self.steps)) if raw >= 0 else self.no_neighbour
 
-        return [(rate(raw), evidence) for raw, evidence in self.votes([term_counts(self.terms, t, self.places) for t in texts])]
+        return [(rate(raw), evidence) for raw, evidence in self.votes([term_counts(self.terms, t) for t in texts])]
 
 
 def hashes(words) -> np.ndarray:
@@ -227,23 +220,14 @@ def hashes(words) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64) if words else np.empty(0, np.int64)
 
 
-def term_counts(terms: np.ndarray, text: str, places: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The known terms in the whole text, by their place in ``terms``, and how often each is there. ``places`` keeps the
-    words met so far, up to PLACES of them."""
+def term_counts(terms: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The known terms in the whole text, by their place in ``terms``, and how often each is there."""
     found = Counter(WORD.findall(text.lower()))
-    places = {} if places is None else places
-    if new := [w for w in found if w not in places]:
-        if len(places) > PLACES:
-            places.clear()
-            new = list(found)
-        own = hashes(new)
-        at = np.searchsorted(terms, own)
-        known = at < len(terms)
-        known[known] = terms[at[known]] == own[known]
-        places.update(zip(new, np.where(known, at, -1).tolist()))
-    at = np.fromiter(map(places.__getitem__, found), np.int64, len(found))
-    n = np.fromiter(found.values(), np.int64, len(found))
-    at, n = at[at >= 0], n[at >= 0]
+    own, n = hashes(found), np.fromiter(found.values(), np.int64, len(found))
+    at = np.searchsorted(terms, own)
+    known = at < len(terms)
+    known[known] = terms[at[known]] == own[known]
+    at, n = at[known], n[known]
     order = np.argsort(at, kind="stable")
     return at[order], n[order]
 
@@ -292,12 +276,12 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def sums(batches):
-        known, places = shared.value, {}
+        known = shared.value
         n, df = 0, np.zeros(len(known), np.int64)
         for b in batches:
             n += len(b)
             for t in b["_text"]:
-                df[term_counts(known, t, places)[0]] += 1
+                df[term_counts(known, t)[0]] += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.append(at, -1), "df": np.append(df[at], n)})
 
@@ -361,7 +345,7 @@ def _votes(rows: DataFrame, model: ToxicityModel) -> pd.DataFrame:
 
     def votes(batches):
         for b in batches:
-            found = [term_counts(shared.value.terms, t, shared.value.places) for t in b["text"]]
+            found = [term_counts(shared.value.terms, t) for t in b["text"]]
             yield pd.DataFrame({"raw": [raw for raw, _ in shared.value.votes(found)], "label": b["label"]})
 
     found = rows.mapInPandas(votes, "raw double, label double").filter("raw >= 0").toArrow().to_pandas()  # MAX_LABELLED rows
