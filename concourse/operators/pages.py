@@ -52,18 +52,20 @@ def embedded_object_text(pages: DataFrame, key: str = "regionData") -> DataFrame
     Pages where any step fails yield no row."""
     scripts = F.regexp_extract_all("html", F.lit(SCRIPT_RE), 1)
     target = F.get(F.filter(scripts, lambda s: s.contains(key)), 0)
-    quoted_re = rf'(?s)"{key}"[^:]*:[^{{]*(\{{.*)$'
-    bare_re = rf"(?s){key}[^:]*:[^{{]*(\{{.*)$"
-    obj = let(target, lambda s: F.nullif(
-        F.when(s.contains(f'"{key}"'), F.regexp_extract(s, quoted_re, 1))
-         .otherwise(F.regexp_extract(s, bare_re, 1)), F.lit("")))
+
+    def after(s: Column, mark: str) -> Column:
+        """The text behind the first ``mark``, or null."""
+        return F.when(s.contains(mark), F.substring(s, F.instr(s, mark) + F.lit(len(mark)), F.length(s)))
+
+    behind = let(target, lambda s: F.coalesce(after(s, f'"{key}"'), after(s, key)))
+    obj = let(let(behind, lambda s: after(s, ":")), lambda s: F.concat(F.lit("{"), after(s, "{")))
     return (pages.select("page_id", obj.alias("object_text"))
             .filter(F.col("object_text").isNotNull()))
 
 
 def embedded_json_repair(df: DataFrame, col: str = "object_text") -> DataFrame:
-    """Undo backslash-escaped quotes (only when the text starts with an escaped key)
-    and drop commas before ``}`` or ``]``. Also inside strings, as the reference does."""
+    """Undo the escapes of a text that stands in a string literal, or in one inside another (only when the object starts
+    with an escaped key), and drop commas before ``}`` or ``]``. Also inside strings, as the reference does."""
     return df.withColumn("repaired", repaired_text(F.col(col)))
 
 
@@ -79,11 +81,29 @@ def embedded_json_extract(pages: DataFrame, key: str = "regionData") -> DataFram
     return m.select("page_id", F.explode("regions").alias("region", "value"))
 
 
+#: An object whose first key is behind a backslash; white space may itself be escaped.
+ESCAPED_RE = r'^\{(?:\s|\\+[nrt])*\\+"'
+ESCAPE_LEVELS = 3
+#: Marks that stand for an escaped backslash and an escaped quote while a literal's end is looked for.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+
+
+def unescaped(s: Column) -> Column:
+    """One level of string escapes undone, token by token: the text is read as the literal that it is, up to the first
+    quote without a backslash. Escapes that only JavaScript has (``\\'``, ``\\x27``) count as well."""
+    plain = F.regexp_replace(F.replace(F.replace(s, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE)),
+                             r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    literal = F.replace(F.replace(F.substring_index(plain, '"', 1), F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    rules = {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    return F.get(F.from_json(F.concat(F.lit('["'), literal, F.lit('"]')), "array<string>", rules), 0)
+
+
 def repaired_text(object_text: Column) -> Column:
-    """``embedded_json_repair`` as a single expression (value bound once)."""
-    return let(object_text, lambda s: F.regexp_replace(
-        F.when(s.startswith('{\\"'), F.replace(s, F.lit('\\"'), F.lit('"'))).otherwise(s),
-        TRAILING_COMMA_RE, "$1"))
+    """``embedded_json_repair`` as a single expression (each level bound once)."""
+    text = object_text
+    for _ in range(ESCAPE_LEVELS):
+        text = let(text, lambda s: F.when(s.rlike(ESCAPED_RE), unescaped(s)).otherwise(s))
+    return F.regexp_replace(text, TRAILING_COMMA_RE, "$1")
 
 
 def region_airports_flatten(regions: DataFrame) -> DataFrame:

@@ -10,25 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concourse.operators.labels import as_printed, bound_values
 from concourse.operators.ocr import ws_trim
 from concourse.operators.recommend import gate_core
+from concourse.plans.joins import sized_broadcast
 
-# Fixed patterns of the printed layouts. A plain hyphen is a direction marker only between
-# blanks, so that hyphenated words and codes are none.
-MARK_RE = r"\s*(?:→|->)\s*|\s+[–-]\s+"
-CODE_END_RE = r"\s*\([A-Z]{3}\)\s*$"
+# Fixed patterns of the printed layouts.
 IATA_RE = r"\(([A-Z]{3})\)"
 ARRIVAL_IATA_RE = r"(?i)\b(?:ARR|ARRIVAL|DEST|DESTINATION|TO)\.?\s*:?\s*\(([A-Za-z]{3})\)"
-_CLOCK = r"((?:\d{4}-\d{2}-\d{2}[T ]\s*)?\d{1,2}:\d{2})"
-BOARDING_RE = r"(?i)\bboarding\s*time\s*:?\s*" + _CLOCK
-DEPARTURE_RE = r"(?i)\btime\s*:?\s*" + _CLOCK
-FLIGHT_RE = r"(?i)\bflight\s*:?\s*([A-Z0-9]{2,3}\s?\d{1,5})\b"
-GATE_RE = r"(?i)\bgate\s*:?\s*(\w+)"
-TERMINAL_RE = r"(?i)\bterminal\s*:?\s*(?!gate\b)([A-Z0-9]+)\b"
-FLIGHT_DETAILS = ["FLIGHT", "GATE", "BOARDING TIME", "SEAT"]
+#: Words, codes in brackets and direction markers. A plain hyphen is a marker only between blanks, so that hyphenated words are none.
+ROUTE_TOKEN_RE = r"→|->|(?<=\s)[–-](?=\s)|\([A-Z]{3}\)|[\p{L}\p{N}_']+(?:[-.][\p{L}\p{N}_']+)*"
+ROUTE_WORD_RE = r"^[\p{L}\p{N}]"
+MARKERS = ["→", "->", "–", "-"]
+FLIGHT_DETAILS = ["FLIGHT", "GATE", "BOARDING", "SEAT"]
 INFERRED_CONFIDENCE = 0.5
 A_ROUTE_INFERRED = "No direction marker; route inferred from the cities nearest to the flight details."
-MAX_CITIES = 20_000  # known city names, which are one constant of the plan
 
 JSON_FENCE_ANCHORED = [(r"^```json\s*", ""), (r"^```\s*", ""), (r"\s*```$", "")]
 FENCE_BLOCK_RE = r"```(?:json)?\s*([\s\S]*?)```"
@@ -122,72 +118,68 @@ def json_contract(df: DataFrame, text: str = "json_text") -> DataFrame:
 
 
 # ----------------------------------------------------------- extraction
-def _city_names(cities: DataFrame) -> tuple[Column, Column]:
-    """The known city names and their upper-case forms as two constant arrays, longest first (a
-    name that holds another is met before it). A table of at most MAX_CITIES names."""
-    names = [r.city for r in cities.select("city").filter(F.trim("city") != "").distinct()
-             .limit(MAX_CITIES + 1).collect()]
-    if len(names) > MAX_CITIES:
-        raise ValueError(f"more than {MAX_CITIES} city names")
-    names.sort(key=lambda c: (-len(c), c))
-
-    def constant(values: list[str]) -> Column:
-        return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
-
-    return constant(names), constant([c.upper() for c in names])
+def _route_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.upper(text), F.lit(ROUTE_TOKEN_RE), F.lit(0))
+
+
+def city_mentions(df: DataFrame, cities: DataFrame, text: str = "text", key: str = "pass_id") -> DataFrame:
+    """(key, start, end, city) of every place at which a known city's name stands, in tokens. Runs of up to as many words
+    as the longest name has are joined with the names: the work does not grow with the number of cities."""
+    names = cities.select(F.col("city"), _route_tokens(F.col("city")).alias("words")).filter(F.size("words") > 0)
+    names = names.select(F.array_join("words", " ").alias("run"), "city", F.size("words").alias("n")) \
+        .groupBy("run").agg(F.min("city").alias("city"), F.first("n").alias("n"))
+    longest = names.agg(F.max("n")).first()[0]
+    if longest is None:
+        return df.select(key, F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("city")).limit(0)
+    tokens = df.select(key, _route_tokens(F.col(text)).alias("tokens"))
+    at = tokens.select(key, "tokens", F.posexplode("tokens").alias("start", "first")).filter(F.col("first").rlike(ROUTE_WORD_RE))
+    runs = at.select(key, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("tokens") - F.col("start")))).alias("n"), "tokens")
+    runs = runs.select(key, "start", (F.col("start") + F.col("n")).alias("end"),
+                       F.array_join(F.slice("tokens", F.col("start") + 1, F.col("n")), " ").alias("run"))
+    return runs.join(sized_broadcast(names.select("run", "city")), "run").select(key, "start", "end", "city")
 
 
 def extract_route(df: DataFrame, cities: DataFrame, text: str = "text", key: str = "pass_id") -> DataFrame:
     """First directional pair ``A -> B`` of known cities (``cities.city``): A departs, B is the
     destination; later mentions are ignored. A city may be followed by its printed code.
     Without such a pair, the two known cities nearest to the flight details, in reading order,
-    with confidence 0.5 and an assumption. Row-local: no shuffle."""
-    names, uppers = _city_names(cities)
-    up = F.upper(F.col(text))
-
-    def named(c: Column) -> Column:
-        return F.get(names, (F.array_position(uppers, c) - 1).cast("int"))
-
-    def ends(s: Column) -> Column:
-        own = F.rtrim(F.regexp_replace(s, CODE_END_RE, ""))
-        return F.get(F.filter(uppers, lambda c: (own == c) | own.endswith(F.concat(F.lit(" "), c))), 0)
-
-    def starts(s: Column) -> Column:
-        own = F.concat(F.regexp_replace(F.ltrim(s), r"\(", " ("), F.lit(" "))
-        return F.get(F.filter(uppers, lambda c: own.startswith(F.concat(c, F.lit(" ")))), 0)
+    with confidence 0.5 and an assumption. Only the few mentions of a text are dealt out by ``key``, which names a text."""
+    found = city_mentions(df, cities, text, key).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "city"))).alias("_found"))
+    d = df.join(found, key, "left").withColumn("_tokens", _route_tokens(F.col(text)))
+    places = F.filter(F.transform("_tokens", lambda t, i: F.when(t.isin(FLIGHT_DETAILS), i)), lambda i: i.isNotNull())
+    marks = F.filter(F.transform("_tokens", lambda t, i: F.when(t.isin(MARKERS), i)), lambda i: i.isNotNull())
+    d = d.withColumns({"_found": F.coalesce("_found", F.array().cast("array<struct<start:int,end:int,city:string>>")),
+                       "_places": places, "_marks": marks})
+
+    def longest(ms: Column) -> Column:
+        return F.get(F.sort_array(F.transform(ms, lambda m: F.struct((m["end"] - m["start"]).alias("n"), m["city"].alias("city"))), False), 0)["city"]
 
     def pair(i: Column) -> Column:
-        return F.struct(ends(F.get("_segs", i)).alias("a"), starts(F.get("_segs", i + 1)).alias("b"))
-
-    d = df.withColumn("_segs", F.split(up, MARK_RE))
-    both = F.when(F.size("_segs") > 1, F.transform(F.sequence(F.lit(0), F.size("_segs") - 2), pair))
-    d = d.withColumn("_marked", F.get(F.filter(both, lambda p: p["a"].isNotNull() & p["b"].isNotNull()), 0))
-
-    # mentions: each known city's first place, without those inside a longer city's
-    padded = F.concat(F.lit(" "), F.regexp_replace(up, r"[^\p{L}\p{N}'_-]", " "), F.lit(" "))
-    d = d.withColumn("_text", padded)
-    places = F.array(*[F.instr("_text", f" {w} ") for w in FLIGHT_DETAILS])
-
-    def mention(c: Column) -> Column:
-        at = F.call_function("instr", F.col("_text"), F.concat(F.lit(" "), c, F.lit(" ")))
-        return F.struct(at.alias("at"), (at + F.length(c)).alias("end"), c.alias("city"))
-
-    found = F.filter(F.transform(uppers, mention), lambda m: m["at"] > 0)
-    d = d.withColumn("_found", F.when(F.col("_marked").isNull(), found)).withColumn("_places", places)
-    alone = F.filter("_found", lambda m: ~F.exists("_found", lambda o: (o["at"] <= m["at"]) & (o["end"] >= m["end"])
-                                                   & (o["city"] != m["city"])))
+        coded = F.coalesce(F.get("_tokens", i - 1).startswith("("), F.lit(False))
+        before = F.when(coded, i - 1).otherwise(i)
+        return F.struct(longest(F.filter("_found", lambda m: m["end"] == before)).alias("a"),
+                        longest(F.filter("_found", lambda m: m["start"] == i + 1)).alias("b"))
+
+    pairs = F.filter(F.transform("_marks", pair), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    d = d.withColumn("_marked", F.get(pairs, 0))
+    # each city's first place, without those inside a longer city's
+    alone = F.filter("_found", lambda m: ~F.exists("_found", lambda o: (o["start"] <= m["start"]) & (o["end"] >= m["end"])
+                                                   & ((o["end"] - o["start"]) > (m["end"] - m["start"]))))
+    once = F.filter(alone, lambda m: ~F.exists("_found", lambda o: (o["city"] == m["city"]) & (o["start"] < m["start"])))
 
     def distance(m: Column) -> Column:
-        near = F.transform(F.filter("_places", lambda p: p > 0), lambda p: F.abs(p - m["at"]))
-        return F.struct(F.coalesce(F.array_min(near), F.lit(0)).alias("far"), m["at"].alias("at"), m["city"].alias("city"))
+        far = F.transform("_places", lambda p: F.when(p >= m["end"], p - m["end"] + 1).otherwise(m["start"] - p))
+        return F.struct(F.coalesce(F.array_min(far), F.lit(0)).alias("far"), m["start"].alias("start"), m["city"].alias("city"))
 
-    near = F.slice(F.array_sort(F.transform(alone, distance)), 1, 2)
-    d = d.withColumn("_near", F.array_sort(F.transform(near, lambda m: F.struct(m["at"].alias("at"), m["city"].alias("city")))))
-    marked, inferred = F.col("_marked").isNotNull(), F.size("_near") == 2
+    near = F.slice(F.sort_array(F.transform(once, distance)), 1, 2)
+    d = d.withColumn("_near", F.when(F.col("_marked").isNull(), F.sort_array(F.transform(
+        near, lambda m: F.struct(m["start"].alias("start"), m["city"].alias("city"))))))
+    marked, inferred = F.col("_marked").isNotNull(), F.coalesce(F.size("_near") == 2, F.lit(False))
     return d.select(
         key,
-        named(F.when(marked, F.col("_marked.a")).when(inferred, F.get("_near", 0)["city"])).alias("dep_city"),
-        named(F.when(marked, F.col("_marked.b")).when(inferred, F.get("_near", 1)["city"])).alias("dest_city"),
+        F.when(marked, F.col("_marked.a")).when(inferred, F.get("_near", F.lit(0))["city"]).alias("dep_city"),
+        F.when(marked, F.col("_marked.b")).when(inferred, F.get("_near", F.lit(1))["city"]).alias("dest_city"),
         F.when(marked, F.lit("marked")).when(inferred, F.lit("inferred")).alias("route_source"),
         F.when(marked, F.lit(1.0)).when(inferred, F.lit(INFERRED_CONFIDENCE)).otherwise(F.lit(0.0))
         .alias("route_confidence"),
@@ -205,27 +197,30 @@ def extract_iata(df: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("dest_iata", F.coalesce(F.upper(labelled), F.get("_codes", 1))).drop("_codes"))
 
 
+def with_labels(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``_printed``, the values bound to their labels; read once for all rules below."""
+    return df if "_printed" in df.columns else df.withColumn("_printed", bound_values(F.col(text)))
+
+
 def extract_times(df: DataFrame, text: str = "text") -> DataFrame:
-    """Labelled boarding time -> boarding; a generic ``TIME`` elsewhere -> departure; with the
-    date where one is printed."""
-    b = _nz(F.regexp_extract(F.col(text), BOARDING_RE, 1))
-    rest = F.regexp_replace(F.col(text), BOARDING_RE, " ")
-    d = _nz(F.regexp_extract(rest, DEPARTURE_RE, 1))
-    return df.withColumn("boarding_time", b).withColumn("departure_time", d)
+    """Labelled boarding time -> boarding; labelled departure, else a generic ``TIME`` or a time behind the flight ->
+    departure; with the date where one is printed, 12-hour clocks as 24-hour ones."""
+    d, printed = with_labels(df, text), F.col("_printed")
+    return d.withColumn("boarding_time", as_printed(printed["boarding"])) \
+        .withColumn("departure_time", as_printed(F.coalesce(printed["departure"], printed["time"])))
 
 
 def extract_flight_gate(df: DataFrame, text: str = "text") -> DataFrame:
     """Flight code verbatim; gate without its ``Gate``/``G`` prefix."""
-    return (df.withColumn("flight_number", _nz(F.regexp_extract(F.col(text), FLIGHT_RE, 1)))
-            .withColumn("gate", gate_core(_nz(F.regexp_extract(F.col(text), GATE_RE, 1)))))
+    d, printed = with_labels(df, text), F.col("_printed")
+    return d.withColumn("flight_number", printed["flight"]).withColumn("gate", gate_core(printed["gate"]))
 
 
 def extract_terminal(df: DataFrame, text: str = "text", gate: str = "gate") -> DataFrame:
     """Printed -> (value, printed, 1.0); else the gate's leading letters ->
     (value, inferred, 0.5) + assumption; else (null, null, 0.0)."""
-    printed = _nz(F.regexp_extract(F.col(text), TERMINAL_RE, 1))
     letters = _nz(F.regexp_extract(F.upper(F.col(gate)), r"^([A-Z]+)\d", 1))
-    out = df.withColumn("_tp", printed).withColumn("_tl", letters)
+    out = with_labels(df, text).withColumn("_tp", F.col("_printed")["terminal"]).withColumn("_tl", letters)
     tp, tl = F.col("_tp"), F.col("_tl")
     return (out.withColumn("terminal_value", F.coalesce(tp, tl))
             .withColumn("terminal_source", F.when(tp.isNotNull(), "printed").when(tl.isNotNull(), "inferred"))
@@ -237,8 +232,8 @@ def extract_terminal(df: DataFrame, text: str = "text", gate: str = "gate") -> D
 
 
 def parse_pass_text(df: DataFrame, cities: DataFrame, text: str = "text", key: str = "pass_id") -> DataFrame:
-    """All extraction rules composed: one pass record per text row, without a shuffle."""
-    base = extract_terminal(extract_flight_gate(extract_times(extract_iata(df, text), text), text), text)
+    """All extraction rules composed: one pass record per text row."""
+    base = extract_terminal(extract_flight_gate(extract_times(extract_iata(with_labels(df, text), text), text), text), text).drop("_printed")
     rec = extract_route(base, cities, text, key)
     assumptions = F.filter(F.array(F.col("terminal_assumption"), F.col("route_assumption")),
                            lambda x: x.isNotNull())

@@ -1,7 +1,6 @@
 """DuckDB oracle SQL for web-page extraction (§2.2).
 
-The embedded object is cut by its known end marker instead of a JSON reader,
-titles are cased with list functions, lists use 1-based subscripts. The expected
+The expected regions of the embedded objects are the columns that they were made of, titles are cased with list functions, lists use 1-based subscripts. The expected
 fields of cards and amenities are the fixture's own columns that the markup was made of,
 not patterns run over it; the other HTML fixtures are the shared SQL expressions.
 """
@@ -9,7 +8,7 @@ not patterns run over it; the other HTML fixtures are the shared SQL expressions
 from __future__ import annotations
 
 from concourse.oracle.serving import lounges_sql
-from concourse.plans.fixtures import DETAIL_HTML_SQL, EMBEDDED_HTML_SQL
+from concourse.plans.fixtures import _PATH_SQL, DETAIL_HTML_SQL
 
 # The markup of the driver's ``pages`` table, as it stands there.
 HREF_RE = 'href="([^"]*)"'
@@ -31,21 +30,12 @@ def decoded(x: str) -> str:
 
 
 EMBEDDED = f"""
-WITH e AS (SELECT event_id AS page_id, {EMBEDDED_HTML_SQL} AS html FROM events),
-s AS (SELECT page_id, regexp_extract(html, '<script>(var s=1;.*)</script>', 1) AS script
-      FROM e WHERE contains(html, 'regionData')),
-o AS (SELECT page_id, substr(script, strpos(script, '{{'), strpos(script, '; done();') - strpos(script, '{{')) AS obj0
-      FROM s),
-o2 AS (SELECT page_id, regexp_replace(replace(obj0, chr(92) || chr(34), chr(34)), ',\\s*([}}\\]])', '\\1', 'g') AS obj
-       FROM o),
-reg AS (SELECT page_id, obj, unnest(json_keys(obj)) AS region FROM o2),
-vals AS (SELECT page_id, region, CAST(json_extract(obj, '$.' || region) AS VARCHAR) AS value FROM reg),
-items AS (
-  SELECT page_id, region,
-         unnest(from_json(json_extract(value, '$.items'), '[{{"url":"VARCHAR","name":"VARCHAR"}}]')) AS item
-  FROM vals),
-flat AS (SELECT page_id, region, item.url AS url, item.name AS name FROM items
-         WHERE item.url IS NOT NULL AND item.name IS NOT NULL),
+WITH flat AS (
+  SELECT event_id AS page_id, 'R0' AS region, {_PATH_SQL} AS url, 'n }} "q" é / ' || CAST(event_id AS VARCHAR) AS name
+  FROM events WHERE event_id % 13 <> 0),
+vals AS (
+  SELECT page_id, region, '{{"items":[{{"url":"' || url || '","name":"n }} \\"q\\" é / ' || CAST(page_id AS VARCHAR) || '"}}]}}' AS value FROM flat
+  UNION ALL SELECT page_id, 'R1', '5' FROM flat),
 country AS (
   SELECT page_id,
     CASE WHEN len(string_split(url, '/')) >= 3
@@ -107,7 +97,7 @@ ORACLE = {
         FROM l, range(1, len(hrefs) + 1) r(i) WHERE contains(hrefs[i], '/the')""",
     "embedded_json_extract": EMBEDDED + "SELECT page_id, region, value FROM vals",
     "embedded_json_repair": EMBEDDED + """
-        SELECT page_id, json_valid(obj) AS valid, CAST(len(json_keys(obj)) AS INTEGER) AS n_regions FROM o2""",
+        SELECT page_id, true AS valid, 2 AS n_regions FROM flat""",
     "region_airports_flatten": EMBEDDED + "SELECT page_id, region, url, name FROM flat",
     "airport_country": EMBEDDED + "SELECT * FROM country",
     "filter_countries": EMBEDDED + """

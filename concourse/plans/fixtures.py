@@ -158,18 +158,37 @@ def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEP_SQL = ("CASE pass_id % 4 WHEN 0 THEN ' → ' WHEN 1 THEN ' - ' WHEN 2 THEN ' -> ' ELSE ' ' END")
 
+# Passes are printed in four layouts: labels before values; other labels beside them; a 12-hour clock in
+# sentences; a line of labels above a line of values.
+_LAYOUT = "(CAST(floor(pass_id / 20) AS INT) % 4)"
+_FLIGHT = "CASE WHEN pass_id % 3 = 1 THEN 'BER' ELSE 'XY' END || CAST(pass_id % 10000 AS STRING)"
+_H12 = ("CAST((CAST(substr({0}, 1, 2) AS INT) + 11) % 12 + 1 AS STRING) || substr({0}, 3, 3) "
+        "|| CASE WHEN CAST(substr({0}, 1, 2) AS INT) < 12 THEN ' AM' ELSE ' PM' END")
+_DATED = "CASE WHEN pass_id % 8 = 5 THEN CAST(CAST(now_ts AS DATE) AS STRING) || ' ' ELSE '' END"
+
 PASS_TEXT_SQL = f"""concat_ws(' ',
   CASE WHEN pass_id % 7 = 3 THEN 'E-TICKET' END,
-  CASE WHEN pass_id % 3 = 1 THEN 'FLIGHT BER' ELSE 'FLIGHT XY' END || CAST(pass_id % 10000 AS STRING),
+  CASE {_LAYOUT} WHEN 0 THEN 'FLIGHT ' || {_FLIGHT} WHEN 1 THEN 'FLIGHT NO. ' || {_FLIGHT}
+       WHEN 2 THEN 'Your flight ' || {_FLIGHT} END,
   CASE WHEN pass_id % 19 <> 7 THEN city_a || {SEP_SQL} || city_b END,
   CASE WHEN pass_id % 2 = 0 THEN 'DEP (' || chr(65 + CAST(user_id % 25 AS INT))
        || chr(65 + CAST((user_id + 7) % 25 AS INT)) || 'X)' END,
   CASE WHEN pass_id % 6 = 2 THEN 'ARR (QQZ)' END,
-  CASE WHEN terminal IS NOT NULL THEN CASE WHEN pass_id % 2 = 0 THEN 'TERMINAL ' ELSE 'TERMINAL: ' END || terminal END,
-  CASE WHEN pass_id % 5 = 2 THEN 'GATE: B12' WHEN pass_id % 5 = 3 THEN 'Gate G7' END,
-  CASE WHEN boarding IS NOT NULL THEN 'BOARDING TIME '
-       || CASE WHEN pass_id % 8 = 5 THEN CAST(CAST(now_ts AS DATE) AS STRING) || ' ' ELSE '' END || boarding END,
-  CASE WHEN departure IS NOT NULL THEN 'TIME ' || departure END,
+  CASE WHEN {_LAYOUT} = 3 THEN concat_ws(' ', 'FLIGHT', CASE WHEN terminal IS NOT NULL THEN 'TERMINAL' END,
+         CASE WHEN pass_id % 5 IN (2, 3) THEN 'GATE' END, 'SEAT', CASE WHEN boarding IS NOT NULL THEN 'BOARDING' END,
+         CASE WHEN departure IS NOT NULL THEN 'DEPARTURE' END) || chr(10)
+       || concat_ws(' ', {_FLIGHT}, terminal, CASE pass_id % 5 WHEN 2 THEN 'B12' WHEN 3 THEN 'G7' END, '14A',
+                    {_DATED} || boarding, departure) || chr(10) END,
+  CASE WHEN terminal IS NOT NULL AND {_LAYOUT} < 3
+       THEN CASE WHEN {_LAYOUT} = 1 THEN 'TERMINAL BUILDING ' WHEN pass_id % 2 = 0 THEN 'TERMINAL ' ELSE 'TERMINAL: ' END || terminal END,
+  CASE WHEN {_LAYOUT} = 1 THEN 'GATE CLOSES 23:59' END,
+  CASE WHEN {_LAYOUT} < 3 THEN CASE WHEN pass_id % 5 = 2 THEN 'GATE: B12' WHEN pass_id % 5 = 3 THEN 'Gate G7' END END,
+  CASE WHEN {_LAYOUT} = 1 THEN 'ARRIVAL TIME 23:58' END,
+  CASE WHEN boarding IS NOT NULL THEN CASE {_LAYOUT} WHEN 0 THEN 'BOARDING TIME ' || {_DATED} || boarding
+       WHEN 1 THEN 'Boarding: ' || {_DATED} || boarding
+       WHEN 2 THEN 'Boarding starts at ' || {_DATED} || {_H12.format('boarding')} END END,
+  CASE WHEN departure IS NOT NULL THEN CASE {_LAYOUT} WHEN 0 THEN 'TIME ' || departure WHEN 1 THEN 'DEPARTURE TIME ' || departure
+       WHEN 2 THEN 'and departs ' || {_H12.format('departure')} END END,
   CASE WHEN pass_id % 3 = 0 AND pass_id % 19 <> 7 THEN 'RETURN ' || city_b || {SEP_SQL} || city_a END)"""
 
 JSON_TEXT_SQL = """CASE WHEN pass_id % 7 = 5 THEN 'FLIGHT XY' || CAST(pass_id % 10000 AS STRING) || ' has no JSON'
@@ -235,6 +254,16 @@ def pass_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("pass_id", F.expr(PASS_TEXT_SQL).alias("text"))
 
 
+def pass_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR annotations of the printed passes: one page of one paragraph, each word as sure as the print is (every fourth
+    pass is printed badly)."""
+    sure = F.when(F.col("pass_id") % 4 == 0, F.lit(0.5)).otherwise(F.lit(0.875))
+    words = F.transform(F.split("text", " "), lambda w: F.struct(sure.alias("confidence")))
+    pages = F.array(F.struct(F.array(F.lit("en")).alias("langs"), F.array(F.struct(F.array(F.struct(words.alias("words")))
+                                                                                  .alias("paragraphs"))).alias("blocks")))
+    return pass_text(spark, sf_dir).select("pass_id", F.col("text").alias("full_text"), pages.alias("pages"))
+
+
 def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model-style pass JSON with missing keys, nulls, wrong types, numeric strings,
     non-JSON and trailing text (by ``pass_id % 7``)."""
@@ -278,15 +307,22 @@ _SLUG_SQL = ("CASE event_id % 5 WHEN 0 THEN 'united-kingdom' WHEN 1 THEN 'united
              "WHEN 2 THEN 'cote-d' || chr(39) || 'ivoire' WHEN 3 THEN '3rd-land' ELSE 'some-land' END")
 _PATH_SQL = (f"CASE WHEN event_id % 9 = 0 THEN '/e' || CAST(event_id AS STRING) "
              f"ELSE '/lounges/' || {_SLUG_SQL} || '/e' || CAST(event_id AS STRING) END")
-_OBJ_SQL = (f"'{{' || chr(34) || 'R0' || chr(34) || ':{{' || chr(34) || 'items' || chr(34) || ':[{{' || chr(34) "
-            f"|| 'url' || chr(34) || ':' || chr(34) || {_PATH_SQL} || chr(34) || ',' || chr(34) || 'name' || chr(34) "
-            f"|| ':' || chr(34) || 'n }} ' || CAST(event_id AS STRING) || chr(34) || '}},],}},' || chr(34) || 'R1' "
-            f"|| chr(34) || ':5}}'")
+#: A region's items; the name holds a brace, quotes, an escaped letter and an escaped slash.
+_NAME_SQL = "'n } ' || chr(92) || '\"q' || chr(92) || '\" ' || chr(92) || 'u00e9 ' || chr(92) || '/ ' || CAST(event_id AS STRING)"
+_OBJ_SQL = (f"""'{{"R0":{{"items":[{{"url":"' || {_PATH_SQL} || '","name":"' || {_NAME_SQL} || '"}},],}},"R1":5}}'""")
+
+
+def _escaped_sql(x: str) -> str:
+    return f"replace(replace({x}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+
+
+#: Even ids hold the object as it is, odd ones in a string literal, in one inside another, or behind quotes.
 EMBEDDED_HTML_SQL = (
     "'<html><head><script>var a = 0;</script><script>var s=1; x[' "
     "|| CASE WHEN event_id % 13 = 0 THEN 'other' ELSE 'regionData' END || '] : ' "
-    f"|| CASE WHEN event_id % 2 = 1 THEN replace({_OBJ_SQL}, chr(34), chr(92) || chr(34)) ELSE {_OBJ_SQL} END "
-    "|| '; done();</script></head><body></body></html>'")
+    f"|| CASE event_id % 6 WHEN 1 THEN {_escaped_sql(_OBJ_SQL)} WHEN 3 THEN {_escaped_sql(_escaped_sql(_OBJ_SQL))} "
+    f"WHEN 5 THEN chr(34) || {_escaped_sql(_OBJ_SQL)} || chr(34) ELSE {_OBJ_SQL} END "
+    "|| '; done(' || chr(34) || 'x' || chr(34) || ');</script></head><body></body></html>'")
 
 # Cards and amenity blocks in four layouts each: attributes before and after, single quotes, ``>`` in a value,
 # further levels of nesting, entities, end tags left out.
@@ -337,8 +373,8 @@ DETAIL_HTML_SQL = f"""'<html><body><div class="facilities">' || {_AMENITY_SQL} |
 
 def embedded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one page per event whose second script embeds the region map after
-    ``regionData`` (brace inside a string, trailing commas, a scalar region,
-    trailing code; backslash-escaped quotes for odd ids; key absent when id % 13 = 0)."""
+    ``regionData`` (brace and quotes inside a string, trailing commas, a scalar region,
+    trailing code; escaped once or twice for odd ids; key absent when id % 13 = 0)."""
     e = spread(read_table(spark, sf_dir, "events").select("event_id"))
     return e.select(F.col("event_id").alias("page_id"), F.expr(EMBEDDED_HTML_SQL).alias("html"))
 

@@ -19,7 +19,14 @@ def q_parse_stream(spark, sf_dir):
                            f"{base}/checkpoint")
 
 
+def q_parse_ocr_stream(spark, sf_dir):
+    base = scratch_path(spark, "parse-ocr-stream")
+    return mb.parse_ocr_stream(spark, fx.pass_annotations(spark, sf_dir), fx.cities(spark, sf_dir), f"{base}/src", f"{base}/out",
+                               f"{base}/checkpoint")
+
+
 QUERIES = {
     "recommend_stream": q_recommend_stream,
     "parse_stream": q_parse_stream,
+    "parse_ocr_stream": q_parse_ocr_stream,
 }

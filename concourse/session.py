@@ -84,10 +84,29 @@ def release(spark: SparkSession) -> None:
 
 
 def _remove(spark: SparkSession, paths: list[str]) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+        remove(spark, p)
+
+
+def _store(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, p = _store(spark, path)
+    store.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, p = _store(spark, path)
+    return store.exists(p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if it is not there."""
+    store, p = _store(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(p) if x.isDirectory()] if store.exists(p) else []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

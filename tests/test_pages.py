@@ -23,6 +23,26 @@ def test_embedded_json_edges(spark):
     assert items[3].name == "São Paulo"     # raw non-ASCII kept
 
 
+def test_escaped_objects_equal_the_plain_one(spark):
+    import json
+    obj = {"R \"0\"": {"items": [{"url": "/lounges/uk/a", "name": 'Caf\u00e9 "Le } Bar" \\ 1/2'}, {"url": "/l/b", "name": "It's\nhere"}]}}
+    plain = json.dumps(obj)
+    slashed = plain.replace("/", "\\/")                                    # \\/ in place of /
+    esc = lambda x: json.dumps(x)[1:-1]
+    pretty = json.dumps(obj, indent=1)
+    pages = [plain, slashed, json.dumps(obj, ensure_ascii=False), pretty]
+    texts = [(f"regionData: {x}; go('y');", x) for x in pages] + [(f"regionData: {esc(x)}; go();", x) for x in pages] \
+        + [(f'push(["regionData", x: "{esc(x)}"]); f("z")', x) for x in pages] + [(f"regionData: {esc(esc(x))}; go();", x) for x in pages] \
+        + [(f'regionData: "{esc(esc(x))}"; a = "b";', x) for x in pages] \
+        + [("regionData: '" + esc(plain).replace("'", "\\'") + "'; go(/\\d/);", plain)]
+    df = spark.createDataFrame([(i, f"<script>{t}</script>") for i, (t, _) in enumerate(texts)], "page_id long, html string")
+    got = {}
+    for r in pg.region_airports_flatten(pg.embedded_json_extract(df)).collect():
+        got.setdefault(r.page_id, []).append((r.region, r.url, r.name))
+    want = [(k, x["url"], x["name"]) for k, v in obj.items() for x in v["items"]]
+    assert [i for i in range(len(texts)) if got.get(i) != want] == []
+
+
 def test_first_colon_then_first_brace(spark):
     df = spark.createDataFrame([(1, '<script>regionData = {"R0": {"items": []}};</script>')],
                                "page_id long, html string")

@@ -164,3 +164,31 @@ def test_oracles_do_not_import_the_rules():
     import concourse.oracle.text as text
     for name in ("text.py", "streaming.py", "serving.py"):
         assert "concourse.operators" not in (Path(text.__file__).parent / name).read_text()
+
+
+def test_labels_and_values(spark):
+    r = parsed(spark, [
+        "GATE CLOSES 10:20 GATE B2", "ARRIVAL TIME 10:20 DEPARTURE TIME 08:00", "Your flight at 10:30", "TERMINAL BUILDING 2",
+        "BOARDING TIME 8:05 PM", "FLIGHT NO. BER167", "Departure 10:20", "BOARDING 12:10 am DEPARTS 12.40 p.m.",
+        "FLIGHT TERMINAL GATE SEAT BOARDING\nBA 1234 2 14 21C 09:40\nDEPARTURE 10:15", "GATE TBA TERMINAL 2", "GATE information is on screens 4",
+        "Flight number: XY12 Gate no. G7 Seat 7 Boarding group 3 Boarding 9h05", "TERMINAL NORTH GATE A", "BOARDING PASS 12 GATE 5",
+        "CHECK-IN CLOSES 08:00 STD 2024-05-01 09:10", "BOARDING\n07:15", None,
+    ])
+    got = [(x.flight_number, x.gate, x.terminal_value if x.terminal_source == "printed" else None, x.boarding_time, x.departure_time) for x in r]
+    none = (None,) * 5
+    assert got == [
+        (None, "B2", None, None, None), (None, None, None, None, "08:00"), (None, None, None, None, "10:30"), (None, None, "2", None, None),
+        (None, None, None, "20:05", None), ("BER167", None, None, None, None), (None, None, None, None, "10:20"),
+        (None, None, None, "00:10", "12:40"), ("BA 1234", "14", "2", "09:40", "10:15"), (None, None, "2", None, None), none,
+        ("XY12", "7", None, "9:05", None), (None, "A", "NORTH", None, None), (None, "5", None, None, None),
+        (None, None, None, None, "2024-05-01 09:10"), (None, None, None, "07:15", None), none]
+
+
+def test_route_does_not_depend_on_the_number_of_cities(spark):
+    names = spark.range(60_000).selectExpr("id AS city_key", "concat('TOWN ', id, CASE WHEN id % 7 = 0 THEN ' UPON SEA' ELSE '' END) AS city")
+    df = spark.createDataFrame([(1, "FLIGHT BA1 TOWN 14 UPON SEA → TOWN 59999 GATE B1"), (2, "TOWN 14 TOWN 8 GATE B1"), (3, "")], "pass_id long, text string")
+    r = {x.pass_id: x for x in pt.extract_route(df, names).collect()}
+    assert (r[1].dep_city, r[1].dest_city, r[1].route_source) == ("TOWN 14 UPON SEA", "TOWN 59999", "marked")
+    assert r[2].route_source is None and r[3].route_source is None      # TOWN 14 is no city of its own
+    none = pt.extract_route(df, names.limit(0)).collect()
+    assert len(none) == 3 and all(x.dep_city is None for x in none)
