@@ -44,7 +44,7 @@ MAX_BYTES = 64 << 20    # of their texts, at most
 MARKS = (1.0, 3.0, 10.0, 30.0)  # how much more such a term may weigh
 NEIGHBOURS = 16
 BLOCK = 64
-FREQUENT = 1 / 16       # a term of more examples than this share is kept as a row over all of them
+FREQUENT = 1 / 8        # a term of more examples than this share is kept as a row over all of them
 FIRST = 4               # one block in so many is opened before the k-th score is looked at
 BATCH = 16              # texts that are searched at once
 SLICE = 1024            # texts whose vectors are held at once
@@ -75,7 +75,7 @@ class BlockMaxIndex:
     @classmethod
     def of(cls, ids: np.ndarray, labels: np.ndarray, term: np.ndarray, row: np.ndarray, weight: np.ndarray) -> "BlockMaxIndex":
         """From one entry per (term, row) in any order."""
-        order = np.lexsort((row, term))
+        order = np.lexsort((row, term)).astype(np.int32)
         index = cls.__new__(cls)
         index._fill(ids, labels, term[order], row[order], weight[order])
         return index
@@ -91,8 +91,7 @@ class BlockMaxIndex:
         self.dense = np.zeros((len(self.edges), int(self.frequent.sum()), BLOCK))    # of each block, frequent terms x rows
         self.dense[row[many] // BLOCK, self.place[term[many]], row[many] % BLOCK] = weight[many]
         self.most = self.dense.max(axis=2).T
-        kept = np.flatnonzero(~many)
-        self.row, self.weight = row[kept].astype(np.int32), weight[kept]
+        self.row, self.weight = row[~many].astype(np.int32), weight[~many]
         self.start = np.append(0, np.cumsum(np.where(self.frequent, 0, np.diff(self.postings)))).astype(np.int32)
         self.opened = self.blocks = 0                   # blocks opened, and blocks there were, over all queries
 
@@ -179,15 +178,18 @@ class ToxicityModel:
     @cached_property
     def index(self) -> BlockMaxIndex:
         """Made where it is searched, so that the driver holds and sends the examples only."""
-        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
-        weight = (1 + np.log(self.example_counts)) * self.scale[self.example_terms]
-        weight /= np.sqrt(np.bincount(row, weight * weight, minlength=len(self.ids)))[row]
-        by_count = np.lexsort((self.example_terms, self.example_counts, row))
-        commonest = self.example_terms[by_count[np.cumsum(self.sizes) - 1]]
+        if not len(self.ids):
+            return BlockMaxIndex.of(self.ids, self.labels, self.example_terms, self.example_terms, np.empty(0))
+        start = np.cumsum(self.sizes) - self.sizes
+        weight = np.log(self.example_counts)
+        weight += 1
+        weight *= self.scale[self.example_terms]
+        weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, start)), self.sizes)
+        commonest = np.maximum.reduceat((self.example_counts.astype(np.int64) << 32) | self.example_terms, start) & 0xFFFFFFFF
         order = np.lexsort((self.ids, self.sizes, commonest))  # like vectors share a block
         place = np.empty(len(self.ids), np.int32)
         place[order] = np.arange(len(self.ids))
-        return BlockMaxIndex.of(self.ids[order], self.labels[order], self.example_terms, place[row], weight)
+        return BlockMaxIndex.of(self.ids[order], self.labels[order], self.example_terms, np.repeat(place, self.sizes), weight)
 
     def votes(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
         """Distance-weighted share of label 1 among the nearest, and their ids; of texts given by terms and counts. Texts of
