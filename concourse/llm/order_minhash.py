@@ -12,7 +12,8 @@ aligned word by word inside a band; they are linked if the alignment keeps at le
 components); a class is named by its smallest doc_id.
 
 Pairs that meet by a common passage are dropped before they become rows: every text has counts of its words in
-``BINS`` bins, and the smaller counts of two texts add up to no less than any alignment keeps.
+``BINS`` bins, and the smaller counts of two texts add up to no less than any alignment keeps. The counts are written as
+bits, one for each count up to ``LEVELS``, so the sum is a popcount; what exceeds ``LEVELS`` is added whole.
 
 Hot groups: equal word sequences are collapsed first by a partial aggregation. Buckets are
 worked off in rounds: first a bucket's smallest node is compared with all others, and
@@ -44,7 +45,7 @@ from concourse.plans.joins import sized_broadcast
 KMER = 5
 SKETCHES = 80
 PICKS = 2
-BINS = 128     # of word hashes, for a bound of what two texts can share
+BINS, LEVELS = 256, 8     # of word hashes and of counts, for a bound of what two texts can share
 SIMILARITY = 0.8
 MORE = 16      # a bucket has one pivot in its first round, and MORE times as many in each next
 
@@ -180,20 +181,26 @@ def document_keys(docs: DataFrame) -> DataFrame:
 
     own = docs.filter(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    return own.mapInPandas(rows, "doc_id long, hash long, node binary, words int, buckets array<long>, bins array<short>")
+    return own.mapInPandas(rows, "doc_id long, hash long, node binary, words int, buckets array<long>, bins array<long>")
 
 
-def word_bins(hashes: np.ndarray, lengths: np.ndarray) -> list:
-    """How many words of each text fall into each bin; None where a count does not fit."""
+def word_bins(hashes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """How many words of each text fall into each bin: for each level the bins that reach it, in 64-bit words, and at the end
+    the words beyond the last level."""
     text = np.repeat(np.arange(len(lengths)), lengths)
     counts = np.bincount(text * BINS + (hashes % np.uint64(BINS)).astype(np.int64), minlength=len(lengths) * BINS).reshape(-1, BINS)
-    return [c.astype(np.int16) if c.max() < 1 << 15 else None for c in counts]
+    bits = np.packbits(counts[:, None, :] > np.arange(LEVELS)[None, :, None], axis=2).reshape(len(counts), -1)
+    beyond = np.maximum(counts - LEVELS, 0).sum(axis=1, keepdims=True)
+    return list(np.concatenate([np.ascontiguousarray(bits).view(np.int64), beyond], axis=1))
 
 
 def _may_align(x: Column, y: Column, words_x: Column, words_y: Column) -> Column:
     """False where word counts show that no alignment keeps the share."""
-    shared = F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda s, v: s + v)
-    return F.coalesce(shared >= SIMILARITY * F.greatest(words_x, words_y) - 1e-9, F.lit(True))
+    n = LEVELS * BINS // 64
+    shared = F.least(F.get(x, F.lit(n)), F.get(y, F.lit(n)))
+    for i in range(n):
+        shared = shared + F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.get(y, F.lit(i))))
+    return shared >= SIMILARITY * F.greatest(words_x, words_y) - 1e-9
 
 
 def bucket_members(keys: DataFrame) -> DataFrame:
