@@ -20,9 +20,11 @@ def test_widening_never_adds(spark, start_hour, length, extra):
     short = (now + dt.timedelta(minutes=length)).isoformat()
     long_ = (now + dt.timedelta(minutes=length + extra)).isoformat()
     lrows = [lounge_row(f"L{i}", h, str(i % 3)) for i, h in enumerate(HOURS)]
-    ctx = plan.with_covered(plan.context(passes(spark, [pass_row(1, now, departure=short),
-                                                        pass_row(2, now, departure=long_)]), lounges(spark, lrows)))
-    got = {r.pass_id: {x.lounge_id for g in r.covered for x in g.first} for r in ctx.select("pass_id", "covered").collect()}
+    catalog = plan.Catalog(lounges(spark, lrows))
+    ctx = plan.pass_context(passes(spark, [pass_row(1, now, departure=short), pass_row(2, now, departure=long_)]), catalog)
+    got = {}
+    for r in plan.covering_groups(ctx, catalog).join(catalog.members, "group_id").collect():
+        got.setdefault(r.pass_id, set()).add(r.lounge_id)
     assert got.get(2, set()) <= got.get(1, set())
 
 
