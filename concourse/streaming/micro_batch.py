@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from concourse.operators import ocr
 from concourse.operators import passes as pt
 from concourse.plans import recommend as plan
-from concourse.session import exists, folders, materialize, remove, scratch_scope
+from concourse.session import exists, folders, materialize, remove, scratch_scope, tasks_for
 
 
 def _run(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -32,6 +32,11 @@ def _run(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: st
         raise RuntimeError(str(q.exception()))
 
 
+def _dealt(batch: DataFrame) -> DataFrame:
+    """A micro-batch dealt out over all cores: a file of one row group is read by one task, whatever its splits."""
+    return batch.repartition(tasks_for(batch, batch.count()))
+
+
 COMPACT_EVERY = 8    # micro-batches after which the published state is written anew
 
 
@@ -94,7 +99,7 @@ def recommend_stream(spark: SparkSession, passes: DataFrame, catalog: Callable[[
 
     def rank(batch: DataFrame, batch_id: int) -> None:
         with scratch_scope(spark):
-            plan.recommend_batch(batch, catalog()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            plan.recommend_batch(_dealt(batch), catalog()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     stream = spark.readStream.schema(passes.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     _run(stream, rank, checkpoint)
@@ -144,7 +149,7 @@ def parse_stream(spark: SparkSession, texts: DataFrame, cities: DataFrame, src:
 
     def split(batch: DataFrame, batch_id: int) -> None:
         status = F.when(F.col("reject_reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
-        _split_by_status(spark, parsed_passes(batch, cities).withColumn("status", status), names, out, batch_id)
+        _split_by_status(spark, parsed_passes(_dealt(batch), cities).withColumn("status", status), names, out, batch_id)
 
     stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     _run(stream, split, checkpoint)
@@ -159,7 +164,7 @@ def parse_ocr_stream(spark: SparkSession, annotations: DataFrame, cities: DataFr
     names, cols = ["accepted", "rejected", "low_confidence"], ["pass_id", "ocr_confidence", *PARSED_COLS[1:]]
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        _split_by_status(spark, parsed_annotations(batch, cities), names, out, batch_id)
+        _split_by_status(spark, parsed_annotations(_dealt(batch), cities), names, out, batch_id)
 
     stream = spark.readStream.schema(annotations.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     _run(stream, split, checkpoint)
