@@ -42,6 +42,8 @@ TYPES = {
     "terminal": rf"^(?:T?\d{{1,2}}[A-Z]?|[A-Z]|{'|'.join(NAMED_TERMINALS)})$",
     "seat": r"^\d{1,2}[A-K]$",
 }
+#: What a token of any type has: a digit, or it is a letter alone or a named terminal. Other words are not tested further.
+VALUE_RE = rf"\d|^(?:[A-Z]|{'|'.join(NAMED_TERMINALS)})$"
 _KIND = {label: kind for kind, labels in LABELS.items() for label in labels}
 _PRINTED = "|".join(w.replace(".", r"\.").replace(" ", r"\s+") for w in sorted(_KIND, key=lambda w: (-len(w), w)))
 TOKEN_RE = (rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{_PRINTED})(?![\p{{L}}\p{{N}}])|\n|{_CLOCK}|[A-Z]{{2}}\s\d{{3,4}}(?![\p{{L}}\p{{N}}:.])"
@@ -64,25 +66,38 @@ def _token(t: Column) -> Column:
 
     def typed(x: Column) -> Column:
         fits = [F.when(x["up"].rlike(pattern), F.lit(name)) for name, pattern in TYPES.items()]
-        return F.struct(x["up"].alias("up"), x["text"].alias("text"), x["kind"].alias("kind"),
-                        F.when(x["kind"].isNull(), F.filter(F.array(*fits), lambda f: f.isNotNull())).alias("types"))
+        types = F.when(x["up"].rlike(VALUE_RE), F.filter(F.array(*fits), lambda f: f.isNotNull())).otherwise(F.array().cast("array<string>"))
+        return F.struct(x["up"].alias("up"), x["text"].alias("text"), x["kind"].alias("kind"), F.when(x["kind"].isNull(), types).alias("types"))
 
-    return _let(F.struct(F.upper(t).alias("up"), t.alias("text"), F.try_element_at(kinds, plain).alias("kind")), typed)
+    def named(p: Column) -> Column:      # the map is searched key by key, the list is hashed
+        return F.struct(F.upper(t).alias("up"), t.alias("text"), F.when(p.isin(list(_KIND)), F.try_element_at(kinds, p)).alias("kind"))
+
+    return _let(_let(plain, named), typed)
 
 
 def _bound(open_: Column, types: Column, columns: Column) -> Column:
     """The open label that a value of these types belongs to."""
     taken = F.create_map(*[x for name, labels in TAKEN_BY.items() for x in (F.lit(name), F.array(*map(F.lit, labels)))])
     fit = F.filter(open_, lambda k: F.exists(types, lambda t: F.array_contains(F.try_element_at(taken, t), k)))
-    return F.when(columns, F.get(fit, 0)).otherwise(F.get(fit, F.size(fit) - 1))
+    return _let(fit, lambda f: F.get(f, F.when(columns, F.lit(0)).otherwise(F.size(f) - 1)))
 
 
 def _step(st: Column, x: Column) -> Column:
     line, label = x["up"] == "\n", x["kind"].isNotNull()
     none = F.array().cast("array<string>")
     to = F.when(~label & ~line, _bound(st["open"], x["types"], st["columns"]))
-
-    def new(b: Column) -> Column:
+    to = _let(to, lambda b: F.struct(b.alias("label"), F.when(F.array_contains(x["types"], "clock") & (b == "flight"), F.lit("time")).otherwise(b).alias("field")))
+
+    def word() -> Column:
+        """The state after a word that is neither label nor value, the short way."""
+        link = x["up"].isin(LINKS)
+        words = F.when(link, st["words"]).otherwise(st["words"] + 1)
+        return F.struct(F.when(~st["columns"] & (words > GAP), none).otherwise(st["open"]).alias("open"), st["columns"].alias("columns"),
+                        words.alias("words"), F.when(link, st["after"]).otherwise(F.lit("word")).alias("after"),
+                        *[st[f].alias(f) for f in FIELDS]).cast(STATE)
+
+    def new(bound: Column) -> Column:
+        b = bound["label"]
         hit = b.isNotNull()
         plain = ~label & ~line & ~hit
         words = F.when(label | hit | line, F.lit(0)).when(plain & ~x["up"].isin(LINKS), st["words"] + 1).otherwise(st["words"])
@@ -95,16 +110,14 @@ def _step(st: Column, x: Column) -> Column:
         columns = F.when(label, F.lit(False)).when(line, (F.size(st["open"]) > 1) & (st["after"] == "label") & ~st["columns"]).otherwise(st["columns"])
         after = F.when(label, F.lit("label")).when(hit, F.lit("value")).when(line, F.lit("line")).when(plain & ~x["up"].isin(LINKS), F.lit("word")) \
             .otherwise(st["after"])
-        clock = F.array_contains(x["types"], "clock")
 
         def field(name: str) -> Column:
-            mine = F.when(clock & (b == "flight"), F.lit("time")).otherwise(b) == name
-            return F.coalesce(st[name], F.when(hit & mine, x["text"]))
+            return F.coalesce(st[name], F.when(bound["field"] == name, x["text"]))
 
         return F.struct(open_.alias("open"), columns.alias("columns"), words.alias("words"), after.alias("after"),
                         *[field(f).alias(f) for f in FIELDS]).cast(STATE)
 
-    return _let(to, new)
+    return F.when(~label & ~line & (F.size(x["types"]) == 0), word()).otherwise(_let(to, new))
 
 
 def as_printed(clock: Column) -> Column:
