@@ -15,13 +15,17 @@ Pairs that meet by a common passage are dropped before they become rows: every t
 ``BINS`` bins, and the smaller counts of two texts add up to no less than any alignment keeps. The counts are written as
 bits, one for each count up to ``LEVELS``, so the sum is a popcount; what exceeds ``LEVELS`` is added whole.
 
-Hot groups: equal word sequences are collapsed first by a partial aggregation. Buckets are
-worked off in rounds: first a bucket's smallest node is compared with all others, and
-classes are formed; then more pivots, from the smallest classes, are compared with every
-text outside their class, and so on, until each pair of the bucket is in one class or was
-compared. Near copies fall together in the first round, so rows grow linearly with such a
-group and with the texts beside it; nothing is capped. Length classes keep texts that cannot be
-similar out of one bucket.
+Hot groups: equal word sequences are collapsed first by a partial aggregation. Then a bucket's
+smallest node is compared with all others, and classes are formed: near copies fall together, so
+rows grow linearly with such a group. What is left of the buckets is worked off in cells. A bucket of
+few free nodes is a cell. In a larger one many texts share a common passage and little else: its
+texts are dealt into cells by their rarest words. A text's words are sorted by how few texts hold them.
+Two texts that align over the share have a word in common among so many of their rarest as each may lose,
+and one more. A pair is made in its first common cell, if the words from there on can still make up the
+share, and is kept if the two share a bucket.
+Cells are compared by pivots from the smallest classes, first ``MORE`` of a cell, then all. So each
+pair of a bucket is in one class or was compared, or its words show that it can't align; nothing is capped.
+Length classes keep texts that cannot be similar out of one bucket.
 
 Defined results: texts without words (null, empty, punctuation only) are equal to nothing
 but the same text; a null text is alone. Texts under five words have one k-mer, the whole
@@ -47,7 +51,9 @@ SKETCHES = 80
 PICKS = 2
 BINS, LEVELS = 256, 8     # of word hashes and of counts, for a bound of what two texts can share
 SIMILARITY = 0.8
-MORE = 16      # a bucket has one pivot in its first round, and MORE times as many in each next
+SMALL = 32     # a bucket of more free nodes is dealt into cells by rare words
+MORE = 32      # pivots of a cell, in the first of its two rounds
+SEEN = 128     # cells before a cell that are looked at for a pair that was made there; another is made twice
 
 SLICE = 2_000_000  # letters of text that are sketched at once
 
@@ -233,33 +239,87 @@ def _lengths_fit(x, y):
     return F.least(x, y) >= SIMILARITY * F.greatest(x, y) - 1e-9
 
 
-def pivots(free: DataFrame, n: int) -> DataFrame:
-    """(bucket, pivot, pivot_root, pivot_words): ``n`` of each bucket's free nodes, those of its
-    smallest classes first: once all classes but one are used up, the bucket is done."""
-    sizes = free.groupBy("bucket", "root").agg(F.count("*").alias("members"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("members", "root", "node"))
-    return free.join(sizes, ["bucket", "root"]).withColumn("rank", rank).filter(F.col("rank") <= n).select(
-        "bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"),
-        F.col("words").alias("pivot_words"), F.col("bins").alias("pivot_bins"))
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def pivot_pairs(free: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the pivots with the nodes of their bucket outside their class that may align."""
+def open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, words, size) of the buckets whose free nodes, all but the smallest, are of several classes."""
+    free = with_roots(members.filter(F.col("node") != F.col("least.node")).select("bucket", "node", "words"), roots)
+    every = Window.partitionBy("bucket")
+    return (free.withColumn("several", F.min("root").over(every) != F.max("root").over(every))
+            .withColumn("size", F.count("*").over(every))
+            .filter("several").select("bucket", "node", "words", "size"))
+
+
+def rare_words(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cell, node, words, rest, at, seen): a row for each of a text's rarest words that another text holds too. ``rest`` is the
+    number of its words from there on, ``seen`` the first SEEN of these rows' words, of which ``at`` come before."""
+    def rows(batches):
+        for b in batches:
+            lists = [word_hashes(WORD.findall(t.lower())).view(np.int64) for t in b["text"]]
+            found = [np.unique(x, return_counts=True) for x in lists]
+            sizes = [len(w) for w, _ in found]
+            yield pd.DataFrame({"node": b["node"].to_numpy().repeat(sizes), "words": np.repeat([len(x) for x in lists], sizes),
+                                "word": np.concatenate([np.empty(0, np.int64), *(w for w, _ in found)]),
+                                "times": np.concatenate([np.empty(0, np.int64), *(n for _, n in found)])})
+
+    own = staged(texts.join(nodes.select("node"), "node", "left_semi").mapInPandas(
+        rows, "node binary, words int, word long, times int"), "words")
+    held = own.groupBy("word").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("node").orderBy("held", "word")
+    gone = F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("times")
+    may_lose = F.col("words") - F.ceil(SIMILARITY * F.col("words") - 1e-9)
+    rare = (own.join(held, "word").withColumn("rest", F.col("words") - gone)
+            .filter((F.col("words") - F.col("rest") <= may_lose) & (F.col("held") > 1))
+            .withColumn("at", F.row_number().over(order) - 1)
+            .withColumn("seen", F.collect_list(F.when(F.col("at") < SEEN, F.col("word"))).over(
+                order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    return rare.select(F.col("word").alias("cell"), "node", "words", "rest", "at", "seen")
+
+
+def cells(free: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cell, node, words, rest, at, seen) of the open nodes: their buckets of at most SMALL nodes, and the rare words of those
+    that are in larger ones."""
+    small = (free.filter(F.col("size") <= SMALL).groupBy("node")
+             .agg(F.first("words").alias("words"), F.sort_array(F.collect_set("bucket")).alias("seen"))
+             .select("node", "words", "seen", F.posexplode("seen").alias("at", "cell"))
+             .select("cell", "node", "words", F.col("words").alias("rest"), "at", "seen"))
+    large = staged(free.filter(F.col("size") > SMALL).select("node").distinct(), "large")
+    return small if large.isEmpty() else small.union(rare_words(large, texts))
+
+
+def ranked_nodes(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """``left`` in the cells of several classes, with ``root`` and ``rank``: nodes of a cell's smallest classes come first."""
+    every, own = Window.partitionBy("cell"), Window.partitionBy("cell", "root")
+    return (with_roots(left, roots)
+            .withColumn("several", F.min("root").over(every) != F.max("root").over(every)).filter("several").drop("several")
+            .withColumn("members", F.count("*").over(own))
+            .withColumn("rank", F.row_number().over(every.orderBy("members", "root", "node"))).drop("members"))
+
+
+def pivot_pairs(ranked: DataFrame, n: int | None) -> DataFrame:
+    """Pairs (node, pivot) of the first ``n`` nodes of each cell, or all, with those after them outside their class: each pair in
+    its first common cell, and if their words from there on can make up the share."""
+    chosen = (ranked if n is None else ranked.filter(F.col("rank") <= n)).select(
+        "cell", *(F.col(c).alias(f"pivot_{c}") for c in ("root", "rank", "words", "rest", "at", "seen")), F.col("node").alias("pivot"))
+    longer = F.greatest("words", "pivot_words")
     return (
-        free.join(chosen, "bucket")
-        .filter((F.col("root") != F.col("pivot_root")) & _lengths_fit(F.col("words"), F.col("pivot_words"))
-                & _may_align(F.col("bins"), F.col("pivot_bins"), F.col("words"), F.col("pivot_words")))
-        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        ranked.join(chosen, "cell")
+        .filter((F.col("rank") > F.col("pivot_rank")) & (F.col("root") != F.col("pivot_root"))
+                & (F.least("rest", "pivot_rest") >= SIMILARITY * longer - 1e-9)
+                & ~F.arrays_overlap(F.slice("seen", 1, F.col("at")), F.slice("pivot_seen", 1, F.col("pivot_at"))))
+        .select("node", "pivot").distinct()
     )
 
 
-def open_nodes(free: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, words, bins, root) of the buckets whose free nodes are of several classes."""
-    known = (free.select("bucket", "node", "words", "bins").join(roots, "node", "left")
-             .withColumn("root", F.coalesce("root", "node")))
-    several = (known.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("several"))
-               .filter("several").select("bucket"))
-    return staged(known.join(several, "bucket", "left_semi"), "open")
+def kept_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (node, pivot) that share a bucket and may align, as (a, b)."""
+    x = known.select("node", "n", "bins", "buckets")
+    y = known.select(F.col("node").alias("pivot"), F.col("n").alias("_n"), F.col("bins").alias("_bins"), F.col("buckets").alias("_buckets"))
+    return (pairs.join(x, "node").join(y, "pivot")
+            .filter(_may_align(F.col("bins"), F.col("_bins"), F.col("n"), F.col("_n")) & F.arrays_overlap("buckets", "_buckets"))
+            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
 
 
 def candidate_texts(docs: DataFrame, keys: DataFrame, members: DataFrame) -> DataFrame:
@@ -333,24 +393,28 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(node, root) of the texts that verified links join. A pair of a bucket needs no comparing once
-    it is in one class or one of the two was a pivot, so a bucket is done when its free nodes,
+    """(node, root) of the texts that verified links join. A pair of a cell needs no comparing once
+    it is in one class or one of the two was a pivot, so a cell is done when its free nodes,
     those that were no pivots, are of one class."""
     members = staged(bucket_members(keys), "members")
     texts = staged(candidate_texts(docs, keys, members), "candidates")
     known = staged(facts(keys).join(members.select("node").distinct(), "node", "left_semi"), "facts")
     compared = staged(first_pairs(members, known), "pairs")
-    roots, n = components(staged(verified(compared, texts), "verified")), 1
-    left = members.filter(F.col("node") != F.col("least.node")).join(known.drop("n"), "node")
-    while True:
-        free, n = open_nodes(left, roots), MORE * n
-        if free.isEmpty():
-            return roots
-        chosen = staged(pivots(free, n), "pivots")
-        pairs = staged(pivot_pairs(free, chosen).distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+    roots = components(staged(verified(compared, texts), "verified"))
+    free = staged(open_nodes(members, roots), "open")
+    if free.isEmpty():
+        return roots
+    known = staged(known.join(free.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node"), "facts")
+    left = cells(free, texts)
+    for n in (MORE, None):
+        ranked = staged(ranked_nodes(left, roots), "ranked")
+        if ranked.isEmpty():
+            break
+        pairs = staged(kept_pairs(pivot_pairs(ranked, n), known).join(compared, ["a", "b"], "left_anti"), "pairs")
         roots = joined_roots(roots, staged(verified(pairs, texts), "verified"))
         compared = compared.union(pairs)
-        left = free.join(chosen, (free["bucket"] == chosen["bucket"]) & (free["node"] == chosen["pivot"]), "left_anti")
+        left = ranked.filter(F.col("rank") > n).drop("root", "rank") if n else None
+    return roots
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:

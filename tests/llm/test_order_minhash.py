@@ -183,3 +183,30 @@ def test_dropped_rows(make_docs, rows):
     kept = [(r.doc_id, r.text) for r in om.drop_near_duplicates(both).collect()]
     assert kept.count((2, "x y z")) == 1 and kept.count((3, "x y z")) == 0 and kept.count((1, None)) == 2
     assert kept.count((None, "only here a b c")) == 1
+
+
+def test_cells_lose_no_link(make_docs, rows, monkeypatch):
+    monkeypatch.setattr(om, "SMALL", 1)      # every bucket is dealt by rare words
+    monkeypatch.setattr(om, "SEEN", 2)
+    monkeypatch.setattr(om, "MORE", 2)
+    assert classes(om.near_duplicate_classes(make_docs(rows))) == brute_classes(rows)
+
+
+def test_common_passage_makes_few_pairs(spark, make_docs, monkeypatch):
+    """Texts that share a passage and little else meet in its buckets, but are not paired there."""
+    monkeypatch.setattr(om, "SMALL", 4)
+    rng, n = random.Random(9), 200
+    passage = words(40, rng)
+    own = [[f"x{rng.randint(0, 100_000)}" for _ in range(60)] for _ in range(n)]
+    rows = [(i, " ".join(w[:30] + passage + w[30:])) for i, w in enumerate(own)]
+    rows += [(n, rows[0][1] + " end"), (n + 1, rows[1][1] + " end")]
+    docs = make_docs(rows)
+    keys = om.document_keys(docs).cache()
+    members = om.bucket_members(keys).cache()
+    none = spark.createDataFrame([], "node binary, root binary")
+    free = om.open_nodes(members, none)
+    assert free.groupBy("bucket").count().agg(F.max("count")).first()[0] > n / 2
+    left = om.cells(free, om.candidate_texts(docs, keys, members))
+    pairs = om.pivot_pairs(om.ranked_nodes(left, none), None)
+    assert pairs.count() < n * n / 2 / 20
+    assert {frozenset((0, n)), frozenset((1, n + 1))} <= classes(om.near_duplicate_classes(docs))
